@@ -10,8 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from revlens import oracle
+from revlens.operators.dedup import dedup_first, union_all
+from revlens.plans import cleaning as cl
+from revlens.plans import quality as qa
 from revlens.params import FIXTURE, REFERENCE
 from revlens.plans import reports as rp
 from revlens.session import apply_runtime_conf
@@ -32,6 +36,33 @@ def _neg(spark: SparkSession, sf: str, p=P) -> DataFrame:
     return td.negatives(spark, sf, p)
 
 
+LINEITEM_ORDER = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                  "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def q_dedup_first(spark: SparkSession, sf: str) -> DataFrame:
+    """E1 on lineitem: first row per (l_orderkey, l_linenumber) by the other columns."""
+    li = td.table(spark, sf, "lineitem")
+    return dedup_first(li, ["l_orderkey", "l_linenumber"], LINEITEM_ORDER).select(*li.columns)
+
+
+def q_dedup_cross_source(spark: SparkSession, sf: str) -> DataFrame:
+    """E2 + E4 on the raw landing rows: union both sources, keep the first
+    copy of each id by (source priority, file, position)."""
+    cols = ["review_id", "app", "data_source", "rating", "_file", "_pos"]
+    h = cl.rename(td.raw_historical(spark, sf), cl.HISTORICAL_RENAME).select(*cols)
+    s_ = td.raw_scrape(spark, sf).select(*cols)
+    u = union_all([h.withColumn("source_priority", F.lit(0).cast("long")),
+                   s_.withColumn("source_priority", F.lit(1).cast("long"))])
+    return (dedup_first(u, ["review_id"], ["source_priority", "_file", "_pos"])
+            .select("review_id", "app", "data_source", "rating", "source_priority"))
+
+
+def _raw(spark: SparkSession, sf: str):
+    apply_runtime_conf(spark)
+    return td.raw_historical(spark, sf), td.raw_scrape(spark, sf)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "import_check": lambda s, d: rp.import_check(_gold(s, d)),
     "ratings_overview": lambda s, d: rp.ratings_overview(_gold(s, d), P),
@@ -56,6 +87,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "era_heatmap": lambda s, d: rp.era_heatmap(rp.era_complaints(_neg(s, d), P), P),
     "era_top_complaint": lambda s, d: rp.era_top_complaint(_neg(s, d), P),
     "era_summary_grid": lambda s, d: rp.era_summary_grid(rp.era_top_complaint(_neg(s, d), P), P),
+    "dedup_first": q_dedup_first,
+    "dedup_cross_source": q_dedup_cross_source,
+    "silver_clean": lambda s, d: cl.conform(cl.silver_historical(_raw(s, d)[0], P), cl.GOLD),
+    "gold_build": lambda s, d: cl.gold_build(*_raw(s, d), P),
+    "clean_step_audit": lambda s, d: cl.clean_step_audit(*_raw(s, d), P),
+    "gold_validation": lambda s, d: qa.validate(_gold(s, d), P),
 }
 
 ORACLE: dict[str, str] = {
@@ -80,4 +117,10 @@ ORACLE: dict[str, str] = {
     "era_heatmap": oracle.era_heatmap(P),
     "era_top_complaint": oracle.era_top_complaint(P),
     "era_summary_grid": oracle.era_summary_grid(P),
+    "dedup_first": oracle.dedup_first_lineitem(),
+    "dedup_cross_source": oracle.dedup_cross_source(P),
+    "silver_clean": oracle.silver_clean(P),
+    "gold_build": oracle.gold_build(P),
+    "clean_step_audit": oracle.clean_step_audit(P),
+    "gold_validation": oracle.gold_validation(P),
 }

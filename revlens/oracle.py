@@ -341,3 +341,159 @@ def era_summary_grid(p: Params = FIXTURE) -> str:
         cols.append(f"max(CASE WHEN era = {q(e)} THEN pct_of_negatives END) AS {c}_pct")
     return with_r(f""", {_top_sql(p).strip()}
 SELECT app, {', '.join(cols)} FROM TOPC GROUP BY app""", p, neg=True).replace("\n, ", ",\n", 1)
+
+
+# --------------------------------------------------------------------------
+# Cleaning pipeline (raw fixtures -> silver -> gold), dedup, validation
+# --------------------------------------------------------------------------
+
+def _strip(x: str) -> str:
+    from revlens.constants import STRIP_CLASS
+    pat = f"^{STRIP_CLASS}+|{STRIP_CLASS}+$"
+    return f"regexp_replace(coalesce({x}, ''), {q(pat)}, '', 'g')"
+
+
+def _parse_ts(x: str) -> str:
+    return (f"coalesce(try_strptime(trim({x}), '%Y-%m-%d %H:%M:%S'), "
+            f"try_strptime(trim({x}), '%Y-%m-%dT%H:%M:%S'), try_strptime(trim({x}), '%Y-%m-%d'))")
+
+
+LINE_ORDER_SQL = ("l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, "
+                  "l_tax, l_returnflag, l_linestatus, l_shipdate")
+
+
+def _raw_ctes(p: Params) -> str:
+    from revlens.sources.testdata import HIST_MANIFEST
+    app = "CASE o_orderstatus WHEN 'F' THEN 'AppF' WHEN 'O' THEN 'AppO' ELSE {o} END"
+    src = "CASE WHEN l_linestatus = 'F' THEN 'help' ELSE 'new' END"
+    frank = "CASE " + " ".join(
+        f"WHEN ({app.format(o=q('AppP'))}) = {q(a)} AND ({src}) = {q(s)} THEN {i}"
+        for i, (a, s) in enumerate(HIST_MANIFEST)) + " END"
+    reply = "CASE WHEN l_returnflag = 'R' THEN 'thanks' WHEN l_linestatus = 'O' THEN '  ' END"
+    ship = "strftime(l_shipdate, '%Y-%m-%d %H:%M:%S')"
+    lines = ("lineitem JOIN orders ON l_orderkey = o_orderkey "
+             "LEFT JOIN documents ON doc_id = o_orderkey")
+    apps = ", ".join(q(a) for a in p.apps)
+    return f"""
+RH AS (SELECT cast(o_orderkey AS VARCHAR) AS review_id, 'cust' || cast(o_custkey AS VARCHAR) AS user_name,
+              text AS review_text, l_linenumber AS rating, cast(l_quantity AS INTEGER) AS thumbs_up,
+              '1.' || cast(l_linenumber AS VARCHAR) AS app_version,
+              CASE WHEN l_quantity >= 49 THEN 'bad' ELSE {ship} END AS date_text,
+              {reply} AS reply_text, CASE WHEN ({reply}) IS NOT NULL THEN {ship} END AS reply_date_text,
+              {app.format(o=q('AppP'))} AS app, {src} AS data_source, {frank} AS _file, {LINE_ORDER_SQL}
+       FROM {lines} WHERE l_returnflag <> 'N'),
+H0 AS (SELECT review_id, user_name, {_strip('review_text')} AS review_text, rating, thumbs_up, app_version,
+              {_parse_ts('date_text')} AS date, reply_text, {_parse_ts('reply_date_text')} AS reply_date,
+              app, data_source, _file, {LINE_ORDER_SQL}
+       FROM RH),
+H2 AS (SELECT * FROM H0 WHERE length(review_text) >= {p.min_review_chars}),
+H3 AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY review_id
+         ORDER BY _file, {LINE_ORDER_SQL}) AS rn FROM H2) z WHERE rn = 1),
+H4 AS (SELECT * FROM H3 WHERE date IS NOT NULL AND rating BETWEEN 1 AND 5),
+RS AS (SELECT {app.format(o=q('AppX'))} AS app, cast(o_orderkey AS VARCHAR) AS review_id,
+              strftime(l_shipdate, '%Y-%m-%d') AS date_text, l_linenumber AS rating, text AS review_text,
+              cast(l_quantity AS INTEGER) AS thumbs_up, '1.' || cast(l_linenumber AS VARCHAR) AS app_version,
+              'fresh' AS data_source, 0 AS _file, {LINE_ORDER_SQL}
+       FROM {lines} WHERE l_returnflag = 'N'),
+S0 AS (SELECT app, review_id, {_parse_ts('date_text')} AS date, rating, {_strip('review_text')} AS review_text,
+              thumbs_up, app_version, data_source, cast(NULL AS VARCHAR) AS reply_text,
+              cast(NULL AS TIMESTAMP) AS reply_date, cast(NULL AS VARCHAR) AS user_name, _file, {LINE_ORDER_SQL}
+       FROM RS),
+S2 AS (SELECT * FROM S0 WHERE length(review_text) >= {p.min_review_chars}),
+S3 AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY review_id
+         ORDER BY _file, {LINE_ORDER_SQL}) AS rn FROM S2) z WHERE rn = 1),
+S4 AS (SELECT * FROM S3 WHERE app IN ({apps})),
+U AS (SELECT review_id, app, data_source, date, rating, review_text, thumbs_up, reply_text, reply_date,
+             user_name, app_version, 0 AS _src, _file, {LINE_ORDER_SQL} FROM H4
+      UNION ALL
+      SELECT review_id, app, data_source, date, rating, review_text, thumbs_up, reply_text, reply_date,
+             user_name, app_version, 1 AS _src, _file, {LINE_ORDER_SQL} FROM S4),
+G AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY review_id
+        ORDER BY _src, _file, {LINE_ORDER_SQL}) AS rn FROM U) z WHERE rn = 1)"""
+
+
+GOLD_SELECT = ("review_id, app, data_source, date, cast(year(date) AS INTEGER) AS year, "
+               "strftime(date, '%Y-%m') AS year_month, rating, review_text, thumbs_up, reply_text, "
+               "reply_date, user_name, app_version")
+
+
+def silver_clean(p: Params = FIXTURE) -> str:
+    return f"WITH {_raw_ctes(p).strip()}\nSELECT {GOLD_SELECT} FROM H4"
+
+
+def gold_build(p: Params = FIXTURE) -> str:
+    return f"WITH {_raw_ctes(p).strip()}\nSELECT {GOLD_SELECT} FROM G"
+
+
+def clean_step_audit(p: Params = FIXTURE) -> str:
+    return f"""WITH {_raw_ctes(p).strip()},
+C AS (SELECT 'historical' AS layer, 0 AS seq, 'bronze' AS step, count(*) AS rows_out FROM H0
+      UNION ALL SELECT 'historical', 1, 'length_filter', count(*) FROM H2
+      UNION ALL SELECT 'historical', 2, 'dedup', count(*) FROM H3
+      UNION ALL SELECT 'historical', 3, 'date_filter', count(*) FROM H3 WHERE date IS NOT NULL
+      UNION ALL SELECT 'historical', 4, 'rating_filter', count(*) FROM H4
+      UNION ALL SELECT 'scrape', 0, 'bronze', count(*) FROM S0
+      UNION ALL SELECT 'scrape', 1, 'length_filter', count(*) FROM S2
+      UNION ALL SELECT 'scrape', 2, 'dedup', count(*) FROM S3
+      UNION ALL SELECT 'scrape', 3, 'app_filter', count(*) FROM S4
+      UNION ALL SELECT 'gold', 0, 'union', count(*) FROM U
+      UNION ALL SELECT 'gold', 1, 'cross_source_dedup', count(*) FROM G)
+SELECT layer, cast(seq AS BIGINT) AS seq, step,
+       coalesce(lag(rows_out) OVER (PARTITION BY layer ORDER BY seq), rows_out) AS rows_in, rows_out,
+       coalesce(lag(rows_out) OVER (PARTITION BY layer ORDER BY seq), rows_out) - rows_out AS dropped
+FROM C"""
+
+
+def dedup_first_lineitem() -> str:
+    cols = ("l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, "
+            "l_tax, l_returnflag, l_linestatus, l_shipdate")
+    return f"""
+SELECT {cols} FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+     ORDER BY l_partkey NULLS FIRST, l_suppkey NULLS FIRST, l_quantity NULLS FIRST,
+              l_extendedprice NULLS FIRST, l_discount NULLS FIRST, l_tax NULLS FIRST,
+              l_returnflag NULLS FIRST, l_linestatus NULLS FIRST, l_shipdate NULLS FIRST) AS rn
+  FROM lineitem) z WHERE rn = 1"""
+
+
+def dedup_cross_source(p: Params = FIXTURE) -> str:
+    return f"""WITH {_raw_ctes(p).strip()},
+RU AS (SELECT review_id, app, data_source, rating, 0 AS source_priority, _file, {LINE_ORDER_SQL} FROM RH
+       UNION ALL
+       SELECT review_id, app, data_source, rating, 1, _file, {LINE_ORDER_SQL} FROM RS)
+SELECT review_id, app, data_source, rating, cast(source_priority AS BIGINT) AS source_priority FROM (
+  SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY source_priority, _file, {LINE_ORDER_SQL}) AS rn
+  FROM RU) z WHERE rn = 1"""
+
+
+def gold_validation(p: Params = FIXTURE) -> str:
+    lo, hi = p.valid_years
+    apps = list(p.apps)
+    s = lambda c: f"coalesce(cast({c} AS VARCHAR), 'NULL')"
+    app_counts = ", ".join(f"count(CASE WHEN app = {q(a)} THEN 1 END) AS app{i}" for i, a in enumerate(apps))
+    missing = "concat_ws(',', " + ", ".join(f"CASE WHEN app{i} = 0 THEN {q(a)} END"
+                                           for i, a in enumerate(apps)) + ")"
+    in_apps = ", ".join(q(a) for a in apps)
+    rows = [
+        ("No duplicate review_ids", "unique_ids = total",
+         f"{s('unique_ids')} || ' unique / ' || {s('total')} || ' total'"),
+        ("All ratings 1-5", "bad_ratings = 0", f"'Min=' || {s('min_rating')} || ' Max=' || {s('max_rating')}"),
+        ("No null dates", "null_dates = 0", f"'Null dates: ' || {s('null_dates')}"),
+        ("No null review_text", "null_texts = 0", f"'Null texts: ' || {s('null_texts')}"),
+        (f"Only {len(apps)} apps", f"foreign_apps = 0 AND {missing} = ''",
+         f"'Foreign rows: ' || {s('foreign_apps')} || ' Missing: ' || {missing}"),
+        (f"Year range {lo}-{hi}", "bad_years = 0", f"'Years: ' || {s('min_year')} || '-' || {s('max_year')}"),
+        (f"At least {p.min_gold_rows:,} rows", f"total >= {p.min_gold_rows}", f"'Total: ' || {s('total')}"),
+    ]
+    sel = "\nUNION ALL ".join(
+        f"SELECT cast({i + 1} AS BIGINT) AS seq, {q(n)} AS \"check\", ({c}) AS passed, ({o}) AS observed FROM A"
+        for i, (n, c, o) in enumerate(rows))
+    return with_r(f""", A AS (SELECT count(*) AS total, count(DISTINCT review_id) AS unique_ids,
+       count(CASE WHEN NOT coalesce(rating BETWEEN 1 AND 5, false) THEN 1 END) AS bad_ratings,
+       min(rating) AS min_rating, max(rating) AS max_rating,
+       count(CASE WHEN date IS NULL THEN 1 END) AS null_dates,
+       count(CASE WHEN review_text IS NULL THEN 1 END) AS null_texts,
+       count(CASE WHEN NOT coalesce(app IN ({in_apps}), false) THEN 1 END) AS foreign_apps, {app_counts},
+       count(CASE WHEN NOT coalesce(year BETWEEN {lo} AND {hi}, false) THEN 1 END) AS bad_years,
+       min(year) AS min_year, max(year) AS max_year FROM R)
+{sel}""")

@@ -120,3 +120,76 @@ def negatives(spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
     return (spark.read.parquet(path)
             .select("review_id", "app", "data_source", F.col("year").cast("int").alias("year"),
                     "year_month", "complaint_category"))
+
+
+# --------------------------------------------------------------------------
+# Raw landing files for the cleaning pipeline
+# --------------------------------------------------------------------------
+# One raw review per line item: the order key is the review id, so ids
+# repeat naturally (several lines per order) and the two sources overlap
+# (lines of one order are split between them by return flag).  Dirt comes
+# from the data's own values: ratings are line numbers 1-7 (6 and 7 are out
+# of range), large quantities carry an unparsable date, and orders without
+# a document have no text.  Input order is (file, line) as in a CSV export:
+# ``_file`` is the position in the manifest, ``_pos`` the in-file order.
+
+HIST_MANIFEST = (("AppF", "help"), ("AppF", "new"), ("AppO", "help"), ("AppO", "new"),
+                 ("AppP", "help"), ("AppP", "new"))
+LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+              "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+def _raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return (li.join(o, li["l_orderkey"] == o["o_orderkey"])
+              .join(d, o["o_orderkey"] == d["doc_id"], "left"))
+
+
+def _app(status: str = "o_orderstatus", other: str = "AppP"):
+    s = F.col(status)
+    return F.when(s == "F", "AppF").when(s == "O", "AppO").otherwise(other)
+
+
+def raw_historical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Historical export rows (6 files: app x {help, new})."""
+    j = _raw_lines(spark, sf_dir).where(F.col("l_returnflag") != "N")
+    src = F.when(F.col("l_linestatus") == "F", "help").otherwise("new")
+    app = _app()
+    file_rank = F.lit(None).cast("int")
+    for i, (a, s) in enumerate(HIST_MANIFEST):
+        file_rank = F.when((app == a) & (src == s), i).otherwise(file_rank)
+    ship = F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")
+    reply = (F.when(F.col("l_returnflag") == "R", "thanks")
+              .when(F.col("l_linestatus") == "O", "  "))
+    return j.select(
+        F.col("o_orderkey").cast("string").alias("reviewId"),
+        F.concat(F.lit("cust"), F.col("o_custkey").cast("string")).alias("userName"),
+        F.concat(F.lit("img/"), F.col("o_custkey").cast("string")).alias("userImage"),
+        F.col("text").alias("content"),
+        F.col("l_linenumber").alias("score"),
+        F.col("l_quantity").cast("int").alias("thumbsUpCount"),
+        F.concat(F.lit("1."), F.col("l_linenumber").cast("string")).alias("reviewCreatedVersion"),
+        F.when(F.col("l_quantity") >= 49, "bad").otherwise(ship).alias("at"),
+        reply.alias("replyContent"),
+        F.when(reply.isNotNull(), ship).alias("repliedAt"),
+        app.alias("app"), src.alias("data_source"),
+        file_rank.alias("_file"), F.struct(*LINE_ORDER).alias("_pos"),
+    )
+
+
+def raw_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fresh-scrape rows (one file; a fourth app outside the allow-list)."""
+    j = _raw_lines(spark, sf_dir).where(F.col("l_returnflag") == "N")
+    return j.select(
+        _app(other="AppX").alias("app"),
+        F.col("o_orderkey").cast("string").alias("review_id"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"),
+        F.col("l_linenumber").alias("rating"),
+        F.col("text").alias("review_text"),
+        F.col("l_quantity").cast("int").alias("thumbs_up"),
+        F.concat(F.lit("1."), F.col("l_linenumber").cast("string")).alias("app_version"),
+        F.lit("fresh").alias("data_source"),
+        F.lit(0).alias("_file"), F.struct(*LINE_ORDER).alias("_pos"),
+    )
