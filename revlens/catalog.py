@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from revlens import oracle
 from revlens.operators.dedup import dedup_first, union_all
 from revlens.plans import cleaning as cl
+from revlens.plans import landing as ld
 from revlens.plans import quality as qa
 from revlens.params import FIXTURE, REFERENCE
 from revlens.plans import reports as rp
@@ -58,6 +59,46 @@ def q_dedup_cross_source(spark: SparkSession, sf: str) -> DataFrame:
             .select("review_id", "app", "data_source", "rating", "source_priority"))
 
 
+# newest-N landing over the gold reviews: cutoff and cap per the scraper
+SCRAPE_CUTOFF = "2000-01-01 00:00:00"
+SCRAPE_CAP = 1000
+FEED_CAP = 20
+TOP_SOURCES = 10
+
+
+def q_newest_n(spark: SparkSession, sf: str) -> DataFrame:
+    g = _gold(spark, sf).select(*ld.SCRAPE_COLUMNS)
+    return ld.scrape_landing(g, SCRAPE_CUTOFF, SCRAPE_CAP)
+
+
+def q_feed_clean(spark: SparkSession, sf: str) -> DataFrame:
+    apply_runtime_conf(spark)
+    return ld.feed_landing(td.feed_items(spark, sf), td.FEED_CUTOFF, FEED_CAP)
+
+
+def q_rfc822(spark: SparkSession, sf: str) -> DataFrame:
+    from revlens.functions.dates import parse_rfc822
+    apply_runtime_conf(spark)
+    it = td.feed_items(spark, sf)
+    return it.select(F.col("position").alias("event_id"), F.col("pubDate").alias("pub_date"),
+                     parse_rfc822("pubDate").alias("parsed_at"))
+
+
+def q_dedup_feed(spark: SparkSession, sf: str) -> DataFrame:
+    apply_runtime_conf(spark)
+    return ld.feed_dedup(td.feed_items(spark, sf)).select("query", "position", "url", "source")
+
+
+def q_xml_feed(spark: SparkSession, sf: str) -> DataFrame:
+    apply_runtime_conf(spark)
+    return ld.feed_landing(td.feed_xml_items(spark, sf), td.FEED_CUTOFF, FEED_CAP)
+
+
+def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    apply_runtime_conf(spark)
+    return td.gold_csv_roundtrip(spark, sf)
+
+
 def _raw(spark: SparkSession, sf: str):
     apply_runtime_conf(spark)
     return td.raw_historical(spark, sf), td.raw_scrape(spark, sf)
@@ -93,6 +134,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gold_build": lambda s, d: cl.gold_build(*_raw(s, d), P),
     "clean_step_audit": lambda s, d: cl.clean_step_audit(*_raw(s, d), P),
     "gold_validation": lambda s, d: qa.validate(_gold(s, d), P),
+    "newest_n_per_app": q_newest_n,
+    "landing_summary": lambda s, d: ld.landing_summary(q_newest_n(s, d)),
+    "feed_clean": q_feed_clean,
+    "feed_top_sources": lambda s, d: ld.top_sources(q_feed_clean(s, d), TOP_SOURCES),
+    "dedup_feed": q_dedup_feed,
+    "rfc822_parse": q_rfc822,
+    "csv_roundtrip": q_csv_roundtrip,
+    "xml_feed": q_xml_feed,
 }
 
 ORACLE: dict[str, str] = {
@@ -123,4 +172,12 @@ ORACLE: dict[str, str] = {
     "gold_build": oracle.gold_build(P),
     "clean_step_audit": oracle.clean_step_audit(P),
     "gold_validation": oracle.gold_validation(P),
+    "newest_n_per_app": oracle.newest_n_per_app(SCRAPE_CUTOFF, SCRAPE_CAP),
+    "landing_summary": oracle.landing_summary(SCRAPE_CUTOFF, SCRAPE_CAP),
+    "feed_clean": oracle.feed_clean(td.FEED_QUERIES, td.FEED_CUTOFF, FEED_CAP),
+    "feed_top_sources": oracle.feed_top_sources(td.FEED_QUERIES, td.FEED_CUTOFF, FEED_CAP, TOP_SOURCES),
+    "dedup_feed": oracle.dedup_feed(td.FEED_QUERIES),
+    "rfc822_parse": oracle.rfc822_parse(td.FEED_QUERIES),
+    "csv_roundtrip": oracle.csv_roundtrip(),
+    "xml_feed": oracle.feed_clean(td.FEED_QUERIES, td.FEED_CUTOFF, FEED_CAP),
 }

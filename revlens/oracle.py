@@ -497,3 +497,84 @@ def gold_validation(p: Params = FIXTURE) -> str:
        count(CASE WHEN NOT coalesce(year BETWEEN {lo} AND {hi}, false) THEN 1 END) AS bad_years,
        min(year) AS min_year, max(year) AS max_year FROM R)
 {sel}""")
+
+
+# --------------------------------------------------------------------------
+# Landing jobs, feed, file round trips
+# --------------------------------------------------------------------------
+
+def newest_n_per_app(cutoff: str, cap: int) -> str:
+    return with_r(f""",
+C AS (SELECT *, row_number() OVER (PARTITION BY app ORDER BY date DESC, review_id) AS rk
+      FROM R WHERE date >= TIMESTAMP '{cutoff}'),
+K AS (SELECT app, review_id, date, rating, {_strip('review_text')} AS review_text, thumbs_up, app_version, rk
+      FROM C WHERE rk <= {cap}),
+L AS (SELECT * FROM K WHERE review_text <> ''),
+D AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY app, rk) AS rn
+      FROM L) z WHERE rn = 1)
+SELECT app, review_id, coalesce(strftime(date, '%Y-%m-%d'), '') AS date, rating, review_text, thumbs_up,
+       coalesce(app_version, '') AS app_version FROM D""").replace("\n,\n", ",\n", 1)
+
+
+def landing_summary(cutoff: str, cap: int) -> str:
+    inner = newest_n_per_app(cutoff, cap)
+    return f"""SELECT app, count(rating) AS count, {avg('sum(rating)', 'count(rating)')} AS average_rating
+FROM ({inner}) n GROUP BY app"""
+
+
+def _feed_ev(queries) -> str:
+    idx = " ".join(f"WHEN {q(x)} THEN {i}" for i, x in enumerate(queries))
+    body = "'%a, %d %b %Y %H:%M:%S'"
+    return f"""
+EV AS (SELECT event_type AS query, CASE event_type {idx} END AS query_idx, event_id AS position,
+              props AS title, 'https://news.example/u' || cast(user_id AS VARCHAR) AS link,
+              's' || cast(user_id % 12 AS VARCHAR) AS source,
+              CASE WHEN value < 1 THEN NULL WHEN value < 2 THEN 'not a date'
+                   WHEN user_id % 2 = 0 THEN strftime(ts, {body}) || ' GMT'
+                   ELSE strftime(ts + INTERVAL 330 MINUTE, {body}) || ' +0530' END AS pubDate
+       FROM events WHERE event_type IN ({', '.join(q(x) for x in queries)}))"""
+
+
+def rfc822_sql(x: str) -> str:
+    s = f"regexp_replace(trim(coalesce({x}, '')), '^[A-Za-z]{{3}},\\s*', '')"
+    zoned = (f"CASE WHEN regexp_matches({s}, ' [+-][0-9]{{4}}$') THEN "
+             f"try_strptime(left({s}, length({s}) - 6), '%d %b %Y %H:%M:%S') - to_minutes("
+             f"(CASE WHEN substr({s}, length({s}) - 4, 1) = '-' THEN -1 ELSE 1 END) * "
+             f"(cast(substr({s}, length({s}) - 3, 2) AS INTEGER) * 60 + cast(substr({s}, length({s}) - 1, 2) AS INTEGER))) END")
+    return f"coalesce({zoned}, try_strptime({s}, '%d %b %Y %H:%M:%S GMT'))"
+
+
+def rfc822_parse(queries) -> str:
+    return f"""WITH {_feed_ev(queries).strip()}
+SELECT position AS event_id, pubDate AS pub_date, {rfc822_sql('pubDate')} AS parsed_at FROM EV"""
+
+
+def feed_clean(queries, cutoff: str, cap: int) -> str:
+    return f"""WITH {_feed_ev(queries).strip()},
+CAP AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY position) AS rn FROM EV) z
+        WHERE rn <= {cap}),
+DT AS (SELECT query, query_idx, coalesce(title, '') AS title, coalesce(link, '') AS url,
+              coalesce(source, '') AS source, {rfc822_sql('pubDate')} AS pub_ts FROM CAP),
+KEPT AS (SELECT * FROM DT WHERE pub_ts IS NULL OR pub_ts >= TIMESTAMP '{cutoff}'),
+FQ AS (SELECT url AS u, min(query_idx) AS m FROM KEPT GROUP BY url)
+SELECT query, coalesce(strftime(pub_ts, '%Y-%m-%d'), '') AS date, title, source, url
+FROM KEPT JOIN FQ ON url = u AND query_idx = m"""
+
+
+def feed_top_sources(queries, cutoff: str, cap: int, n: int) -> str:
+    return f"""SELECT source, count(*) AS count FROM ({feed_clean(queries, cutoff, cap)}) f
+GROUP BY source ORDER BY count DESC, source LIMIT {n}"""
+
+
+def dedup_feed(queries) -> str:
+    return f"""WITH {_feed_ev(queries).strip()},
+FQ AS (SELECT link AS u, min(query_idx) AS m FROM EV GROUP BY link)
+SELECT query, position, link AS url, source FROM EV JOIN FQ ON link = u AND query_idx = m"""
+
+
+def csv_roundtrip() -> str:
+    strs = {"review_id", "app", "data_source", "year_month", "review_text", "reply_text", "user_name",
+            "app_version"}
+    from revlens.schema import GOLD_COLUMNS
+    cols = ", ".join(f"nullif({c}, '') AS {c}" if c in strs else c for c in GOLD_COLUMNS)
+    return with_r(f"\nSELECT {cols} FROM R")

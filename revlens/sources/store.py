@@ -66,24 +66,15 @@ def fingerprint(spark: SparkSession, inputs: list[str], *extra) -> str:
     return h.hexdigest()[:20]
 
 
-def materialize(spark: SparkSession, df_builder, name: str, key: str,
-                partition_by: tuple[str, ...] = (), sort_within: tuple[str, ...] = ()) -> str:
-    """Write ``df_builder()`` once to ``<checkpoint>/revlens/<name>/<key>`` and
-    return the path.  Later calls with the same key reuse the table."""
+def materialize_with(spark: SparkSession, writer, name: str, key: str) -> str:
+    """Run ``writer(path)`` once for ``<checkpoint>/revlens/<name>/<key>`` and
+    return the path; later calls with the same key reuse the output."""
     root = f"{checkpoint_root(spark)}/revlens/{name}"
     final = f"{root}/{key}"
     if path_exists(spark, f"{final}/_SUCCESS"):
         return final
     tmp = f"{root}/_tmp-{key}-{uuid.uuid4().hex[:8]}"
-    df: DataFrame = df_builder()
-    if sort_within:
-        # rows of one partition value land in few, well-clustered files;
-        # no shuffle, so a hot partition value is not sent to one task
-        df = df.sortWithinPartitions(*sort_within)
-    w = df.write.mode("overwrite").option("compression", "zstd")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(tmp)
+    writer(tmp)
     fs, src = _fs(spark, tmp)
     _, dst = _fs(spark, final)
     # (a directory rename onto an existing directory would nest it, so check)
@@ -93,6 +84,22 @@ def materialize(spark: SparkSession, df_builder, name: str, key: str,
     return final
 
 
+def materialize(spark: SparkSession, df_builder, name: str, key: str,
+                partition_by: tuple[str, ...] = (), sort_within: tuple[str, ...] = ()) -> str:
+    """Write ``df_builder()`` once as Parquet (zstd) and return the path."""
+    def write(path: str) -> None:
+        df: DataFrame = df_builder()
+        if sort_within:
+            # rows of one partition value land in few, well-clustered files;
+            # no shuffle, so a hot partition value is not sent to one task
+            df = df.sortWithinPartitions(*sort_within)
+        w = df.write.mode("overwrite").option("compression", "zstd")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(path)
+    return materialize_with(spark, write, name, key)
+
+
 def local_scratch(prefix: str = "revlens-") -> str:
     """A fresh scratch folder for tests and CLI demos (never used for data the
     cluster has to share)."""

@@ -193,3 +193,60 @@ def raw_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("fresh").alias("data_source"),
         F.lit(0).alias("_file"), F.struct(*LINE_ORDER).alias("_pos"),
     )
+
+
+# --------------------------------------------------------------------------
+# News feed items from events
+# --------------------------------------------------------------------------
+# query = event type (the query list is a parameter, alphabetical here),
+# feed order = event id, link = per-user URL (users repeat, so URLs repeat
+# within and across queries), source = one of 12 outlets, title = props.
+# pubDate is RFC-822 text: GMT or +0530 spelling, junk or missing for small
+# values, so both date spellings, unparsable and absent dates occur.
+
+FEED_QUERIES = ("click", "error", "purchase", "signup", "view")
+FEED_CUTOFF = "2024-01-01 00:30:00"
+RFC_BODY = "EEE, dd MMM yyyy HH:mm:ss"
+
+
+def pub_date_text(ts: str = "ts", value: str = "value", user: str = "user_id"):
+    t, v = F.col(ts), F.col(value)
+    ist = F.concat(F.date_format(t + F.expr("INTERVAL 5 HOURS 30 MINUTES"), RFC_BODY), F.lit(" +0530"))
+    gmt = F.concat(F.date_format(t, RFC_BODY), F.lit(" GMT"))
+    return (F.when(v < 1, F.lit(None).cast("string"))
+             .when(v < 2, F.lit("not a date"))
+             .when(F.col(user) % 2 == 0, gmt).otherwise(ist))
+
+
+def feed_items(spark: SparkSession, sf_dir: str, queries=FEED_QUERIES) -> DataFrame:
+    """Feed items: query, query_idx, position, title, link, source, pubDate."""
+    ev = table(spark, sf_dir, "events")
+    idx = F.create_map(*[F.lit(x) for i, qn in enumerate(queries) for x in (qn, i)])
+    return (ev.where(F.col("event_type").isin(*queries))
+              .select(F.col("event_type").alias("query"),
+                      idx[F.col("event_type")].cast("int").alias("query_idx"),
+                      F.col("event_id").alias("position"),
+                      F.col("props").alias("title"),
+                      F.concat(F.lit("https://news.example/u"), F.col("user_id").cast("string")).alias("link"),
+                      F.concat(F.lit("s"), (F.col("user_id") % 12).cast("string")).alias("source"),
+                      pub_date_text().alias("pubDate")))
+
+
+def gold_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold exported as CSV (A5) once per snapshot, then re-read typed (A4)."""
+    from revlens.sources import files
+    gpath = gold_path(spark, sf_dir)
+    key = store.fingerprint(spark, [gpath], "csv-v1")
+    path = store.materialize_with(
+        spark, lambda p: files.write_gold_csv(spark.read.schema(GOLD).parquet(gpath), p), "gold_csv", key)
+    return files.read_gold(spark, path)
+
+
+def feed_xml_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed items written as RSS XML once per snapshot and read back (A3)."""
+    from revlens.sources import files
+    key = store.fingerprint(spark, _inputs(sf_dir, ("events",)), "xml-v1", FEED_QUERIES)
+    path = store.materialize_with(
+        spark, lambda p: files.write_feed_xml(feed_items(spark, sf_dir), p), "feed_xml", key)
+    idx = F.create_map(*[F.lit(x) for i, qn in enumerate(FEED_QUERIES) for x in (qn, i)])
+    return files.read_feed_xml(spark, path).withColumn("query_idx", idx[F.col("query")].cast("int"))
