@@ -99,6 +99,17 @@ def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return td.gold_csv_roundtrip(spark, sf)
 
 
+def _suite(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return rp.suite(_gold(spark, sf), _neg(spark, sf), P)
+
+
+def q_suite_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    from revlens.plans.export import suite_manifest
+    reports = _suite(spark, sf)
+    out = td.suite_dir(spark, sf, P, lambda: reports)
+    return suite_manifest(spark, out, reports)
+
+
 def _raw(spark: SparkSession, sf: str):
     apply_runtime_conf(spark)
     return td.raw_historical(spark, sf), td.raw_scrape(spark, sf)
@@ -142,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rfc822_parse": q_rfc822,
     "csv_roundtrip": q_csv_roundtrip,
     "xml_feed": q_xml_feed,
+    "suite_manifest": q_suite_manifest,
 }
 
 ORACLE: dict[str, str] = {
@@ -180,4 +192,15 @@ ORACLE: dict[str, str] = {
     "rfc822_parse": oracle.rfc822_parse(td.FEED_QUERIES),
     "csv_roundtrip": oracle.csv_roundtrip(),
     "xml_feed": oracle.feed_clean(td.FEED_QUERIES, td.FEED_CUTOFF, FEED_CAP),
+    "suite_manifest": oracle.suite_manifest([
+        ("q1_ratings_overview_result1", oracle.ratings_overview(P)),
+        ("q2_ratings_trend_result1", oracle.rating_trend_yearly(P)),
+        ("q3_complaint_categories_result1", oracle.complaint_categories(P)),
+        ("q4_paytm_deepdive_result1", oracle.monthly_deepdive(P)),
+        ("q5_response_analysis_result1", oracle.response_summary(P)),
+        ("q5_response_analysis_result2", oracle.response_by_year(P)),
+        ("q6_era_comparison_result1", oracle.era_sentiment(P)),
+        ("q6_era_comparison_result2", oracle.era_complaints(P)),
+        ("q6_era_comparison_result3", oracle.era_top_complaint(P)),
+    ]),
 }

@@ -80,8 +80,13 @@ SCRAPE_CAP_PER_APP = 1000        # newest reviews kept per app by the scraper
 FEED_CAP_PER_QUERY = 20          # feed items kept per query
 FEED_TOP_SOURCES = 10
 
-# --- FIXED VALUES: whitespace removed by the text strip (the characters for
-# --- which Python's str.isspace() is true), written as one regex class -------
+# --- FIXED VALUES: whitespace removed by the text strip: the characters for
+# --- which Python's str.isspace() is true, as a plain set and as a regex class
+STRIP_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 STRIP_CLASS = (
     r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"

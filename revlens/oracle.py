@@ -578,3 +578,9 @@ def csv_roundtrip() -> str:
     from revlens.schema import GOLD_COLUMNS
     cols = ", ".join(f"nullif({c}, '') AS {c}" if c in strs else c for c in GOLD_COLUMNS)
     return with_r(f"\nSELECT {cols} FROM R")
+
+
+def suite_manifest(named: list[tuple[str, str]]) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT {q(n)} AS report, count(*) AS rows, true AS present FROM ({sql}) s{i}"
+        for i, (n, sql) in enumerate(named))

@@ -20,9 +20,21 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.parquet.filterPushdown": "true",
 }
 
+# Joins broadcast a side only when its *measured* size (AQE runtime
+# statistics of a materialized shuffle) is under the cap; static estimates
+# (which count a string as 20 bytes) never trigger a broadcast.  Above the
+# cap the sort-merge join stays, with AQE splitting skewed partitions.
+JOIN_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.enabled": "true",
+}
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "revlens", extra: dict | None = None) -> SparkSession:
@@ -31,7 +43,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     b = SparkSession.builder.appName(app_name)
     if master or not os.environ.get("SPARK_MASTER"):
         b = b.master(master or "local[*]")
-    conf = dict(DEFAULTS)
+    conf = {**DEFAULTS, **JOIN_CONF}
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -46,3 +58,5 @@ def apply_runtime_conf(spark: SparkSession) -> None:
     """Settings that can be changed on an existing session (the driver hands
     us its own session, so reports set what they depend on here)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for k, v in JOIN_CONF.items():
+        spark.conf.set(k, v)

@@ -250,3 +250,12 @@ def feed_xml_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, lambda p: files.write_feed_xml(feed_items(spark, sf_dir), p), "feed_xml", key)
     idx = F.create_map(*[F.lit(x) for i, qn in enumerate(FEED_QUERIES) for x in (qn, i)])
     return files.read_feed_xml(spark, path).withColumn("query_idx", idx[F.col("query")].cast("int"))
+
+
+def suite_dir(spark: SparkSession, sf_dir: str, params: Params, reports_builder) -> str:
+    """The nine report CSVs for this snapshot and parameter set (A6), written
+    once; ``reports_builder()`` returns the name -> DataFrame dict."""
+    from revlens.plans.export import run_suite
+    gpath = gold_path(spark, sf_dir)
+    key = store.fingerprint(spark, [gpath], "suite-v1", repr(params))
+    return store.materialize_with(spark, lambda p: run_suite(reports_builder(), p), "suite", key)
