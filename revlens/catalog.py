@@ -99,6 +99,11 @@ def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return td.gold_csv_roundtrip(spark, sf)
 
 
+def q_stream_landing(spark: SparkSession, sf: str) -> DataFrame:
+    apply_runtime_conf(spark)
+    return td.gold_stream_landed(spark, sf)
+
+
 def _suite(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return rp.suite(_gold(spark, sf), _neg(spark, sf), P)
 
@@ -154,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_roundtrip": q_csv_roundtrip,
     "xml_feed": q_xml_feed,
     "suite_manifest": q_suite_manifest,
+    "stream_landing": q_stream_landing,
 }
 
 ORACLE: dict[str, str] = {
@@ -191,6 +197,7 @@ ORACLE: dict[str, str] = {
     "dedup_feed": oracle.dedup_feed(td.FEED_QUERIES),
     "rfc822_parse": oracle.rfc822_parse(td.FEED_QUERIES),
     "csv_roundtrip": oracle.csv_roundtrip(),
+    "stream_landing": oracle.csv_roundtrip(),
     "xml_feed": oracle.feed_clean(td.FEED_QUERIES, td.FEED_CUTOFF, FEED_CAP),
     "suite_manifest": oracle.suite_manifest([
         ("q1_ratings_overview_result1", oracle.ratings_overview(P)),

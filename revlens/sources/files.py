@@ -104,3 +104,20 @@ def read_feed_xml(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType(list(FEED_XML_ITEM.fields) + [T.StructField("query", T.StringType(), True)])
     return (spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
             .withColumnRenamed("guid", "position"))
+
+
+def write_landing_csv(df: DataFrame, path: str, order: list, bom: bool = True,
+                      mode: str = "overwrite") -> None:
+    """A10: a landed scrape / news table as one CSV: header (UTF-8 BOM in
+    front of it when ``bom``), rows in ``order``.  Landed tables are capped
+    by construction (N per app / per query), so one sorted file is right;
+    the sort is a range-partitioned sort and ``coalesce(1)`` keeps its
+    order."""
+    first = df.columns[0]
+    out = df.orderBy(*order)
+    if bom:
+        out = out.withColumnRenamed(first, "\ufeff" + first)
+    w = out.coalesce(1).write.mode(mode)
+    for k, v in _CSV_WRITE.items():
+        w = w.option(k, v)
+    w.csv(path)

@@ -66,6 +66,12 @@ def fingerprint(spark: SparkSession, inputs: list[str], *extra) -> str:
     return h.hexdigest()[:20]
 
 
+def mark_done(spark: SparkSession, path: str) -> None:
+    """Write the ``_SUCCESS`` marker for outputs not written by one job."""
+    fs, p = _fs(spark, f"{path}/_SUCCESS")
+    fs.create(p, True).close()
+
+
 def materialize_with(spark: SparkSession, writer, name: str, key: str) -> str:
     """Run ``writer(path)`` once for ``<checkpoint>/revlens/<name>/<key>`` and
     return the path; later calls with the same key reuse the output."""

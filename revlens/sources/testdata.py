@@ -232,14 +232,19 @@ def feed_items(spark: SparkSession, sf_dir: str, queries=FEED_QUERIES) -> DataFr
                       pub_date_text().alias("pubDate")))
 
 
-def gold_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold exported as CSV (A5) once per snapshot, then re-read typed (A4)."""
+def gold_csv_path(spark: SparkSession, sf_dir: str) -> str:
+    """Gold exported as CSV (A5) once per snapshot."""
     from revlens.sources import files
     gpath = gold_path(spark, sf_dir)
     key = store.fingerprint(spark, [gpath], "csv-v1")
-    path = store.materialize_with(
+    return store.materialize_with(
         spark, lambda p: files.write_gold_csv(spark.read.schema(GOLD).parquet(gpath), p), "gold_csv", key)
-    return files.read_gold(spark, path)
+
+
+def gold_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV export re-read typed (A4)."""
+    from revlens.sources import files
+    return files.read_gold(spark, gold_csv_path(spark, sf_dir))
 
 
 def feed_xml_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,3 +264,19 @@ def suite_dir(spark: SparkSession, sf_dir: str, params: Params, reports_builder)
     gpath = gold_path(spark, sf_dir)
     key = store.fingerprint(spark, [gpath], "suite-v1", repr(params))
     return store.materialize_with(spark, lambda p: run_suite(reports_builder(), p), "suite", key)
+
+
+def gold_stream_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gold CSV export (one file per task) landed again through the
+    incremental file stream into bronze Parquet."""
+    from revlens.streaming.landing import land_files, read_bronze
+    csv_path = gold_csv_path(spark, sf_dir)
+    key = store.fingerprint(spark, [csv_path], "stream-v1")
+    root = f"{store.checkpoint_root(spark)}/revlens/stream/{key}"
+
+    def write(path: str) -> None:
+        land_files(spark, csv_path, path, f"{root}-checkpoint", GOLD)
+        store.mark_done(spark, path)
+
+    path = store.materialize_with(spark, write, "stream", key)
+    return read_bronze(spark, path, GOLD).select(*GOLD_COLUMNS)

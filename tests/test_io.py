@@ -46,3 +46,73 @@ def test_xml_items_explicit_schema(spark):
     rows = sorted(df.collect(), key=lambda r: r["link"])
     assert rows[0]["title"] == "T1" and rows[0]["source"] == "S"
     assert rows[1]["pubDate"] is None and rows[1]["source"] is None
+
+
+def test_read_reviews_manifest_tags_and_order(spark):
+    from revlens.schema import RAW_HISTORICAL
+    d = _tmp()
+    header = ",".join(RAW_HISTORICAL.fieldNames())
+    paths = []
+    for name, rows in [("f_help.csv", ['r1,u,i,"first, help",5,1,1.0,2024-01-01 10:00:00,,',
+                                       'r2,u,i,second,4,0,1.0,2024-01-02 10:00:00,thanks,2024-01-03 10:00:00']),
+                       ("f_new.csv", ['r1,u,i,dup in new,1,0,1.1,2024-02-01 10:00:00,,'])]:
+        p = os.path.join(d, name)
+        with open(p, "w") as f:
+            f.write(header + "\n" + "\n".join(rows) + "\n")
+        paths.append(p)
+    df = files.read_reviews(spark, [(paths[0], "AppF", "help"), (paths[1], "AppF", "new")])
+    from revlens.operators.dedup import dedup_first
+    first = dedup_first(df, ["reviewId"], ["_file", "_pos"]).orderBy("reviewId").collect()
+    assert [(r["reviewId"], r["data_source"], r["content"]) for r in first] == \
+        [("r1", "help", "first, help"), ("r2", "help", "second")]
+
+
+def test_landing_csv_has_bom_header_and_order(spark):
+    df = spark.createDataFrame([("AppO", "1", "2024-01-02"), ("AppF", "2", "2024-01-01"),
+                                ("AppF", "3", "2024-01-05")], "app string, review_id string, date string")
+    d = os.path.join(_tmp(), "landed")
+    files.write_landing_csv(df, d, [F.asc("app"), F.desc("date")])
+    part = [f for f in os.listdir(d) if f.startswith("part-") and f.endswith(".csv")][0]
+    raw = open(os.path.join(d, part), "rb").read()
+    assert raw.startswith(b"\xef\xbb\xbfapp,review_id,date\n")
+    assert raw.decode("utf-8-sig").splitlines()[1:] == ["AppF,3,2024-01-05", "AppF,2,2024-01-01",
+                                                        "AppO,1,2024-01-02"]
+    back = files.read_csv(spark, d, df.schema).collect()
+    assert back[0]["app"] == "AppF"
+
+
+def test_bi_export_relabels_and_skips_era_sentiment(spark):
+    from revlens.catalog import _suite
+    from revlens.params import FIXTURE
+    from revlens.plans.export import bi_tables, export_bi
+    from tests.conftest import SF_SMALL
+    reports = _suite(spark, SF_SMALL)
+    tables = bi_tables(reports, FIXTURE)
+    assert len(tables) == 8 and "q6_era_comparison_result1" not in str(tables.keys())
+    cats = {r[0] for r in tables["tableau_complaints.csv"].select("complaint_category").collect()}
+    assert "Other" not in cats and "General Dissatisfaction" in cats
+    d = _tmp()
+    export_bi(reports, FIXTURE, d)
+    assert sorted(os.listdir(d)) == sorted(tables)
+
+
+def test_stream_landing_is_incremental_and_exactly_once(spark):
+    from revlens.streaming.landing import land_files, read_bronze
+    d = _tmp()
+    src, bronze, ckpt = (os.path.join(d, x) for x in ("in", "bronze", "ckpt"))
+    os.makedirs(src)
+    schema = RAW_SCRAPE
+    header = ",".join(schema.fieldNames())
+
+    def drop(name, rows):
+        with open(os.path.join(src, name), "w") as f:
+            f.write(header + "\n" + "\n".join(rows) + "\n")
+
+    drop("a.csv", ["AppF,1,2024-01-01,5,good app,1,1.0", "AppF,2,2024-01-02,1,bad app,0,1.0"])
+    land_files(spark, src, bronze, ckpt, schema, tags={"a.csv": ("AppF", "fresh"), "b.csv": ("AppO", "fresh")})
+    assert read_bronze(spark, bronze, schema).count() == 2
+    drop("b.csv", ["AppO,3,2024-01-03,3,\"multi\nline\",2,1.1"])
+    land_files(spark, src, bronze, ckpt, schema, tags={"a.csv": ("AppF", "fresh"), "b.csv": ("AppO", "fresh")})
+    rows = read_bronze(spark, bronze, schema).orderBy("review_id").collect()
+    assert [r["review_id"] for r in rows] == ["1", "2", "3"]
+    assert rows[2]["review_text"] == "multi\nline" and rows[2]["_source_file"] == "b.csv"
