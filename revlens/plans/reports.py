@@ -23,13 +23,18 @@ from pyspark.sql import functions as F
 from revlens.functions.classify import direction, era, era_display, is_negative, is_positive
 from revlens.functions.reply import days_to_reply, was_replied
 from revlens.functions.rounding import round_ratio, round_units, units_to_double
-from revlens.functions.text import contains_any, trimmed_length
+from revlens.functions.text import trimmed_length
 from revlens.operators.windows import previous, rank_within, running_total, share_of_partition
 from revlens.params import Params
 
 BIG = "DECIMAL(38,0)"
 
 
+def literal_alternation(patterns) -> str:
+    """Java regex matching any of the literal substrings."""
+    return "|".join("\\Q" + p + "\\E" for p in patterns)
+
+
 def slug(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
 
@@ -183,7 +188,9 @@ def word_frequency(gold: DataFrame, params: Params) -> DataFrame:
     t = F.lower("review_text")
     neg = gold.where(is_negative("rating", params)
                      & (trimmed_length("review_text") >= params.min_complaint_chars))
-    low = neg.select(t.alias("_t")).where(~contains_any(F.col("_t"), params.word_count_excluded))
+    # one quoted-literal alternation: the filter is pushed below the
+    # projection, and separate contains() tests would each re-lower the text
+    low = neg.select(t.alias("_t")).where(~F.col("_t").rlike(literal_alternation(params.word_count_excluded)))
     words = low.select(F.explode(F.split("_t", " ")).alias("word")).where(
         F.length("word") >= params.min_word_chars)
     return (words.groupBy("word").agg(F.count(F.lit(1)).alias("frequency"))
