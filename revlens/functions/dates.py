@@ -16,17 +16,19 @@ def _c(c) -> Column:
 
 
 def parse_ts(c, formats=TS_FORMATS) -> Column:
-    """First format that parses; NULL for junk (never raises under ANSI)."""
+    """First format that parses; NULL for junk (never raises under ANSI).
+    Wall-clock time without a zone (TIMESTAMP_NTZ)."""
     s = F.trim(_c(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]).cast("timestamp_ntz")
 
 
 def parse_rfc822(c) -> Column:
     """``Tue, 03 Jan 2023 10:00:00 +0530`` or ``... GMT`` -> UTC timestamp.
     The weekday prefix is dropped (the parser rejects pattern letter E)."""
     s = F.regexp_replace(F.trim(_c(c)), r"^[A-Za-z]{3},\s*", "")
+    # parsed as an instant, then kept as UTC wall-clock time (session tz UTC)
     return F.coalesce(F.try_to_timestamp(s, F.lit(RFC822_ZONED)),
-                      F.try_to_timestamp(s, F.lit(RFC822_GMT)))
+                      F.try_to_timestamp(s, F.lit(RFC822_GMT))).cast("timestamp_ntz")
 
 
 def fmt_day(c) -> Column:

@@ -32,7 +32,7 @@ def scrape_landing(fetched: DataFrame, cutoff: str, cap: int) -> DataFrame:
     *before* cleaning, then strip text, drop empty text, keep the first copy
     of each id, and format the day."""
     newest_first = [F.desc("date"), F.asc("review_id")]
-    recent = fetched.where(F.col("date") >= F.lit(cutoff).cast("timestamp"))
+    recent = fetched.where(F.col("date") >= F.lit(cutoff).cast("timestamp_ntz"))
     capped = top_n_per_group(recent, ["app"], newest_first, cap, rank_col="_rank")
     cleaned = (capped.withColumn("review_text", clean_text("review_text"))
                      .where(F.col("review_text") != ""))
@@ -72,7 +72,7 @@ def feed_landing(items: DataFrame, cutoff: str, cap: int) -> DataFrame:
     capped = top_n_per_group(items, ["query_idx"], [F.col("position")], cap)
     dated = feed_items_with_dates(capped)
     kept = dated.where(F.col("pub_ts").isNull()
-                       | (F.col("pub_ts") >= F.lit(cutoff).cast("timestamp")))
+                       | (F.col("pub_ts") >= F.lit(cutoff).cast("timestamp_ntz")))
     first = dedup_first_by_rank(kept.withColumnRenamed("link", "url"), "url", "query_idx")
     return (first.select("query", fmt_day("pub_ts").alias("date"), "title", "source", "url")
                  .orderBy(F.desc("date"), "query", "url"))

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-S, I, L, TS = T.StringType(), T.IntegerType(), T.LongType(), T.TimestampType()
+# Timestamps are wall-clock UTC without a zone (TIMESTAMP_NTZ), like the
+# source tables and the study's DATETIME columns.
+S, I, L, TS = T.StringType(), T.IntegerType(), T.LongType(), T.TimestampNTZType()
 
 
 def _struct(*fields) -> T.StructType:

@@ -20,7 +20,7 @@ from revlens.schema import FEED_ITEM, GOLD, GOLD_COLUMNS, RAW_HISTORICAL, RAW_SC
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 _CSV_READ = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
-             "mode": "PERMISSIVE", "timestampFormat": TS_FORMAT}
+             "mode": "PERMISSIVE", "timestampFormat": TS_FORMAT, "timestampNTZFormat": TS_FORMAT}
 _CSV_WRITE = {"header": "true", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "",
               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
               "timestampFormat": TS_FORMAT}
@@ -61,7 +61,7 @@ def write_gold_csv(gold: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Timestamps as ``yyyy-MM-dd HH:mm:ss``, NULL -> empty field,
     header, no index; whitespace inside values is kept (a blank reply must
     not turn into NULL)."""
-    cols = [fmt_ts(f.name).alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f.name)
+    cols = [fmt_ts(f.name).alias(f.name) if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) else F.col(f.name)
             for f in GOLD.fields]
     w = gold.select(*cols).write.mode(mode)
     for k, v in _CSV_WRITE.items():

@@ -27,7 +27,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
-_GOLD_VERSION = "gold-v1"
+_GOLD_VERSION = "gold-v2"
 _NEG_VERSION = "neg-v1"
 
 
@@ -72,7 +72,7 @@ def reviews_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(no_reply, F.lit(None).cast("string"))
          .when(rf == "R", "thanks").when(rf == "N", "  ").when(rf == "A", "noted")
          .alias("reply_text"),
-        F.when(no_reply, F.lit(None).cast("timestamp")).otherwise(F.col("rd")).alias("reply_date"),
+        F.when(no_reply, F.lit(None).cast("timestamp_ntz")).otherwise(F.col("rd")).alias("reply_date"),
         F.concat(F.lit("cust"), F.col("o_custkey").cast("string")).alias("user_name"),
         F.lit(None).cast("string").alias("app_version"),
     )
