@@ -75,4 +75,4 @@ def test_reports_combine_a_hot_app_map_side(spark, gold_df):
     assert written[0] <= MAPS * 8, written
     neg = classified_negatives(g, FIXTURE)
     p3 = rp.complaint_categories(neg).collect()
-    assert sum(r["complaint_count"] for r in p3) == neg.count() == 600
+    assert sum(r["complaint_count"] for r in p3) == neg.count() == 1200   # ratings 1 and 2
