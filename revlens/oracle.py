@@ -73,11 +73,14 @@ FROM R WHERE rating <= {p.negative_max_rating} AND length(trim(review_text)) >=
 """
 
 
-def with_r(body: str, p: Params = FIXTURE, neg: bool = False) -> str:
-    ctes = [f"R AS ({R_SQL})"]
+def with_r(body: str, p: Params = FIXTURE, neg: bool = False, ctes: str = "") -> str:
+    """``WITH R AS (view R) [, NEG AS (...)] [, more CTEs] body``."""
+    parts = [f"R AS ({R_SQL})"]
     if neg:
-        ctes.append(f"NEG AS ({neg_sql(p)})")
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+        parts.append(f"NEG AS ({neg_sql(p)})")
+    if ctes:
+        parts.append(ctes.strip())
+    return "WITH " + ",\n".join(parts) + "\n" + body
 
 
 def import_check() -> str:
@@ -113,26 +116,26 @@ T AS (SELECT app, cast(year AS BIGINT) AS year, review_count,
 
 def rating_trend_yearly(p: Params = FIXTURE) -> str:
     e = p.direction_epsilon
-    return with_r(f""", {_trend_sql(p).strip()}
+    return with_r(f"""
 SELECT *, CASE WHEN prev_year_rating IS NULL THEN 'BASELINE'
                WHEN avg_rating > prev_year_rating + {e} THEN 'IMPROVED'
                WHEN avg_rating < prev_year_rating - {e} THEN 'DECLINED'
                ELSE 'STABLE' END AS direction
-FROM T""").replace("\n, ", ",\n", 1)
+FROM T""", ctes=_trend_sql(p))
 
 
 def worst_year(p: Params = FIXTURE) -> str:
-    return with_r(f""", {_trend_sql(p).strip()}
+    return with_r(f"""
 SELECT app, year AS worst_year, avg_rating AS worst_avg_rating FROM (
   SELECT *, row_number() OVER (PARTITION BY app ORDER BY avg_rating, year) AS rn
-  FROM T WHERE avg_rating IS NOT NULL) z WHERE rn = 1""").replace("\n, ", ",\n", 1)
+  FROM T WHERE avg_rating IS NOT NULL) z WHERE rn = 1""", ctes=_trend_sql(p))
 
 
 def last_rating_per_app(p: Params = FIXTURE) -> str:
-    return with_r(f""", {_trend_sql(p).strip()}
+    return with_r(f"""
 SELECT app, year AS last_year, avg_rating AS last_avg_rating FROM (
   SELECT *, row_number() OVER (PARTITION BY app ORDER BY year DESC) AS rn FROM T) z
-WHERE rn = 1""").replace("\n, ", ",\n", 1)
+WHERE rn = 1""", ctes=_trend_sql(p))
 
 
 def source_bias_profile() -> str:
@@ -197,7 +200,7 @@ D AS (SELECT *, cast(sum(total_negative) OVER (PARTITION BY app ORDER BY year_mo
 
 
 def _with_deep(body: str, p: Params) -> str:
-    return with_r(f", {_deep_sql(p).strip()}\n{body}", p, neg=True).replace("\n, ", ",\n", 1)
+    return with_r("\n" + body, p, neg=True, ctes=_deep_sql(p))
 
 
 def monthly_deepdive(p: Params = FIXTURE) -> str:
@@ -310,11 +313,11 @@ TOPC AS (SELECT app, era, complaint_category AS top_complaint, complaint_count,
 
 
 def era_complaints(p: Params = FIXTURE) -> str:
-    return with_r(f", {_era_cmp_sql(p).strip()}\nSELECT * FROM E", p, neg=True).replace("\n, ", ",\n", 1)
+    return with_r("\nSELECT * FROM E", p, neg=True, ctes=_era_cmp_sql(p))
 
 
 def era_top_complaint(p: Params = FIXTURE) -> str:
-    return with_r(f", {_top_sql(p).strip()}\nSELECT * FROM TOPC", p, neg=True).replace("\n, ", ",\n", 1)
+    return with_r("\nSELECT * FROM TOPC", p, neg=True, ctes=_top_sql(p))
 
 
 def era_heatmap(p: Params = FIXTURE) -> str:
@@ -327,10 +330,10 @@ def era_heatmap(p: Params = FIXTURE) -> str:
             f"THEN pct_of_era_negatives END), 0.0) END AS {era_column(e, p)}")
     has = ", ".join(f"max(CASE WHEN era = {q(e)} THEN 1 END) OVER (PARTITION BY app) AS has_{era_column(e, p)}"
                     for e, _, _ in p.eras)
-    return with_r(f""", {_era_cmp_sql(p).strip()}
+    return with_r(f"""
 SELECT app, {cat} AS complaint_category, {', '.join(cols)}
 FROM (SELECT *, {has} FROM E) h
-GROUP BY app, {cat}""", p, neg=True).replace("\n, ", ",\n", 1)
+GROUP BY app, {cat}""", p, neg=True, ctes=_era_cmp_sql(p))
 
 
 def era_summary_grid(p: Params = FIXTURE) -> str:
@@ -339,8 +342,8 @@ def era_summary_grid(p: Params = FIXTURE) -> str:
         c = era_column(e, p)
         cols.append(f"min(CASE WHEN era = {q(e)} THEN top_complaint END) AS {c}_top")
         cols.append(f"max(CASE WHEN era = {q(e)} THEN pct_of_negatives END) AS {c}_pct")
-    return with_r(f""", {_top_sql(p).strip()}
-SELECT app, {', '.join(cols)} FROM TOPC GROUP BY app""", p, neg=True).replace("\n, ", ",\n", 1)
+    return with_r(f"""
+SELECT app, {', '.join(cols)} FROM TOPC GROUP BY app""", p, neg=True, ctes=_top_sql(p))
 
 
 # --------------------------------------------------------------------------
@@ -488,15 +491,14 @@ def gold_validation(p: Params = FIXTURE) -> str:
     sel = "\nUNION ALL ".join(
         f"SELECT cast({i + 1} AS BIGINT) AS seq, {q(n)} AS \"check\", ({c}) AS passed, ({o}) AS observed FROM A"
         for i, (n, c, o) in enumerate(rows))
-    return with_r(f""", A AS (SELECT count(*) AS total, count(DISTINCT review_id) AS unique_ids,
+    return with_r(sel, ctes=f"""A AS (SELECT count(*) AS total, count(DISTINCT review_id) AS unique_ids,
        count(CASE WHEN NOT coalesce(rating BETWEEN 1 AND 5, false) THEN 1 END) AS bad_ratings,
        min(rating) AS min_rating, max(rating) AS max_rating,
        count(CASE WHEN date IS NULL THEN 1 END) AS null_dates,
        count(CASE WHEN review_text IS NULL THEN 1 END) AS null_texts,
        count(CASE WHEN NOT coalesce(app IN ({in_apps}), false) THEN 1 END) AS foreign_apps, {app_counts},
        count(CASE WHEN NOT coalesce(year BETWEEN {lo} AND {hi}, false) THEN 1 END) AS bad_years,
-       min(year) AS min_year, max(year) AS max_year FROM R)
-{sel}""")
+       min(year) AS min_year, max(year) AS max_year FROM R)""")
 
 
 # --------------------------------------------------------------------------
@@ -504,16 +506,16 @@ def gold_validation(p: Params = FIXTURE) -> str:
 # --------------------------------------------------------------------------
 
 def newest_n_per_app(cutoff: str, cap: int) -> str:
-    return with_r(f""",
+    return with_r(f"""
+SELECT app, review_id, coalesce(strftime(date, '%Y-%m-%d'), '') AS date, rating, review_text, thumbs_up,
+       coalesce(app_version, '') AS app_version FROM D""", ctes=f"""
 C AS (SELECT *, row_number() OVER (PARTITION BY app ORDER BY date DESC, review_id) AS rk
       FROM R WHERE date >= TIMESTAMP '{cutoff}'),
 K AS (SELECT app, review_id, date, rating, {_strip('review_text')} AS review_text, thumbs_up, app_version, rk
       FROM C WHERE rk <= {cap}),
 L AS (SELECT * FROM K WHERE review_text <> ''),
 D AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY app, rk) AS rn
-      FROM L) z WHERE rn = 1)
-SELECT app, review_id, coalesce(strftime(date, '%Y-%m-%d'), '') AS date, rating, review_text, thumbs_up,
-       coalesce(app_version, '') AS app_version FROM D""").replace("\n,\n", ",\n", 1)
+      FROM L) z WHERE rn = 1)""")
 
 
 def landing_summary(cutoff: str, cap: int) -> str:

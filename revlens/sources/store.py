@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,10 +103,3 @@ def materialize(spark: SparkSession, df_builder, name: str, key: str,
             w = w.partitionBy(*partition_by)
         w.parquet(path)
     return materialize_with(spark, write, name, key)
-
-
-def local_scratch(prefix: str = "revlens-") -> str:
-    """A fresh scratch folder for tests and CLI demos (never used for data the
-    cluster has to share)."""
-    import tempfile
-    return tempfile.mkdtemp(prefix=prefix, dir=os.environ.get("TMPDIR", "/tmp"))

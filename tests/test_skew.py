@@ -27,7 +27,8 @@ def _skewed(spark):
 def _hash_exchange_records(df) -> list[int]:
     """shuffleRecordsWritten of every hash-partitioned exchange in the final
     (post-AQE) plan, in data-flow order (first exchange first)."""
-    df.write.format("noop").mode("overwrite").save()
+    qe = df._jdf.queryExecution()
+    qe.toRdd().count()   # run this DataFrame's own adaptive plan to completion
     seen = []
 
     def visit(node):
@@ -35,7 +36,7 @@ def _hash_exchange_records(df) -> list[int]:
         if cls == "AdaptiveSparkPlanExec":
             visit(node.executedPlan())
             return
-        if cls == "ShuffleQueryStageExec":
+        if cls.endswith("QueryStageExec"):   # Shuffle / Result / Broadcast stages wrap plans
             visit(node.plan())
             return
         it = node.children().iterator()
@@ -44,8 +45,10 @@ def _hash_exchange_records(df) -> list[int]:
         if cls == "ShuffleExchangeExec" and "hashpartitioning" in node.outputPartitioning().toString():
             seen.append(int(node.metrics().apply("shuffleRecordsWritten").value()))
 
-    visit(df._jdf.queryExecution().executedPlan())
-    assert seen, "no hash exchange found"
+    plan = qe.executedPlan()
+    assert "isFinalPlan=true" in plan.toString()
+    visit(plan)
+    assert seen and all(v > 0 for v in seen), seen
     return seen
 
 
