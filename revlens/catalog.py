@@ -115,6 +115,18 @@ def q_suite_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return suite_manifest(spark, out, reports)
 
 
+def q_bi_era_table(spark: SparkSession, sf: str) -> DataFrame:
+    from revlens.plans.export import bi_tables
+    return bi_tables(_suite(spark, sf), P)["tableau_era.csv"]
+
+
+def q_bi_export_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    from revlens.plans.export import bi_tables, export_bi, suite_manifest
+    reports = _suite(spark, sf)
+    out = td.export_dir(spark, sf, P, lambda p: export_bi(reports, P, p))
+    return suite_manifest(spark, out, bi_tables(reports, P), suffix="")
+
+
 def _raw(spark: SparkSession, sf: str):
     apply_runtime_conf(spark)
     return td.raw_historical(spark, sf), td.raw_scrape(spark, sf)
@@ -160,6 +172,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "xml_feed": q_xml_feed,
     "suite_manifest": q_suite_manifest,
     "stream_landing": q_stream_landing,
+    "silver_scrape": lambda s, d: cl.conform(cl.silver_scrape(_raw(s, d)[1], P), cl.GOLD),
+    "bi_era_table": q_bi_era_table,
+    "bi_export_manifest": q_bi_export_manifest,
 }
 
 ORACLE: dict[str, str] = {
@@ -198,6 +213,18 @@ ORACLE: dict[str, str] = {
     "rfc822_parse": oracle.rfc822_parse(td.FEED_QUERIES),
     "csv_roundtrip": oracle.csv_roundtrip(),
     "stream_landing": oracle.csv_roundtrip(),
+    "silver_scrape": oracle.silver_scrape(P),
+    "bi_era_table": oracle.bi_era_table(P),
+    "bi_export_manifest": oracle.suite_manifest([
+        ("tableau_ratings.csv", oracle.ratings_overview(P)),
+        ("tableau_trend.csv", oracle.rating_trend_yearly(P)),
+        ("tableau_complaints.csv", oracle.complaint_categories(P)),
+        ("tableau_monthly.csv", oracle.monthly_deepdive(P)),
+        ("tableau_response_a.csv", oracle.response_summary(P)),
+        ("tableau_response_b.csv", oracle.response_by_year(P)),
+        ("tableau_era.csv", oracle.era_complaints(P)),
+        ("tableau_summary.csv", oracle.era_top_complaint(P)),
+    ]),
     "xml_feed": oracle.feed_clean(td.FEED_QUERIES, td.FEED_CUTOFF, FEED_CAP),
     "suite_manifest": oracle.suite_manifest([
         ("q1_ratings_overview_result1", oracle.ratings_overview(P)),

@@ -586,3 +586,16 @@ def suite_manifest(named: list[tuple[str, str]]) -> str:
     return "\nUNION ALL\n".join(
         f"SELECT {q(n)} AS report, count(*) AS rows, true AS present FROM ({sql}) s{i}"
         for i, (n, sql) in enumerate(named))
+
+
+def silver_scrape(p: Params = FIXTURE) -> str:
+    return f"WITH {_raw_ctes(p).strip()}\nSELECT {GOLD_SELECT} FROM S4"
+
+
+def bi_era_table(p: Params = FIXTURE) -> str:
+    relabel = " ".join(f"WHEN complaint_category = {q(k)} THEN {q(v)}" for k, v in p.category_relabel.items())
+    labels = " ".join(f"WHEN era = {q(k)} THEN {q(v)}" for k, v in p.era_labels.items())
+    return with_r(f"""
+SELECT app, era, CASE {relabel} ELSE complaint_category END AS complaint_category, complaint_count,
+       pct_of_era_negatives, rank_in_era, CASE {labels} END AS era_label
+FROM E""", p, neg=True, ctes=_era_cmp_sql(p))

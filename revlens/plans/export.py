@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.params import Params
-from revlens.plans.reports import relabel
+from revlens.plans.reports import era_labels, relabel
 from revlens.sources import files
 from revlens.sources.store import path_exists
 
@@ -30,8 +30,10 @@ BI_EXPORTS = (
     ("tableau_era.csv", "q6_era_comparison_result2"),
     ("tableau_summary.csv", "q6_era_comparison_result3"),
 )
-# results whose fallback category is shown under its display name
+# results whose fallback category is shown under its display name, and
+# results that carry the era display label when exported
 RELABELLED = ("q3_complaint_categories_result1", "q6_era_comparison_result2")
+ERA_LABELLED = ("q6_era_comparison_result2", "q6_era_comparison_result3")
 
 
 def run_suite(reports: dict[str, DataFrame], out_dir: str) -> None:
@@ -47,6 +49,8 @@ def bi_tables(reports: dict[str, DataFrame], params: Params) -> dict[str, DataFr
         df = reports[src]
         if src in RELABELLED:
             df = relabel(df, "complaint_category", params.category_relabel)
+        if src in ERA_LABELLED:
+            df = era_labels(df, params)
         out[fname] = df
     return out
 
@@ -61,11 +65,12 @@ def read_reports(spark: SparkSession, out_dir: str, reports: dict[str, DataFrame
     return {n: files.read_report_csv(spark, f"{out_dir}/{n}.csv", df.schema) for n, df in reports.items()}
 
 
-def suite_manifest(spark: SparkSession, out_dir: str, reports: dict[str, DataFrame]) -> DataFrame:
+def suite_manifest(spark: SparkSession, out_dir: str, reports: dict[str, DataFrame],
+                   suffix: str = ".csv") -> DataFrame:
     """(report, rows, present) for every expected result file."""
     parts = []
     for name, df in reports.items():
-        path = f"{out_dir}/{name}.csv"
+        path = f"{out_dir}/{name}{suffix}"
         if path_exists(spark, path):
             n = files.read_report_csv(spark, path, df.schema).agg(F.count(F.lit(1)).alias("rows"))
             parts.append(n.select(F.lit(name).alias("report"), "rows", F.lit(True).alias("present")))

@@ -80,8 +80,12 @@ def materialize_with(spark: SparkSession, writer, name: str, key: str) -> str:
         return final
     tmp = f"{root}/_tmp-{key}-{uuid.uuid4().hex[:8]}"
     writer(tmp)
+    if not path_exists(spark, f"{tmp}/_SUCCESS"):
+        mark_done(spark, tmp)   # writers of several sub-folders (report suites)
     fs, src = _fs(spark, tmp)
     _, dst = _fs(spark, final)
+    if fs.exists(dst) and not path_exists(spark, f"{final}/_SUCCESS"):
+        fs.delete(dst, True)   # an unmarked leftover (older layout): replace it
     # (a directory rename onto an existing directory would nest it, so check)
     if fs.exists(dst) or not fs.rename(src, dst):
         # another builder won the race; theirs is complete, drop ours

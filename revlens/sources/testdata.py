@@ -276,7 +276,13 @@ def gold_stream_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def write(path: str) -> None:
         land_files(spark, csv_path, path, f"{root}-checkpoint", GOLD)
-        store.mark_done(spark, path)
 
     path = store.materialize_with(spark, write, "stream", key)
     return read_bronze(spark, path, GOLD).select(*GOLD_COLUMNS)
+
+
+def export_dir(spark: SparkSession, sf_dir: str, params: Params, writer) -> str:
+    """The BI export folder for this snapshot and parameter set."""
+    gpath = gold_path(spark, sf_dir)
+    key = store.fingerprint(spark, [gpath], "bi-v1", repr(params))
+    return store.materialize_with(spark, writer, "bi", key)
