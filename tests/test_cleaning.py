@@ -88,3 +88,22 @@ def test_validation_flags(spark, gold_df):
     import pytest
     with pytest.raises(ValidationError):
         require(validate(g, FIXTURE))
+
+
+def test_null_ids_form_one_group(spark):
+    h = _hist(spark, [
+        (None, "first null id", 3, "1999-01-01 00:00:00", "AppF", "help", 0, 1),
+        (None, "second null id", 4, "1999-01-01 00:00:00", "AppF", "help", 0, 2),
+    ])
+    out = cl.silver_historical(h, FIXTURE).collect()
+    assert [(r["review_id"], r["review_text"]) for r in out] == [(None, "first null id")]
+
+
+def test_complaint_text_minimum_is_ten_after_trim(spark, gold_df):
+    from revlens.sources.testdata import classified_negatives
+    g = gold_df([
+        {"review_id": "9", "app": "AppF", "rating": 1, "review_text": "  123456789  ", "date": "1999-01-01 00:00:00"},
+        {"review_id": "10", "app": "AppF", "rating": 1, "review_text": "1234567890", "date": "1999-01-01 00:00:00"},
+        {"review_id": "pos", "app": "AppF", "rating": 3, "review_text": "1234567890", "date": "1999-01-01 00:00:00"},
+    ])
+    assert [r["review_id"] for r in classified_negatives(g, FIXTURE).collect()] == ["10"]
