@@ -93,17 +93,43 @@ def materialize_with(spark: SparkSession, writer, name: str, key: str) -> str:
     return final
 
 
+# Durable tables are written from larger shuffle partitions than queries
+# use, so a year-partitioned write yields files of tens of MB, not a few MB.
+WRITE_CONF = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024)}
+
+
+class _conf:
+    """Temporarily set runtime SQL confs."""
+
+    def __init__(self, spark: SparkSession, conf: dict):
+        self.spark, self.conf, self.old = spark, conf, {}
+
+    def __enter__(self):
+        for k, v in self.conf.items():
+            self.old[k] = self.spark.conf.get(k, None)
+            self.spark.conf.set(k, v)
+
+    def __exit__(self, *exc):
+        for k, v in self.old.items():
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
+
+
 def materialize(spark: SparkSession, df_builder, name: str, key: str,
                 partition_by: tuple[str, ...] = (), sort_within: tuple[str, ...] = ()) -> str:
     """Write ``df_builder()`` once as Parquet (zstd) and return the path."""
     def write(path: str) -> None:
         df: DataFrame = df_builder()
         if sort_within:
-            # rows of one partition value land in few, well-clustered files;
-            # no shuffle, so a hot partition value is not sent to one task
+            # rows of one partition value land in few, well-clustered files
+            # with tight row-group statistics; no shuffle, so a hot
+            # partition value is not sent to one task
             df = df.sortWithinPartitions(*sort_within)
         w = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.parquet(path)
+        with _conf(spark, WRITE_CONF):
+            w.parquet(path)
     return materialize_with(spark, write, name, key)
