@@ -33,15 +33,18 @@ def read_csv(spark: SparkSession, paths, schema: T.StructType, **opts) -> DataFr
     return r.csv(paths)
 
 
-def read_reviews(spark: SparkSession, manifest: list[tuple[str, str, str]],
+def read_reviews(spark: SparkSession, manifest: list[tuple],
                  schema: T.StructType = RAW_HISTORICAL) -> DataFrame:
-    """A1: ``manifest`` = [(path, app, data_source), ...] in priority order.
-    Each file is tagged with its app, source and manifest position
-    (``_file``); ``_pos`` is the row's position in its file (ids rise within
-    a multiLine file, which is read by one task)."""
+    """A1: ``manifest`` = [(path, app, data_source[, schema]), ...] in
+    priority order.  Files may have different column sets: give such a file
+    its own schema (CSV columns are positional) and the frames are unioned
+    by name, missing columns NULL.  Each file is tagged with its app, source
+    and manifest position (``_file``); ``_pos`` is the row's position in its
+    file (ids rise within a multiLine file, which is read by one task)."""
     frames = []
-    for i, (path, app, source) in enumerate(manifest):
-        df = read_csv(spark, path, schema)
+    for i, entry in enumerate(manifest):
+        path, app, source = entry[:3]
+        df = read_csv(spark, path, entry[3] if len(entry) > 3 else schema)
         frames.append(df.withColumns({"app": F.lit(app), "data_source": F.lit(source),
                                       "_file": F.lit(i), "_pos": F.monotonically_increasing_id()}))
     out = frames[0]

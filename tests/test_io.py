@@ -116,3 +116,18 @@ def test_stream_landing_is_incremental_and_exactly_once(spark):
     rows = read_bronze(spark, bronze, schema).orderBy("review_id").collect()
     assert [r["review_id"] for r in rows] == ["1", "2", "3"]
     assert rows[2]["review_text"] == "multi\nline" and rows[2]["_source_file"] == "b.csv"
+
+
+def test_read_reviews_with_differing_column_sets(spark):
+    from pyspark.sql import types as T
+    from revlens.schema import RAW_HISTORICAL
+    d = _tmp()
+    a, b = os.path.join(d, "a.csv"), os.path.join(d, "b.csv")
+    with open(a, "w") as f:
+        f.write(",".join(RAW_HISTORICAL.fieldNames()) + "\nr1,u,i,text one,5,1,1.0,2024-01-01 10:00:00,,\n")
+    short = T.StructType([RAW_HISTORICAL[n] for n in ("reviewId", "content", "score", "at")])
+    with open(b, "w") as f:
+        f.write("reviewId,content,score,at\nr2,text two,4,2024-01-02 10:00:00\n")
+    df = files.read_reviews(spark, [(a, "AppF", "help"), (b, "AppF", "new", short)]).orderBy("reviewId").collect()
+    assert [(r["reviewId"], r["content"], r["userName"]) for r in df] == [("r1", "text one", "u"),
+                                                                          ("r2", "text two", None)]

@@ -81,3 +81,26 @@ def test_monthly_running_total_and_properties(spark):
     p3 = QUERIES["complaint_categories"](spark, SF_MID).collect()
     for app in {r["app"] for r in p3}:
         assert abs(sum(r["pct_of_app_negatives"] for r in p3 if r["app"] == app) - 100) < 0.5
+
+
+def test_dedup_is_idempotent(spark):
+    from revlens.catalog import LINEITEM_ORDER
+    from revlens.operators.dedup import dedup_first
+    from revlens.sources.testdata import table
+    from tests.conftest import SF_SMALL
+    li = table(spark, SF_SMALL, "lineitem")
+    once = dedup_first(li, ["l_orderkey", "l_linenumber"], LINEITEM_ORDER)
+    twice = dedup_first(once, ["l_orderkey", "l_linenumber"], LINEITEM_ORDER)
+    assert once.count() == twice.count() and once.exceptAll(twice).count() == 0
+
+
+def test_era_counts_sum_to_overall_counts_when_all_years_are_in_eras(spark):
+    from revlens.catalog import QUERIES
+    from tests.conftest import SF_MID
+    p3 = {(r["app"], r["complaint_category"]): r["complaint_count"]
+          for r in QUERIES["complaint_categories"](spark, SF_MID).collect()}
+    p9 = {}
+    for r in QUERIES["era_complaints"](spark, SF_MID).collect():
+        k = (r["app"], r["complaint_category"])
+        p9[k] = p9.get(k, 0) + r["complaint_count"]
+    assert p9 == p3
