@@ -79,3 +79,29 @@ def test_reports_combine_a_hot_app_map_side(spark, gold_df):
     neg = classified_negatives(g, FIXTURE)
     p3 = rp.complaint_categories(neg).collect()
     assert sum(r["complaint_count"] for r in p3) == neg.count() == 1200   # ratings 1 and 2
+
+
+def test_hot_url_is_split_by_aqe_in_the_feed_semi_join(spark):
+    from revlens.plans.landing import feed_dedup
+    items = (spark.range(N, numPartitions=MAPS).select(
+        F.lit("q").alias("query"), (F.col("id") % 3).cast("int").alias("query_idx"),
+        F.col("id").alias("position"), F.lit("t").alias("title"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot"))
+         .otherwise(F.concat(F.lit("u"), F.col("id").cast("string"))).alias("link"),
+        F.lit("s").alias("source"), F.lit(None).cast("string").alias("pubDate")))
+    # thresholds scaled down to the test's size (defaults: 256 MB, factor 5)
+    test_conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+                 "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+                 "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+                 "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in test_conf}
+    try:
+        for k, v in test_conf.items():
+            spark.conf.set(k, v)
+        out = feed_dedup(items)
+        qe = out._jdf.queryExecution()
+        assert qe.toRdd().count() == N        # every 'hot' row is in query 0, so all stay
+        assert "SortMergeJoin(skew=true)" in qe.executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
