@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from revlens.params import FIXTURE
 from revlens.plans import cleaning as cl
 from revlens.schema import RAW_HISTORICAL, RAW_SCRAPE

@@ -1,7 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from revlens.functions.dates import parse_rfc822
 from revlens.plans import landing as ld
 

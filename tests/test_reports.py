@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from revlens.functions.reply import days_to_reply, was_replied
 from revlens.params import FIXTURE
 from revlens.plans import reports as rp
