@@ -30,8 +30,10 @@ def _tagger(tags: dict[str, tuple[str, str]] | None):
 
 def land_files(spark: SparkSession, source_dir: str, bronze_dir: str, checkpoint_dir: str,
                schema: T.StructType, tags: dict[str, tuple[str, str]] | None = None,
-               max_files_per_trigger: int | None = None) -> None:
-    """Land every new CSV file under ``source_dir`` and return when done."""
+               max_files_per_trigger: int | None = 1000) -> None:
+    """Land every new CSV file under ``source_dir`` and return when done.
+    ``availableNow`` drains the backlog in batches of at most
+    ``max_files_per_trigger`` files, so a failed batch redoes little."""
     r = spark.readStream.schema(schema)
     for k, v in _CSV_READ.items():
         r = r.option(k, v)
