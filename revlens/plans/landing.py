@@ -21,7 +21,6 @@ from revlens.operators.dedup import dedup_first, dedup_first_by_rank
 from revlens.operators.windows import top_n_per_group
 
 SCRAPE_COLUMNS = ("app", "review_id", "date", "rating", "review_text", "thumbs_up", "app_version")
-NEWS_COLUMNS = ("query", "date", "title", "source", "url")
 
 
 def scrape_landing(fetched: DataFrame, cutoff: str, cap: int) -> DataFrame:
