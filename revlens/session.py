@@ -9,8 +9,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -38,11 +36,11 @@ JOIN_CONF = {
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "revlens", extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session.  ``master`` defaults to ``local[*]`` only
-    when no master is configured, so a cluster submit keeps its own."""
+    """Build (or reuse) a session.  A master is set only when given, so a
+    ``spark-submit`` keeps its own (plain ``python`` defaults to local)."""
     b = SparkSession.builder.appName(app_name)
-    if master or not os.environ.get("SPARK_MASTER"):
-        b = b.master(master or "local[*]")
+    if master:
+        b = b.master(master)
     conf = {**DEFAULTS, **JOIN_CONF}
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
