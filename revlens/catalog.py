@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens import oracle
+from revlens.operators.conform import conform, rename
 from revlens.operators.dedup import dedup_first, union_all
+from revlens.params import FIXTURE, REFERENCE
 from revlens.plans import cleaning as cl
 from revlens.plans import landing as ld
 from revlens.plans import quality as qa
-from revlens.params import FIXTURE, REFERENCE
 from revlens.plans import reports as rp
+from revlens.schema import GOLD, HISTORICAL_RENAME
 from revlens.session import apply_runtime_conf
 from revlens.sources import testdata as td
 
@@ -43,6 +45,7 @@ LINEITEM_ORDER = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_
 
 def q_dedup_first(spark: SparkSession, sf: str) -> DataFrame:
     """E1 on lineitem: first row per (l_orderkey, l_linenumber) by the other columns."""
+    apply_runtime_conf(spark)
     li = td.table(spark, sf, "lineitem")
     return dedup_first(li, ["l_orderkey", "l_linenumber"], LINEITEM_ORDER).select(*li.columns)
 
@@ -50,8 +53,9 @@ def q_dedup_first(spark: SparkSession, sf: str) -> DataFrame:
 def q_dedup_cross_source(spark: SparkSession, sf: str) -> DataFrame:
     """E2 + E4 on the raw landing rows: union both sources, keep the first
     copy of each id by (source priority, file, position)."""
+    apply_runtime_conf(spark)
     cols = ["review_id", "app", "data_source", "rating", "_file", "_pos"]
-    h = cl.rename(td.raw_historical(spark, sf), cl.HISTORICAL_RENAME).select(*cols)
+    h = rename(td.raw_historical(spark, sf), HISTORICAL_RENAME).select(*cols)
     s_ = td.raw_scrape(spark, sf).select(*cols)
     u = union_all([h.withColumn("source_priority", F.lit(0).cast("long")),
                    s_.withColumn("source_priority", F.lit(1).cast("long"))])
@@ -158,7 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "era_summary_grid": lambda s, d: rp.era_summary_grid(rp.era_top_complaint(_neg(s, d), P), P),
     "dedup_first": q_dedup_first,
     "dedup_cross_source": q_dedup_cross_source,
-    "silver_clean": lambda s, d: cl.conform(cl.silver_historical(_raw(s, d)[0], P), cl.GOLD),
+    "silver_clean": lambda s, d: conform(cl.silver_historical(_raw(s, d)[0], P), GOLD),
     "gold_build": lambda s, d: cl.gold_build(*_raw(s, d), P),
     "clean_step_audit": lambda s, d: cl.clean_step_audit(*_raw(s, d), P),
     "gold_validation": lambda s, d: qa.validate(_gold(s, d), P),
@@ -172,7 +176,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "xml_feed": q_xml_feed,
     "suite_manifest": q_suite_manifest,
     "stream_landing": q_stream_landing,
-    "silver_scrape": lambda s, d: cl.conform(cl.silver_scrape(_raw(s, d)[1], P), cl.GOLD),
+    "silver_scrape": lambda s, d: conform(cl.silver_scrape(_raw(s, d)[1], P), GOLD),
     "bi_era_table": q_bi_era_table,
     "bi_export_manifest": q_bi_export_manifest,
 }

@@ -25,7 +25,7 @@ from revlens.functions.text import clean_text
 from revlens.operators.conform import add_nulls, conform, drop, rename
 from revlens.operators.dedup import dedup_first, union_all
 from revlens.params import Params
-from revlens.schema import GOLD, HISTORICAL_RENAME  # noqa: F401  (re-exported)
+from revlens.schema import GOLD, HISTORICAL_RENAME
 
 ORDER = ["_file", "_pos"]
 
