@@ -33,3 +33,20 @@ def test_first_rank_keeps_all_copies_of_the_first_group(spark):
                                "url string, q int, pos int")
     got = sorted(r["pos"] for r in dedup_first_by_rank(df, "url", "q").collect())
     assert got == [1, 2, 4]
+
+
+def test_sql_views_over_gold(spark):
+    from revlens.catalog import QUERIES, _gold, _neg, P
+    from revlens.plans.views import register_views
+    from tests.conftest import SF_SMALL
+    names = register_views(_gold(spark, SF_SMALL), _neg(spark, SF_SMALL), P)
+    assert len(names) == 11
+    via_sql = spark.sql("SELECT * FROM q3_complaint_categories_result1").collect()
+    assert sorted(map(tuple, via_sql)) == sorted(map(tuple, QUERIES["complaint_categories"](spark, SF_SMALL).collect()))
+    # an ad-hoc T-SQL style question in Spark SQL: the word count's shape
+    top = spark.sql("""
+        SELECT word, count(*) AS frequency
+        FROM reviews LATERAL VIEW explode(split(lower(review_text), ' ')) w AS word
+        WHERE rating <= 2 AND length(trim(review_text)) >= 10 AND length(word) > 3
+        GROUP BY word ORDER BY frequency DESC, word LIMIT 5""").collect()
+    assert len(top) == 5
