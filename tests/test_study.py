@@ -42,3 +42,12 @@ def test_run_study_from_csv_files(spark):
     assert len(os.listdir(out["bi"])) == 8
     checks = spark.read.parquet(out["checks"]).count()
     assert checks == 7
+
+    # strict mode: the sf0.001 gold is below FIXTURE's 1,000-row minimum, so
+    # the run stops after the checks and writes no result sets
+    import pytest
+    from revlens.plans.quality import ValidationError
+    strict_out = os.path.join(d, "strict")
+    with pytest.raises(ValidationError):
+        run_study(spark, manifest, sp, strict_out, FIXTURE, strict=True)
+    assert os.path.exists(os.path.join(strict_out, "checks")) and not os.path.exists(os.path.join(strict_out, "results"))
