@@ -92,6 +92,7 @@ STRIP_CLASS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
 
-# --- FIXED VALUES: feed date formats (RFC-822, with and without a zone) -------
-RFC822_ZONED = "dd MMM yyyy HH:mm:ss xx"
-RFC822_GMT = "dd MMM yyyy HH:mm:ss 'GMT'"
+# --- FIXED VALUES: feed date formats (RFC-822, with and without a zone); the
+# --- day may have one or two digits, as with strptime's %d ------------------
+RFC822_ZONED = "d MMM yyyy HH:mm:ss xx"
+RFC822_GMT = "d MMM yyyy HH:mm:ss 'GMT'"

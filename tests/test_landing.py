@@ -6,10 +6,11 @@ from revlens.plans import landing as ld
 
 def test_rfc822_spellings(spark):
     df = spark.createDataFrame([("Tue, 03 Jan 2023 10:00:00 GMT",), ("Tue, 03 Jan 2023 10:00:00 +0530",),
-                                ("Tue, 03 Jan 2023 10:00:00 -0100",), ("junk",), (None,)], "s string")
+                                ("Tue, 03 Jan 2023 10:00:00 -0100",), ("junk",), (None,),
+                                ("Tue, 3 Jan 2023 10:00:00 GMT",)], "s string")
     got = [r[0] for r in df.select(parse_rfc822("s")).collect()]
     assert got == [dt.datetime(2023, 1, 3, 10), dt.datetime(2023, 1, 3, 4, 30),
-                   dt.datetime(2023, 1, 3, 11), None, None]
+                   dt.datetime(2023, 1, 3, 11), None, None, dt.datetime(2023, 1, 3, 10)]
 
 
 def _items(spark, rows):
