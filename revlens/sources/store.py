@@ -46,12 +46,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def _status(spark: SparkSession, path: str) -> list:
-    """(name, length, mtime) of a file or directory's entries."""
+    """(name, length, mtime) of a file or of a directory's direct entries,
+    plus the directory's content summary (total bytes, files, folders), so
+    a change deeper in a partitioned table also changes the key."""
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return [path, None]
-    return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime())
-                  for s in fs.listStatus(p))
+    entries = sorted((s.getPath().getName(), s.getLen(), s.getModificationTime())
+                     for s in fs.listStatus(p))
+    cs = fs.getContentSummary(p)
+    return entries + [("summary", cs.getLength(), cs.getFileCount(), cs.getDirectoryCount())]
 
 
 def fingerprint(spark: SparkSession, inputs: list[str], *extra) -> str:
