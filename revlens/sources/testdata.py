@@ -5,10 +5,11 @@ The study's raw data is not shipped, so reviews are assembled from
 ``doc_id = o_orderkey``) and ``lineitem`` (company reply: earliest ship date
 and highest return flag per order).  The mapping is FIXTURES.md view R.
 
-At scale this is two key-unique left joins on the order key: both sides are
-hash-partitioned on it once (sort-merge join; neither side is broadcast, as
-both grow with the data) and the lineitem side is partially aggregated
-before its shuffle.  The result is written once per input snapshot as the
+At scale this is two key-unique left joins on the order key: each input is
+hash-partitioned on it once and the second join reuses the first one's
+partitioning (sort-merge joins; AQE turns one into a broadcast only when the
+measured side is under its cap, as at small scale factors), and the
+lineitem side is partially aggregated before its shuffle.  The result is written once per input snapshot as the
 gold Parquet table (partitioned by ``year``) and every report reads that.
 """
 
