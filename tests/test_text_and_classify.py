@@ -63,3 +63,25 @@ def test_exact_half_up_rounding(spark, num, den, k, scale, want):
     from revlens.functions.rounding import round_ratio
     df = spark.createDataFrame([(num, den)], "n long, d long")
     assert df.select(round_ratio("n", "d", k, scale)).first()[0] == want
+
+
+def test_rounding_matches_decimal_half_up_on_random_ratios(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from revlens.functions.rounding import round_ratio
+    rng = random.Random(11)
+    cases = [(rng.randint(-10**6, 10**6), rng.randint(0, 10**4), rng.choice([1, 2]), rng.choice([1, 100]))
+             for _ in range(400)]
+    cases += [(2**62, 3, 2, 100), (-(2**62), 7, 1, 100), (5, 0, 1, 1), (0, 5, 2, 1)]   # beyond BIGINT after scaling
+    df = spark.createDataFrame(cases, "n long, d long, k int, s int")
+    exprs = [round_ratio("n", "d", k, s).alias(f"r_{k}_{s}") for k in (1, 2) for s in (1, 100)]
+    rows = df.select("n", "d", "k", "s", *exprs).collect()
+    for r in rows:
+        got = r[f"r_{r['k']}_{r['s']}"]
+        if r["d"] == 0:
+            assert got is None
+            continue
+        q = Decimal(10) ** -r["k"]
+        want = (Decimal(r["s"]) * Decimal(r["n"]) / Decimal(r["d"])).quantize(q, rounding=ROUND_HALF_UP)
+        # Decimal division is exact to 28 digits here; compare as the double the engine returns
+        assert got == float(want), (r["n"], r["d"], r["k"], r["s"], got, want)
