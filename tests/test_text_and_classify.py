@@ -85,3 +85,27 @@ def test_rounding_matches_decimal_half_up_on_random_ratios(spark):
         want = (Decimal(r["s"]) * Decimal(r["n"]) / Decimal(r["d"])).quantize(q, rounding=ROUND_HALF_UP)
         # Decimal division is exact to 28 digits here; compare as the double the engine returns
         assert got == float(want), (r["n"], r["d"], r["k"], r["s"], got, want)
+
+
+def test_classifier_matches_first_match_substring_semantics(spark):
+    rng = random.Random(5)
+    pats = [p for _, ps in REFERENCE.lexicon for p in ps]
+    noise = ["the", "app", "is", "PAY", "Money", "not", "very", " ", "  ", "é", "arbitrary", "loads", "X"]
+
+    def text():
+        parts = [rng.choice(noise) for _ in range(rng.randint(0, 6))]
+        for _ in range(rng.randint(0, 2)):
+            p = rng.choice(pats)
+            parts.insert(rng.randint(0, len(parts)), p.upper() if rng.random() < 0.3 else p)
+        return " ".join(parts)
+
+    def expected(t):
+        low = t.lower()
+        for cat, ps in REFERENCE.lexicon:
+            if any(p in low for p in ps):
+                return cat
+        return REFERENCE.fallback_category
+
+    texts = [text() for _ in range(600)]
+    got = _one(spark, lambda c: classify(F.lower(c), REFERENCE), texts)
+    assert got == [expected(t) for t in texts]
