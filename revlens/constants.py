@@ -95,4 +95,5 @@ STRIP_CLASS = (
 # --- FIXED VALUES: feed date formats (RFC-822, with and without a zone); the
 # --- day may have one or two digits, as with strptime's %d ------------------
 RFC822_ZONED = "d MMM yyyy HH:mm:ss xx"
+RFC822_LOCAL = "d MMM yyyy HH:mm:ss"
 RFC822_GMT = "d MMM yyyy HH:mm:ss 'GMT'"

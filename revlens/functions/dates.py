@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.constants import RFC822_GMT, RFC822_ZONED
+from revlens.constants import RFC822_GMT, RFC822_LOCAL, RFC822_ZONED
 
 # Accepted spellings of a review timestamp, tried in order.
 TS_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
@@ -47,6 +47,17 @@ def parse_rfc822(c) -> Column:
              .cast("timestamp_ntz"))
 
 
+def rfc822_local(c) -> Column:
+    """The wall-clock time written in an RFC-822 date, zone ignored (for a
+    ``+0530`` date: the local time there).  NULL when the date does not
+    parse as an instant.  The feed reports an item's day in its own zone."""
+    s = F.regexp_replace(F.trim(_c(c)), r"^[A-Za-z]{3},\s*", "")
+    local = (F.when(s.endswith(" GMT"), F.try_to_timestamp(s, F.lit(RFC822_GMT)))
+              .otherwise(F.try_to_timestamp(F.regexp_replace(s, r" [+-][0-9]{4}$", ""),
+                                            F.lit(RFC822_LOCAL))))
+    return F.when(parse_rfc822(c).isNotNull(), local.cast("timestamp_ntz"))
+
+
 def fmt_day(c) -> Column:
     """``yyyy-MM-dd`` or '' when missing."""
     return F.coalesce(F.date_format(_c(c), "yyyy-MM-dd"), F.lit(""))

@@ -546,6 +546,16 @@ def rfc822_sql(x: str) -> str:
     return f"coalesce({zoned}, try_strptime({s}, '%d %b %Y %H:%M:%S GMT'))"
 
 
+def rfc822_local_sql(x: str) -> str:
+    """Wall-clock time written in the date (zone ignored), NULL unless it
+    parses as an instant."""
+    s = f"regexp_replace(trim(coalesce({x}, '')), '^[A-Za-z]{{3}},\\s*', '')"
+    local = (f"CASE WHEN regexp_matches({s}, ' [+-][0-9]{{4}}$') THEN "
+             f"try_strptime(left({s}, length({s}) - 6), '%d %b %Y %H:%M:%S') "
+             f"ELSE try_strptime({s}, '%d %b %Y %H:%M:%S GMT') END")
+    return f"CASE WHEN ({rfc822_sql(x)}) IS NOT NULL THEN {local} END"
+
+
 def rfc822_parse(queries) -> str:
     return f"""WITH {_feed_ev(queries).strip()}
 SELECT position AS event_id, pubDate AS pub_date, {rfc822_sql('pubDate')} AS parsed_at FROM EV"""
@@ -556,10 +566,11 @@ def feed_clean(queries, cutoff: str, cap: int) -> str:
 CAP AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY position) AS rn FROM EV) z
         WHERE rn <= {cap}),
 DT AS (SELECT query, query_idx, coalesce(title, '') AS title, coalesce(link, '') AS url,
-              coalesce(source, '') AS source, {rfc822_sql('pubDate')} AS pub_ts FROM CAP),
+              coalesce(source, '') AS source, {rfc822_sql('pubDate')} AS pub_ts,
+              {rfc822_local_sql('pubDate')} AS pub_local FROM CAP),
 KEPT AS (SELECT * FROM DT WHERE pub_ts IS NULL OR pub_ts >= TIMESTAMP '{cutoff}'),
 FQ AS (SELECT url AS u, min(query_idx) AS m FROM KEPT GROUP BY url)
-SELECT query, coalesce(strftime(pub_ts, '%Y-%m-%d'), '') AS date, title, source, url
+SELECT query, coalesce(strftime(pub_local, '%Y-%m-%d'), '') AS date, title, source, url
 FROM KEPT JOIN FQ ON url = u AND query_idx = m"""
 
 

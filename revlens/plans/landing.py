@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.functions.dates import fmt_day, parse_rfc822
+from revlens.functions.dates import fmt_day, parse_rfc822, rfc822_local
 from revlens.functions.rounding import round_ratio
 from revlens.functions.text import clean_text
 from revlens.operators.dedup import dedup_first, dedup_first_by_rank
@@ -51,13 +51,16 @@ def landing_summary(landed: DataFrame) -> DataFrame:
 
 
 def feed_items_with_dates(items: DataFrame) -> DataFrame:
-    """B7 + A3 defaults: missing tags -> '', pubDate parsed to UTC (NULL if
-    it matches neither RFC-822 spelling)."""
+    """B7 + A3 defaults: missing tags -> '', pubDate parsed to a UTC instant
+    (``pub_ts``, NULL if it matches neither RFC-822 spelling) and to the
+    wall-clock time written in it (``pub_local``, for the item's day)."""
+    pub = F.coalesce("pubDate", F.lit(""))
     return items.withColumns({
         "title": F.coalesce("title", F.lit("")),
         "link": F.coalesce("link", F.lit("")),
         "source": F.coalesce("source", F.lit("")),
-        "pub_ts": parse_rfc822(F.coalesce("pubDate", F.lit(""))),
+        "pub_ts": parse_rfc822(pub),
+        "pub_local": rfc822_local(pub),
     })
 
 
@@ -65,15 +68,16 @@ def feed_landing(items: DataFrame, cutoff: str, cap: int) -> DataFrame:
     """P14.  ``items``: query, query_idx (position in the query list),
     position (feed order), title, link, source, pubDate (text).
     First ``cap`` items per query in feed order, *then* drop items with a
-    known date before ``cutoff`` (unknown dates stay), then URL dedup:
-    the first query (list order) that kept a URL wins and every copy of it
-    in that query survives.  Sorted by day text, newest first, '' last."""
+    known date before ``cutoff`` (unknown dates stay; compared as instants),
+    then URL dedup: the first query (list order) that kept a URL wins and
+    every copy of it in that query survives.  The day is the item's own
+    (in its zone).  Sorted by day text, newest first, '' last."""
     capped = top_n_per_group(items, ["query_idx"], [F.col("position")], cap)
     dated = feed_items_with_dates(capped)
     kept = dated.where(F.col("pub_ts").isNull()
                        | (F.col("pub_ts") >= F.lit(cutoff).cast("timestamp_ntz")))
     first = dedup_first_by_rank(kept.withColumnRenamed("link", "url"), "url", "query_idx")
-    return (first.select("query", fmt_day("pub_ts").alias("date"), "title", "source", "url")
+    return (first.select("query", fmt_day("pub_local").alias("date"), "title", "source", "url")
                  .orderBy(F.desc("date"), "query", "url"))
 
 

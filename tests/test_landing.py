@@ -47,3 +47,44 @@ def test_scrape_landing_cap_before_cleaning(spark):
     # newest 3 since the cutoff are ids 9, 8, 7; id 9 has blank text and is dropped after the cap
     assert [r["review_id"] for r in out] == ["8", "7"]
     assert out[0]["date"] == "2024-01-09" and out[0]["app_version"] == ""
+
+
+def test_feed_landing_matches_the_collector_loop_on_random_items(spark):
+    import random
+    rng = random.Random(3)
+    base = dt.datetime(2023, 1, 1, tzinfo=dt.timezone.utc)
+    rows = []
+    for pos in range(400):
+        q = rng.randrange(4)
+        when = base + dt.timedelta(hours=rng.randrange(-72, 72))
+        kind = rng.random()
+        if kind < 0.1:
+            pub = None
+        elif kind < 0.2:
+            pub = "garbage"
+        elif kind < 0.6:
+            pub = when.strftime("%a, %d %b %Y %H:%M:%S GMT")
+        else:
+            pub = when.astimezone(dt.timezone(dt.timedelta(hours=5, minutes=30))).strftime("%a, %d %b %Y %H:%M:%S %z")
+        rows.append((f"q{q}", q, pos, f"t{pos}", f"u{rng.randrange(60)}", f"s{rng.randrange(5)}", pub))
+    cutoff, cap = dt.datetime(2023, 1, 1, tzinfo=dt.timezone.utc), 30
+
+    def parse(s):
+        for fmt in ("%a, %d %b %Y %H:%M:%S %z", "%a, %d %b %Y %H:%M:%S GMT"):
+            try:
+                d = dt.datetime.strptime(s.strip(), fmt)
+                return d if d.tzinfo else d.replace(tzinfo=dt.timezone.utc)
+            except (ValueError, AttributeError):
+                continue
+        return None
+
+    seen, want = set(), []
+    for q in range(4):
+        items = sorted((r for r in rows if r[1] == q), key=lambda r: r[2])[:cap]
+        kept = [r for r in items if not (parse(r[6]) and parse(r[6]) < cutoff)]
+        new = [r for r in kept if r[4] not in seen]
+        seen.update(r[4] for r in new)
+        want += [(r[0], parse(r[6]).strftime("%Y-%m-%d") if parse(r[6]) else "", r[3], r[5], r[4]) for r in new]
+
+    got = ld.feed_landing(_items(spark, rows), "2023-01-01 00:00:00", cap).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
