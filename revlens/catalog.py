@@ -72,7 +72,7 @@ TOP_SOURCES = 10
 
 def q_newest_n(spark: SparkSession, sf: str) -> DataFrame:
     g = _gold(spark, sf).select(*ld.SCRAPE_COLUMNS)
-    return ld.scrape_landing(g, SCRAPE_CUTOFF, SCRAPE_CAP)
+    return ld.scrape_landing(g, SCRAPE_CUTOFF, SCRAPE_CAP, P.scrape_apps)
 
 
 def q_feed_clean(spark: SparkSession, sf: str) -> DataFrame:

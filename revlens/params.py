@@ -24,6 +24,7 @@ class Params:
     eras: Eras = K.ERAS
     era_labels: dict = field(default_factory=lambda: dict(K.ERA_DISPLAY_LABELS))
     apps: tuple[str, ...] = K.APPS
+    scrape_apps: tuple[str, ...] = K.SCRAPE_APPS
     reply_sources: tuple[str, ...] = K.REPLY_SOURCES
     deep_dive_apps: tuple[str, ...] = K.DEEP_DIVE_APPS
     trend_years: tuple[int, int] = K.TREND_YEARS
@@ -81,6 +82,7 @@ FIXTURE = Params(
         "3_Recovery (1999-2001)": "Recovery\n1999-2001",
     },
     apps=("AppF", "AppO", "AppP"),
+    scrape_apps=("AppF", "AppO", "AppP"),
     reply_sources=("help", "new"),
     deep_dive_apps=("AppF", "AppO"),
     trend_years=(1995, 2001),

@@ -23,19 +23,26 @@ from revlens.operators.windows import top_n_per_group
 SCRAPE_COLUMNS = ("app", "review_id", "date", "rating", "review_text", "thumbs_up", "app_version")
 
 
-def scrape_landing(fetched: DataFrame, cutoff: str, cap: int) -> DataFrame:
+def scrape_landing(fetched: DataFrame, cutoff: str, cap: int,
+                   app_order: tuple[str, ...] | None = None) -> DataFrame:
     """P13.  ``fetched``: app, review_id, date (timestamp), rating,
     review_text, thumbs_up, app_version.  Newest first per app (date desc,
     then review_id), stop at the first review older than ``cutoff``
     (take-while == filter on date-sorted input), keep at most ``cap`` per app
     *before* cleaning, then strip text, drop empty text, keep the first copy
-    of each id, and format the day."""
+    of each id (apps in ``app_order``, the order they were fetched in;
+    alphabetical when not given), and format the day."""
     newest_first = [F.desc("date"), F.asc("review_id")]
     recent = fetched.where(F.col("date") >= F.lit(cutoff).cast("timestamp_ntz"))
     capped = top_n_per_group(recent, ["app"], newest_first, cap, rank_col="_rank")
     cleaned = (capped.withColumn("review_text", clean_text("review_text"))
                      .where(F.col("review_text") != ""))
-    first = dedup_first(cleaned, ["review_id"], ["app", "_rank"])
+    if app_order:
+        pos = F.create_map(*[F.lit(x) for i, a in enumerate(app_order) for x in (a, i)])
+        app_rank = F.coalesce(pos[F.col("app")], F.lit(len(app_order)))
+    else:
+        app_rank = F.lit(0)
+    first = dedup_first(cleaned.withColumn("_app_rank", app_rank), ["review_id"], ["_app_rank", "app", "_rank"])
     return (first.select(
                 "app", "review_id", fmt_day("date").alias("date"), "rating", "review_text",
                 "thumbs_up", F.coalesce(F.col("app_version"), F.lit("")).alias("app_version"))

@@ -88,3 +88,38 @@ def test_feed_landing_matches_the_collector_loop_on_random_items(spark):
 
     got = ld.feed_landing(_items(spark, rows), "2023-01-01 00:00:00", cap).collect()
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_scrape_landing_matches_the_scraper_loop_on_random_reviews(spark):
+    import random
+    rng = random.Random(9)
+    apps = ("Paytm", "BharatPe", "PhonePe", "GPay")      # fetch order, not alphabetical
+    rows = []
+    for i in range(500):
+        app = rng.choice(apps)
+        rows.append((app, f"id{rng.randrange(300)}", dt.datetime(2023, 1, 1) + dt.timedelta(hours=rng.randrange(0, 24 * 90)),
+                     rng.randint(1, 5), rng.choice(["", "  ", None, " good ", "bad\\t", "ok then"]) , rng.randrange(9),
+                     rng.choice([None, "1.2"])))
+    df = spark.createDataFrame(rows, "app string, review_id string, date timestamp_ntz, rating int, "
+                                     "review_text string, thumbs_up int, app_version string")
+    cutoff, cap = dt.datetime(2023, 2, 1), 40
+
+    collected = []
+    for app in apps:
+        stream = sorted((r for r in rows if r[0] == app), key=lambda r: (-r[2].timestamp(), r[1]))
+        got = []
+        for r in stream:                      # newest first; stop at the first older review
+            if r[2] < cutoff:
+                break
+            got.append(r)
+        collected += got[:cap]
+    seen, want = set(), []
+    for r in collected:
+        text = (r[4] or "").strip()
+        if text == "" or r[1] in seen:
+            continue
+        seen.add(r[1])
+        want.append((r[0], r[1], r[2].strftime("%Y-%m-%d"), r[3], text, r[5], r[6] or ""))
+
+    got = ld.scrape_landing(df, "2023-02-01 00:00:00", cap, apps).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
