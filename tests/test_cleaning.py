@@ -105,3 +105,46 @@ def test_complaint_text_minimum_is_ten_after_trim(spark, gold_df):
         {"review_id": "pos", "app": "AppF", "rating": 3, "review_text": "1234567890", "date": "1999-01-01 00:00:00"},
     ])
     assert [r["review_id"] for r in classified_negatives(g, FIXTURE).collect()] == ["10"]
+
+
+def test_gold_build_matches_a_pandas_restatement_on_random_rows(spark):
+    import random
+
+    import pandas as pd
+    rng = random.Random(21)
+    texts = ["", "  ", None, "abcd", " abcde ", "\tnice app\n", "ok", "works well", "　wide space　"]
+    dates = ["2024-01-02 10:00:00", "2023-12-31 23:59:59", "bad", "", None, "2024-02-29 00:00:00"]
+    hist = []
+    for i in range(300):
+        f = rng.randrange(3)
+        hist.append((rng.choice([f"r{rng.randrange(80)}", None]), rng.choice(texts), rng.choice([None, 0, 1, 3, 5, 6]),
+                     rng.choice(dates), ("AppF", "AppO", "AppP")[f], "help", f, i))
+    scrape = [(rng.choice(["AppF", "AppO", "AppX"]), f"r{rng.randrange(120)}",
+               rng.choice(["2024-03-01", "junk", None]), rng.randint(1, 7), rng.choice(texts), i) for i in range(200)]
+    h_df, s_df = _hist(spark, hist), _scrape(spark, scrape)
+
+    # pandas, step by step as the notebook does it (frame order = file, then position)
+    h = pd.DataFrame(hist, columns=["review_id", "review_text", "rating", "date", "app", "data_source", "f", "p"])
+    h = h.sort_values(["f", "p"], kind="stable")
+    h["date"] = pd.to_datetime(h["date"], errors="coerce", format="%Y-%m-%d %H:%M:%S")
+    h["review_text"] = h["review_text"].fillna("").astype(str).str.strip()
+    h = h[h["review_text"].str.len() >= 5]
+    h = h.drop_duplicates(subset="review_id")
+    h = h.dropna(subset=["date"])
+    h = h[h["rating"].between(1, 5)]
+    s = pd.DataFrame(scrape, columns=["app", "review_id", "date", "rating", "review_text", "p"]).sort_values("p", kind="stable")
+    s["date"] = pd.to_datetime(s["date"], errors="coerce", format="%Y-%m-%d")
+    s["review_text"] = s["review_text"].fillna("").astype(str).str.strip()
+    s = s[s["review_text"].str.len() >= 5]
+    s = s.drop_duplicates(subset="review_id")
+    s = s[s["app"].isin(["AppF", "AppO", "AppP"])]
+    g = pd.concat([h[["review_id", "app", "date", "rating", "review_text"]],
+                   s[["review_id", "app", "date", "rating", "review_text"]]], ignore_index=True)
+    g = g.drop_duplicates(subset="review_id")
+    want = [(None if pd.isna(r.review_id) else r.review_id, r.app,
+             None if pd.isna(r.date) else r.date.to_pydatetime(), int(r.rating), r.review_text)
+            for r in g.itertuples()]
+
+    got = cl.gold_build(h_df, s_df, FIXTURE).select("review_id", "app", "date", "rating", "review_text").collect()
+    key = lambda t: tuple((x is None, str(x)) for x in t)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
