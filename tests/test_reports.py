@@ -102,3 +102,54 @@ def test_era_counts_sum_to_overall_counts_when_all_years_are_in_eras(spark):
         k = (r["app"], r["complaint_category"])
         p9[k] = p9.get(k, 0) + r["complaint_count"]
     assert p9 == p3
+
+
+def test_word_count_and_reply_rules_match_restated_sql_semantics(spark, gold_df):
+    import datetime as dt
+    import random
+    from collections import Counter
+
+    from revlens.params import REFERENCE
+    rng = random.Random(17)
+    vocab = ["Refund", "money", "stuck", "app", "is", "slow!", "great", "  ", "\tcrash", "worst", "Worst",
+             "payment", "failed", "again", "é-wallet", "kyc", "zzzz", "aaaa"]
+    rows = []
+    base = dt.datetime(2021, 5, 1, 8, 0)
+    for i in range(400):
+        words = [rng.choice(vocab) for _ in range(rng.randint(0, 9))]
+        text = rng.choice([" ", "  ", ""]).join(words) if words else rng.choice([None, "", "   "])
+        rd = base + dt.timedelta(hours=rng.randint(-30, 80))
+        rows.append({"review_id": str(i), "app": "Paytm", "rating": rng.randint(1, 5), "review_text": text,
+                     "date": base.strftime("%Y-%m-%d %H:%M:%S"), "data_source": "kaggle_help",
+                     "reply_text": rng.choice([None, "", "  ", "thanks"]),
+                     "reply_date": rng.choice([None, rd.strftime("%Y-%m-%d %H:%M:%S")])})
+    g = gold_df(rows)
+
+    # word count: rating <= 2, LEN(TRIM(text)) >= 10, 7 NOT LIKEs, split on ' ', LEN(word) > 3
+    c = Counter()
+    for r in rows:
+        t = r["review_text"]
+        if r["rating"] > 2 or t is None or len(t.strip(" ")) < 10:
+            continue
+        low = t.lower()
+        if any(w in low for w in REFERENCE.word_count_excluded):
+            continue
+        c.update(w for w in low.split(" ") if len(w) > 3)
+    want = sorted(c.items(), key=lambda kv: (-kv[1], kv[0]))[:20]
+    got = [(r["word"], r["frequency"]) for r in rp.word_frequency(g, REFERENCE).collect()]
+    assert got == want
+
+    # reply rules: was_replied = non-NULL and LEN(TRIM) > 0; days = calendar days when reply text is
+    # non-NULL, both dates present and reply strictly later
+    exp = {}
+    for r in rows:
+        rt, rd = r["reply_text"], r["reply_date"]
+        replied = 1 if rt is not None and len(rt.strip(" ")) > 0 else 0
+        days = None
+        if rt is not None and rd is not None:
+            rdt = dt.datetime.strptime(rd, "%Y-%m-%d %H:%M:%S")
+            if rdt > base:
+                days = (rdt.date() - base.date()).days
+        exp[r["review_id"]] = (replied, days)
+    got = {r[0]: (r[1], r[2]) for r in g.select("review_id", was_replied(), days_to_reply()).collect()}
+    assert got == exp
