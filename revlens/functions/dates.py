@@ -47,15 +47,18 @@ def parse_rfc822(c) -> Column:
              .cast("timestamp_ntz"))
 
 
-def rfc822_local(c) -> Column:
+def rfc822_local(c, instant=None) -> Column:
     """The wall-clock time written in an RFC-822 date, zone ignored (for a
     ``+0530`` date: the local time there).  NULL when the date does not
-    parse as an instant.  The feed reports an item's day in its own zone."""
+    parse as an instant (pass ``instant`` when it is already parsed, so the
+    text is not parsed twice).  The feed reports an item's day in its own
+    zone."""
     s = F.regexp_replace(F.trim(_c(c)), r"^[A-Za-z]{3},\s*", "")
     local = (F.when(s.endswith(" GMT"), F.try_to_timestamp(s, F.lit(RFC822_GMT)))
               .otherwise(F.try_to_timestamp(F.regexp_replace(s, r" [+-][0-9]{4}$", ""),
                                             F.lit(RFC822_LOCAL))))
-    return F.when(parse_rfc822(c).isNotNull(), local.cast("timestamp_ntz"))
+    ok = (parse_rfc822(c) if instant is None else _c(instant)).isNotNull()
+    return F.when(ok, local.cast("timestamp_ntz"))
 
 
 def fmt_day(c) -> Column:

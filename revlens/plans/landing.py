@@ -62,13 +62,13 @@ def feed_items_with_dates(items: DataFrame) -> DataFrame:
     (``pub_ts``, NULL if it matches neither RFC-822 spelling) and to the
     wall-clock time written in it (``pub_local``, for the item's day)."""
     pub = F.coalesce("pubDate", F.lit(""))
-    return items.withColumns({
+    parsed = items.withColumns({
         "title": F.coalesce("title", F.lit("")),
         "link": F.coalesce("link", F.lit("")),
         "source": F.coalesce("source", F.lit("")),
         "pub_ts": parse_rfc822(pub),
-        "pub_local": rfc822_local(pub),
     })
+    return parsed.withColumn("pub_local", rfc822_local(pub, "pub_ts"))
 
 
 def feed_landing(items: DataFrame, cutoff: str, cap: int) -> DataFrame:
