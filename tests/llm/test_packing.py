@@ -1,0 +1,91 @@
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from revlens.llm import packing
+
+from .helpers import docs
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+def plain(text):
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    return t.encode(text or "", add_special_tokens=False).ids
+
+
+def odd_texts():
+    rng = random.Random(1)
+    rows = [(1, None), (2, ""), (3, " \t\n"), (4, "Don't!! STOP... the a.b,c (x) 3,14 I'll"), (5, "É. éÉ, ß! ÜBER-x ñ_."),
+            (6, "word" * 3000), (7, "a " * 9000), (7, "a " * 9000), (None, "null id"), (8, "x y z ́e é J̌ İ K"),
+            (9, "<|endoftext|> <|startoftext|>, a<|b|>"), (10, "'s 's. 'S, it's' ''"), (11, "日本語。テスト, नमस्ते!"), (12, "😀!! a😀.")]
+    alphabet = "abAB éÉ'.,!$ \n\t <|>09ßİ̌J-_"
+    rows += [(100 + i, "".join(rng.choices(alphabet, k=rng.randrange(1, 80)))) for i in range(300)]
+    return rows
+
+
+def check_packed(got, capacity):
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(by)
+
+
+def test_pieces_equal_the_tokenizer(spark):
+    rows = odd_texts()
+    got = packing.pack_documents(docs(spark, rows), PATH, with_ids=True).collect()
+    want = []
+    for i, text in rows:
+        ids = np.array([*plain(text), 1], "<u4")
+        for piece, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at:at + 4096]
+            want.append((i, piece, at, len(part), zlib.crc32(part.tobytes()), part.tobytes()))
+    assert sorted((tuple(r)[:5] + (bytes(r.ids),) for r in got), key=str) == sorted(want, key=str)
+    check_packed(got, 4096)
+
+
+def test_sequences_are_few(spark):
+    rng = random.Random(2)
+    rows = [(i, 0, 0, rng.choice([rng.randrange(1, 4096), rng.randrange(1, 600)]), 0) for i in range(3000)]
+    rows += [(1, 0, 0, 4096, 0)] * 5 + [(2, 0, 0, 1, 0)] * 1500
+    df = spark.createDataFrame(rows, packing.PIECES)
+    bound = -(-sum(r[3] for r in rows) // 4096)
+    for group in (50_000, 400):
+        got = packing.pack(df, group=group).collect()
+        assert len(got) == len(rows)
+        assert check_packed(got, 4096) <= bound + 1
+
+
+def test_local_search_empties_bins():
+    sizes = [6, 6, 4, 4, 5, 3, 2]
+    start = [[0], [1], [2, 3], [4, 5, 6]]
+    made = packing.local_search(start, sizes, 10)
+    assert len(made) == 3 and sorted(i for b in made for i in b) == list(range(7))
+    assert all(sum(sizes[i] for i in b) <= 10 for b in made)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_best_fit_is_valid(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randrange(1, 50) for _ in range(400)]
+    made = packing.pack_group(sizes, 50)
+    assert sorted(i for b in made for i in b) == list(range(400))
+    assert all(sum(sizes[i] for i in b) <= 50 for b in made)
+    assert len(made) <= -(-sum(sizes) // 50) + 1
+
+
+def test_empty_and_clashing_names(spark):
+    assert packing.pack_documents(docs(spark, []), PATH).count() == 0
+    odd = docs(spark, [(1, "a b")]).selectExpr("*", "9 as piece", "9 as length", "9 as offset", "9 as _group")
+    assert [(r.doc_id, r.piece, r.offset) for r in packing.pack_documents(odd, PATH).collect()] == [(1, 0, 0)]
