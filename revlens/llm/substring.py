@@ -235,8 +235,10 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: in
     else:
         small = strings.join(large, "mini", "left_anti")
         hot = strings.join(large, "mini", "left_semi")
-    ordered = small.select("mini", "name", "packed", "low").repartition(
-        shuffle_partitions(spark), "mini").sortWithinPartitions("mini")
+    # dealt by a hash of the key: dealing by the key itself could be merged into
+    # the join above, whose partitions may be rearranged at run time
+    ordered = (small.select("mini", "name", "packed", "low", F.xxhash64("mini").alias("deal"))
+               .repartition(shuffle_partitions(spark), "deal").sortWithinPartitions("deal", "mini"))
     judged = ordered.mapInArrow(_judge(window), "mini long, name binary, off long, n long, low long")
     if hot is not None:
         rows = hot.select("mini", "name", "packed", "low").mapInArrow(
