@@ -4,13 +4,14 @@ Documents are read in blocks.  A block becomes its distinct words (matches
 of the split pattern) and, for each document, codes that refer to them.  The
 merges run in Spark's higher-order functions on the distinct words' byte
 arrays: a fold joins, again and again, the leftmost pair of neighbours with
-the lowest rank, looked up in a literal map of the ranks.  The map has a
-fixed size (that of the vocabulary) and is cut by a hash into small maps,
-since a lookup scans its map.  Ids then replace the codes.  Decoding
-concatenates the ids' binary pieces.  There is no shuffle.
+the lowest rank, looked up in a literal map from two parts' ids to the rank
+of both together.  The map is fixed by the vocabulary; it is laid out in
+literal arrays, since a lookup in a map value scans it.  Ids then replace the
+codes.  Decoding concatenates the ids' binary pieces.  There is no shuffle.
 
-The fold's steps each copy the word's array, so words of over ``LONG_WORD``
-bytes are merged by a heap in the reading step instead, with equal results.
+Words that are pieces themselves need no merge.  The fold's steps each copy
+the word's array, so words of over ``LONG_WORD`` bytes are merged by a heap in
+the reading step instead, with equal results.
 
 Defined cases: a null text is empty and has no ids; repeated rows are encoded
 each on its own; a very long text is a block of its own.  Extra columns are
@@ -21,25 +22,22 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm.common import let
 
-SLOTS = 1 << 16
 NONE = 2**31 - 1
 LONG_WORD = 256
 #: Characters of text in a block, but for a longer single text.
 BLOCK = 16_000_000
 
 BLOCK_SCHEMA = ("ids array<long>, doc_chunks array<int>, chunks array<int>, chunk_words array<int>, "
-                "words_of_chunk array<int>, words array<binary>, long_words array<array<int>>")
+                "words_of_chunk array<int>, words array<array<int>>, given array<array<int>>")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -85,14 +83,14 @@ class _Block:
         self.find, self.ranks = find, ranks
         self.size = 0
         self.ids, self.doc_chunks, self.codes = [], [], []
-        self.words, self.long_words = {}, {}
+        self.words, self.given = {}, {}
         self.first, self.later, self.single = {}, {}, {}
         self.chunk_words, self.words_of_chunk = [], []
 
     def word(self, text: str) -> int:
         raw = text.encode("utf-8")
-        if len(raw) > LONG_WORD:
-            return -1 - self.long_words.setdefault(raw, len(self.long_words))
+        if raw in self.ranks or len(raw) > LONG_WORD:
+            return -1 - self.given.setdefault(raw, len(self.given))
         return self.words.setdefault(raw, len(self.words))
 
     def chunk(self, texts: list[str]) -> int:
@@ -133,59 +131,89 @@ class _Block:
     def batch(self) -> pa.RecordBatch:
         flat = np.array(self.words_of_chunk, np.int32)
         flat[flat < 0] = len(self.words) - 1 - flat[flat < 0]
+        given = [[self.ranks[w]] if w in self.ranks else merge_long(w, self.ranks) for w in self.given]
+        ends = np.cumsum([0, *map(len, self.words)], dtype=np.int32)
+        spelled = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(self.words), np.uint8).astype(np.int32)))
         values = (self.ids, self.doc_chunks, np.concatenate(self.codes) if self.codes else [], self.chunk_words, flat,
-                  list(self.words), [merge_long(w, self.ranks) for w in self.long_words])
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()))
+                  spelled, given)
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
         names = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
 
         def one(v, kind):
-            a = pa.array(v, kind)
+            a = v if isinstance(v, pa.Array) else pa.array(v, kind)
             return pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
         return pa.RecordBatch.from_arrays([one(v, k) for v, k in zip(values, kinds)], names)
 
 
-def _literal_ranks(ranks: dict[bytes, int]) -> Column:
-    """Literal array of small maps: hex of a piece -> its rank."""
-    slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
+def rank_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The map (left id, right id) -> rank of the joined piece, as arrays: the
+    entry of (a, b) is at ``shift[a] + b``, where ``left`` holds a.  Rows of
+    the map are laid over each other, the largest first, each at the first
+    shift where it meets free places only."""
+    rows: dict[int, list[tuple[int, int]]] = {}
     for piece, rank in ranks.items():
-        key = piece.hex().upper()
-        slots[xxhash.xxh64_intdigest(key, 42) % SLOTS][key] = rank
-    return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,int>>")
+        for k in range(1, len(piece)):
+            a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
+            if a is not None and b is not None:
+                rows.setdefault(a, []).append((b, rank))
+    top = max(ranks.values()) + 1
+    shift = np.full(top, -top, np.int64)
+    size = sum(map(len, rows.values())) * 2 + 2 * top
+    left, value = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+    start = 0  # all places before are taken
+    for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        bs, rs = (np.array(x) for x in zip(*sorted(row)))
+        while left[start] >= 0:
+            start += 1
+        at = start
+        while True:
+            free = at + np.flatnonzero(left[at:at + 4096] < 0)
+            free = free[free + bs[-1] - bs[0] < size]
+            fits = free[(left[free[:, None] + (bs - bs[0])[None]] < 0).all(1)] if len(bs) > 1 else free
+            if len(fits):
+                break
+            at += 4096
+        shift[a] = fits[0] - bs[0]
+        left[fits[0] + bs - bs[0]], value[fits[0] + bs - bs[0]] = a, rs
+    used = int(np.flatnonzero(left >= 0)[-1]) + 1
+    return shift, left[:used], value[:used]
+
+
+def _literal(values) -> Column:
+    """A literal array: one string that the optimizer folds."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
+def merger(ranks: dict[bytes, int]):
+    """The expression that merges one word, given as an array of bytes."""
+    shift, left, value = map(_literal, rank_table(ranks))
+    of_byte = _literal(ranks[bytes([x])] for x in range(256))
+
+    def rank(a: Column, b: Column) -> Column:
+        place = F.get(shift, a) + b
+        return F.when(F.get(left, place) == a, F.get(value, place)).otherwise(NONE)
+
+    def join(ids: Column, ranks: Column, least: Column, i: Column) -> Column:
+        """Parts i and i+1 (counted from 1) become one, of id ``least``."""
+        before = F.when(i > 1, F.array(rank(F.get(ids, i - 2), least))).otherwise(F.array().cast("array<int>"))
+        after = F.when(i + 1 < F.size(ids), F.array(rank(least, F.get(ids, i + 1)))).otherwise(F.array().cast("array<int>"))
+        return F.struct(
+            F.concat(F.slice(ids, F.lit(1), i - 1), F.array(least), F.slice(ids, i + 2, F.size(ids))).alias("ids"),
+            F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after,
+                     F.slice(ranks, i + 2, F.size(ids))).alias("ranks"))
 
+    def step(state: Column) -> Column:
+        ids, ranks = state["ids"], state["ranks"]
+        return let(F.coalesce(F.array_min(ranks), F.lit(NONE)), lambda least: F.when(least == NONE, state).otherwise(
+            let(F.array_position(ranks, least).cast("int"), lambda i: join(ids, ranks, least, i))))
 
-def merged(word: Column, table: Column) -> Column:
-    """Ids of one word given as bytes."""
-    def rank(piece: Column) -> Column:
-        return let(F.hex(piece), lambda h: F.element_at(
-            F.get(table, F.pmod(F.xxhash64(h), F.lit(SLOTS)).cast("int")), h))
-
-    def joint(a: Column, b: Column) -> Column:
-        return F.coalesce(rank(F.concat(a, b)), F.lit(NONE))
+    def merged(word: Column) -> Column:
+        start = let(F.transform(word, lambda x: F.get(of_byte, x)), lambda ids: F.struct(
+            ids.alias("ids"), F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1),
+                                          lambda a, i: rank(a, F.get(ids, i + 1))).alias("ranks")))
+        return F.aggregate(F.array_repeat(F.lit(0), F.size(word) - 1), start, lambda s, _: step(s), lambda s: s["ids"])
 
-    def step(state: Column) -> Column:
-        parts, ranks = state["parts"], state["ranks"]
-
-        def join(i: Column) -> Column:  # counted from 1
-            made = F.concat(F.get(parts, i - 1), F.get(parts, i))
-            left = F.when(i > 1, F.array(joint(F.get(parts, i - 2), made))).otherwise(F.array().cast("array<int>"))
-            right = F.when(i + 1 < F.size(parts), F.array(joint(made, F.get(parts, i + 1)))).otherwise(
-                F.array().cast("array<int>"))
-            return F.struct(
-                F.concat(F.slice(parts, F.lit(1), i - 1), F.array(made), F.slice(parts, i + 2, F.size(parts))).alias("parts"),
-                F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right,
-                         F.slice(ranks, i + 2, F.size(parts))).alias("ranks"))
-
-        least = F.coalesce(F.array_min(ranks), F.lit(NONE))
-        return F.when(least == NONE, state).otherwise(
-            let(F.array_position(ranks, least).cast("int"), join))
-
-    n = F.octet_length(word)
-    single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
-    start = let(single, lambda p: F.struct(p.alias("parts"), F.transform(
-        F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: joint(x, F.get(p, i + 1))).alias("ranks")))
-    folded = F.aggregate(F.array_repeat(F.lit(0), n - 1), start, lambda s, _: step(s),
-                         lambda s: F.transform(s["parts"], rank))
-    return let(rank(word), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded))
+    return merged
 
 
 def _ragged(flat: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,10 +268,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     [ids, pa.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())], ["id", "ids"])
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    table = _literal_ranks(ranks)
+    merged = merger(ranks)
     coded = rows.mapInArrow(blocks, BLOCK_SCHEMA).select(
         "ids", "doc_chunks", "chunks", "chunk_words", "words_of_chunk",
-        F.concat(F.transform("words", lambda w: merged(w, table)), "long_words").alias("merged"))
+        F.concat(F.transform("words", merged), "given").alias("merged"))
     return coded.mapInArrow(replace, "id long, ids binary")
 
 
