@@ -7,32 +7,30 @@ from pyspark.sql import functions as F
 
 from revlens.constants import RFC822_GMT, RFC822_LOCAL, RFC822_ZONED
 
-# Accepted spellings of a review timestamp, tried in order.
-TS_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
+# Accepted spellings of a review timestamp: a day; day and time with or without
+# seconds, fraction and offset.
+ISO_TS = (r"^\d{4}-\d{2}-\d{2}"
+          r"([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?( ?(Z|[+-]\d{2}:?\d{2}))?)?$")
+MONTH_FIRST_FORMATS = ("MM/dd/yyyy", "MM/dd/yyyy HH:mm", "MM/dd/yyyy HH:mm:ss")
 
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def parse_ts(c, formats=TS_FORMATS) -> Column:
-    """First format that parses; NULL for junk (never raises under ANSI).
-    Wall-clock time without a zone (TIMESTAMP_NTZ).
+def parse_ts(c) -> Column:
+    """``ISO_TS`` or month-first ``MM/dd/yyyy[ HH:mm[:ss]]`` text; NULL for
+    anything else (never raises under ANSI).  Wall-clock time without a zone
+    (TIMESTAMP_NTZ); a value with an offset is taken as its instant in UTC,
+    the session's zone.
 
-    Text without a ':' can only match the date-only formats and text with
-    one only the formats with a time, so each value is tried against its
-    own group: one parse instead of failing through the others first (a
-    failed parse is the expensive path; ~40% faster, same results)."""
+    Text of no accepted shape is never parsed (a failed parse is the
+    expensive path).  Spellings left out: month names, compact ``yyyyMMdd``,
+    day-first dates, 12-hour clocks, epoch numbers."""
     s = F.trim(_c(c).cast("string"))
-    timed = [f for f in formats if ":" in f]
-    dated = [f for f in formats if ":" not in f]
-
-    def first(fs):
-        parsed = [F.try_to_timestamp(s, F.lit(f)) for f in fs]
-        if not parsed:
-            return F.lit(None).cast("timestamp")
-        return parsed[0] if len(parsed) == 1 else F.coalesce(*parsed)
-    return F.when(s.contains(":"), first(timed)).otherwise(first(dated)).cast("timestamp_ntz")
+    month_first = F.coalesce(*(F.try_to_timestamp(s, F.lit(f)) for f in MONTH_FIRST_FORMATS))
+    return (F.when(s.rlike(ISO_TS), s.try_cast("timestamp"))
+             .when(s.contains("/"), month_first).cast("timestamp_ntz"))
 
 
 def parse_rfc822(c) -> Column:

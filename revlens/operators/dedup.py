@@ -30,10 +30,11 @@ def dedup_first(df: DataFrame, key: list[str], order: list) -> DataFrame:
 def dedup_first_by_rank(df: DataFrame, key: str, rank: str) -> DataFrame:
     """Keep every row whose ``rank`` equals the key's minimum rank (all rows
     of the first-ranked group survive, e.g. duplicates inside the first
-    feed query).  The minimum is a map-side-combined aggregate; the join
-    back is a semi join on (key, rank), where AQE splits a hot key."""
-    first = df.groupBy(key).agg(F.min(rank).alias(rank))
-    return df.join(first, [key, rank], "left_semi")
+    feed query).  NULL keys form one group, as in ``dedup_first``.  The
+    minimum is a map-side-combined aggregate; the join back is a null-safe
+    semi join on (key, rank), where AQE splits a hot key."""
+    first = df.groupBy(F.col(key).alias("_key")).agg(F.min(rank).alias("_rank"))
+    return df.join(first, F.col(key).eqNullSafe(F.col("_key")) & (F.col(rank) == F.col("_rank")), "left_semi")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -48,8 +48,7 @@ SELECT cast(o_orderkey AS VARCHAR) AS review_id,
 FROM orders
 LEFT JOIN documents ON doc_id = o_orderkey
 LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS rd, max(l_returnflag) AS rf
-           FROM lineitem WHERE l_returnflag <> 'R' OR l_quantity > 25
-           GROUP BY l_orderkey) x ON l_orderkey = o_orderkey
+           FROM lineitem GROUP BY l_orderkey) x ON l_orderkey = o_orderkey
 """
 
 

@@ -5,7 +5,7 @@ nine result sets -> BI tables.
 
 - ``manifest``: [(csv path, app, data_source), ...] historical exports in
   priority order; ``scrape_path``: the fresh-scrape CSV.
-- Writes ``gold/`` (Parquet, partitioned by year), ``gold_export/`` (CSV for
+- Writes ``bronze/`` (the raw files, each read once), ``gold/`` (Parquet, partitioned by year), ``gold_export/`` (CSV for
   other tools), ``checks/`` (quality report), ``audit/`` (rows per step),
   ``results/<name>.csv`` (nine result sets) and ``bi/<file>`` (eight tables).
 - With ``strict=True`` a failed quality check stops the run before any
@@ -21,18 +21,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from revlens.params import REFERENCE, Params
 from revlens.plans import cleaning, quality, reports
+from revlens.plans.complaints import classified_negatives
 from revlens.plans.export import export_bi, run_suite
 from revlens.schema import GOLD, GOLD_COLUMNS
 from revlens.sources import files
-from revlens.sources.testdata import classified_negatives
 
 
 def run_study(spark: SparkSession, manifest: list[tuple[str, str, str]], scrape_path: str,
               out_dir: str, params: Params = REFERENCE, strict: bool = False,
               scrape_source: str = "fresh_scrape_2026") -> dict[str, str]:
     out_dir = out_dir.rstrip("/")
-    raw_hist = files.read_reviews(spark, manifest)
-    raw_scrape = files.read_scrape(spark, scrape_path, scrape_source)
+    files.read_reviews(spark, manifest).write.mode("overwrite").parquet(f"{out_dir}/bronze/reviews")
+    files.read_scrape(spark, scrape_path, scrape_source).write.mode("overwrite").parquet(f"{out_dir}/bronze/scrape")
+    raw_hist = spark.read.parquet(f"{out_dir}/bronze/reviews")
+    raw_scrape = spark.read.parquet(f"{out_dir}/bronze/scrape")
 
     gold_dir = f"{out_dir}/gold"
     (cleaning.gold_build(raw_hist, raw_scrape, params)
@@ -50,7 +52,9 @@ def run_study(spark: SparkSession, manifest: list[tuple[str, str, str]], scrape_
     files.write_gold_csv(gold, f"{out_dir}/gold_export")
 
     neg_dir = f"{out_dir}/negatives"
-    classified_negatives(gold, params).write.mode("overwrite").partitionBy("year").parquet(neg_dir)
+    # few files for each year, however many tasks scan; a large year is split
+    (classified_negatives(gold, params).hint("rebalance", "year")
+        .write.mode("overwrite").partitionBy("year").parquet(neg_dir))
     neg = spark.read.parquet(neg_dir)
 
     suite: dict[str, DataFrame] = reports.suite(gold, neg, params)

@@ -33,20 +33,51 @@ def read_csv(spark: SparkSession, paths, schema: T.StructType, **opts) -> DataFr
     return r.csv(paths)
 
 
+def read_csv_by_header(spark: SparkSession, path: str, schema: T.StructType,
+                       required: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``schema``, bound by the names in the file's header
+    (only the header line is read for that): columns in any order, absent
+    ones NULL, others dropped, a value that is not of its type NULL.  An
+    absent ``required`` column raises.  The part files of a folder must share
+    one header; another one raises, where all names are given and differ.
+
+    ``_pos`` is the row's place in file order: (file, place in it).  Ids rise
+    within a multiLine file, which is read by one task."""
+    r = spark.read
+    for k, v in _CSV_READ.items():
+        r = r.option(k, v)
+    names = r.csv(path).columns
+    if not any(n.startswith("_c") for n in names):  # every column has a name of its own
+        r = r.option("enforceSchema", "false")
+    df = r.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
+    at = {n.removeprefix("﻿"): n for n in names}
+    if absent := [n for n in required if n not in at]:
+        raise ValueError(f"{path}: no column {', '.join(absent)} in {names}")
+
+    def bound(f: T.StructField):
+        if f.name not in at:
+            return F.lit(None).cast(f.dataType).alias(f.name)
+        c = F.col(f"`{at[f.name]}`")
+        return (c if f.dataType == T.StringType() else c.try_cast(f.dataType)).alias(f.name)
+
+    return df.select(*(bound(f) for f in schema.fields),
+                     F.struct(F.col("_metadata.file_path").alias("file"),
+                              F.monotonically_increasing_id().alias("at")).alias("_pos"))
+
+
 def read_reviews(spark: SparkSession, manifest: list[tuple],
                  schema: T.StructType = RAW_HISTORICAL) -> DataFrame:
     """A1: ``manifest`` = [(path, app, data_source[, schema]), ...] in
-    priority order.  Files may have different column sets: give such a file
-    its own schema (CSV columns are positional) and the frames are unioned
-    by name, missing columns NULL.  Each file is tagged with its app, source
-    and manifest position (``_file``); ``_pos`` is the row's position in its
-    file (ids rise within a multiLine file, which is read by one task)."""
+    priority order.  Columns are bound by header, so files may order them
+    differently or lack some.  Each file is tagged with its app, source and
+    manifest position (``_file``); ``_pos`` is the row's place in it."""
     frames = []
     for i, entry in enumerate(manifest):
         path, app, source = entry[:3]
-        df = read_csv(spark, path, entry[3] if len(entry) > 3 else schema)
-        frames.append(df.withColumns({"app": F.lit(app), "data_source": F.lit(source),
-                                      "_file": F.lit(i), "_pos": F.monotonically_increasing_id()}))
+        fields = entry[3] if len(entry) > 3 else schema
+        key = tuple(n for n in ("reviewId",) if n in fields.fieldNames())
+        frames.append(read_csv_by_header(spark, path, fields, key).withColumns(
+            {"app": F.lit(app), "data_source": F.lit(source), "_file": F.lit(i)}))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -54,10 +85,9 @@ def read_reviews(spark: SparkSession, manifest: list[tuple],
 
 
 def read_scrape(spark: SparkSession, path: str, source: str = "fresh_scrape_2026") -> DataFrame:
-    """A2: the scrape CSV (UTF-8 BOM header is handled by the reader)."""
-    return (read_csv(spark, path, RAW_SCRAPE, encoding="UTF-8")
-            .withColumns({"data_source": F.lit(source), "_file": F.lit(0),
-                          "_pos": F.monotonically_increasing_id()}))
+    """A2: the scrape CSV, bound by its header (a UTF-8 BOM is skipped)."""
+    return read_csv_by_header(spark, path, RAW_SCRAPE, ("app", "review_id")).withColumns(
+        {"data_source": F.lit(source), "_file": F.lit(0)})
 
 
 def write_gold_csv(gold: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -91,22 +121,25 @@ def read_report_csv(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return read_csv(spark, path, schema)
 
 
-FEED_XML_ITEM = T.StructType(list(FEED_ITEM.fields) + [T.StructField("guid", T.LongType(), True)])
-
-
 def write_feed_xml(items: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Feed items as RSS-style XML, one directory per query."""
-    (items.select("query", "title", "link", "source", "pubDate", F.col("position").alias("guid"))
+    """Feed items as RSS-style XML, one directory per query, in feed order:
+    the tasks' files, by name, hold rising ranges of ``position``."""
+    (items.select("query", "title", "link", "source", "pubDate", "position",
+                  F.concat(F.lit("item-"), F.col("position").cast("string")).alias("guid"))
+          .repartitionByRange("position").sortWithinPartitions("query", "position").drop("position")
           .write.mode(mode).partitionBy("query").format("xml")
           .option("rootTag", "channel").option("rowTag", "item").save(path))
 
 
 def read_feed_xml(spark: SparkSession, path: str) -> DataFrame:
-    """A3: ``<item>`` rows with an explicit all-text schema (+ guid as feed
-    order); ``query`` comes from the directory name."""
-    schema = T.StructType(list(FEED_XML_ITEM.fields) + [T.StructField("query", T.StringType(), True)])
-    return (spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
-            .withColumnRenamed("guid", "position"))
+    """A3: ``<item>`` rows with an explicit all-text schema (a missing tag is
+    NULL, attributes and other tags are skipped); ``query`` comes from the
+    directory name.  ``position`` is the item's place in feed order: (file,
+    place in it); a file is read whole by one task."""
+    schema = T.StructType(list(FEED_ITEM.fields) + [T.StructField("query", T.StringType(), True)])
+    return (spark.read.format("xml").option("rowTag", "item").option("multiLine", "true").schema(schema).load(path)
+            .select("*", F.struct(F.col("_metadata.file_path").alias("file"),
+                                  F.monotonically_increasing_id().alias("at")).alias("position")))
 
 
 def write_landing_csv(df: DataFrame, path: str, order: list, bom: bool = True,

@@ -18,9 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.functions.classify import classify
-from revlens.functions.text import trimmed_length
 from revlens.params import Params
+from revlens.plans.complaints import classified_negatives
 from revlens.schema import GOLD, GOLD_COLUMNS
 from revlens.sources import store
 
@@ -28,7 +27,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
-_GOLD_VERSION = "gold-v3"
+_GOLD_VERSION = "gold-v4"
 _NEG_VERSION = "neg-v1"
 
 
@@ -42,11 +41,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def reply_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order: earliest ship date (reply time) and highest return flag
-    (reply kind), over lines that are not returned or are large."""
-    li = table(spark, sf_dir, "lineitem")
-    return (li.where((F.col("l_returnflag") != "R") | (F.col("l_quantity") > 25))
-              .groupBy("l_orderkey")
-              .agg(F.min("l_shipdate").alias("rd"), F.max("l_returnflag").alias("rf")))
+    (reply kind), over all its lines."""
+    return (table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
+            .agg(F.min("l_shipdate").alias("rd"), F.max("l_returnflag").alias("rf")))
 
 
 def reviews_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,18 +96,6 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(GOLD).parquet(path).select(*GOLD_COLUMNS)
 
 
-def classified_negatives(gold_df: DataFrame, params: Params) -> DataFrame:
-    """Negative, non-trivial reviews with their complaint category.  The
-    filter runs first so only negatives pay for the substring tests, and the
-    text is lowered once per row."""
-    neg = gold_df.where((F.col("rating") <= params.negative_max_rating)
-                        & (trimmed_length("review_text") >= params.min_complaint_chars))
-    low = neg.select("review_id", "app", "data_source", "year", "year_month",
-                     F.lower("review_text").alias("_t"))
-    return low.select("review_id", "app", "data_source", "year", "year_month",
-                      classify("_t", params).alias("complaint_category"))
-
-
 def negatives(spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
     """Classified negatives, written once per (gold snapshot, lexicon) so the
     four complaint reports scan the text column once, not four times."""
@@ -254,7 +239,7 @@ def gold_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feed_xml_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed items written as RSS XML once per snapshot and read back (A3)."""
     from revlens.sources import files
-    key = store.fingerprint(spark, _inputs(sf_dir, ("events",)), "xml-v1", FEED_QUERIES)
+    key = store.fingerprint(spark, _inputs(sf_dir, ("events",)), "xml-v2", FEED_QUERIES)
     path = store.materialize_with(
         spark, lambda p: files.write_feed_xml(feed_items(spark, sf_dir), p), "feed_xml", key)
     idx = F.create_map(*[F.lit(x) for i, qn in enumerate(FEED_QUERIES) for x in (qn, i)])
@@ -272,17 +257,15 @@ def suite_dir(spark: SparkSession, sf_dir: str, params: Params, reports_builder)
 
 def gold_stream_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gold CSV export (one file per task) landed again through the
-    incremental file stream into bronze Parquet."""
+    incremental file stream into bronze Parquet.  Output and stream
+    checkpoint lie together under one fixed path, so a run that died is
+    taken up where it stopped."""
     from revlens.streaming.landing import land_files, read_bronze
     csv_path = gold_csv_path(spark, sf_dir)
-    key = store.fingerprint(spark, [csv_path], "stream-v1")
-    root = f"{store.checkpoint_root(spark)}/revlens/stream/{key}"
-
-    def write(path: str) -> None:
-        land_files(spark, csv_path, path, f"{root}-checkpoint", GOLD)
-
-    path = store.materialize_with(spark, write, "stream", key)
-    return read_bronze(spark, path, GOLD).select(*GOLD_COLUMNS)
+    key = store.fingerprint(spark, [csv_path], "stream-v2")
+    bronze = f"{store.checkpoint_root(spark)}/revlens/landed-{key}"
+    land_files(spark, csv_path, bronze, f"{bronze}/_checkpoint", GOLD)
+    return read_bronze(spark, bronze, GOLD).select(*GOLD_COLUMNS)
 
 
 def export_dir(spark: SparkSession, sf_dir: str, params: Params, writer) -> str:

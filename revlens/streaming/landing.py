@@ -4,8 +4,10 @@
 so the same job serves a scheduled batch run and a continuous one.  Each
 micro-batch is written with ``foreachBatch`` to ``<bronze>/batch=<id>`` in
 overwrite mode: a batch retried after a failure replaces its own output, so
-the table holds every file exactly once.  The stream checkpoint lives in the
-shared checkpoint folder.
+the table holds every file exactly once.  That needs the checkpoint and the
+bronze folder to live and die together: keep the checkpoint inside the bronze
+folder (``<bronze>/_checkpoint``, which readers of the table skip), never a new
+output folder beside an old checkpoint.
 """
 
 from __future__ import annotations

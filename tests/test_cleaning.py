@@ -98,7 +98,7 @@ def test_null_ids_form_one_group(spark):
 
 
 def test_complaint_text_minimum_is_ten_after_trim(spark, gold_df):
-    from revlens.sources.testdata import classified_negatives
+    from revlens.plans.complaints import classified_negatives
     g = gold_df([
         {"review_id": "9", "app": "AppF", "rating": 1, "review_text": "  123456789  ", "date": "1999-01-01 00:00:00"},
         {"review_id": "10", "app": "AppF", "rating": 1, "review_text": "1234567890", "date": "1999-01-01 00:00:00"},

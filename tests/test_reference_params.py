@@ -4,7 +4,7 @@
 from revlens.params import REFERENCE as R
 from revlens.plans import reports as rp
 from revlens.plans.quality import validate
-from revlens.sources.testdata import classified_negatives
+from revlens.plans.complaints import classified_negatives
 
 TEXTS = {
     "Paytm": ["money deducted but not credited", "rbi banned the payments bank", "rbi again, kyc pending?",

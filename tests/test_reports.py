@@ -1,7 +1,7 @@
 from revlens.functions.reply import days_to_reply, was_replied
 from revlens.params import FIXTURE
 from revlens.plans import reports as rp
-from revlens.sources.testdata import classified_negatives
+from revlens.plans.complaints import classified_negatives
 
 
 def test_reply_rules(spark, gold_df):

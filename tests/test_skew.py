@@ -11,7 +11,7 @@ from revlens.operators.dedup import dedup_first
 from revlens.operators.windows import top_n_per_group
 from revlens.params import FIXTURE
 from revlens.plans import reports as rp
-from revlens.sources.testdata import classified_negatives
+from revlens.plans.complaints import classified_negatives
 
 N = 60_000
 MAPS = 8
