@@ -145,53 +145,59 @@ class _Block:
         return pa.RecordBatch.from_arrays([one(v, k) for v, k in zip(values, kinds)], names)
 
 
-def rank_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The map (left id, right id) -> rank of the joined piece, as arrays: the
-    entry of (a, b) is at ``shift[a] + b``, where ``left`` holds a.  Rows of
-    the map are laid over each other, the largest first, each at the first
-    shift where it meets free places only."""
-    rows: dict[int, list[tuple[int, int]]] = {}
+#: Multipliers of a pair's two places in the rank table.
+MULTIPLIERS = (0x9E3779B, 0xC2B2AE3)
+
+
+def rank_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The map from a pair of ids to the rank of both together, as (keys,
+    values).  Pair (a, b) has key ``a * ids + b`` and one of two places, so
+    a lookup reads two entries at most (cuckoo hashing)."""
+    top, pairs = max(ranks.values()) + 1, {}
     for piece, rank in ranks.items():
         for k in range(1, len(piece)):
             a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
             if a is not None and b is not None:
-                rows.setdefault(a, []).append((b, rank))
-    top = max(ranks.values()) + 1
-    shift = np.full(top, -top, np.int64)
-    size = sum(map(len, rows.values())) * 2 + 2 * top
-    left, value = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-    start = 0  # all places before are taken
-    for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
-        bs, rs = (np.array(x) for x in zip(*sorted(row)))
-        while left[start] >= 0:
-            start += 1
-        at = start
-        while True:
-            free = at + np.flatnonzero(left[at:at + 4096] < 0)
-            free = free[free + bs[-1] - bs[0] < size]
-            fits = free[(left[free[:, None] + (bs - bs[0])[None]] < 0).all(1)] if len(bs) > 1 else free
-            if len(fits):
+                pairs[a * top + b] = rank
+    size = 3 * len(pairs) + 1
+    while (held := _placed(list(pairs), size)) is None:
+        size = size * 5 // 4 + 1
+    return np.array(held), np.array([pairs.get(k, -1) for k in held])
+
+
+def _placed(keys: list[int], size: int) -> list[int] | None:
+    """A table with every key at one of its places, or None."""
+    held = [-1] * size
+    for key in keys:
+        place = (key * MULTIPLIERS[0] >> 12) % size
+        for _ in range(200):
+            key, held[place] = held[place], key
+            if key < 0:
                 break
-            at += 4096
-        shift[a] = fits[0] - bs[0]
-        left[fits[0] + bs - bs[0]], value[fits[0] + bs - bs[0]] = a, rs
-    used = int(np.flatnonzero(left >= 0)[-1]) + 1
-    return shift, left[:used], value[:used]
+            first, second = ((key * m >> 12) % size for m in MULTIPLIERS)
+            place = second if place == first else first
+        else:
+            return None
+    return held
 
 
-def _literal(values) -> Column:
+def _literal(values, kind: str = "int") -> Column:
     """A literal array: one string that the optimizer folds."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def merger(ranks: dict[bytes, int]):
     """The expression that merges one word, given as an array of bytes."""
-    shift, left, value = map(_literal, rank_table(ranks))
+    table = rank_table(ranks)
+    keys, values, size, top = _literal(table[0], "long"), _literal(table[1]), len(table[0]), max(ranks.values()) + 1
     of_byte = _literal(ranks[bytes([x])] for x in range(256))
 
     def rank(a: Column, b: Column) -> Column:
-        place = F.get(shift, a) + b
-        return F.when(F.get(left, place) == a, F.get(value, place)).otherwise(NONE)
+        def look(key: Column) -> Column:
+            one, two = (F.pmod(F.shiftright(key * m, 12), F.lit(size)).cast("int") for m in MULTIPLIERS)
+            return F.when(F.get(keys, one) == key, F.get(values, one)).when(
+                F.get(keys, two) == key, F.get(values, two)).otherwise(NONE)
+        return let(a.cast("long") * top + b, look)
 
     def join(ids: Column, ranks: Column, least: Column, i: Column) -> Column:
         """Parts i and i+1 (counted from 1) become one, of id ``least``."""
