@@ -10,8 +10,10 @@ components (distributed union-find), each of which keeps its first line by
 
 Equal lines are one line throughout.  Long lines get one-permutation
 signatures (one hash per shingle, empty values filled from others), short
-ones classic signatures; lines of a middling length get both, so that any two
-similar lines share a kind.
+ones classic signatures, lines of a middling length both.  Length here is the
+number of distinct shingles, as in the similarity: sets of similarity 0.8 have
+sizes in that ratio or closer, so any two similar lines share a kind, repeated
+shingles or not.
 
 Band entries travel as packed blocks (4 bytes of key and 8 of line each), one
 block for each task and part of the key space.  Only lines in a bucket with
@@ -43,8 +45,8 @@ from revlens.llm.components import components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 18, 6
-#: Shingles up to which a line gets a classic signature, and from which a
-#: one-permutation signature.
+#: Distinct shingles up to which a line gets a classic signature, and from
+#: which a one-permutation signature.
 SHORT, LONG = 80, 64
 #: Characters of lines, and band entries, that a task handles at a time.
 RUN_CHARS, RUN_ENTRIES = 1 << 21, 1 << 20
@@ -96,6 +98,18 @@ def _one_permutation(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _first_in_line(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Marks one of each of a line's hashes (in lines of under LONG, all)."""
+    at = np.flatnonzero(np.repeat(counts >= LONG, counts))
+    line = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)[at]
+    mine = hashes[at] + line * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(mine)
+    mine = mine[order]
+    new = np.ones(len(hashes), bool)
+    new[at[order[1:][mine[1:] == mine[:-1]]]] = False
+    return new
+
+
 def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(position in ``lines``, band key) of every band of every line."""
     lengths = np.array([len(x) for x in lines])
@@ -117,6 +131,9 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     first = np.cumsum(counts) - counts
     inside = np.repeat(ends - padded - first, counts) + np.arange(int(counts.sum()))
     h = h[inside]
+    if (counts >= LONG).any():
+        new = _first_in_line(h, counts)
+        h, counts = h[new], np.add.reduceat(new, first, dtype=np.int64)
     at, keys = [], []
     for kind, (chosen, sign) in enumerate(((counts <= SHORT, _classic), (counts >= LONG, _one_permutation))):
         rows = np.flatnonzero(chosen)

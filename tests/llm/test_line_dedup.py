@@ -77,6 +77,38 @@ def test_band_recall_at_the_threshold():
         assert total > 20 and hit >= 0.97 * total
 
 
+def repeated():
+    """Lines of few distinct shingles in many lengths."""
+    units = ["-", "ha ", "=-", "Buy now! ", ". ", "The best price of the whole wide web, today only. "]
+    rng = random.Random(8)
+    phrase = "".join(rng.choice("abcdefghijklmnop ") for _ in range(72)).strip() + ". "
+    return [(u * n)[:m].strip() for u in [*units, phrase] for n, m in ((400, 40), (400, 60), (400, 66), (400, 81), (400, 100),
+                                                                      (400, 190), (400, 4000))]
+
+
+def test_repeated_shingles_share_a_band():
+    lines = repeated()
+    at, keys = ld.band_keys(lines)
+    bands = [set(keys[at == i].tolist()) for i in range(len(lines))]
+    sets = [ld.shingles(x) for x in lines]
+    alike = [(i, j) for i, j in itertools.combinations(range(len(lines)), 2)
+             if len(sets[i] & sets[j]) == len(sets[i] | sets[j])]
+    assert any(len(lines[i]) < 64 and len(lines[j]) > 100 for i, j in alike)
+    assert [(lines[i], lines[j]) for i, j in alike if not bands[i] & bands[j]] == []
+
+
+def test_repeated_shingles_against_brute_force(spark):
+    # no line in between that has both kinds by its positions
+    rows = [(i, x) for i, x in enumerate(repeated()) if not 63 <= len(x) - ld.SHINGLE <= 80]
+    want = brute(rows)
+    got = {r.id: r.component_id for r in ld.near_duplicates(docs(spark, rows)).collect()}
+    parts, found = {}, {}
+    for i, x in rows:
+        parts.setdefault(want[normal(x)], set()).add(i)
+        found.setdefault(got[i], set()).add(i)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, parts.values()))
+
+
 def test_clean(spark):
     same = "This line stands in every one of these documents, as it is."
     near = "This line stands in every one of those documents, as it is."
