@@ -5,8 +5,8 @@ sequences of their own.  The rest is dealt evenly into groups of at most
 ``GROUP`` pieces, packed best-fit with the longest first.  While a group has
 more bins than its tokens need, a local search moves a document into a
 fuller bin, or exchanges one for one, two for one or one for two, wherever
-that fills the fuller bin further (the sum of squared fills grows); bins that
-empty are dropped.  Then the pieces of each group's loosest bins are dealt
+that fills the fuller bin further (the sum of squared fills grows), until no
+two underfull bins have such an exchange; bins that empty are dropped.  Then the pieces of each group's loosest bins are dealt
 into fewer groups and packed again, until one group is left.
 
 Tokenising: words between ASCII white space never share a token, so each
@@ -39,6 +39,8 @@ GROUP = 50_000
 CACHE_WORDS = 1 << 20
 #: Bins filled less than this are packed again with those of other groups.
 LOOSE = 0.9
+#: Underfull bins up to which a search returns to the loosest after a move.
+RETURN = 512
 #: ASCII marks that never share a token with a letter or digit before them.
 MARKS = b".,!?;:$%&*#@^~+=()/\"-_"
 
@@ -132,48 +134,124 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 def _exchange(full: list[int], loose: list[int], room: int, sizes: list[int]):
     """The positions to swap between two bins that fill the first the most,
     by at most ``room``: (out of the first, out of the second), or None."""
-    best, found = 0, None
+    def sets(of: list[int]) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]]]:
+        one = list({sizes[i]: (i,) for i in of}.values())  # positions of a size are alike
+        two = {sizes[a] + sizes[b]: (a, b) for n, (a,) in enumerate(one) for (b,) in one[n + 1:]}
+        seen: dict[int, int] = {}
+        for i in of:
+            if seen.setdefault(sizes[i], i) != i:
+                two[2 * sizes[i]] = (seen[sizes[i]], i)
+        return one, list(two.values())
+
+    def total(of: list[tuple[int, ...]]) -> np.ndarray:
+        return np.array([sum(sizes[i] for i in x) for x in of], np.int64)
 
-    def offer(out: list[int], into: list[int]) -> None:
-        nonlocal best, found
-        gain = sum(sizes[i] for i in into) - sum(sizes[i] for i in out)
-        if best < gain <= room:
-            best, found = gain, (out, into)
-
-    for k, x in enumerate(loose):
-        offer([], [x])
-        for n, a in enumerate(full):
-            offer([a], [x])
-            for b in full[n + 1:]:
-                offer([a, b], [x])
-        for y in loose[k + 1:]:
-            for a in full:
-                offer([a], [x, y])
+    best, found = 0, None
+    (outs, out_pairs), (ins, in_pairs) = sets(full), sets(loose)
+    for out, into in (([(), *outs, *out_pairs], ins), (outs, in_pairs)):
+        if out and into:
+            gain = total(into)[:, None] - total(out)
+            gain[gain > room] = 0
+            at = int(gain.argmax())
+            if gain.flat[at] > best:
+                best = int(gain.flat[at])
+                found = list(out[at % len(out)]), list(into[at // len(out)])
     return found
 
 
+def _sums(of: list[int], sizes: list[int]) -> tuple[int, int]:
+    """Bit sets of the sizes in a bin, and of the sums of two of them."""
+    one = two = 0
+    for i in of:
+        two |= one << sizes[i]
+        one |= 1 << sizes[i]
+    return one, two
+
+
+def _wanted(outs: int, room: int) -> int:
+    """Bit t: some sum s of ``outs`` has s < t <= s + room."""
+    made, width = outs << 1, 1
+    while width < room:
+        step = min(width, room - width)
+        made |= made << step
+        width += step
+    return made if room else 0
+
+
+class _Partners:
+    """Bins by place (loosest first): what each offers and takes in an
+    exchange, as bit sets, and the union of what a block of bins takes."""
+
+    BLOCK = 128
+
+    def __init__(self, order: list[int], bins: list[list[int]], fill: list[int], sizes: list[int], capacity: int):
+        self.order, self.bins, self.fill, self.sizes, self.capacity = order, bins, fill, sizes, capacity
+        self.has, self.takes = [(0, 0)] * len(order), [(0, 0)] * len(order)
+        self.blocks = [(0, 0)] * -(-len(order) // self.BLOCK)
+        for place in range(len(order)):
+            self._set(place)
+        for k in range(len(self.blocks)):
+            self._join(k)
+
+    def _set(self, place: int) -> None:
+        b = self.order[place]
+        one, two = self.has[place] = _sums(self.bins[b], self.sizes)
+        room = self.capacity - self.fill[b]
+        self.takes[place] = (_wanted(1 | one | two, room), _wanted(one, room)) if one else (0, 0)
+
+    def _join(self, k: int) -> None:
+        one = two = 0
+        for x, y in self.takes[k * self.BLOCK:(k + 1) * self.BLOCK]:
+            one, two = one | x, two | y
+        self.blocks[k] = one, two
+
+    def changed(self, *places: int) -> None:
+        for place in places:
+            self._set(place)
+            self._join(place // self.BLOCK)
+
+    def fullest(self, loose: int) -> int | None:
+        """The last place after ``loose`` with a bin as full or fuller that
+        has an exchange with it."""
+        one, two = self.has[loose]
+        least = self.fill[self.order[loose]]
+        for k in range(len(self.blocks) - 1, loose // self.BLOCK - 1, -1):
+            x, y = self.blocks[k]
+            if one & x or two & y:
+                for place in range(min(len(self.order), (k + 1) * self.BLOCK) - 1, max(loose, k * self.BLOCK - 1), -1):
+                    x, y = self.takes[place]
+                    if (one & x or two & y) and self.fill[self.order[place]] >= least:
+                        return place
+        return None
+
+
 def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Exchanges between underfull bins until no more bins can be emptied."""
+    """Exchanges between underfull bins until no more bins can be emptied, or
+    no two underfull bins have an exchange left.  Each round goes over the
+    bins from the loosest on, and among up to ``RETURN`` bins returns to the
+    loosest after one that moved; every exchange adds to the sum of squared
+    fills."""
     fill = [sum(sizes[i] for i in b) for b in bins]
     needed = -(-sum(fill) // capacity)
-    alive = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
-    n = len(bins)
-    while n > needed and len(alive) > 1:
-        loose, moved = alive[0], False
-        for full in reversed(alive[1:]):
-            while fill[full] < capacity and (swap := _exchange(bins[full], bins[loose], capacity - fill[full], sizes)):
-                out, into = swap
+    n, moved = len(bins), True
+    while n > needed and moved:
+        order = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
+        partners, moved = _Partners(order, bins, fill, sizes, capacity), False
+        for place, loose in enumerate(order):
+            while (other := partners.fullest(place)) is not None:
+                full = order[other]
+                out, into = _exchange(bins[full], bins[loose], capacity - fill[full], sizes)
                 bins[full] = [i for i in bins[full] if i not in out] + into
                 bins[loose] = [i for i in bins[loose] if i not in into] + out
                 gain = sum(sizes[i] for i in into) - sum(sizes[i] for i in out)
                 fill[full], fill[loose], moved = fill[full] + gain, fill[loose] - gain, True
+                partners.changed(other, place)
             if not bins[loose]:
                 n -= 1
+                if n <= needed:
+                    break
+            if moved and len(order) <= RETURN:
                 break
-        alive = [b for b in alive if bins[b] and fill[b] < capacity]
-        if not moved:
-            break
-        alive.sort(key=lambda b: fill[b])
     return [b for b in bins if b]
 
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -75,6 +76,36 @@ def test_local_search_empties_bins():
     assert all(sum(sizes[i] for i in b) <= 10 for b in made)
 
 
+def improving(bins, sizes, capacity):
+    """Whether two underfull bins have an exchange that fills the fuller one."""
+    def sums(b, counts):
+        return {sum(sizes[i] for i in c) for k in counts for c in itertools.combinations(b, k)}
+    under = sorted((b for b in bins if sum(sizes[i] for i in b) < capacity), key=lambda b: sum(sizes[i] for i in b))
+    for k, loose in enumerate(under):
+        for full in under[k + 1:]:
+            room = capacity - sum(sizes[i] for i in full)
+            for out, into in (((0, 1, 2), (1,)), ((1,), (2,))):
+                if any(0 < t - s <= room for t in sums(loose, into) for s in sums(full, out)):
+                    return True
+    return False
+
+
+@pytest.mark.parametrize("low, high, count", [(1000, 2200, 240), (1100, 2100, 240), (500, 2500, 120), (1, 5, 300)])
+def test_middling_lengths_are_searched_to_the_end(low, high, count):
+    fewer = 0
+    for seed in range(5):
+        rng = random.Random(seed)
+        capacity = 4096 if high > 5 else 11
+        sizes = [rng.randrange(low, high) for _ in range(count)]
+        start = packing.best_fit(sizes, capacity)
+        made = packing.local_search([list(b) for b in start], sizes, capacity)
+        assert sorted(i for b in made for i in b) == list(range(count))
+        assert all(sum(sizes[i] for i in b) <= capacity for b in made)
+        assert len(made) == -(-sum(sizes) // capacity) or not improving(made, sizes, capacity)
+        fewer += len(start) - len(made)
+    assert fewer > 0 or high <= 5
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_best_fit_is_valid(seed):
     rng = random.Random(seed)
