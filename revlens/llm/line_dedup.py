@@ -21,7 +21,10 @@ another line are looked at again.  Their texts are fetched by a scan with a
 Bloom filter of fixed size, which only spares work.  First each line is
 verified against the centre of its buckets; then, in further rounds, only
 lines of different components that share a bucket.  So a bucket of thousands
-of copies costs about one comparison for each, not all pairs.
+of copies costs about one comparison for each, not all pairs.  What is left
+is dealt by bucket into blocks of ``BLOCK`` lines; every two blocks of a bucket
+meet in a task, which counts common shingles through an index of them and
+gives a star for each component, so no pair is ever a row.
 
 Defined cases: null texts have no lines; lines without a word are kept and
 in no component; a null id comes first; rows with equal id and text are
@@ -52,6 +55,8 @@ SHORT, LONG = 80, 64
 RUN_CHARS, RUN_ENTRIES = 1 << 21, 1 << 20
 BLOOM_BITS = 1 << 26
 STAR_ROUNDS = 3
+#: Lines of a bucket that meet at a time, in the last step.
+BLOCK = 512
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -110,8 +115,9 @@ def _first_in_line(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return new
 
 
-def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(position in ``lines``, band key) of every band of every line."""
+def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The lines' distinct shingles, hashed, line after line (in lines of
+    under LONG shingles with repeats), and how many each line has."""
     lengths = np.array([len(x) for x in lines])
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     counts = np.maximum(1, lengths - SHINGLE + 1)
@@ -134,6 +140,12 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if (counts >= LONG).any():
         new = _first_in_line(h, counts)
         h, counts = h[new], np.add.reduceat(new, first, dtype=np.int64)
+    return h, counts
+
+
+def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(position in ``lines``, band key) of every band of every line."""
+    h, counts = _hashes(lines)
     at, keys = [], []
     for kind, (chosen, sign) in enumerate(((counts <= SHORT, _classic), (counts >= LONG, _one_permutation))):
         rows = np.flatnonzero(chosen)
@@ -290,6 +302,84 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return durable(rows.mapInArrow(_verify(similarity), "a long, b long"), "linked")
 
 
+def _meet(rows: list[tuple], similarity: float) -> Iterator[tuple[int, int]]:
+    """Links (id, id) that join the components of one block's lines, or of
+    two blocks' (side 0 and side 1), as far as these pairs do."""
+    sides, ids, names, lines = zip(*rows)
+    lines = [x.decode("utf-8", "replace") for x in lines]
+    h, counts = _hashes(lines)
+    # an index: each shingle's lines, one after the other
+    owner = np.repeat(np.arange(len(lines)), counts)
+    order = np.lexsort((owner, h))
+    h, owner = h[order], owner[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
+    h, owner = h[new], owner[new]
+    size = np.bincount(owner, minlength=len(lines))
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    stops = np.append(starts[1:], len(h))
+    shared = np.flatnonzero(stops - starts > 1)  # a shingle of one line is in no pair
+    term = np.repeat(np.arange(len(shared)), (stops - starts)[shared])
+    spots = np.concatenate([owner[a:b] for a, b in zip(starts[shared], stops[shared])]) if len(shared) else owner[:0]
+    starts = np.searchsorted(term, np.arange(len(shared) + 1))
+    by_line = np.argsort(spots, kind="stable")
+    bounds = np.searchsorted(spots[by_line], np.arange(len(lines) + 1))
+    side, two = np.array(sides), len(set(sides)) == 2
+    label = np.unique(np.array(names), return_inverse=True)[1]
+    for i in np.flatnonzero(side == 0).tolist() if two else range(len(lines)):
+        both = np.zeros(len(lines), np.int64)
+        mine = term[by_line[bounds[i]:bounds[i + 1]]].tolist()
+        for k in range(0, len(mine), 1024):
+            both += np.bincount(np.concatenate([spots[starts[t]:starts[t + 1]] for t in mine[k:k + 1024]]), minlength=len(lines))
+        near = (both >= similarity * (size + size[i] - both)) & (label != label[i])
+        near &= (side == 1) if two else (np.arange(len(lines)) > i)
+        for j in np.flatnonzero(near).tolist():
+            if label[j] != label[i]:  # not joined by an earlier one
+                x, y = shingles(lines[i]), shingles(lines[j])
+                if len(x & y) >= similarity * len(x | y):
+                    label[label == label[j]] = label[i]
+                    yield ids[i], ids[j]
+
+
+def _blocks(similarity: float):
+    """Reads rows (bucket, low, high, side, id, component, line) sorted by
+    bucket and blocks."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, held = None, []
+
+        def close() -> list[tuple[int, int]]:
+            made = list(_meet(held, similarity)) if len({r[2] for r in held}) > 1 else []
+            held.clear()
+            return made
+
+        def given(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            out = []
+            for *key, side, name, component, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != open_key:
+                    out += close()
+                    open_key = key
+                held.append((side, name, component, line))
+            yield given(out)
+        yield given(close())
+    return of
+
+
+def _across(left: DataFrame, texts: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between lines of different components that share a
+    bucket; ``left``: rows (bucket, id, component, n), n lines a bucket."""
+    # each line of a large bucket meets every block, its own included
+    dealt = left.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn(
+        "own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.join(texts, "id").select(
+        "bucket", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"),
+        (F.col("own") > F.col("with")).cast("int").alias("side"), "id", "component", "line")
+    order = ["bucket", "low", "high"]
+    met = dealt.repartition(shuffle_partitions(left.sparkSession), *order).sortWithinPartitions(*order)
+    return durable(met.mapInArrow(_blocks(similarity), "a long, b long"), "across")
+
+
 def line_components(raw: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component): lines linked to another, with the smallest line of
     their component.  ``raw``: one binary column of texts."""
@@ -321,11 +411,7 @@ def line_components(raw: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         centres = left.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), order).alias("c"))
         stars = left.join(centres, "bucket").where(F.col("component") != F.col("c.component")).select(
             "id", F.col("c.id").alias("centre"))
-    # lines of different components that share a bucket
-    one, two = left.select("bucket", F.col("id").alias("a"), F.col("component").alias("p")), left.select(
-        "bucket", F.col("id").alias("b"), F.col("component").alias("q"))
-    across = one.join(two, "bucket").where("p < q").select("a", "b").distinct()
-    return components(linked.union(_linked(across, texts, similarity)))
+    return components(linked.union(_across(left.select("bucket", "id", "component", "n"), texts, similarity)))
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -109,6 +109,36 @@ def test_repeated_shingles_against_brute_force(spark):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, parts.values()))
 
 
+def templates():
+    """Lines of one long template that differ in some letters, and close variants of a few."""
+    rng = random.Random(9)
+    base = "the quick brown fox jumps over the lazy dog while seven wizards boxed a jovial king at noon "
+    lines = []
+    for k in range(90):
+        x = list(base)
+        for at in rng.sample(range(len(x)), rng.choice([1, 2, 3, 4])):
+            x[at] = rng.choice("0123456789")
+        lines.append("".join(x).strip())
+    return sorted(set(lines))
+
+
+def test_blocks_of_a_bucket_miss_no_link(spark):
+    lines = templates()
+    sets = [ld.shingles(x) for x in lines]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(lines)), 2)
+             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert 30 < len(pairs) < len(lines) * (len(lines) - 1) / 3
+    left = spark.createDataFrame([(7, i, i, len(lines)) for i in range(len(lines))], "bucket long, id long, component long, n long")
+    texts = spark.createDataFrame([(i, x.encode()) for i, x in enumerate(lines)], "id long, line binary")
+    want = groups(range(len(lines)), pairs)
+    for block in (512, 13):
+        got = [tuple(r) for r in ld._across(left, texts, 0.8, block).collect()]
+        assert all((min(p), max(p)) in set(pairs) for p in got)
+        assert groups(range(len(lines)), got) == want
+        if block == 512:  # a star or tree for each component, not its pairs
+            assert len(got) == len(lines) - len(set(want.values()))
+
+
 def test_clean(spark):
     same = "This line stands in every one of these documents, as it is."
     near = "This line stands in every one of those documents, as it is."
