@@ -46,16 +46,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def _status(spark: SparkSession, path: str) -> list:
-    """(name, length, mtime) of a file or of a directory's direct entries,
-    plus the directory's content summary (total bytes, files, folders), so
-    a change deeper in a partitioned table also changes the key."""
+    """(path below ``path``, length, mtime) of a file or of every file in a
+    directory, at any depth, so a same-size overwrite in a partition folder
+    also changes the key."""
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return [path, None]
-    entries = sorted((s.getPath().getName(), s.getLen(), s.getModificationTime())
-                     for s in fs.listStatus(p))
-    cs = fs.getContentSummary(p)
-    return entries + [("summary", cs.getLength(), cs.getFileCount(), cs.getDirectoryCount())]
+    root = fs.getFileStatus(p).getPath().toString()
+    files, found = fs.listFiles(p, True), []
+    while files.hasNext():
+        s = files.next()
+        found.append((s.getPath().toString()[len(root):], s.getLen(), s.getModificationTime()))
+    return sorted(found)
 
 
 def fingerprint(spark: SparkSession, inputs: list[str], *extra) -> str:
@@ -83,7 +85,12 @@ def materialize_with(spark: SparkSession, writer, name: str, key: str) -> str:
     if path_exists(spark, f"{final}/_SUCCESS"):
         return final
     tmp = f"{root}/_tmp-{key}-{uuid.uuid4().hex[:8]}"
-    writer(tmp)
+    try:
+        writer(tmp)
+    except BaseException:
+        fs, src = _fs(spark, tmp)
+        fs.delete(src, True)   # ours alone; another builder's may be in use
+        raise
     if not path_exists(spark, f"{tmp}/_SUCCESS"):
         mark_done(spark, tmp)   # writers of several sub-folders (report suites)
     fs, src = _fs(spark, tmp)

@@ -131,3 +131,20 @@ def test_read_reviews_with_differing_column_sets(spark):
     df = files.read_reviews(spark, [(a, "AppF", "help"), (b, "AppF", "new", short)]).orderBy("reviewId").collect()
     assert [(r["reviewId"], r["content"], r["userName"]) for r in df] == [("r1", "text one", "u"),
                                                                           ("r2", "text two", None)]
+
+
+def test_store_key_sees_a_same_size_overwrite_below_a_partition(spark, tmp_path):
+    import os
+
+    from revlens.sources import store
+    part = tmp_path / "t" / "year=2020"
+    part.mkdir(parents=True)
+    (part / "a.parquet").write_bytes(b"1234")
+    times = [(x, os.stat(x)) for x in (part, tmp_path / "t")]
+    before = store.fingerprint(spark, [str(tmp_path / "t")])
+    assert store.fingerprint(spark, [str(tmp_path / "t")]) == before
+    (part / "a.parquet").write_bytes(b"5678")
+    os.utime(part / "a.parquet", (2_000_000_000, 2_000_000_000))
+    for x, t in times:
+        os.utime(x, ns=(t.st_atime_ns, t.st_mtime_ns))
+    assert store.fingerprint(spark, [str(tmp_path / "t")]) != before
