@@ -15,7 +15,9 @@ document is the concatenation of its words' ids.
 
 Defined cases: a null text is empty and has the end id alone; null ids and
 repeated rows are packed like any other; no rows give no rows.  Extra columns
-are ignored.
+are ignored.  Text that spells a special token, such as ``<|endoftext|>``, is
+text and never that token's id (``encode_special_tokens``; the tokenizer's
+plain call would give the id).
 """
 
 from __future__ import annotations
