@@ -6,8 +6,10 @@ Words are maximal runs of characters other than space and ``\\t``..``\\r``
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +53,14 @@ def words(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(text: bytes, cut: re.Pattern, size: int) -> Iterator[bytes]:
+    """The text in slices of about ``size`` bytes that end before a match of
+    ``cut``, a byte that separates words."""
+    at = 0
+    while at < len(text):
+        found = cut.search(text, at + size) if at + size < len(text) else None
+        to = found.start() if found else len(text)
+        yield text[at:to]
+        at = to

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import bpe, embed_dedup, langid, line_dedup, packing, quality, sharding, simhash, substring, url_filter
+from revlens.llm import (bpe, embed_dedup, langid, line_dedup, packing, periodic, quality, ranked_search, sharding, simhash,
+                         substring, token_count, url_filter)
+from revlens.llm.common import let, words
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +91,75 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "n_repeat_words", "base_failed", "kept", "score")
 
 
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): where crc32(doc_id) ends in 0, the words from one place
+    on repeat a period, as the contract of op11 lays down."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(ws):
+        n = F.size(ws)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.concat_ws(" ", F.transform(ws, lambda w, i: F.when(i < a, w).otherwise(F.get(ws, (a + (i - a) % p).cast("int")))))
+
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words(F.col("text")), repeated)).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(planted_repeats(_table(spark, sf_dir, "documents")))
+    # a longer one replaces the best so far, so of equals the first stays
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(
+        r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"),
+                                                   F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+TOKEN_LIMIT = 2048
+
+
+def op12_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(_table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, _table(spark, sf_dir, "benchmark"), k=50)
+
+
+_FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP13_SQL = f"""
+WITH wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_FOLDED}, '{_TERM}')) AS term FROM benchmark),
+found AS (
+  SELECT doc_id, unnest(regexp_extract_all({_FOLDED}, '{_TERM}')) AS term FROM documents),
+sizes AS (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id),
+corpus AS (SELECT count(*) AS docs, cast(sum(n) AS BIGINT) AS terms FROM sizes),
+tfs AS (
+  SELECT doc_id, term, count(*) AS tf FROM found WHERE term IN (SELECT term FROM wanted) GROUP BY doc_id, term),
+weights AS (
+  SELECT term, cast(floor(1000 * ln((2 * docs + 2) / cast(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tfs, corpus GROUP BY term, docs),
+impacts AS (
+  SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)) AS c
+  FROM tfs JOIN sizes USING (doc_id), corpus),
+scores AS (
+  SELECT item_id, doc_id, cast(sum(w * c) AS BIGINT) AS score
+  FROM wanted JOIN impacts USING (term) JOIN weights USING (term) GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT *, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
@@ -100,6 +171,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_periodic": op11_periodic,
+    "op12_token_count": op12_token_count,
+    "op13_ranked_search": op13_ranked_search,
 }
 
-ORACLE: dict[str, str] = {"op8_url_filter": OP8_SQL}
+ORACLE: dict[str, str] = {"op8_url_filter": OP8_SQL, "op13_ranked_search": OP13_SQL}

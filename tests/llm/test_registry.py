@@ -13,6 +13,9 @@ COLUMNS = {
     "op8_url_filter": {"page_id", "host", "path", "rule", "verdict"},
     "op9_packing": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
     "op10_quality": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
+    "op11_periodic": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
+    "op12_token_count": {"doc_id", "n_bytes", "n_tokens", "over_limit"},
+    "op13_ranked_search": {"item_id", "rank", "doc_id", "score"},
 }
 
 
@@ -22,4 +25,8 @@ def test_query_covers_its_table(spark, name):
     assert COLUMNS[name] <= set(df.columns)
     table = {"op6_embed_dedup": "embeddings", "op8_url_filter": "pages"}.get(name, "documents")
     rows, there = df.count(), spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").count()
-    assert rows >= there if name in ("op1_line_dedup", "op9_packing") else rows == there
+    if name == "op13_ranked_search":  # 50 documents at most for each item
+        items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").count()
+        assert items <= rows <= 50 * items
+    else:
+        assert rows >= there if name in ("op1_line_dedup", "op9_packing") else rows == there
