@@ -1,7 +1,7 @@
 """Command line.
 
     python -m revlens study --out OUT --scrape SCRAPE.csv \
-        --file PATH:APP:SOURCE [--file ...] [--strict]
+        --file PATH:APP:SOURCE [--file ...] [--strict] [--split-files]
     python -m revlens report NAME --sf SF_DIR      # one named query, printed
 
 The session comes from ``spark-submit`` when run there; locally a
@@ -22,6 +22,7 @@ def main(argv=None) -> int:
     s.add_argument("--scrape", required=True)
     s.add_argument("--file", action="append", required=True, help="PATH:APP:SOURCE, priority order")
     s.add_argument("--strict", action="store_true")
+    s.add_argument("--split-files", action="store_true", help="read each CSV by many tasks (RFC 4180 quoting only)")
     r = sub.add_parser("report", help="run one named query over a test-data folder")
     r.add_argument("name")
     r.add_argument("--sf", required=True)
@@ -33,7 +34,7 @@ def main(argv=None) -> int:
     if a.cmd == "study":
         from revlens.plans.study import run_study
         manifest = [tuple(x.rsplit(":", 2)) for x in a.file]
-        paths = run_study(spark, manifest, a.scrape, a.out, strict=a.strict)
+        paths = run_study(spark, manifest, a.scrape, a.out, strict=a.strict, split=a.split_files)
         for k, v in paths.items():
             print(f"{k:12s} {v}")
     else:

@@ -58,7 +58,6 @@ ERA_DISPLAY_LABELS = {
 # --- FIXED VALUES: apps, source tags, report bounds --------------------------
 APPS = ("GPay", "Paytm", "PhonePe")
 SCRAPE_APPS = ("Paytm", "BharatPe", "PhonePe", "GPay")   # scraper's app order
-HISTORICAL_SOURCES = ("kaggle_help", "kaggle_new")
 SCRAPE_SOURCE = "fresh_scrape_2026"
 REPLY_SOURCES = ("kaggle_help", "kaggle_new")
 DEEP_DIVE_APPS = ("Paytm", "PhonePe")

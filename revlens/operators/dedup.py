@@ -14,16 +14,19 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def dedup_first(df: DataFrame, key: list[str], order: list) -> DataFrame:
+def dedup_first(df: DataFrame, key: list[str], order: list, collation: str | None = None) -> DataFrame:
     """Keep the first row per ``key`` in ``order`` (ascending, NULLs first
-    unless the Column says otherwise).  NULL keys form one group."""
-    w = Window.partitionBy(*key).orderBy(*_cols(order))
+    unless the Column says otherwise).  NULL keys form one group.  With a
+    ``collation`` (such as ``UTF8_LCASE``) keys of text are compared by it."""
+    by = [F.collate(k, collation) if collation and isinstance(df.schema[k].dataType, StringType) else F.col(k) for k in key]
+    w = Window.partitionBy(*by).orderBy(*_cols(order))
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 

@@ -89,6 +89,26 @@ SELECT app, count(*) AS total_reviews, {avg('sum(rating)', 'count(rating)')} AS
 FROM R GROUP BY app""")
 
 
+def import_check_nocase() -> str:
+    return with_r(f"""
+SELECT min(app) AS app, count(*) AS total_reviews, {avg('sum(rating)', 'count(rating)')} AS avg_rating,
+       min(date) AS earliest_review, max(date) AS latest_review
+FROM (SELECT * REPLACE (CASE WHEN rating % 2 = 0 THEN upper(app) ELSE app END AS app) FROM R) m
+GROUP BY lower(app)""")
+
+
+def distinct_values() -> str:
+    return with_r("\nUNION ALL ".join(
+        f"SELECT {q(c)} AS \"column\", cast({c} AS VARCHAR) AS value, count(*) AS rows FROM R GROUP BY {c}"
+        for c in ("app", "year", "data_source")))
+
+
+def gold_sorted() -> str:
+    return with_r("""
+SELECT row_number() OVER (ORDER BY app NULLS FIRST, date NULLS LAST, review_id NULLS FIRST) AS position,
+       review_id, app, date, rating FROM R""")
+
+
 def ratings_overview(p: Params = FIXTURE) -> str:
     return with_r(f"""
 SELECT app, total_reviews, {avg('s', 'n')} AS avg_rating, negative_count, neutral_count, positive_count,
@@ -184,6 +204,15 @@ WHERE length(word) > {p.min_word_chars - 1}
 GROUP BY word ORDER BY frequency DESC, word LIMIT {p.word_count_top}""")
 
 
+def word_frequency_of(category: str, p: Params = FIXTURE) -> str:
+    return with_r(f"""
+SELECT word, count(*) AS frequency
+FROM (SELECT unnest(string_split(lower(review_text), ' ')) AS word FROM R
+      WHERE review_id IN (SELECT review_id FROM NEG WHERE complaint_category = {q(category)})) w
+WHERE length(word) > {p.min_word_chars - 1}
+GROUP BY word ORDER BY frequency DESC, word LIMIT {p.word_count_top}""", p, neg=True)
+
+
 def _deep_sql(p: Params) -> str:
     apps = ", ".join(q(a) for a in p.deep_dive_apps)
     cols = ",\n       ".join(
@@ -210,6 +239,11 @@ def monthly_prefix_excluded(p: Params = FIXTURE) -> str:
     return _with_deep(f"SELECT * FROM D WHERE NOT starts_with(year_month, {q(p.excluded_month_prefix)})", p)
 
 
+def monthly_slice(app: str, p: Params = FIXTURE) -> str:
+    return _with_deep(f"""
+SELECT * FROM D WHERE NOT starts_with(year_month, {q(p.excluded_month_prefix)}) AND app = {q(app)}""", p)
+
+
 def period_change(p: Params = FIXTURE) -> str:
     _, m1, m2 = p.period_change
     return _with_deep(f"""
@@ -364,7 +398,9 @@ LINE_ORDER_SQL = ("l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedpri
                   "l_tax, l_returnflag, l_linestatus, l_shipdate")
 
 
-def _raw_ctes(p: Params) -> str:
+def _raw_ctes(p: Params, from_files: bool = False) -> str:
+    """``from_files``: as landed from the raw CSV files, where some lines are
+    cut and some counts are no numbers."""
     from revlens.sources.testdata import HIST_MANIFEST
     app = "CASE o_orderstatus WHEN 'F' THEN 'AppF' WHEN 'O' THEN 'AppO' ELSE {o} END"
     src = "CASE WHEN l_linestatus = 'F' THEN 'help' ELSE 'new' END"
@@ -376,12 +412,18 @@ def _raw_ctes(p: Params) -> str:
     lines = ("lineitem JOIN orders ON l_orderkey = o_orderkey "
              "LEFT JOIN documents ON doc_id = o_orderkey")
     apps = ", ".join(q(a) for a in p.apps)
+    cut, thumbs, text = "false", "cast(l_quantity AS INTEGER)", "text"
+    if from_files:
+        cut, text = "(round(l_tax * 100) = 8)", "nullif(text, '')"
+        thumbs = f"CASE WHEN round(l_discount * 100) <> 10 THEN {thumbs} END"
     return f"""
 RH AS (SELECT cast(o_orderkey AS VARCHAR) AS review_id, 'cust' || cast(o_custkey AS VARCHAR) AS user_name,
-              text AS review_text, l_linenumber AS rating, cast(l_quantity AS INTEGER) AS thumbs_up,
-              '1.' || cast(l_linenumber AS VARCHAR) AS app_version,
-              CASE WHEN l_quantity >= 49 THEN 'bad' ELSE {ship} END AS date_text,
-              {reply} AS reply_text, CASE WHEN ({reply}) IS NOT NULL THEN {ship} END AS reply_date_text,
+              'img/' || cast(o_custkey AS VARCHAR) AS user_image,
+              {text} AS review_text, l_linenumber AS rating, {thumbs} AS thumbs_up,
+              '1.' || cast(l_linenumber AS VARCHAR) AS app_version, {cut} AS cut,
+              CASE WHEN {cut} THEN NULL WHEN l_quantity >= 49 THEN 'bad' ELSE {ship} END AS date_text,
+              CASE WHEN NOT {cut} THEN {reply} END AS reply_text,
+              CASE WHEN NOT {cut} AND ({reply}) IS NOT NULL THEN {ship} END AS reply_date_text,
               {app.format(o=q('AppP'))} AS app, {src} AS data_source, {frank} AS _file, {LINE_ORDER_SQL}
        FROM {lines} WHERE l_returnflag <> 'N'),
 H0 AS (SELECT review_id, user_name, {_strip('review_text')} AS review_text, rating, thumbs_up, app_version,
@@ -393,7 +435,7 @@ H3 AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY rev
          ORDER BY _file, {LINE_ORDER_SQL}) AS rn FROM H2) z WHERE rn = 1),
 H4 AS (SELECT * FROM H3 WHERE date IS NOT NULL AND rating BETWEEN 1 AND 5),
 RS AS (SELECT {app.format(o=q('AppX'))} AS app, cast(o_orderkey AS VARCHAR) AS review_id,
-              strftime(l_shipdate, '%Y-%m-%d') AS date_text, l_linenumber AS rating, text AS review_text,
+              strftime(l_shipdate, '%Y-%m-%d') AS date_text, l_linenumber AS rating, {text} AS review_text,
               cast(l_quantity AS INTEGER) AS thumbs_up, '1.' || cast(l_linenumber AS VARCHAR) AS app_version,
               'fresh' AS data_source, 0 AS _file, {LINE_ORDER_SQL}
        FROM {lines} WHERE l_returnflag = 'N'),
@@ -427,6 +469,30 @@ def gold_build(p: Params = FIXTURE) -> str:
     return f"WITH {_raw_ctes(p).strip()}\nSELECT {GOLD_SELECT} FROM G"
 
 
+def gold_from_files(p: Params = FIXTURE) -> str:
+    return f"WITH {_raw_ctes(p, from_files=True).strip()}\nSELECT {GOLD_SELECT} FROM G"
+
+
+def bronze_reviews(p: Params = FIXTURE) -> str:
+    return f"""WITH {_raw_ctes(p, from_files=True).strip()}
+SELECT review_id AS "reviewId", user_name AS "userName", user_image AS "userImage", review_text AS content, rating AS score,
+       thumbs_up AS "thumbsUpCount", app_version AS "reviewCreatedVersion", date_text AS "at", reply_text AS "replyContent",
+       reply_date_text AS "repliedAt", app, data_source FROM RH"""
+
+
+def bronze_scrape(p: Params = FIXTURE) -> str:
+    return f"""WITH {_raw_ctes(p, from_files=True).strip()}
+SELECT app, review_id, date_text AS date, rating, review_text, thumbs_up, app_version, data_source FROM RS"""
+
+
+def bronze_rejects(p: Params = FIXTURE) -> str:
+    return f"""WITH {_raw_ctes(p, from_files=True).strip()},
+BAD AS (SELECT app, data_source, 'broken record' AS reason, cast(NULL AS VARCHAR) AS "column" FROM RH WHERE cut
+        UNION ALL SELECT app, data_source, 'not a number', 'thumbsUpCount' FROM RH WHERE NOT cut AND thumbs_up IS NULL
+        UNION ALL SELECT app, data_source, 'not a date', 'at' FROM RH WHERE date_text = 'bad')
+SELECT app, data_source, reason, "column", count(*) AS rejects FROM BAD GROUP BY ALL"""
+
+
 def clean_step_audit(p: Params = FIXTURE) -> str:
     return f"""WITH {_raw_ctes(p).strip()},
 C AS (SELECT 'historical' AS layer, 0 AS seq, 'bronze' AS step, count(*) AS rows_out FROM H0
@@ -468,6 +534,15 @@ SELECT review_id, app, data_source, rating, cast(source_priority AS BIGINT) AS s
   FROM RU) z WHERE rn = 1"""
 
 
+def dedup_nocase() -> str:
+    return """
+SELECT order_id, line, part FROM (
+  SELECT (CASE WHEN l_linenumber % 2 = 0 THEN 'Order-' ELSE 'ORDER-' END) || cast(l_orderkey AS VARCHAR) AS order_id,
+         l_linenumber AS line, l_partkey AS part,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber, l_partkey) AS rn
+  FROM lineitem) z WHERE rn = 1"""
+
+
 def gold_validation(p: Params = FIXTURE) -> str:
     lo, hi = p.valid_years
     apps = list(p.apps)
@@ -592,20 +667,63 @@ def csv_roundtrip() -> str:
     return with_r(f"\nSELECT {cols} FROM R")
 
 
-def suite_manifest(named: list[tuple[str, str]]) -> str:
+def numbered(sql: str, order: str) -> str:
+    """The rows with their place under ``order``."""
+    return f"SELECT row_number() OVER (ORDER BY {order}) AS position, * FROM ({sql}) t"
+
+
+def numbered_csv(sql: str, order: str, *texts: str) -> str:
+    """The same read back from CSV, where empty text is NULL."""
+    empty = ", ".join(f"nullif({c}, '') AS {c}" for c in texts)
+    return f"SELECT * REPLACE ({empty}) FROM ({numbered(sql, order)}) c"
+
+
+#: The order of each report that defines one (NULLs first where ascending).
+ORDER = {
+    "import_check": "app", "import_check_nocase": "app", "ratings_overview": "avg_rating NULLS FIRST, app",
+    "rating_trend_yearly": "app, year", "worst_year": "app", "last_rating_per_app": "app",
+    "source_bias_profile": "app, data_source", "layer_profile": "app",
+    "distinct_values": "\"column\", value NULLS FIRST",
+    "complaint_categories": "app, rank_within_app, complaint_category",
+    "complaint_categories_default_lexicon": "app, rank_within_app, complaint_category",
+    "category_ratio": "complaint_category", "word_frequency": "frequency DESC, word",
+    "word_frequency_other": "frequency DESC, word",
+    "monthly_deepdive": "app, year_month NULLS FIRST", "monthly_prefix_excluded": "app, year_month",
+    "monthly_slice_app": "app, year_month", "period_change": "app",
+    "response_summary": "response_rate_pct DESC, app", "response_by_year": "app, year", "era_sentiment": "app, era",
+    "era_complaints": "app, era, rank_in_era, complaint_category", "era_heatmap": "app, complaint_category",
+    "era_top_complaint": "app, era, top_complaint", "era_summary_grid": "app", "clean_step_audit": "layer, seq",
+    "newest_n_per_app": "app, date DESC, review_id", "landing_summary": "app",
+    "feed_clean": "date DESC, query, url", "feed_top_sources": "count DESC, source",
+}
+
+
+def fallback_first_name(p: Params) -> str:
+    """SQL for a category's own name, given its display name."""
+    back = " ".join(f"WHEN complaint_category = {q(v)} THEN {q(k)}" for k, v in p.category_relabel.items())
+    return f"CASE {back} ELSE complaint_category END"
+
+
+def bi_table(name: str, p: Params = FIXTURE) -> str:
+    """One BI export: its result, with the fallback's display name and the
+    era's display label where the charts show them."""
+    relabel = " ".join(f"WHEN complaint_category = {q(k)} THEN {q(v)}" for k, v in p.category_relabel.items())
+    renamed = f"* REPLACE (CASE {relabel} ELSE complaint_category END AS complaint_category)"
+    labels = "CASE " + " ".join(f"WHEN era = {q(k)} THEN {q(v)}" for k, v in p.era_labels.items()) + " END AS era_label"
+    plain = {"tableau_ratings.csv": ratings_overview, "tableau_trend.csv": rating_trend_yearly,
+             "tableau_complaints.csv": complaint_categories, "tableau_monthly.csv": monthly_deepdive,
+             "tableau_response_a.csv": response_summary, "tableau_response_b.csv": response_by_year,
+             "tableau_era.csv": era_complaints, "tableau_summary.csv": era_top_complaint}
+    what = {"tableau_complaints.csv": renamed, "tableau_era.csv": f"{renamed}, {labels}", "tableau_summary.csv": f"*, {labels}"}
+    return f"SELECT {what.get(name, '*')} FROM ({plain[name](p)}) b"
+
+
+def suite_manifest(named: list[tuple[str, str]], missing: tuple[str, ...] = ()) -> str:
     return "\nUNION ALL\n".join(
+        f"SELECT {q(n)} AS report, cast(0 AS BIGINT) AS rows, false AS present" if n in missing else
         f"SELECT {q(n)} AS report, count(*) AS rows, true AS present FROM ({sql}) s{i}"
         for i, (n, sql) in enumerate(named))
 
 
 def silver_scrape(p: Params = FIXTURE) -> str:
     return f"WITH {_raw_ctes(p).strip()}\nSELECT {GOLD_SELECT} FROM S4"
-
-
-def bi_era_table(p: Params = FIXTURE) -> str:
-    relabel = " ".join(f"WHEN complaint_category = {q(k)} THEN {q(v)}" for k, v in p.category_relabel.items())
-    labels = " ".join(f"WHEN era = {q(k)} THEN {q(v)}" for k, v in p.era_labels.items())
-    return with_r(f"""
-SELECT app, era, CASE {relabel} ELSE complaint_category END AS complaint_category, complaint_count,
-       pct_of_era_negatives, rank_in_era, CASE {labels} END AS era_label
-FROM E""", p, neg=True, ctes=_era_cmp_sql(p))

@@ -11,13 +11,13 @@ rows have no order of their own, so readers attach these at the scan.
 Shuffles: one per source for the per-source dedup (hash on review_id) and
 one for the cross-source dedup.  Each dedup forwards at most one row per
 key per map task (partial WindowGroupLimit), so a hot review id is cheap.
-The gold table is written sorted within partitions by (app, date) rather
-than globally sorted: no range shuffle, same files for every consumer.
+The gold table itself is partitioned by year and sorted within files; its
+CSV export is in the study's order (``files.in_table_order``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.dates import add_calendar, parse_ts
@@ -89,43 +89,48 @@ def gold_build(raw_hist: DataFrame, raw_scrape: DataFrame, params: Params) -> Da
     return conform(g["cross_source_dedup"], GOLD)
 
 
+def _audit_rows(bronze: DataFrame, params: Params, name: str, **passes) -> DataFrame:
+    """(review_id, <name>: in this source, long enough, and for those the
+    place in input order with what the filters after the dedup would say)."""
+    first = F.struct(*ORDER, *(F.coalesce(c, F.lit(False)).alias(k) for k, c in passes.items()))
+    long_enough = F.length(clean_text("review_text")) >= params.min_review_chars
+    return bronze.select("review_id", F.lit(True).alias(name), long_enough.alias(f"{name}_long"),
+                         F.when(long_enough, first).alias(f"{name}_first"))
+
+
 def clean_step_audit(raw_hist: DataFrame, raw_scrape: DataFrame, params: Params) -> DataFrame:
-    """K8: rows in / out / dropped per cleaning step.  Counts are taken with
-    one aggregation per stage group (the filters that follow a dedup are
-    conditional counts over the dedup output, not separate passes)."""
-    h = historical_stages(raw_hist, params)
-    s = scrape_stages(raw_scrape, params)
-    g = gold_stages(h["rating_filter"], s["app_filter"])
-
-    def counts(df: DataFrame, layer: str, first: int, names: list[str], conds: list) -> DataFrame:
-        aggs = [F.count_if(c).alias(f"_{i}") for i, c in enumerate(conds)]
-        a = df.agg(*aggs)
-        rows = [F.struct(F.lit(layer).alias("layer"), F.lit(first + i).alias("seq"),
-                         F.lit(n).alias("step"),
-                         F.col(f"_{i}").alias("rows_out"))
-                for i, n in enumerate(names)]
-        return a.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-
-    t = F.lit(True)
-    date_ok = F.col("date").isNotNull()
-    rate_ok = F.col("rating").between(1, 5)
-    parts = [
-        counts(h["bronze"], "historical", 0, ["bronze", "length_filter"],
-               [t, F.length(clean_text("review_text")) >= params.min_review_chars]),
-        counts(h["dedup"], "historical", 2, ["dedup", "date_filter", "rating_filter"],
-               [t, date_ok, date_ok & F.coalesce(rate_ok, F.lit(False))]),
-        counts(s["bronze"], "scrape", 0, ["bronze", "length_filter"],
-               [t, F.length(clean_text("review_text")) >= params.min_review_chars]),
-        counts(s["dedup"], "scrape", 2, ["dedup", "app_filter"],
-               [t, F.col("app").isin(*params.apps)]),
-        counts(g["union"], "gold", 0, ["union"], [t]),
-        counts(g["cross_source_dedup"], "gold", 1, ["cross_source_dedup"], [t]),
-    ]
-    a = union_all(parts)
-    w = Window.partitionBy("layer").orderBy("seq")
-    prev = F.lag("rows_out").over(w)
-    return (a.withColumn("rows_in", F.coalesce(prev, F.col("rows_out")))
-             .withColumn("dropped", F.col("rows_in") - F.col("rows_out"))
-             .select("layer", F.col("seq").cast("long").alias("seq"), "step",
-                     "rows_in", "rows_out", "dropped")
-             .orderBy("layer", "seq"))
+    """K8: rows in / out / dropped per cleaning step, in one pass.
+
+    Each source is scanned once, and one aggregation by review id finds for
+    both sources how many rows and long-enough rows the id has and the first
+    of these, with the verdict of the later filters beside it; every step is a
+    sum or conditional count over that.  It is an aggregation and not a
+    window: the first row is a minimum, combined before the shuffle, so an id
+    with a third of all rows costs one row per task.  No text is shuffled."""
+    dated = F.col("date").isNotNull()
+    h = _audit_rows(historical_stages(raw_hist, params)["bronze"], params, "hist",
+                    dated=dated, rated=dated & F.col("rating").between(1, 5))
+    s = _audit_rows(scrape_stages(raw_scrape, params)["bronze"], params, "scrape",
+                    allowed=F.col("app").isin(*params.apps))
+    by_id = union_all([h, s]).groupBy("review_id").agg(
+        *(F.count(x).alias(x) for x in ("hist", "scrape")),
+        *(F.count_if(f"{x}_long").alias(f"{x}_long") for x in ("hist", "scrape")),
+        *(F.min(f"{x}_first").alias(f"{x}_first") for x in ("hist", "scrape")))
+    kept_h, kept_s = (F.coalesce(F.col(c), F.lit(False)) for c in ("hist_first.rated", "scrape_first.allowed"))
+    steps = {
+        "historical": [("bronze", F.sum("hist")), ("length_filter", F.sum("hist_long")),
+                       ("dedup", F.count("hist_first")), ("date_filter", F.count_if("hist_first.dated")),
+                       ("rating_filter", F.count_if(kept_h))],
+        "scrape": [("bronze", F.sum("scrape")), ("length_filter", F.sum("scrape_long")),
+                   ("dedup", F.count("scrape_first")), ("app_filter", F.count_if(kept_s))],
+        "gold": [("union", F.count_if(kept_h) + F.count_if(kept_s)), ("cross_source_dedup", F.count_if(kept_h | kept_s))],
+    }
+    told = by_id.agg(*(F.coalesce(n, F.lit(0)).cast("long").alias(f"{layer}_{k}")
+                       for layer, named in steps.items() for k, (_, n) in enumerate(named)))
+    rows = []
+    for layer in sorted(steps):
+        for k, (step, _) in enumerate(steps[layer]):
+            before, now = F.col(f"{layer}_{max(k - 1, 0)}"), F.col(f"{layer}_{k}")
+            rows.append(F.struct(F.lit(layer).alias("layer"), F.lit(k).cast("long").alias("seq"), F.lit(step).alias("step"),
+                                 before.alias("rows_in"), now.alias("rows_out"), (before - now).alias("dropped")))
+    return told.select(F.inline(F.array(*rows))).orderBy("layer", "seq")

@@ -10,6 +10,12 @@ from revlens.functions.text import trimmed_length
 from revlens.params import Params
 
 
+def negative_texts(gold_df: DataFrame, params: Params) -> DataFrame:
+    """(review_id, review_text) of the negative, non-trivial reviews."""
+    return gold_df.where((F.col("rating") <= params.negative_max_rating)
+                         & (trimmed_length("review_text") >= params.min_complaint_chars)).select("review_id", "review_text")
+
+
 def classified_negatives(gold_df: DataFrame, params: Params) -> DataFrame:
     """Negative, non-trivial reviews with their complaint category.  The
     filter runs first so only negatives pay for the substring tests, and the

@@ -60,22 +60,32 @@ def export_bi(reports: dict[str, DataFrame], params: Params, out_dir: str) -> No
         files.write_report_csv(df, f"{out_dir}/{fname}")
 
 
-def read_reports(spark: SparkSession, out_dir: str, reports: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Reload each result with the schema of the report that wrote it."""
-    return {n: files.read_report_csv(spark, f"{out_dir}/{n}.csv", df.schema) for n, df in reports.items()}
+def read_reports(spark: SparkSession, out_dir: str, reports: dict[str, DataFrame],
+                 suffix: str = ".csv") -> dict[str, DataFrame]:
+    """Reload each result with the schema of the report that wrote it, and
+    ``position`` (from 1), its place in the file."""
+    return {n: files.read_landing_csv(spark, f"{out_dir}/{n}{suffix}", df.schema) for n, df in reports.items()}
+
+
+def written_files(spark: SparkSession, out_dir: str) -> DataFrame:
+    """(report, files, bytes) of the result folders below ``out_dir``, from a
+    listing alone: no content is read."""
+    part = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*")
+            .load(out_dir).select(F.regexp_extract("path", "/([^/]+)/[^/]+$", 1).alias("report"), "length"))
+    return part.groupBy("report").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
 def suite_manifest(spark: SparkSession, out_dir: str, reports: dict[str, DataFrame],
                    suffix: str = ".csv") -> DataFrame:
     """(report, rows, present) for every expected result file."""
-    parts = []
+    expected = spark.createDataFrame([(n, f"{n}{suffix}") for n in reports], "report string, file string")
+    listed = written_files(spark, out_dir) if path_exists(spark, out_dir) else spark.createDataFrame(
+        [], "report string, files long, bytes long")
+    absent = expected.join(listed.select(F.col("report").alias("file")), "file", "left_anti")
+    gone = {r["report"] for r in absent.select("report").collect()}  # of the expected names
+    parts = [absent.select("report", F.lit(0).cast("long").alias("rows"), F.lit(False).alias("present"))]
     for name, df in reports.items():
-        path = f"{out_dir}/{name}{suffix}"
-        if path_exists(spark, path):
-            n = files.read_report_csv(spark, path, df.schema).agg(F.count(F.lit(1)).alias("rows"))
+        if name not in gone:
+            n = files.read_report_csv(spark, f"{out_dir}/{name}{suffix}", df.schema).agg(F.count(F.lit(1)).alias("rows"))
             parts.append(n.select(F.lit(name).alias("report"), "rows", F.lit(True).alias("present")))
-        else:
-            parts.append(spark.range(1).select(F.lit(name).alias("report"),
-                                               F.lit(0).cast("long").alias("rows"),
-                                               F.lit(False).alias("present")))
     return reduce(DataFrame.unionByName, parts)

@@ -35,6 +35,10 @@ def literal_alternation(patterns) -> str:
     return "|".join("\\Q" + p + "\\E" for p in patterns)
 
 
+#: Collation under which text that differs in case only is equal.
+NOCASE = "UTF8_LCASE"
+
+
 def slug(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
 
@@ -62,9 +66,13 @@ def _pct(part: str, whole: str) -> Column:
 # review_text out of the scan).
 # --------------------------------------------------------------------------
 
-def import_check(gold: DataFrame) -> DataFrame:
-    """Rows, average rating and date range per app."""
-    a = gold.groupBy("app").agg(
+def import_check(gold: DataFrame, nocase: bool = False) -> DataFrame:
+    """Rows, average rating and date range per app.  ``nocase``: names that
+    differ in case only are one app, as under the study's database collation;
+    it is shown under the first of its spellings."""
+    key, name = ([F.collate("app", NOCASE).alias("_app")], [F.min("app").alias("app")]) if nocase else (["app"], [])
+    a = gold.groupBy(*key).agg(
+        *name,
         F.count(F.lit(1)).alias("total_reviews"),
         F.sum("rating").alias("_s"), F.count("rating").alias("_n"),
         F.min("date").alias("earliest_review"), F.max("date").alias("latest_review"))
@@ -149,6 +157,15 @@ def layer_profile(gold: DataFrame) -> DataFrame:
              .orderBy("app"))
 
 
+def distinct_values(gold: DataFrame) -> DataFrame:
+    """The distinct apps, years and sources, with their rows, in one scan:
+    each row gives its three (column, value) pairs, counted before the shuffle."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                      for c in ("app", "year", "data_source")))
+    return (gold.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
+                .orderBy("column", "value"))
+
+
 # --------------------------------------------------------------------------
 # Complaint reports over classified negatives
 # --------------------------------------------------------------------------
@@ -191,7 +208,20 @@ def word_frequency(gold: DataFrame, params: Params) -> DataFrame:
     # one quoted-literal alternation: the filter is pushed below the
     # projection, and separate contains() tests would each re-lower the text
     low = neg.select(t.alias("_t")).where(~F.col("_t").rlike(literal_alternation(params.word_count_excluded)))
-    words = low.select(F.explode(F.split("_t", " ")).alias("word")).where(
+    return _top_words(low, params)
+
+
+def word_frequency_of(texts: DataFrame, neg: DataFrame, category: str, params: Params) -> DataFrame:
+    """P4 over the negatives that the classifier puts in ``category`` (the
+    fallback: what no pattern explains), instead of the excluded substrings.
+    A semi join on review id; with both sides bucketed by it
+    (``testdata.negatives_by_id``) nothing is moved before the count."""
+    ids = neg.where(F.col("complaint_category") == category).select("review_id")
+    return _top_words(texts.join(ids, "review_id", "left_semi").select(F.lower("review_text").alias("_t")), params)
+
+
+def _top_words(lowered: DataFrame, params: Params) -> DataFrame:
+    words = lowered.select(F.explode(F.split("_t", " ")).alias("word")).where(
         F.length("word") >= params.min_word_chars)
     return (words.groupBy("word").agg(F.count(F.lit(1)).alias("frequency"))
                  .orderBy(F.desc("frequency"), "word").limit(params.word_count_top))

@@ -5,8 +5,10 @@ nine result sets -> BI tables.
 
 - ``manifest``: [(csv path, app, data_source), ...] historical exports in
   priority order; ``scrape_path``: the fresh-scrape CSV.
-- Writes ``bronze/`` (the raw files, each read once), ``gold/`` (Parquet, partitioned by year), ``gold_export/`` (CSV for
-  other tools), ``checks/`` (quality report), ``audit/`` (rows per step),
+- Writes ``bronze/`` (the raw files, each read once), ``rejects/`` (what was
+  wrong in them: file, place, reason, column, value), ``gold/`` (Parquet,
+  partitioned by year), ``gold_export/`` (CSV for other tools, in table order
+  over numbered files, with a byte order mark), ``checks/`` (quality report), ``audit/`` (rows per step),
   ``results/<name>.csv`` (nine result sets) and ``bi/<file>`` (eight tables).
 - With ``strict=True`` a failed quality check stops the run before any
   report is written (the reference only prints a warning).
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from revlens.constants import SCRAPE_SOURCE
 from revlens.params import REFERENCE, Params
 from revlens.plans import cleaning, quality, reports
 from revlens.plans.complaints import classified_negatives
@@ -29,12 +32,15 @@ from revlens.sources import files
 
 def run_study(spark: SparkSession, manifest: list[tuple[str, str, str]], scrape_path: str,
               out_dir: str, params: Params = REFERENCE, strict: bool = False,
-              scrape_source: str = "fresh_scrape_2026") -> dict[str, str]:
+              scrape_source: str = SCRAPE_SOURCE, split: bool = False) -> dict[str, str]:
+    """``split``: large CSV files are read by many tasks each (RFC 4180 only)."""
     out_dir = out_dir.rstrip("/")
-    files.read_reviews(spark, manifest).write.mode("overwrite").parquet(f"{out_dir}/bronze/reviews")
-    files.read_scrape(spark, scrape_path, scrape_source).write.mode("overwrite").parquet(f"{out_dir}/bronze/scrape")
+    files.read_reviews(spark, manifest, split=split).write.mode("overwrite").parquet(f"{out_dir}/bronze/reviews")
+    files.read_scrape(spark, scrape_path, scrape_source, split).write.mode("overwrite").parquet(f"{out_dir}/bronze/scrape")
     raw_hist = spark.read.parquet(f"{out_dir}/bronze/reviews")
     raw_scrape = spark.read.parquet(f"{out_dir}/bronze/scrape")
+    (files.rejects(raw_hist).union(files.rejects(raw_scrape))
+        .write.mode("overwrite").parquet(f"{out_dir}/rejects"))
 
     gold_dir = f"{out_dir}/gold"
     (cleaning.gold_build(raw_hist, raw_scrape, params)
@@ -49,7 +55,7 @@ def run_study(spark: SparkSession, manifest: list[tuple[str, str, str]], scrape_
     if strict:
         quality.require(spark.read.parquet(f"{out_dir}/checks"))
 
-    files.write_gold_csv(gold, f"{out_dir}/gold_export")
+    files.write_gold_csv(files.in_table_order(gold), f"{out_dir}/gold_export", bom=True)
 
     neg_dir = f"{out_dir}/negatives"
     # few files for each year, however many tasks scan; a large year is split
@@ -62,4 +68,4 @@ def run_study(spark: SparkSession, manifest: list[tuple[str, str, str]], scrape_
     export_bi(suite, params, f"{out_dir}/bi")
     return {"gold": gold_dir, "negatives": neg_dir, "checks": f"{out_dir}/checks",
             "audit": f"{out_dir}/audit", "results": f"{out_dir}/results", "bi": f"{out_dir}/bi",
-            "gold_export": f"{out_dir}/gold_export"}
+            "gold_export": f"{out_dir}/gold_export", "rejects": f"{out_dir}/rejects"}

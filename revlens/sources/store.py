@@ -14,23 +14,22 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FALLBACK = "/tmp/revlens-checkpoints"
-
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder.  Read from the session; only a local
-    session (tests) without one gets a local default."""
+    session (tests) without one gets a fresh local folder, set for the session."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
         master = spark.sparkContext.master or ""
         if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        d = _LOCAL_FALLBACK
-        spark.sparkContext.setCheckpointDir(d)
+        d = tempfile.mkdtemp(prefix="revlens-checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
 
 
@@ -104,6 +103,12 @@ def materialize_with(spark: SparkSession, writer, name: str, key: str) -> str:
     return final
 
 
+def run_token(spark: SparkSession) -> str:
+    """Part of the key of files that are written to be read back: a bench run
+    sets a new one, so that the writing is timed each time."""
+    return spark.conf.get("revlens.run", "")
+
+
 # Durable tables are written from larger shuffle partitions than queries
 # use, so a year-partitioned write yields files of tens of MB, not a few MB.
 WRITE_CONF = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024)}
@@ -144,3 +149,29 @@ def materialize(spark: SparkSession, df_builder, name: str, key: str,
         with _conf(spark, WRITE_CONF):
             w.parquet(path)
     return materialize_with(spark, write, name, key)
+
+
+def bucketed(spark: SparkSession, df: DataFrame, name: str, key: str, column: str) -> DataFrame:
+    """``df``, written once in buckets of ``column`` (as many as a shuffle has
+    partitions), as a table that Spark knows to be laid out so: joins and
+    groupings on the column need no exchange."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def declare(table: str, path: str) -> None:
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
+                  f"CLUSTERED BY (`{column}`) SORTED BY (`{column}`) INTO {n} BUCKETS LOCATION '{path}'")
+
+    def write(path: str) -> None:
+        table = f"revlens_{uuid.uuid4().hex}"
+        declare(table, path)
+        try:
+            # a task writes one bucket's file
+            df.repartition(n, column).write.mode("append").format("parquet").bucketBy(n, column).sortBy(column).saveAsTable(table)
+        finally:
+            spark.sql(f"DROP TABLE {table}")  # the files stay
+
+    path = materialize_with(spark, write, name, f"{key}-{n}")
+    table = f"revlens_{name}_{key}_{n}"
+    declare(table, path)
+    return spark.table(table)

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.params import Params
-from revlens.plans.complaints import classified_negatives
-from revlens.schema import GOLD, GOLD_COLUMNS
+from revlens.plans.complaints import classified_negatives, negative_texts
+from revlens.schema import GOLD, GOLD_COLUMNS, RAW_HISTORICAL, RAW_SCRAPE
 from revlens.sources import store
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -111,6 +111,19 @@ def negatives(spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
                     "year_month", "complaint_category"))
 
 
+def negatives_by_id(spark: SparkSession, sf_dir: str, params: Params) -> tuple[DataFrame, DataFrame]:
+    """(texts, classes) of the negatives, both bucketed by review id, so that
+    a join on it moves neither."""
+    gpath = gold_path(spark, sf_dir)
+    key = store.fingerprint(spark, [gpath], "by-id-v1", params.lexicon, params.fallback_category,
+                            params.negative_max_rating, params.min_complaint_chars)
+    gold_df = spark.read.schema(GOLD).parquet(gpath)
+    texts = store.bucketed(spark, negative_texts(gold_df, params), "negative_texts", key, "review_id")
+    classes = store.bucketed(spark, classified_negatives(gold_df, params).select("review_id", "complaint_category"),
+                             "negative_classes", key, "review_id")
+    return texts, classes
+
+
 # --------------------------------------------------------------------------
 # Raw landing files for the cleaning pipeline
 # --------------------------------------------------------------------------
@@ -184,6 +197,54 @@ def raw_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The same rows as CSV files, one folder per manifest entry and one for the
+# scrape, with what goes wrong in such files: lines of a tax of 8 % are cut
+# after their seventh value, and those of a discount of 10 % say "n/a" for
+# the thumbs-up count.
+
+CUT_AFTER = 7
+
+
+def _percent(column: str):
+    return F.round(F.col(f"_pos.{column}") * 100)
+
+
+def _write_lines(rows: DataFrame, line, names: list[str], order: list[str], path: str, bom: bool = False) -> None:
+    """CSV lines in ``order`` over numbered files, a header in front of each."""
+    header = ("\ufeff" if bom else "") + ",".join(names)
+    first = F.monotonically_increasing_id().bitwiseAND(2**33 - 1) == 0  # of its task
+    (rows.repartitionByRange(*order).sortWithinPartitions(*order)
+         .select(line.alias("line"), first.alias("first"))
+         .select(F.explode(F.when(F.col("first"), F.array(F.lit(header), "line")).otherwise(F.array("line"))).alias("value"))
+         .write.text(path))
+
+
+def _line(columns: list):
+    return F.to_csv(F.struct(*columns), {"quote": '"', "escape": '"', "emptyValue": "", "nullValue": "",
+                                         "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+
+
+def raw_csv(spark: SparkSession, sf_dir: str) -> tuple[list[tuple[str, str, str]], str]:
+    """The raw landing files: (manifest, path of the scrape)."""
+    key = store.fingerprint(spark, _inputs(sf_dir, ("lineitem", "orders", "documents")), "raw-csv-v1", store.run_token(spark))
+
+    def write(path: str) -> None:
+        rows = f"{path}/rows"
+        raw_historical(spark, sf_dir).write.partitionBy("_file").parquet(rows)
+        names = RAW_HISTORICAL.fieldNames()
+        thumbs = F.when(_percent("l_discount") == 10, "n/a").otherwise(F.col("thumbsUpCount").cast("string"))
+        columns = [thumbs.alias(n) if n == "thumbsUpCount" else F.col(n) for n in names]
+        line = F.when(_percent("l_tax") == 8, _line(columns[:CUT_AFTER])).otherwise(_line(columns))
+        for i, (app, source) in enumerate(HIST_MANIFEST):
+            _write_lines(spark.read.parquet(rows).where(F.col("_file") == i), line, names, ["_pos", "reviewId"],
+                         f"{path}/{app}-{source}")
+        names = RAW_SCRAPE.fieldNames()
+        _write_lines(raw_scrape(spark, sf_dir), _line(names), names, ["_pos", "review_id"], f"{path}/scrape", bom=True)
+
+    path = store.materialize_with(spark, write, "raw_csv", key)
+    return [(f"{path}/{app}-{source}", app, source) for app, source in HIST_MANIFEST], f"{path}/scrape"
+
+
 # --------------------------------------------------------------------------
 # News feed items from events
 # --------------------------------------------------------------------------
@@ -225,9 +286,21 @@ def gold_csv_path(spark: SparkSession, sf_dir: str) -> str:
     """Gold exported as CSV (A5) once per snapshot."""
     from revlens.sources import files
     gpath = gold_path(spark, sf_dir)
-    key = store.fingerprint(spark, [gpath], "csv-v1")
+    key = store.fingerprint(spark, [gpath], "csv-v2", store.run_token(spark))
     return store.materialize_with(
-        spark, lambda p: files.write_gold_csv(spark.read.schema(GOLD).parquet(gpath), p), "gold_csv", key)
+        spark, lambda p: files.write_gold_csv(files.in_table_order(spark.read.schema(GOLD).parquet(gpath)), p, bom=True),
+        "gold_csv", key)
+
+
+def gold_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gold table written in the study's order over numbered files, and
+    read back with each row's place in file order."""
+    from revlens.sources import files
+    gpath = gold_path(spark, sf_dir)
+    key = store.fingerprint(spark, [gpath], "ordered-v1", store.run_token(spark))
+    path = store.materialize_with(
+        spark, lambda p: files.in_table_order(spark.read.schema(GOLD).parquet(gpath)).write.parquet(p), "gold_ordered", key)
+    return files.read_positions(spark, path, "review_id", "app", "date", "rating")
 
 
 def gold_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,20 +312,33 @@ def gold_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feed_xml_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed items written as RSS XML once per snapshot and read back (A3)."""
     from revlens.sources import files
-    key = store.fingerprint(spark, _inputs(sf_dir, ("events",)), "xml-v2", FEED_QUERIES)
+    key = store.fingerprint(spark, _inputs(sf_dir, ("events",)), "xml-v2", FEED_QUERIES, store.run_token(spark))
     path = store.materialize_with(
         spark, lambda p: files.write_feed_xml(feed_items(spark, sf_dir), p), "feed_xml", key)
     idx = F.create_map(*[F.lit(x) for i, qn in enumerate(FEED_QUERIES) for x in (qn, i)])
     return files.read_feed_xml(spark, path).withColumn("query_idx", idx[F.col("query")].cast("int"))
 
 
-def suite_dir(spark: SparkSession, sf_dir: str, params: Params, reports_builder) -> str:
+def suite_dir(spark: SparkSession, sf_dir: str, params: Params, reports_builder, missing: tuple[str, ...] = ()) -> str:
     """The nine report CSVs for this snapshot and parameter set (A6), written
-    once; ``reports_builder()`` returns the name -> DataFrame dict."""
+    once, but for those ``missing``; ``reports_builder()`` returns the name ->
+    DataFrame dict."""
     from revlens.plans.export import run_suite
     gpath = gold_path(spark, sf_dir)
-    key = store.fingerprint(spark, [gpath], "suite-v1", repr(params))
-    return store.materialize_with(spark, lambda p: run_suite(reports_builder(), p), "suite", key)
+    key = store.fingerprint(spark, [gpath], "suite-v2", repr(params), sorted(missing), store.run_token(spark))
+
+    def write(path: str) -> None:
+        run_suite({n: df for n, df in reports_builder().items() if n not in missing}, path)
+
+    return store.materialize_with(spark, write, "suite", key)
+
+
+def landed_csv(spark: SparkSession, sf_dir: str, name: str, landed: DataFrame, order: list, inputs, *extra) -> DataFrame:
+    """A landed table written as its one CSV file (A10) and read back."""
+    from revlens.sources import files
+    key = store.fingerprint(spark, _inputs(sf_dir, inputs), "landed-v1", name, extra, store.run_token(spark))
+    path = store.materialize_with(spark, lambda p: files.write_landing_csv(landed, p, order), "landed", key)
+    return files.read_landing_csv(spark, path, landed.schema)
 
 
 def gold_stream_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,5 +357,5 @@ def gold_stream_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def export_dir(spark: SparkSession, sf_dir: str, params: Params, writer) -> str:
     """The BI export folder for this snapshot and parameter set."""
     gpath = gold_path(spark, sf_dir)
-    key = store.fingerprint(spark, [gpath], "bi-v1", repr(params))
+    key = store.fingerprint(spark, [gpath], "bi-v2", repr(params), store.run_token(spark))
     return store.materialize_with(spark, writer, "bi", key)

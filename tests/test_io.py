@@ -77,7 +77,7 @@ def test_landing_csv_has_bom_header_and_order(spark):
     assert raw.startswith(b"\xef\xbb\xbfapp,review_id,date\n")
     assert raw.decode("utf-8-sig").splitlines()[1:] == ["AppF,3,2024-01-05", "AppF,2,2024-01-01",
                                                         "AppO,1,2024-01-02"]
-    back = files.read_csv(spark, d, df.schema).collect()
+    back = files.read_report_csv(spark, d, df.schema).collect()
     assert back[0]["app"] == "AppF"
 
 

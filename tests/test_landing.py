@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from revlens.functions.dates import parse_rfc822
 from revlens.plans import landing as ld
@@ -49,77 +50,54 @@ def test_scrape_landing_cap_before_cleaning(spark):
     assert out[0]["date"] == "2024-01-09" and out[0]["app_version"] == ""
 
 
-def test_feed_landing_matches_the_collector_loop_on_random_items(spark):
-    import random
+def test_feed_landing_on_random_items(spark):
+    """Said as conditions on each item: among the first ``cap`` of its query,
+    not known to be older than the cutoff, and of the smallest query index
+    that its URL has among such items."""
     rng = random.Random(3)
-    base = dt.datetime(2023, 1, 1, tzinfo=dt.timezone.utc)
-    rows = []
-    for pos in range(400):
-        q = rng.randrange(4)
-        when = base + dt.timedelta(hours=rng.randrange(-72, 72))
-        kind = rng.random()
-        if kind < 0.1:
-            pub = None
-        elif kind < 0.2:
-            pub = "garbage"
-        elif kind < 0.6:
-            pub = when.strftime("%a, %d %b %Y %H:%M:%S GMT")
-        else:
-            pub = when.astimezone(dt.timezone(dt.timedelta(hours=5, minutes=30))).strftime("%a, %d %b %Y %H:%M:%S %z")
-        rows.append((f"q{q}", q, pos, f"t{pos}", f"u{rng.randrange(60)}", f"s{rng.randrange(5)}", pub))
-    cutoff, cap = dt.datetime(2023, 1, 1, tzinfo=dt.timezone.utc), 30
-
-    def parse(s):
-        for fmt in ("%a, %d %b %Y %H:%M:%S %z", "%a, %d %b %Y %H:%M:%S GMT"):
-            try:
-                d = dt.datetime.strptime(s.strip(), fmt)
-                return d if d.tzinfo else d.replace(tzinfo=dt.timezone.utc)
-            except (ValueError, AttributeError):
-                continue
-        return None
-
-    seen, want = set(), []
-    for q in range(4):
-        items = sorted((r for r in rows if r[1] == q), key=lambda r: r[2])[:cap]
-        kept = [r for r in items if not (parse(r[6]) and parse(r[6]) < cutoff)]
-        new = [r for r in kept if r[4] not in seen]
-        seen.update(r[4] for r in new)
-        want += [(r[0], parse(r[6]).strftime("%Y-%m-%d") if parse(r[6]) else "", r[3], r[5], r[4]) for r in new]
-
-    got = ld.feed_landing(_items(spark, rows), "2023-01-01 00:00:00", cap).collect()
-    assert sorted(tuple(r) for r in got) == sorted(want)
-
-
-def test_scrape_landing_matches_the_scraper_loop_on_random_reviews(spark):
-    import random
+    start = dt.datetime(2023, 1, 1, 5)
+    told = {  # how a date is written -> (spelling, day shown) of an hour offset
+        "gmt": lambda h: ((start + dt.timedelta(hours=h)).strftime("%a, %d %b %Y %H:%M:%S GMT"),
+                          (start + dt.timedelta(hours=h)).strftime("%Y-%m-%d")),
+        "east": lambda h: ((start + dt.timedelta(hours=h + 5, minutes=30)).strftime("%a, %d %b %Y %H:%M:%S +0530"),
+                           (start + dt.timedelta(hours=h + 5, minutes=30)).strftime("%Y-%m-%d")),
+        "junk": lambda h: ("garbage", ""),
+        "none": lambda h: (None, ""),
+    }
+    items = []
+    for position in range(400):
+        query, url, source, hour = rng.randrange(4), rng.randrange(60), rng.randrange(5), rng.randrange(-72, 72)
+        kind = rng.choice(["gmt"] * 4 + ["east"] * 4 + ["junk", "none"])
+        items.append((query, position, f"t{position}", f"u{url}", f"s{source}", kind, hour))
+    cap, cutoff = 30, dt.datetime(2023, 1, 2, 1)
+    kept = [x for x in items
+            if sum(y[0] == x[0] and y[1] < x[1] for y in items) < cap
+            and (x[5] in ("junk", "none") or start + dt.timedelta(hours=x[6]) >= cutoff)]
+    want = [(f"q{x[0]}", told[x[5]](x[6])[1], x[2], x[4], x[3]) for x in kept
+            if x[0] == min(y[0] for y in kept if y[3] == x[3])]
+    rows = [(f"q{x[0]}", x[0], x[1], x[2], x[3], x[4], told[x[5]](x[6])[0]) for x in items]
+    got = ld.feed_landing(_items(spark, rows), str(cutoff), cap)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_scrape_landing_on_random_reviews(spark):
+    """Said as conditions on each review: fewer than ``cap`` of its app are
+    newer (or as new, with a smaller id), its text is not blank, and no copy of
+    its id that passes this comes earlier by (app order, newness)."""
     rng = random.Random(9)
-    apps = ("Paytm", "BharatPe", "PhonePe", "GPay")      # fetch order, not alphabetical
-    rows = []
-    for i in range(500):
-        app = rng.choice(apps)
-        rows.append((app, f"id{rng.randrange(300)}", dt.datetime(2023, 1, 1) + dt.timedelta(hours=rng.randrange(0, 24 * 90)),
-                     rng.randint(1, 5), rng.choice(["", "  ", None, " good ", "bad\\t", "ok then"]) , rng.randrange(9),
-                     rng.choice([None, "1.2"])))
-    df = spark.createDataFrame(rows, "app string, review_id string, date timestamp_ntz, rating int, "
-                                     "review_text string, thumbs_up int, app_version string")
+    apps = ("Paytm", "BharatPe", "PhonePe", "GPay")  # not alphabetical
     cutoff, cap = dt.datetime(2023, 2, 1), 40
+    day = dt.datetime(2023, 1, 1)
+    rows = list({(a, i): (a, i, day + dt.timedelta(hours=rng.randrange(24 * 90)), rng.randint(1, 5),
+                          rng.choice(["", "  ", None, " good ", "bad\t", "ok then"]), rng.randrange(9), rng.choice([None, "1.2"]))
+                 for a, i in ((rng.choice(apps), f"id{rng.randrange(300)}") for _ in range(500))}.values())
 
-    collected = []
-    for app in apps:
-        stream = sorted((r for r in rows if r[0] == app), key=lambda r: (-r[2].timestamp(), r[1]))
-        got = []
-        for r in stream:                      # newest first; stop at the first older review
-            if r[2] < cutoff:
-                break
-            got.append(r)
-        collected += got[:cap]
-    seen, want = set(), []
-    for r in collected:
-        text = (r[4] or "").strip()
-        if text == "" or r[1] in seen:
-            continue
-        seen.add(r[1])
-        want.append((r[0], r[1], r[2].strftime("%Y-%m-%d"), r[3], text, r[5], r[6] or ""))
+    def newer(x):
+        return sum(y[0] == x[0] and y[2] >= cutoff and (y[2] > x[2] or (y[2] == x[2] and y[1] < x[1])) for y in rows)
 
-    got = ld.scrape_landing(df, "2023-02-01 00:00:00", cap, apps).collect()
-    assert sorted(tuple(r) for r in got) == sorted(want)
+    taken = [x for x in rows if x[2] >= cutoff and newer(x) < cap and (x[4] or "").strip()]
+    want = [(x[0], x[1], x[2].strftime("%Y-%m-%d"), x[3], x[4].strip(), x[5], x[6] or "") for x in taken
+            if not any(y[1] == x[1] and (apps.index(y[0]), newer(y)) < (apps.index(x[0]), newer(x)) for y in taken)]
+    df = spark.createDataFrame(rows, "app string, review_id string, date timestamp_ntz, rating int, "
+                                     "review_text string, thumbs_up int, app_version string")
+    assert sorted(map(tuple, ld.scrape_landing(df, str(cutoff), cap, apps).collect())) == sorted(want)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from revlens.params import FIXTURE
 from revlens.plans import cleaning
 from revlens.plans.study import run_study
-from revlens.schema import RAW_HISTORICAL, RAW_SCRAPE
+from revlens.schema import GOLD, RAW_HISTORICAL, RAW_SCRAPE
+from revlens.sources import files
 from revlens.sources import testdata as td
 from tests.conftest import SF_SMALL
 
@@ -39,6 +40,18 @@ def test_run_study_from_csv_files(spark):
     key = ["review_id", "app", "rating", "review_text"]
     assert sorted(map(tuple, gold.select(*key).collect())) == sorted(map(tuple, want.select(*key).collect()))
     assert len([x for x in os.listdir(out["results"]) if x.endswith(".csv")]) == 9
+    # the export is in table order over its numbered files, and reads back whole
+    export = files.read_gold(spark, out["gold_export"])
+    assert sorted(map(tuple, export.select(*key).collect())) == sorted(map(tuple, gold.select(*key).collect()))
+    placed = files.read_csv_by_header(spark, out["gold_export"], GOLD).orderBy("_pos").select("app", "date", "review_id")
+    assert [tuple(r) for r in placed.collect()] == sorted(map(tuple, gold.select("app", "date", "review_id").collect()))
+    # the raw rows' dates that are none are the rejects
+    rejects = spark.read.parquet(out["rejects"]).groupBy("reason", "column").count().collect()
+    assert [tuple(r) for r in rejects] == [("not a date", "at", rh.where("at = 'bad'").count())]
+    # the same run with each CSV read by many tasks
+    split = run_study(spark, manifest, sp, os.path.join(d, "split"), FIXTURE, split=True)
+    again = spark.read.parquet(split["gold"])
+    assert sorted(map(str, again.collect())) == sorted(map(str, gold.collect()))
     assert len(os.listdir(out["bi"])) == 8
     checks = spark.read.parquet(out["checks"]).count()
     assert checks == 7
