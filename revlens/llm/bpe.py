@@ -1,27 +1,36 @@
 """Byte-level BPE encoding and decoding.
 
-Documents are read in blocks.  A block becomes its distinct words (matches
-of the split pattern) and, for each document, codes that refer to them.  The
-merges run in Spark's higher-order functions on the distinct words' byte
-arrays: a fold joins, again and again, the leftmost pair of neighbours with
-the lowest rank, looked up in a literal map from two parts' ids to the rank
-of both together.  The map is fixed by the vocabulary; it is laid out in
-literal arrays, since a lookup in a map value scans it.  Ids then replace the
-codes.  Decoding concatenates the ids' binary pieces.  There is no shuffle.
+Documents are read in blocks.  A block is written as codes: numbers of its
+chunks (what stands between single spaces), which are numbers of its distinct
+words (matches of the split pattern).  The words of all blocks are dealt by
+hash into buckets, so that each is merged once however many blocks have it.
+The merges run in Spark's higher-order functions on the words' byte arrays: a
+fold joins, again and again, the leftmost pair of neighbours with the lowest
+rank, looked up in a literal map from two parts' ids to the rank of both
+together.  The map is fixed by the vocabulary; it is laid out in literal
+arrays, since a lookup in a map value scans it.  The ids go back to the blocks
+that asked, and replace their codes.  Decoding concatenates the ids' binary
+pieces.
+
+What is shuffled is each block's distinct words and their ids, compressed; the
+codes stay where they were written, in buckets by block.
 
 Words that are pieces themselves need no merge.  The fold's steps each copy
 the word's array, so words of over ``LONG_WORD`` bytes are merged by a heap in
 the reading step instead, with equal results.
 
-Defined cases: a null text is empty and has no ids; repeated rows are encoded
-each on its own; a very long text is a block of its own.  Extra columns are
-ignored.
+Defined cases: a null text is empty and has no ids; an empty table gives no
+rows; null and repeated ids and repeated rows are encoded each on its own; a
+text longer than a block is a block of its own.  Extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +38,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import let
+from revlens.llm.common import bucketed, let, shuffle_partitions, small_batches
 
-NONE = 2**31 - 1
 LONG_WORD = 256
-#: Characters of text in a block, but for a longer single text.
-BLOCK = 16_000_000
+#: Characters of text in a block, but for a longer single text; words of blocks
+#: in a bucket, on average; words in a row for the fold; codes replaced at a time.
+BLOCK, IN_BUCKET, IN_ROW, CODES = 4_000_000, 200_000, 1024, 250_000
 
-BLOCK_SCHEMA = ("ids array<long>, doc_chunks array<int>, chunks array<int>, chunk_words array<int>, "
-                "words_of_chunk array<int>, words array<array<int>>, given array<array<int>>")
+#: A block: its documents, and compressed 32-bit numbers (words: their bytes).
+BLOCK_SCHEMA = ("block string, n_words long, ids array<long>, doc_chunks binary, codes binary, chunk_words binary, "
+                "words_of_chunk binary, given binary, given_sizes binary, words binary, word_sizes binary")
+#: New words of a bucket, or a block's words in it as numbers of the bucket's.
+ASKED_SCHEMA = "bucket int, words array<array<int>>, block string, wanted binary"
+
+
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _swell(held: bytes) -> bytes:
+    return pa.decompress(held[8:], int.from_bytes(held[:8], "little"), "zstd", asbytes=True)
+
+
+def _pack(values, kind=np.int32) -> bytes:
+    """Compressed numbers, their first bytes first, then their second bytes,
+    and so on, since most are small."""
+    flat = np.asarray(values, kind)
+    return _squeeze(flat.view(np.uint8).reshape(-1, flat.itemsize).T.tobytes())
+
+
+def _unpack(held: bytes, kind=np.int32) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(_swell(held), np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -75,16 +107,42 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class _Codes(dict):
+    """Parts between spaces -> numbers of chunks."""
+
+    def __init__(self, block: "_Block", lead: str):
+        super().__init__()
+        self.block, self.lead = block, lead
+
+    def __missing__(self, part: str) -> int:
+        """-1 where white space touches the space beside the part, so that a
+        match may reach over it."""
+        blank = not part or part[0].isspace() or part[-1].isspace()
+        made = self[part] = -1 if blank else self.block.chunk(self.block.find(self.lead + part))
+        return made
+
+
+class _Matches(dict):
+    """Words -> numbers of chunks of one word."""
+
+    def __init__(self, block: "_Block"):
+        super().__init__()
+        self.block = block
+
+    def __missing__(self, word: str) -> int:
+        made = self[word] = self.block.chunk([word])
+        return made
+
+
 class _Block:
-    """Distinct words and chunks (what stands between single spaces) of a
-    run of documents."""
+    """Distinct words and chunks of a run of documents."""
 
     def __init__(self, find, ranks):
         self.find, self.ranks = find, ranks
         self.size = 0
         self.ids, self.doc_chunks, self.codes = [], [], []
         self.words, self.given = {}, {}
-        self.first, self.later, self.single = {}, {}, {}
+        self.first, self.later, self.single = _Codes(self, ""), _Codes(self, " "), _Matches(self)
         self.chunk_words, self.words_of_chunk = [], []
 
     def word(self, text: str) -> int:
@@ -98,87 +156,185 @@ class _Block:
         self.chunk_words.append(len(texts))
         return len(self.chunk_words) - 1
 
-    def code(self, known: dict, part: str, lead: str) -> int:
-        """Code of a part between spaces; -1 where white space touches the
-        space beside it, so that a match may reach over it."""
-        if not part or part[0].isspace() or part[-1].isspace():
-            made = -1
-        else:
-            made = self.chunk(self.find(lead + part))
-        known[part] = made
-        return made
-
     def add(self, doc, text: str) -> None:
-        parts = text.split(" ")
-        first, later = self.first, self.later
-        head = first.get(parts[0])
-        codes = [self.code(first, parts[0], "") if head is None else head] if text else []
-        for p in parts[1:]:
-            c = later.get(p)
-            codes.append(self.code(later, p, " ") if c is None else c)
-        if -1 in codes:
-            codes = []
-            for w in self.find(text):
-                c = self.single.get(w)
-                if c is None:
-                    c = self.single[w] = self.chunk([w])
-                codes.append(c)
+        codes = np.zeros(0, np.int32)
+        if text:
+            head, *parts = text.split(" ")
+            codes = np.empty(len(parts) + 1, np.int32)
+            codes[0] = self.first[head]
+            codes[1:] = np.fromiter(map(self.later.__getitem__, parts), np.int32, len(parts))
+            if codes.min() < 0:
+                found = self.find(text)
+                codes = np.fromiter(map(self.single.__getitem__, found), np.int32, len(found))
         self.ids.append(doc)
         self.doc_chunks.append(len(codes))
-        self.codes.append(np.array(codes, np.int32))
+        self.codes.append(codes)
         self.size += len(text)
 
-    def batch(self) -> pa.RecordBatch:
-        flat = np.array(self.words_of_chunk, np.int32)
-        flat[flat < 0] = len(self.words) - 1 - flat[flat < 0]
+    def row(self) -> pa.RecordBatch:
         given = [[self.ranks[w]] if w in self.ranks else merge_long(w, self.ranks) for w in self.given]
-        ends = np.cumsum([0, *map(len, self.words)], dtype=np.int32)
-        spelled = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(self.words), np.uint8).astype(np.int32)))
-        values = (self.ids, self.doc_chunks, np.concatenate(self.codes) if self.codes else [], self.chunk_words, flat,
-                  spelled, given)
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        names = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
-
-        def one(v, kind):
-            a = v if isinstance(v, pa.Array) else pa.array(v, kind)
-            return pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-        return pa.RecordBatch.from_arrays([one(v, k) for v, k in zip(values, kinds)], names)
+        # words by their hash, so that a bucket's words stand together
+        order = np.argsort(_hashes(list(self.words)), kind="stable")
+        words = list(self.words)
+        words, place = [words[k] for k in order.tolist()], np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        of_chunk = np.array(self.words_of_chunk, np.int32)
+        of_chunk[of_chunk >= 0] = place[of_chunk[of_chunk >= 0]]
+        packed = {
+            "doc_chunks": _pack(self.doc_chunks), "codes": _pack(np.concatenate(self.codes)),
+            "chunk_words": _pack(self.chunk_words), "words_of_chunk": _pack(of_chunk),
+            "given": _pack([x for ids in given for x in ids]), "given_sizes": _pack(list(map(len, given))),
+            "words": _squeeze(b"".join(words)), "word_sizes": _pack(list(map(len, words)))}
+        for held in (self.first, self.later, self.single):  # they refer to the block, so they would outlive it
+            held.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([uuid.uuid4().hex]), pa.array([len(self.words)], pa.int64()), pa.array([self.ids], pa.list_(pa.int64())),
+             *(pa.array([v], pa.binary()) for v in packed.values())], ["block", "n_words", "ids", *packed])
+
+
+def _cut(raw: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+
+
+def _deal(buckets: int):
+    """A block's words, by bucket, a range of hashes: (bucket, block, words, sizes)."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw, sizes in zip(*(batch.column(n).to_pylist() for n in ("block", "words", "word_sizes"))):
+                words = _cut(_swell(raw), _unpack(sizes))
+                bucket = _hashes(words) * buckets >> 32
+                begins = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][:len(bucket)]).tolist()
+                parts = [words[a:b] for a, b in zip(begins, [*begins[1:], len(words)])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[begins].astype(np.int32)), pa.array([block] * len(parts), pa.string()),
+                     pa.array([b"".join(p) for p in parts], pa.binary()),
+                     pa.array([np.array(list(map(len, p)), np.int32).tobytes() for p in parts], pa.binary())],
+                    ["bucket", "block", "words", "sizes"])
+    return of
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``ASKED_SCHEMA`` of buckets one after another: a bucket's words
+    come before the blocks that want them."""
+    now, known, new, held = None, {}, [], []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(new), IN_ROW):
+            part = new[k:k + IN_ROW]
+            ends = np.cumsum([0, *map(len, part)], dtype=np.int32)
+            spelled = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(part), np.uint8).astype(np.int32)))
+            yield row(1, pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), spelled), [None], [None])
+        if held:
+            yield row(len(held), pa.nulls(len(held), pa.list_(pa.list_(pa.int32()))), *map(list, zip(*held)))
+        new.clear()
+        held.clear()
+
+    def row(n: int, words: pa.Array, blocks: list, wanted: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now] * n, pa.int32()), words, pa.array(blocks, pa.string()),
+                                           pa.array(wanted, pa.binary())], ["bucket", "words", "block", "wanted"])
+
+    for batch in batches:
+        for bucket, block, raw, sizes in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if bucket != now or len(new) >= IN_ROW or len(held) >= IN_ROW:
+                yield from flush()
+            if bucket != now:
+                now, known = bucket, {}
+            numbers = []
+            for w in _cut(raw, np.frombuffer(sizes, np.int32)):
+                k = known.get(w)
+                if k is None:
+                    k = known[w] = len(known)
+                    new.append(w)
+                numbers.append(k)
+            held.append((block, _pack(numbers)))
+    yield from flush()
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, bucket, tokens, sizes): ids of the words that a block wanted."""
+    now, told, new = None, None, []
+    for batch in batches:
+        for r in range(len(batch)):
+            bucket = batch.column("bucket")[r].as_py()
+            if bucket != now:
+                now, told, new = bucket, (np.zeros(0, np.int32), np.zeros(0, np.int64)), []
+            if not batch.column("wanted")[r].is_valid:
+                merged = batch.column("merged").slice(r, 1).flatten()
+                new.append((np.asarray(merged.flatten()).astype(np.int32),  # the entries' low bits
+                            np.asarray(merged.value_lengths()).astype(np.int64)))
+                continue
+            if new:
+                told, new = _joined(told, *new), []
+            tokens, sizes = _ragged(*told, _unpack(batch.column("wanted")[r].as_py()).astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("block").slice(r, 1), pa.array([bucket], pa.int32()), pa.array([_pack(tokens)], pa.binary()),
+                 pa.array([_pack(sizes)], pa.binary())], ["block", "bucket", "tokens", "sizes"])
+
+
+def _joined(*tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([t[k] for t in tables]) for k in (0, 1))
+
+
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, ids) of the blocks' documents, from their codes and the answers."""
+    for batch in batches:
+        for r in range(len(batch)):
+            doc_chunks, codes, chunk_words, words_of_chunk, given, given_sizes = (_unpack(batch.column(n)[r].as_py()) for n in (
+                "doc_chunks", "codes", "chunk_words", "words_of_chunk", "given", "given_sizes"))
+            # buckets are ranges of the order in which the words stand
+            told = sorted(batch.column("answers")[r].as_py() or [], key=lambda x: x["bucket"])
+            none = np.zeros(0, np.int32)
+            words = _joined((none, none), *((_unpack(x["tokens"]), _unpack(x["sizes"])) for x in told))
+            tokens, lengths = _joined(words, (given, given_sizes))
+            at = words_of_chunk.astype(np.int64)
+            at[at < 0] = len(words[1]) - 1 - at[at < 0]
+            of_chunks, taken = _ragged(tokens, lengths.astype(np.int64), at)
+            per_chunk = _sums(taken, chunk_words)
+            del told, words, tokens, lengths, at, taken
+            # some documents at a time: their ids take more room than their codes
+            ids, ends = batch.column("ids").slice(r, 1).flatten(), np.cumsum(doc_chunks)
+            cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(CODES, len(codes), CODES)), len(doc_chunks)]).tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                made, taken = _ragged(of_chunks, per_chunk, codes[ends[a] - doc_chunks[a]:ends[b - 1]].astype(np.int64))
+                stops, raw = (4 * np.cumsum(_sums(taken, doc_chunks[a:b]))).tolist(), made.astype("<u4").tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(a, b - a), pa.array([raw[x:y] for x, y in zip([0, *stops], stops)], pa.binary())], ["id", "ids"])
 
 
-#: Multipliers of a pair's two places in the rank table.
-MULTIPLIERS = (0x9E3779B, 0xC2B2AE3)
+#: A pair without a rank, shifted; and the mask of an id.
+NONE, ID = (2**31 - 1) << 32, 2**32 - 1
 
 
 def rank_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The map from a pair of ids to the rank of both together, as (keys,
-    values).  Pair (a, b) has key ``a * ids + b`` and one of two places, so
-    a lookup reads two entries at most (cuckoo hashing)."""
-    top, pairs = max(ranks.values()) + 1, {}
+    """The map from a pair of ids to the rank of both together, as (starts,
+    table): the pair (a, b) with a rank stands at ``starts[a] + b`` of the
+    table as ``rank << 32 | a``; what stands there for a pair without one ends
+    in another id.  Rows of the table, one for each a, lie over each other
+    where they leave gaps: the fullest first, each at the first of some random
+    starts that fits."""
+    top, rows = max(ranks.values()) + 1, {}
     for piece, rank in ranks.items():
         for k in range(1, len(piece)):
             a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
             if a is not None and b is not None:
-                pairs[a * top + b] = rank
-    size = 3 * len(pairs) + 1
-    while (held := _placed(list(pairs), size)) is None:
-        size = size * 5 // 4 + 1
-    return np.array(held), np.array([pairs.get(k, -1) for k in held])
-
-
-def _placed(keys: list[int], size: int) -> list[int] | None:
-    """A table with every key at one of its places, or None."""
-    held = [-1] * size
-    for key in keys:
-        place = (key * MULTIPLIERS[0] >> 12) % size
-        for _ in range(200):
-            key, held[place] = held[place], key
-            if key < 0:
-                break
-            first, second = ((key * m >> 12) % size for m in MULTIPLIERS)
-            place = second if place == first else first
-        else:
-            return None
-    return held
+                rows.setdefault(a, []).append((b, rank))
+    size = top + 4 * sum(map(len, rows.values()))
+    table, free = np.full(size + top + 1, -1, np.int64), np.ones(size, bool)
+    starts = np.full(top + 1, size, np.int64)  # past the end: no pair
+    rng = np.random.default_rng(1)
+    for a, held in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        b, rank = np.array(held, np.int64).T
+        while not (fits := free[(tried := rng.integers(0, size - top, 64))[:, None] + b].all(axis=1)).any():
+            pass
+        starts[a] = tried[fits.argmax()]
+        free[starts[a] + b] = False
+        table[starts[a] + b] = rank << 32 | a
+    return starts, table
 
 
 def _literal(values, kind: str = "int") -> Column:
@@ -187,37 +343,39 @@ def _literal(values, kind: str = "int") -> Column:
 
 
 def merger(ranks: dict[bytes, int]):
-    """The expression that merges one word, given as an array of bytes."""
-    table = rank_table(ranks)
-    keys, values, size, top = _literal(table[0], "long"), _literal(table[1]), len(table[0]), max(ranks.values()) + 1
-    of_byte = _literal(ranks[bytes([x])] for x in range(256))
-
-    def rank(a: Column, b: Column) -> Column:
-        def look(key: Column) -> Column:
-            one, two = (F.pmod(F.shiftright(key * m, 12), F.lit(size)).cast("int") for m in MULTIPLIERS)
-            return F.when(F.get(keys, one) == key, F.get(values, one)).when(
-                F.get(keys, two) == key, F.get(values, two)).otherwise(NONE)
-        return let(a.cast("long") * top + b, look)
-
-    def join(ids: Column, ranks: Column, least: Column, i: Column) -> Column:
-        """Parts i and i+1 (counted from 1) become one, of id ``least``."""
-        before = F.when(i > 1, F.array(rank(F.get(ids, i - 2), least))).otherwise(F.array().cast("array<int>"))
-        after = F.when(i + 1 < F.size(ids), F.array(rank(least, F.get(ids, i + 1)))).otherwise(F.array().cast("array<int>"))
-        return F.struct(
-            F.concat(F.slice(ids, F.lit(1), i - 1), F.array(least), F.slice(ids, i + 2, F.size(ids))).alias("ids"),
-            F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after,
-                     F.slice(ranks, i + 2, F.size(ids))).alias("ranks"))
+    """The expression that merges one word, given as an array of bytes: an
+    array of ``rank << 32 | id``, the id of each part and the rank of the pair
+    it makes with the next one.  Since an id is a rank, the smallest entry
+    tells the pair to join and what it becomes."""
+    starts, table = rank_table(ranks)
+    starts, table, none = _literal(starts), _literal(table, "long"), F.lit(NONE)
+    byte = [ranks[bytes([x])] for x in range(256)]
+    first = _literal((ranks.get(bytes([x, y]), NONE >> 32) << 32 | byte[x] for x in range(256) for y in range(256)), "long")
+    of_byte = _literal((NONE | x for x in byte), "long")
+
+    def pair(a: Column, b: Column) -> Column:
+        """The entry of part a before part b."""
+        return let(F.get(table, F.get(starts, a) + b),
+                   lambda x: F.when(x.bitwiseAND(F.lit(ID)) == a, x).otherwise(none + a))
+
+    def part(state: Column, i: Column) -> Column:
+        return F.get(state, i).bitwiseAND(F.lit(ID)).cast("int")
+
+    def join(state: Column, made: Column, i: Column) -> Column:
+        """The parts i and i + 1 (from 0) become one."""
+        after = F.when(i + 2 < F.size(state), pair(made, part(state, i + 2))).otherwise(none + made)
+        before = F.when(i > 0, F.array(pair(part(state, i - 1), made), after)).otherwise(F.array(after))
+        return F.concat(F.slice(state, F.lit(1), F.greatest(i - 1, F.lit(0))), before, F.slice(state, i + 3, F.size(state)))
 
     def step(state: Column) -> Column:
-        ids, ranks = state["ids"], state["ranks"]
-        return let(F.coalesce(F.array_min(ranks), F.lit(NONE)), lambda least: F.when(least == NONE, state).otherwise(
-            let(F.array_position(ranks, least).cast("int"), lambda i: join(ids, ranks, least, i))))
+        return let(F.array_min(state), lambda least: F.when(least >= none, state).otherwise(
+            let(F.array_min(F.transform(state, lambda x, i: F.when(x == least, i))),
+                lambda i: let(F.shiftright(least, 32).cast("int"), lambda made: join(state, made, i)))))
 
     def merged(word: Column) -> Column:
-        start = let(F.transform(word, lambda x: F.get(of_byte, x)), lambda ids: F.struct(
-            ids.alias("ids"), F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1),
-                                          lambda a, i: rank(a, F.get(ids, i + 1))).alias("ranks")))
-        return F.aggregate(F.array_repeat(F.lit(0), F.size(word) - 1), start, lambda s, _: step(s), lambda s: s["ids"])
+        start = F.transform(word, lambda x, i: F.when(
+            i + 1 < F.size(word), F.get(first, x * 256 + F.get(word, i + 1))).otherwise(F.get(of_byte, x)))
+        return F.aggregate(F.array_repeat(F.lit(0), F.size(word) - 1), start, lambda s, _: step(s))
 
     return merged
 
@@ -239,12 +397,13 @@ def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           block: int = BLOCK) -> DataFrame:
+           block: int = BLOCK, in_bucket: int = IN_BUCKET) -> DataFrame:
     """(id, ids) of every row: ids are little-endian unsigned 32-bit integers."""
-    ranks = read_ranks(path)
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary: fixed in size
+    spark, ranks = docs.sparkSession, read_ranks(path)
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast(ranks)  # the vocabulary: fixed in size
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         find = regex.compile(pattern).findall
         now = _Block(find, sent.value)
@@ -252,33 +411,23 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 now.add(doc, text.as_py() or "")
                 if now.size >= block:
-                    yield now.batch()
+                    yield now.row()
                     now = _Block(find, sent.value)
         if now.ids:
-            yield now.batch()
-
-    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(len(batch)):
-                ids, doc_chunks, chunks, chunk_words, flat, merged_ids = (
-                    batch.column(k).slice(r, 1).flatten() for k in range(6))
-                doc_chunks, chunks, chunk_words, flat = (
-                    np.asarray(x).astype(np.int64) for x in (doc_chunks, chunks, chunk_words, flat))
-                tokens = np.asarray(merged_ids.flatten()).astype("<u4")
-                per_word = np.asarray(merged_ids.value_lengths()).astype(np.int64)
-                of_chunks, taken = _ragged(tokens, per_word, flat)
-                of_docs, taken = _ragged(of_chunks, _sums(taken, chunk_words), chunks)
-                raw, ends = of_docs.tobytes(), 4 * np.cumsum(_sums(taken, doc_chunks))
-                starts = np.concatenate([[0], ends[:-1]])
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())], ["id", "ids"])
+            yield now.row()
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    blocks = bucketed(rows.mapInArrow(read, BLOCK_SCHEMA), "blocks", "block")  # so that the join leaves codes where they are
+    n_words = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    buckets = max(shuffle_partitions(spark), -(-n_words // in_bucket))
     merged = merger(ranks)
-    coded = rows.mapInArrow(blocks, BLOCK_SCHEMA).select(
-        "ids", "doc_chunks", "chunks", "chunk_words", "words_of_chunk",
-        F.concat(F.transform("words", merged), "given").alias("merged"))
-    return coded.mapInArrow(replace, "id long, ids binary")
+    asked = (blocks.select("block", "words", "word_sizes")
+             .mapInArrow(_deal(buckets), "bucket int, block string, words binary, sizes binary")
+             .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_ask, ASKED_SCHEMA))
+    answers = (asked.withColumn("merged", F.transform("words", merged)).drop("words")
+               .mapInArrow(_answer, "block string, bucket int, tokens binary, sizes binary")
+               .repartition(shuffle_partitions(spark), "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "tokens", "sizes")).alias("answers")))  # of one block
+    return blocks.drop("words", "word_sizes").join(answers, "block", "left").mapInArrow(_encoded, "id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:

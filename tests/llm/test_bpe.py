@@ -27,8 +27,8 @@ def texts():
 
 def test_equals_the_library_and_decodes(spark):
     enc, rows = library(), texts() + [(None, "null id"), (3, "same id")]
-    for block in (bpe.BLOCK, 500):
-        made = bpe.decode(bpe.encode(docs(spark, rows), PATH, public_tokenizers.PATTERN, block=block), PATH).collect()
+    for block, in_bucket in ((bpe.BLOCK, bpe.IN_BUCKET), (500, bpe.IN_BUCKET), (2000, 40)):
+        made = bpe.decode(bpe.encode(docs(spark, rows), PATH, public_tokenizers.PATTERN, block=block, in_bucket=in_bucket), PATH).collect()
         got = sorted(((r.id, bytes(r.ids), bytes(r.raw)) for r in made), key=str)
         want = sorted(((i, np.array(enc.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in rows), key=str)
         assert got == want
@@ -46,3 +46,15 @@ def test_empty_and_clashing_names(spark):
     assert bpe.encode(docs(spark, []), PATH, public_tokenizers.PATTERN).count() == 0
     odd = docs(spark, [(1, "a b")]).selectExpr("*", "1 as id", "2 as ids", "3 as words", "4 as merged")
     assert [(r.id, len(r.ids)) for r in bpe.encode(odd, PATH, public_tokenizers.PATTERN).collect()] == [(1, 8)]
+
+
+def test_rank_table_finds_each_pair_and_no_other():
+    ranks = bpe.read_ranks(PATH)
+    starts, table = bpe.rank_table(ranks)
+    by_id, rng = {r: p for p, r in ranks.items()}, random.Random(1)
+    pairs = [(ranks[p[:k]], ranks[p[k:]]) for p in rng.sample(sorted(ranks), 5000) for k in range(1, len(p))
+             if p[:k] in ranks and p[k:] in ranks]
+    pairs += [(rng.randrange(len(ranks)), rng.randrange(len(ranks))) for _ in range(20000)]
+    for a, b in pairs:
+        entry, rank = int(table[starts[a] + b]), ranks.get(by_id[a] + by_id[b])
+        assert (entry >> 32 if entry >= 0 and entry & bpe.ID == a else None) == rank
