@@ -19,8 +19,10 @@ the components of all buckets' stars are those of all links.
 
 Defined cases: a null text or one without words has fingerprint 0 and links
 like any other; a text of one or two words is one shingle; a null id gets a
-fingerprint and no component; rows that share an id are one document.  Extra
-columns are ignored.
+fingerprint and no component; rows that share an id are one document (but not
+to ``deduplicate``, which drops no text for its id); an empty table gives no
+rows; the hashes of a very long text are counted ``CHUNK`` at a time.  Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -193,11 +195,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which one stays for each component: the one
-    with its smallest id (the first by text, if several rows share that id).
-    Rows with a null id stay."""
-    kept = near_duplicates(docs, shingle, radius, id_col, text_col).where("id = component_id").select("id").distinct()
-    named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].cast("long").alias("id"))
-    first = Window.partitionBy("id").orderBy(*(F.col("row")[c] for c in (text_col,)))
-    one = (named.join(kept, "id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1"))
-    return one.select("row.*").unionByName(named.where("id is null").select("row.*"))
+    """The rows of ``docs`` of which one stays for each group of linked
+    fingerprints: one with the smallest id (a null id is the largest), and of
+    several texts under it the one with the smallest hash.  Rows that share an
+    id but are not near stay both; null ids are compared like any other."""
+    # a document is a text under an id; rows equal in both are copies
+    key = F.xxhash64(docs[id_col], docs[text_col])
+    named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].cast("long").alias("id"),
+                        key.alias("key"))
+    marked = durable(fingerprints(docs.select(key.alias("_key"), docs[text_col].alias("_text")), shingle, "_key", "_text")
+                     .join(named.select(F.col("key").alias("id"), F.col("id").alias("doc")).distinct(), "id").distinct(),
+                     "fingerprints")
+    found = components(links(marked.select("fp", F.col("fp").alias("rep")).distinct(), radius))
+    grouped = marked.join(found, marked["fp"] == found["node"], "left").withColumn("group", F.coalesce("component", "fp"))
+    kept = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "id")).alias("first"))
+    first = Window.partitionBy("key").orderBy("key")
+    return (named.join(kept.select(F.col("first.id").alias("key")).distinct(), "key", "left_semi")
+            .withColumn("_n", F.row_number().over(first)).where("_n = 1").select("row.*"))

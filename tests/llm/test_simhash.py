@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -81,9 +82,30 @@ def test_empty_table_and_clashing_columns(spark):
     assert kept.columns == odd.columns and [r.doc_id for r in kept.collect()] == [1]
 
 
-def test_deduplicate_keeps_one_row_and_null_ids(spark):
-    df = docs(spark, [(1, "a b c"), (1, "a b c"), (2, "A b c"), (None, "a b c"), (5, "q r s t")])
-    assert sorted(str(r.doc_id) for r in simhash.deduplicate(df).collect()) == ["1", "5", "None"]
+def test_deduplicate_keeps_one_row_of_each_group(spark):
+    """By brute force over (id, text) with repeated and null ids: what goes is
+    near a row that stays, and of each group one row stays."""
+    rng = random.Random(11)
+    base = [f"word{rng.randrange(40)}" for _ in range(250)]
+    rows = [(1, "a b c"), (1, "a b c"), (2, "A b c"), (None, "a b c"), (5, "q r s t"), (1, "quite another text"),
+            (None, "only without an id"), (None, "only without an id"), (None, None), (7, None), (8, "")]
+    for i in range(20, 50):
+        t = list(base)
+        for _ in range(rng.randrange(3)):
+            t[rng.randrange(len(t))] = f"word{rng.randrange(40)}"
+        rows.append((rng.choice([i, 20, None]), " ".join(t)))
+    prints = [simhash.fingerprint(t) for _, t in rows]
+    class_of = groups(range(len(rows)), [(a, b) for a, b in itertools.combinations(range(len(rows)), 2)
+                                         if (prints[a] ^ prints[b]).bit_count() <= 3])
+    stays = Counter(tuple(r)[:2] for r in simhash.deduplicate(docs(spark, rows)).collect())
+    where = {}
+    for k, row in enumerate(rows):
+        where.setdefault(class_of[k], []).append(row)
+    assert stays.total() == len(where)
+    for members in where.values():
+        smallest = min((i is None, i or 0) for i, _ in members)
+        assert sum(stays[m] for m in set(members)) == 1
+        assert [m for m in set(members) if stays[m] and (m[0] is None, m[0] or 0) == smallest]
 
 
 def test_components_of_paths_and_stars(spark):
