@@ -15,9 +15,13 @@ document is the concatenation of its words' ids.
 
 Defined cases: a null text is empty and has the end id alone; null ids and
 repeated rows are packed like any other; no rows give no rows.  Extra columns
-are ignored.  Text that spells a special token, such as ``<|endoftext|>``, is
-text and never that token's id (``encode_special_tokens``; the tokenizer's
-plain call would give the id).
+are ignored, whatever their names.  A very long text is many pieces.  Pieces of
+equal length are packed by their place.  Text that spells a special token, such
+as ``<|endoftext|>``, is that token, as in the tokenizer's plain call.
+
+Over ``RETURN`` underfull bins the search makes whole rounds instead of going
+back to the loosest after each move: another order, so maybe other bins, but
+the same end: no two underfull bins with an exchange left.
 """
 
 from __future__ import annotations
@@ -56,7 +60,8 @@ class WordIds(dict):
         from tokenizers import Tokenizer
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = tuple(t.content.lower().encode() for t in added)
 
     def plain(self, word: bytes) -> bytes:
         ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -67,7 +72,9 @@ class WordIds(dict):
         tail = word[len(core):]
         low = core.lower() if core.isascii() else core  # as the tokenizer does
         # words alike but for case and marks share an entry
-        if core and tail and core[-1:].isalnum():
+        if any(x in word.lower() for x in self.special):  # such strings are tokens in their own case only
+            made = self.plain(word)
+        elif core and tail and core[-1:].isalnum():
             made = self[low] + self[tail]
         elif low != word and not tail:
             made = self[low]

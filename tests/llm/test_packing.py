@@ -15,16 +15,14 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 def plain(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
 
 
 def odd_texts():
     rng = random.Random(1)
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "Don't!! STOP... the a.b,c (x) 3,14 I'll"), (5, "É. éÉ, ß! ÜBER-x ñ_."),
             (6, "word" * 3000), (7, "a " * 9000), (7, "a " * 9000), (None, "null id"), (8, "x y z ́e é J̌ İ K"),
-            (9, "<|endoftext|> <|startoftext|>, a<|b|>"), (10, "'s 's. 'S, it's' ''"), (11, "日本語。テスト, नमस्ते!"), (12, "😀!! a😀.")]
+            (9, "<|endoftext|> <|startoftext|>, a<|b|> x<|endoftext|>y.. <|ENDOFTEXT|> <|EndOfText|>!! END<|endoftext|>!"), (10, "'s 's. 'S, it's' ''"), (11, "日本語。テスト, नमस्ते!"), (12, "😀!! a😀.")]
     alphabet = "abAB éÉ'.,!$ \n\t <|>09ßİ̌J-_"
     rows += [(100 + i, "".join(rng.choices(alphabet, k=rng.randrange(1, 80)))) for i in range(300)]
     return rows
@@ -106,6 +104,20 @@ def test_middling_lengths_are_searched_to_the_end(low, high, count):
     assert fewer > 0 or high <= 5
 
 
+def least_bins(sizes, capacity):
+    """A lower bound of the number of bins (Martello and Toth): sizes over
+    capacity - k are alone, those over half meet no other such, and of the rest
+    down to k only what fits their room is free."""
+    best = -(-sum(sizes) // capacity)
+    for k in range(capacity // 2 + 1):
+        alone = [x for x in sizes if x > capacity - k]
+        half = [x for x in sizes if capacity / 2 < x <= capacity - k]
+        rest = sum(x for x in sizes if k <= x <= capacity / 2)
+        room = len(half) * capacity - sum(half)
+        best = max(best, len(alone) + len(half) + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_best_fit_is_valid(seed):
     rng = random.Random(seed)
@@ -113,7 +125,7 @@ def test_best_fit_is_valid(seed):
     made = packing.pack_group(sizes, 50)
     assert sorted(i for b in made for i in b) == list(range(400))
     assert all(sum(sizes[i] for i in b) <= 50 for b in made)
-    assert len(made) <= 1.03 * sum(sizes) / 50 + 1
+    assert least_bins(sizes, 50) <= len(made) <= least_bins(sizes, 50) + 1
 
 
 def test_empty_and_clashing_names(spark):
