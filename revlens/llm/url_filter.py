@@ -10,11 +10,15 @@ odd).  Hosts are dealt into shards by hash, each with a cascade of bounded
 size, built in one task per shard.
 
 The cascade is broadcast behind a check of its measured size
-(``max_broadcast_bytes``); a larger one is replaced by a join with the listed
-hosts, which gives the same rows.
+(``max_broadcast_bytes``).  Beyond it, pages are dealt to their host's shard,
+each shard in as many parts as a shuffle has partitions, so that no host is one
+task; a part reads its shard's cascade first and then probes its pages as they
+come.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path;
-the empty host is a key like any other.  Extra columns are ignored.
+the empty host is a key like any other; an empty table gives no rows; null and
+repeated ids are judged each on its own; a very long URL is one string.  Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import durable
+from revlens.llm.common import durable, shuffle_partitions
 
 #: (verdict, host, path)
 RULES = (
@@ -139,6 +144,44 @@ def listed_by_rules(judged: DataFrame) -> DataFrame:
         (F.count(F.when(F.col("ruled") == "block", 1)) > F.count(F.when(F.col("ruled") == "allow", 1))).alias("listed"))
 
 
+PAGE = "id long, host string, path string, rule string, ruled string, listed boolean"
+
+
+def _probe_by_shard(rows: DataFrame, cascade: DataFrame, shards: int) -> DataFrame:
+    """``rows`` with ``listed``: the levels and the pages of each part of a
+    shard come to one task, levels first."""
+    parts = shuffle_partitions(rows.sparkSession)
+    columns = [c.split()[0] for c in PAGE.split(", ")][:-1]
+    pages = rows.select("*", F.xxhash64("host").alias("h1"), F.xxhash64(F.lit("second"), "host").alias("h2")).select(
+        "*", F.expr(f"pmod(h1, {shards}L)").alias("shard"),
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int").alias("part"))
+    levels = cascade.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("is_level", F.lit(True))
+    both = levels.unionByName(pages.withColumn("is_level", F.lit(False)), allowMissingColumns=True)
+    met = both.repartition(parts, "shard", "part").sortWithinPartitions("shard", "part", F.desc("is_level"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, opened = None, [], None
+        for batch in batches:
+            def numbers(name: str) -> np.ndarray:
+                return batch.column(name).fill_null(0).to_numpy()
+            shard, part, is_level = numbers("shard"), numbers("part"), batch.column("is_level").to_numpy(zero_copy_only=False)
+            new = np.flatnonzero((shard[1:] != shard[:-1]) | (part[1:] != part[:-1])) + 1
+            for at in np.split(np.arange(len(batch)), new):
+                if not len(at):
+                    continue
+                if (key := (int(shard[at[0]]), int(part[at[0]]))) != now:
+                    now, held, opened = key, [], None
+                level, page = at[is_level[at]], at[~is_level[at]]
+                held += batch.select(["shard", "level", "bits", "hashes", "words"]).take(pa.array(level)).to_pylist()
+                if len(page):
+                    opened = opened or Cascade(held, shards)
+                    h1, h2 = (numbers(c)[page].view(np.uint64) for c in ("h1", "h2"))
+                    kept = batch.select(columns).take(pa.array(page))
+                    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(opened.contains(h1, h2))], [*columns, "listed"])
+
+    return met.mapInArrow(of, PAGE)
+
+
 def filter_urls(pages: DataFrame, hosts: DataFrame | None = None, rules=RULES, id_col: str = "page_id",
                 url_col: str = "url", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """(id, host, path, rule, verdict) of every page.  ``hosts`` (host,
@@ -165,6 +208,6 @@ def filter_urls(pages: DataFrame, hosts: DataFrame | None = None, rules=RULES, i
 
         found = rows.withColumn("listed", listed(F.xxhash64("host"), F.xxhash64(F.lit("second"), "host")))
     else:
-        found = rows.join(keys.select("host", "listed"), "host")
+        found = _probe_by_shard(rows, cascade, shards)
     return found.select("id", "host", "path", "rule",
                         F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
