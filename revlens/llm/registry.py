@@ -37,6 +37,29 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                   F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP4_SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (
+  SELECT doc_id, unnest(generate_series(1, len(ws))) AS i, unnest(ws) AS word FROM split),
+windows AS (
+  SELECT doc_id, i, word, count(*) OVER w AS size, md5(string_agg(word, ' ') OVER w) AS h FROM words
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+first AS (SELECT h, min(doc_id) AS first_id FROM windows WHERE size = 50 GROUP BY h),
+judged AS (
+  SELECT doc_id, i, word, CASE WHEN size = 50 AND first_id < doc_id THEN 1 ELSE 0 END AS repeats
+  FROM windows LEFT JOIN first USING (h)),
+covered AS (
+  SELECT doc_id, i, word, max(repeats) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM judged),
+kept AS (
+  SELECT doc_id, cast(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS text
+  FROM covered GROUP BY doc_id)
+SELECT doc_id, cast(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -176,4 +199,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_ranked_search": op13_ranked_search,
 }
 
-ORACLE: dict[str, str] = {"op8_url_filter": OP8_SQL, "op13_ranked_search": OP13_SQL}
+ORACLE: dict[str, str] = {"op4_substring": OP4_SQL, "op8_url_filter": OP8_SQL, "op13_ranked_search": OP13_SQL}

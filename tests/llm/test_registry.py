@@ -30,3 +30,9 @@ def test_query_covers_its_table(spark, name):
         assert items <= rows <= 50 * items
     else:
         assert rows >= there if name in ("op1_line_dedup", "op9_packing") else rows == there
+
+
+def test_queries_equal_their_sql(spark):
+    from tools.parity import compare
+    found = compare(spark, "/root/testdata/sf0.001", list(registry.ORACLE), verbose=False)
+    assert {k: v[0] for k, v in found.items()} == dict.fromkeys(registry.ORACLE, "OK")
