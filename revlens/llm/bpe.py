@@ -1,19 +1,22 @@
 """Byte-level BPE encoding and decoding.
 
-Documents are read in blocks.  A block is written as codes: numbers of its
-chunks (what stands between single spaces), which are numbers of its distinct
-words (matches of the split pattern).  The words of all blocks are dealt by
-hash into buckets, so that each is merged once however many blocks have it.
-The merges run in Spark's higher-order functions on the words' byte arrays: a
-fold joins, again and again, the leftmost pair of neighbours with the lowest
-rank, looked up in a literal map from two parts' ids to the rank of both
-together.  The map is fixed by the vocabulary; it is laid out in literal
-arrays, since a lookup in a map value scans it.  The ids go back to the blocks
-that asked, and replace their codes.  Decoding concatenates the ids' binary
-pieces.
-
-What is shuffled is each block's distinct words and their ids, compressed; the
-codes stay where they were written, in buckets by block.
+A task reads documents in blocks.  A block is written as codes: numbers of its
+chunks (what stands between single spaces), which are numbers of words
+(matches of the split pattern).  A row of words that the task meets for the
+first time goes before the block that needs them.  The merges run in Spark's
+higher-order functions on the words' byte arrays: a fold joins, again and
+again, the leftmost pair of neighbours with the lowest rank, looked up in a
+literal map from two parts' ids to the rank of both together.  The map is fixed
+by the vocabulary; it is laid out in literal arrays, since a lookup in a map
+value scans it.  The next step of the same task keeps the ids of its words and
+chunks and replaces the blocks' codes.  Decoding concatenates the ids' binary
+pieces.  Nothing of the documents is shuffled or written in between.
+
+Each task merges its distinct words once, but for the usual ones: the most
+frequent words, at most ``USUAL``, of a sample of some ``SAMPLE`` documents are
+merged beforehand and sent to all tasks.  That only spares work, as every other
+word is merged where it is met, with the same ids.  A task begins its tables of
+words and chunks anew when they are full, so they are bounded.
 
 Words that are pieces themselves need no merge.  The fold's steps each copy
 the word's array, so words of over ``LONG_WORD`` bytes are merged by a heap in
@@ -29,8 +32,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-import uuid
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,38 +40,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import bucketed, let, shuffle_partitions, small_batches
+from revlens.llm.common import durable, let, shuffle_partitions, small_batches
 
 LONG_WORD = 256
-#: Characters of text in a block, but for a longer single text; words of blocks
-#: in a bucket, on average; words in a row for the fold; codes replaced at a time.
-BLOCK, IN_BUCKET, IN_ROW, CODES = 4_000_000, 200_000, 1024, 250_000
+#: Characters of text in a block, but for a longer single text; words in a row
+#: for the fold; codes replaced at a time.
+BLOCK, IN_ROW, CODES = 1_000_000, 1024, 250_000
+#: Chunks, and bytes of words, after which a task begins its tables anew.
+CHUNKS, HELD = 500_000, 16 << 20
+#: Documents, about, in which usual words are counted, and how many at most are kept.
+SAMPLE, USUAL = 8000, 400_000
 
-#: A block: its documents, and compressed 32-bit numbers (words: their bytes).
-BLOCK_SCHEMA = ("block string, n_words long, ids array<long>, doc_chunks binary, codes binary, chunk_words binary, "
-                "words_of_chunk binary, given binary, given_sizes binary, words binary, word_sizes binary")
-#: New words of a bucket, or a block's words in it as numbers of the bucket's.
-ASKED_SCHEMA = "bucket int, words array<array<int>>, block string, wanted binary"
-
-
-def _squeeze(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
-
-
-def _swell(held: bytes) -> bytes:
-    return pa.decompress(held[8:], int.from_bytes(held[:8], "little"), "zstd", asbytes=True)
-
-
-def _pack(values, kind=np.int32) -> bytes:
-    """Compressed numbers, their first bytes first, then their second bytes,
-    and so on, since most are small."""
-    flat = np.asarray(values, kind)
-    return _squeeze(flat.view(np.uint8).reshape(-1, flat.itemsize).T.tobytes())
-
-
-def _unpack(held: bytes, kind=np.int32) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(_swell(held), np.uint8).reshape(width, -1).T).view(kind).ravel()
+#: New words, or a block: its documents, the chunks and long words new in it,
+#: and 32-bit numbers.  ``turn`` counts the tables.
+ROW_SCHEMA = ("turn int, words array<array<int>>, ids array<long>, doc_chunks binary, codes binary, chunk_words binary, "
+              "words_of_chunk binary, given binary, given_sizes binary")
+NUMBERS = ("doc_chunks", "codes", "chunk_words", "words_of_chunk", "given", "given_sizes")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -110,51 +96,70 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class _Codes(dict):
     """Parts between spaces -> numbers of chunks."""
 
-    def __init__(self, block: "_Block", lead: str):
+    def __init__(self, table: "_Table", lead: str):
         super().__init__()
-        self.block, self.lead = block, lead
+        self.table, self.lead = table, lead
 
     def __missing__(self, part: str) -> int:
         """-1 where white space touches the space beside the part, so that a
         match may reach over it."""
         blank = not part or part[0].isspace() or part[-1].isspace()
-        made = self[part] = -1 if blank else self.block.chunk(self.block.find(self.lead + part))
+        made = self[part] = -1 if blank else self.table.chunk(self.table.find(self.lead + part))
         return made
 
 
 class _Matches(dict):
     """Words -> numbers of chunks of one word."""
 
-    def __init__(self, block: "_Block"):
+    def __init__(self, table: "_Table"):
         super().__init__()
-        self.block = block
+        self.table = table
 
     def __missing__(self, word: str) -> int:
-        made = self[word] = self.block.chunk([word])
+        made = self[word] = self.table.chunk([word])
         return made
 
 
-class _Block:
-    """Distinct words and chunks of a run of documents."""
+class _Table:
+    """Words and chunks that a task has met, by number, and the block that
+    waits to be sent.  Usual words have the first numbers, then new ones
+    follow; long words count down from -1."""
 
-    def __init__(self, find, ranks):
-        self.find, self.ranks = find, ranks
-        self.size = 0
-        self.ids, self.doc_chunks, self.codes = [], [], []
-        self.words, self.given = {}, {}
+    def __init__(self, find, ranks: dict[bytes, int], usual: dict[bytes, int], n_usual: int):
+        self.find, self.ranks, self.usual, self.n_usual = find, ranks, usual, n_usual
+        self.words, self.long = {}, {}
         self.first, self.later, self.single = _Codes(self, ""), _Codes(self, " "), _Matches(self)
+        self.chunks = self.held = 0
+        self._open()
+
+    def _open(self) -> None:
+        self.size, self.new, self.given = 0, [], []
+        self.ids, self.doc_chunks, self.codes = [], [], []
         self.chunk_words, self.words_of_chunk = [], []
 
+    def full(self, most: int) -> bool:
+        return self.chunks >= most or self.held >= HELD
+
     def word(self, text: str) -> int:
         raw = text.encode("utf-8")
-        if raw in self.ranks or len(raw) > LONG_WORD:
-            return -1 - self.given.setdefault(raw, len(self.given))
-        return self.words.setdefault(raw, len(self.words))
+        if (k := self.ranks.get(raw)) is not None or (k := self.usual.get(raw)) is not None:
+            return k
+        if len(raw) > LONG_WORD:
+            if (k := self.long.get(raw)) is None:
+                k = self.long[raw] = -1 - len(self.long)
+                self.given.append(merge_long(raw, self.ranks))
+                self.held += len(raw)
+        elif (k := self.words.get(raw)) is None:
+            k = self.words[raw] = self.n_usual + len(self.words)
+            self.new.append(raw)
+            self.held += len(raw)
+        return k
 
     def chunk(self, texts: list[str]) -> int:
         self.words_of_chunk.extend(map(self.word, texts))
         self.chunk_words.append(len(texts))
-        return len(self.chunk_words) - 1
+        self.chunks += 1
+        return self.chunks - 1
 
     def add(self, doc, text: str) -> None:
         codes = np.zeros(0, np.int32)
@@ -171,136 +176,67 @@ class _Block:
         self.codes.append(codes)
         self.size += len(text)
 
-    def row(self) -> pa.RecordBatch:
-        given = [[self.ranks[w]] if w in self.ranks else merge_long(w, self.ranks) for w in self.given]
-        # words by their hash, so that a bucket's words stand together
-        order = np.argsort(_hashes(list(self.words)), kind="stable")
-        words = list(self.words)
-        words, place = [words[k] for k in order.tolist()], np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order))
-        of_chunk = np.array(self.words_of_chunk, np.int32)
-        of_chunk[of_chunk >= 0] = place[of_chunk[of_chunk >= 0]]
-        packed = {
-            "doc_chunks": _pack(self.doc_chunks), "codes": _pack(np.concatenate(self.codes)),
-            "chunk_words": _pack(self.chunk_words), "words_of_chunk": _pack(of_chunk),
-            "given": _pack([x for ids in given for x in ids]), "given_sizes": _pack(list(map(len, given))),
-            "words": _squeeze(b"".join(words)), "word_sizes": _pack(list(map(len, words)))}
-        for held in (self.first, self.later, self.single):  # they refer to the block, so they would outlive it
-            held.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([uuid.uuid4().hex]), pa.array([len(self.words)], pa.int64()), pa.array([self.ids], pa.list_(pa.int64())),
-             *(pa.array([v], pa.binary()) for v in packed.values())], ["block", "n_words", "ids", *packed])
-
-
-def _cut(raw: bytes, sizes: np.ndarray) -> list[bytes]:
-    ends = np.cumsum(sizes).tolist()
-    return [raw[a:b] for a, b in zip([0, *ends], ends)]
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), np.int64, len(words))
-
-
-def _deal(buckets: int):
-    """A block's words, by bucket, a range of hashes: (bucket, block, words, sizes)."""
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, raw, sizes in zip(*(batch.column(n).to_pylist() for n in ("block", "words", "word_sizes"))):
-                words = _cut(_swell(raw), _unpack(sizes))
-                bucket = _hashes(words) * buckets >> 32
-                begins = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][:len(bucket)]).tolist()
-                parts = [words[a:b] for a, b in zip(begins, [*begins[1:], len(words)])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[begins].astype(np.int32)), pa.array([block] * len(parts), pa.string()),
-                     pa.array([b"".join(p) for p in parts], pa.binary()),
-                     pa.array([np.array(list(map(len, p)), np.int32).tobytes() for p in parts], pa.binary())],
-                    ["bucket", "block", "words", "sizes"])
-    return of
-
-
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ``ASKED_SCHEMA`` of buckets one after another: a bucket's words
-    come before the blocks that want them."""
-    now, known, new, held = None, {}, [], []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(new), IN_ROW):
-            part = new[k:k + IN_ROW]
-            ends = np.cumsum([0, *map(len, part)], dtype=np.int32)
-            spelled = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(part), np.uint8).astype(np.int32)))
-            yield row(1, pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), spelled), [None], [None])
-        if held:
-            yield row(len(held), pa.nulls(len(held), pa.list_(pa.list_(pa.int32()))), *map(list, zip(*held)))
-        new.clear()
-        held.clear()
-
-    def row(n: int, words: pa.Array, blocks: list, wanted: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([now] * n, pa.int32()), words, pa.array(blocks, pa.string()),
-                                           pa.array(wanted, pa.binary())], ["bucket", "words", "block", "wanted"])
+    def rows(self, turn: int) -> Iterator[pa.RecordBatch]:
+        """The new words, then the block."""
+        def row(**given: pa.Array) -> pa.RecordBatch:
+            kinds = {"words": pa.list_(pa.list_(pa.int32())), "ids": pa.list_(pa.int64())}
+            names = ("words", "ids", *NUMBERS)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([turn], pa.int32()), *(given.get(n, pa.nulls(1, kinds.get(n, pa.binary()))) for n in names)],
+                ["turn", *names])
 
-    for batch in batches:
-        for bucket, block, raw, sizes in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            if bucket != now or len(new) >= IN_ROW or len(held) >= IN_ROW:
-                yield from flush()
-            if bucket != now:
-                now, known = bucket, {}
-            numbers = []
-            for w in _cut(raw, np.frombuffer(sizes, np.int32)):
-                k = known.get(w)
-                if k is None:
-                    k = known[w] = len(known)
-                    new.append(w)
-                numbers.append(k)
-            held.append((block, _pack(numbers)))
-    yield from flush()
-
-
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, bucket, tokens, sizes): ids of the words that a block wanted."""
-    now, told, new = None, None, []
-    for batch in batches:
-        for r in range(len(batch)):
-            bucket = batch.column("bucket")[r].as_py()
-            if bucket != now:
-                now, told, new = bucket, (np.zeros(0, np.int32), np.zeros(0, np.int64)), []
-            if not batch.column("wanted")[r].is_valid:
-                merged = batch.column("merged").slice(r, 1).flatten()
-                new.append((np.asarray(merged.flatten()).astype(np.int32),  # the entries' low bits
-                            np.asarray(merged.value_lengths()).astype(np.int64)))
-                continue
-            if new:
-                told, new = _joined(told, *new), []
-            tokens, sizes = _ragged(*told, _unpack(batch.column("wanted")[r].as_py()).astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("block").slice(r, 1), pa.array([bucket], pa.int32()), pa.array([_pack(tokens)], pa.binary()),
-                 pa.array([_pack(sizes)], pa.binary())], ["block", "bucket", "tokens", "sizes"])
+        for k in range(0, len(self.new), IN_ROW):
+            yield row(words=_spelled(self.new[k:k + IN_ROW]))
+        numbers = (self.doc_chunks, np.concatenate(self.codes), self.chunk_words, self.words_of_chunk,
+                   [x for ids in self.given for x in ids], list(map(len, self.given)))
+        yield row(ids=pa.array([self.ids], pa.list_(pa.int64())),
+                  **{n: pa.array([np.asarray(v, np.int32).tobytes()]) for n, v in zip(NUMBERS, numbers)})
+        self._open()
+
+
+def _spelled(words: list[bytes]) -> pa.Array:
+    """One row: the words as arrays of bytes."""
+    ends = np.cumsum([0, *map(len, words)], dtype=np.int32)
+    spelled = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), spelled)
+
+
+def _merged(column: pa.Array, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of one row of merged words, and how many each has."""
+    words = column.slice(r, 1).flatten()
+    return (np.asarray(words.flatten()).astype(np.int32),  # the entries' low bits
+            np.asarray(words.value_lengths()).astype(np.int64))
 
 
 def _joined(*tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([t[k] for t in tables]) for k in (0, 1))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, ids) of the blocks' documents, from their codes and the answers."""
+def _encoded(batches: Iterator[pa.RecordBatch], usual: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(id, ids) of the documents, from the rows of a task in order; ``usual``:
+    ids of the words with the first numbers."""
+    none = np.zeros(0, np.int32), np.zeros(0, np.int64)
+    turn, new = None, []
     for batch in batches:
         for r in range(len(batch)):
-            doc_chunks, codes, chunk_words, words_of_chunk, given, given_sizes = (_unpack(batch.column(n)[r].as_py()) for n in (
-                "doc_chunks", "codes", "chunk_words", "words_of_chunk", "given", "given_sizes"))
-            # buckets are ranges of the order in which the words stand
-            told = sorted(batch.column("answers")[r].as_py() or [], key=lambda x: x["bucket"])
-            none = np.zeros(0, np.int32)
-            words = _joined((none, none), *((_unpack(x["tokens"]), _unpack(x["sizes"])) for x in told))
-            tokens, lengths = _joined(words, (given, given_sizes))
-            at = words_of_chunk.astype(np.int64)
+            if (now := batch.column("turn")[r].as_py()) != turn:
+                turn, words, long, chunks = now, usual, none, none
+            if not batch.column("ids")[r].is_valid:
+                new.append(_merged(batch.column("merged"), r))
+                continue
+            doc_chunks, codes, chunk_words, at, given, given_sizes = (
+                np.frombuffer(batch.column(n)[r].as_buffer(), np.int32).astype(np.int64) for n in NUMBERS)
+            words, new = _joined(words, *new), []
+            long = _joined(long, (given.astype(np.int32), given_sizes))
+            tokens, lengths = _joined(words, long)
             at[at < 0] = len(words[1]) - 1 - at[at < 0]
-            of_chunks, taken = _ragged(tokens, lengths.astype(np.int64), at)
-            per_chunk = _sums(taken, chunk_words)
-            del told, words, tokens, lengths, at, taken
+            made, taken = _ragged(tokens, lengths, at)
+            chunks = _joined(chunks, (made, _sums(taken, chunk_words)))
             # some documents at a time: their ids take more room than their codes
             ids, ends = batch.column("ids").slice(r, 1).flatten(), np.cumsum(doc_chunks)
             cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(CODES, len(codes), CODES)), len(doc_chunks)]).tolist()
             for a, b in zip(cuts, cuts[1:]):
-                made, taken = _ragged(of_chunks, per_chunk, codes[ends[a] - doc_chunks[a]:ends[b - 1]].astype(np.int64))
+                made, taken = _ragged(*chunks, codes[ends[a] - doc_chunks[a]:ends[b - 1]])
                 stops, raw = (4 * np.cumsum(_sums(taken, doc_chunks[a:b]))).tolist(), made.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), pa.array([raw[x:y] for x, y in zip([0, *stops], stops)], pa.binary())], ["id", "ids"])
@@ -396,54 +332,123 @@ def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return ends[stops] - ends[stops - lengths]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           block: int = BLOCK, in_bucket: int = IN_BUCKET) -> DataFrame:
-    """(id, ids) of every row: ids are little-endian unsigned 32-bit integers."""
+def _usual(texts: DataFrame, pattern: str, ranks, merged, sample: int, most: int) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Usual words with their numbers, which follow the pieces' (their ranks);
+    ids of the words of all these numbers, and how many each has."""
+    spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast(ranks)  # the vocabulary: fixed in size
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+        find, ranks, parts = regex.compile(pattern).findall, sent.value, Counter()
+
+        def flush() -> pa.RecordBatch:
+            found = Counter()
+            for part, n in parts.items():
+                for w in find(" " + part):
+                    found[w] += n
+            raws = {raw: n for w, n in found.items() if len(raw := w.encode("utf-8")) <= LONG_WORD and raw not in ranks}
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(raws), pa.binary()), pa.array(list(raws.values()), pa.int64())],
+                                              ["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                parts.update((text.as_py() or "").split(" "))
+                if len(parts) >= CHUNKS:
+                    yield flush()
+        yield flush()
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            for k in range(0, len(words), IN_ROW):
+                part = words[k:k + IN_ROW]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.list_(pa.binary())), _spelled(part)], ["raw", "words"])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_merged(batch.column("merged"), r) for r in range(len(batch))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("raw"), *(pa.array([m[k].tobytes() for m in made], pa.binary()) for k in (0, 1))], ["raw", "ids", "sizes"])
+
+    share = min(1.0, sample / max(1, texts.count()))
+    counted = durable(texts.sample(share, seed=7).mapInArrow(count, "word binary, n long")
+                      .groupBy("word").agg(F.sum("n").alias("n")), "counted")
+    held, least = 0, None
+    for n, n_words in counted.groupBy("n").count().orderBy(F.desc("n")).collect():  # a row for each frequency of the sample
+        held += n_words
+        if held > most:
+            break
+        least = n
+    top = max(ranks.values()) + 1
+    words, ids, sizes = {}, [np.arange(top, dtype=np.int32)], [np.ones(top, np.int64)]
+    if least is not None:
+        rows = (counted.where(F.col("n") >= least).select("word").repartition(shuffle_partitions(spark))
+                .mapInArrow(spell, "raw array<binary>, words array<array<int>>")
+                .select("raw", F.transform("words", merged).alias("merged")).mapInArrow(told, "raw array<binary>, ids binary, sizes binary"))
+        for raw, made, lengths in rows.collect():  # at most ``most`` words
+            words.update((bytes(w), top + k) for k, w in enumerate(raw, len(words)))
+            ids.append(np.frombuffer(made, np.int32))
+            sizes.append(np.frombuffer(lengths, np.int64))
+    return words, np.concatenate(ids), np.concatenate(sizes)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False,
+           block: int = BLOCK, chunks: int = CHUNKS, sample: int = SAMPLE, usual: int = USUAL) -> DataFrame:
+    """(id, ids) of every row: ids are little-endian unsigned 32-bit integers.
+    With ``decoded`` also what ``decode`` adds, by the same task."""
     spark, ranks = docs.sparkSession, read_ranks(path)
     small_batches(spark)
-    sent = spark.sparkContext.broadcast(ranks)  # the vocabulary: fixed in size
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    merged = merger(ranks)
+    known, ids, sizes = _usual(rows.select("text"), pattern, ranks, merged, sample, usual)
+    # the vocabulary and at most ``usual`` words of at most LONG_WORD bytes
+    sent, told = spark.sparkContext.broadcast((ranks, known)), spark.sparkContext.broadcast((ids, sizes, _pieces(ranks)))
+    n_known = len(sizes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         find = regex.compile(pattern).findall
-        now = _Block(find, sent.value)
+        turn, now = 0, _Table(find, *sent.value, n_known)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 now.add(doc, text.as_py() or "")
                 if now.size >= block:
-                    yield now.row()
-                    now = _Block(find, sent.value)
+                    yield from now.rows(turn)
+                    if now.full(chunks):
+                        for held in (now.first, now.later, now.single):  # they refer to the table, so they would outlive it
+                            held.clear()
+                        turn, now = turn + 1, _Table(find, *sent.value, n_known)
         if now.ids:
-            yield now.row()
+            yield from now.rows(turn)
 
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    blocks = bucketed(rows.mapInArrow(read, BLOCK_SCHEMA), "blocks", "block")  # so that the join leaves codes where they are
-    n_words = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    buckets = max(shuffle_partitions(spark), -(-n_words // in_bucket))
-    merged = merger(ranks)
-    asked = (blocks.select("block", "words", "word_sizes")
-             .mapInArrow(_deal(buckets), "bucket int, block string, words binary, sizes binary")
-             .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_ask, ASKED_SCHEMA))
-    answers = (asked.withColumn("merged", F.transform("words", merged)).drop("words")
-               .mapInArrow(_answer, "block string, bucket int, tokens binary, sizes binary")
-               .repartition(shuffle_partitions(spark), "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "tokens", "sizes")).alias("answers")))  # of one block
-    return blocks.drop("words", "word_sizes").join(answers, "block", "left").mapInArrow(_encoded, "id long, ids binary")
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, pieces = told.value
+        made = _encoded(batches, (ids, sizes))
+        return _decoded(made, pieces) if decoded else made
 
+    return (rows.mapInArrow(read, ROW_SCHEMA).withColumn("merged", F.transform("words", merged)).drop("words")
+            .mapInArrow(write, "id long, ids binary, raw binary" if decoded else "id long, ids binary"))
 
-def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
-    """(id, ids, raw): the bytes that the ids stand for."""
-    ranks = read_ranks(path)
+
+def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    sent = encoded.sparkSession.sparkContext.broadcast(pieces)
+    return pieces
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = sent.value.__getitem__
-        for batch in batches:
-            made = [b"".join(map(piece, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())],
-                                             ["id", "ids", "raw"])
 
+def _decoded(batches: Iterator[pa.RecordBatch], pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Batches (id, ids) with the bytes that the ids stand for."""
+    piece = pieces.__getitem__
+    for batch in batches:
+        made = [b"".join(map(piece, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["id", "ids", "raw"])
+
+
+def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
+    """(id, ids, raw): the bytes that the ids stand for."""
+    sent = encoded.sparkSession.sparkContext.broadcast(_pieces(read_ranks(path)))
     return encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids")).mapInArrow(
-        of, "id long, ids binary, raw binary")
+        lambda batches: _decoded(batches, sent.value), "id long, ids binary, raw binary")

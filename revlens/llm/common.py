@@ -48,20 +48,6 @@ def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(key, size)
 
 
-def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
-    """``df`` written in buckets of ``column``, as many as a shuffle has
-    partitions, without a shuffle: each task writes its rows' buckets.  Joins
-    on the column then leave these rows where they are."""
-    spark, n = df.sparkSession, shuffle_partitions(df.sparkSession)
-    table = f"revlens_{name}_{uuid.uuid4().hex}"
-    (df.write.format("parquet").option("compression", "zstd").option("path", f"{work_dir(spark)}/{table}")
-       .bucketBy(n, column).saveAsTable(table))
-    read = spark.table(table)
-    read.schema  # resolved: the catalog's entry is not needed any more, the files stay
-    spark.sql(f"DROP TABLE {table}")
-    return read
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row."""
     return F.transform(F.array(value), body)[0]

@@ -27,11 +27,14 @@ def texts():
 
 def test_equals_the_library_and_decodes(spark):
     enc, rows = library(), texts() + [(None, "null id"), (3, "same id")]
-    for block, in_bucket in ((bpe.BLOCK, bpe.IN_BUCKET), (500, bpe.IN_BUCKET), (2000, 40)):
-        made = bpe.decode(bpe.encode(docs(spark, rows), PATH, public_tokenizers.PATTERN, block=block, in_bucket=in_bucket), PATH).collect()
-        got = sorted(((r.id, bytes(r.ids), bytes(r.raw)) for r in made), key=str)
-        want = sorted(((i, np.array(enc.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in rows), key=str)
-        assert got == want
+    want = sorted(((i, np.array(enc.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in rows), key=str)
+    for given in ({}, {"block": 500}, {"block": 2000, "sample": 100, "usual": 40}, {"block": 500, "chunks": 100, "usual": 0}):
+        table = docs(spark, rows).repartition(2)
+        made = [bpe.encode(table, PATH, public_tokenizers.PATTERN, decoded=True, **given)]
+        if not given:
+            made.append(bpe.decode(bpe.encode(table, PATH, public_tokenizers.PATTERN), PATH))
+        for df in made:
+            assert sorted(((r.id, bytes(r.ids), bytes(r.raw)) for r in df.collect()), key=str) == want
 
 
 def test_long_words_merge_like_the_fold():
