@@ -40,12 +40,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import durable, let, shuffle_partitions, small_batches
+from revlens.llm.common import durable, let, short_plans, shuffle_partitions, small_batches
 
 LONG_WORD = 256
 #: Characters of text in a block, but for a longer single text; words in a row
 #: for the fold; codes replaced at a time.
-BLOCK, IN_ROW, CODES = 1_000_000, 1024, 250_000
+BLOCK, IN_ROW, CODES = 4_000_000, 1024, 250_000
 #: Chunks, and bytes of words, after which a task begins its tables anew.
 CHUNKS, HELD = 500_000, 16 << 20
 #: Documents, about, in which usual words are counted, and how many at most are kept.
@@ -120,15 +120,27 @@ class _Matches(dict):
         return made
 
 
+class _Words(dict):
+    """Words -> their numbers."""
+
+    def __init__(self, table: "_Table"):
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, word: str) -> int:
+        made = self[word] = self.table.word(word)
+        return made
+
+
 class _Table:
     """Words and chunks that a task has met, by number, and the block that
-    waits to be sent.  Usual words have the first numbers, then new ones
-    follow; long words count down from -1."""
+    waits to be sent.  Pieces and usual words have the first numbers, then new
+    words follow; long words count down from -1."""
 
-    def __init__(self, find, ranks: dict[bytes, int], usual: dict[bytes, int], n_usual: int):
-        self.find, self.ranks, self.usual, self.n_usual = find, ranks, usual, n_usual
-        self.words, self.long = {}, {}
+    def __init__(self, find, ranks: dict[bytes, int], known: dict[str, int], n_known: int):
+        self.find, self.ranks, self.known, self.n_words, self.n_long = find, ranks, known, n_known, 0
         self.first, self.later, self.single = _Codes(self, ""), _Codes(self, " "), _Matches(self)
+        self.words = _Words(self)
         self.chunks = self.held = 0
         self._open()
 
@@ -140,23 +152,26 @@ class _Table:
     def full(self, most: int) -> bool:
         return self.chunks >= most or self.held >= HELD
 
+    def clear(self) -> None:
+        """Its dictionaries refer to the table, so they would outlive it."""
+        for held in (self.first, self.later, self.single, self.words):
+            held.clear()
+
     def word(self, text: str) -> int:
-        raw = text.encode("utf-8")
-        if (k := self.ranks.get(raw)) is not None or (k := self.usual.get(raw)) is not None:
+        if (k := self.known.get(text)) is not None:
             return k
+        raw = text.encode("utf-8")
+        self.held += len(raw)
         if len(raw) > LONG_WORD:
-            if (k := self.long.get(raw)) is None:
-                k = self.long[raw] = -1 - len(self.long)
-                self.given.append(merge_long(raw, self.ranks))
-                self.held += len(raw)
-        elif (k := self.words.get(raw)) is None:
-            k = self.words[raw] = self.n_usual + len(self.words)
-            self.new.append(raw)
-            self.held += len(raw)
-        return k
+            self.given.append(merge_long(raw, self.ranks))
+            self.n_long += 1
+            return -self.n_long
+        self.new.append(raw)
+        self.n_words += 1
+        return self.n_words - 1
 
     def chunk(self, texts: list[str]) -> int:
-        self.words_of_chunk.extend(map(self.word, texts))
+        self.words_of_chunk.extend(map(self.words.__getitem__, texts))
         self.chunk_words.append(len(texts))
         self.chunks += 1
         return self.chunks - 1
@@ -279,15 +294,23 @@ def _literal(values, kind: str = "int") -> Column:
 
 
 def merger(ranks: dict[bytes, int]):
-    """The expression that merges one word, given as an array of bytes: an
-    array of ``rank << 32 | id``, the id of each part and the rank of the pair
-    it makes with the next one.  Since an id is a rank, the smallest entry
-    tells the pair to join and what it becomes."""
+    """The expression that merges words, given as an array of arrays of bytes:
+    for each an array of ``rank << 32 | id``, the id of each part and the rank
+    of the pair it makes with the next one.  Since an id is a rank, the
+    smallest entry tells the pair to join and what it becomes.  Each literal
+    array stands once in the plan."""
     starts, table = rank_table(ranks)
-    starts, table, none = _literal(starts), _literal(table, "long"), F.lit(NONE)
+    starts, table = _literal(starts), _literal(table, "long")
     byte = [ranks[bytes([x])] for x in range(256)]
     first = _literal((ranks.get(bytes([x, y]), NONE >> 32) << 32 | byte[x] for x in range(256) for y in range(256)), "long")
     of_byte = _literal((NONE | x for x in byte), "long")
+    return lambda words: let(starts, lambda s: let(table, lambda t: let(first, lambda f: let(
+        of_byte, lambda o: F.transform(words, _fold(s, t, f, o))))))
+
+
+def _fold(starts: Column, table: Column, first: Column, of_byte: Column):
+    """The expression that merges one word by the literal arrays."""
+    none = F.lit(NONE)
 
     def pair(a: Column, b: Column) -> Column:
         """The entry of part a before part b."""
@@ -384,11 +407,13 @@ def _usual(texts: DataFrame, pattern: str, ranks, merged, sample: int, most: int
     top = max(ranks.values()) + 1
     words, ids, sizes = {}, [np.arange(top, dtype=np.int32)], [np.ones(top, np.int64)]
     if least is not None:
-        rows = (counted.where(F.col("n") >= least).select("word").repartition(shuffle_partitions(spark))
-                .mapInArrow(spell, "raw array<binary>, words array<array<int>>")
-                .select("raw", F.transform("words", merged).alias("merged")).mapInArrow(told, "raw array<binary>, ids binary, sizes binary"))
+        # laid out first, so that the plan with the literal arrays has one stage and is described once
+        spelled = durable(counted.where(F.col("n") >= least).select("word").repartition(shuffle_partitions(spark))
+                          .mapInArrow(spell, "raw array<binary>, words array<array<int>>"), "spelled")
+        rows = (spelled.select("raw", merged(F.col("words")).alias("merged"))
+                .mapInArrow(told, "raw array<binary>, ids binary, sizes binary"))
         for raw, made, lengths in rows.collect():  # at most ``most`` words
-            words.update((bytes(w), top + k) for k, w in enumerate(raw, len(words)))
+            words.update((w.decode("utf-8"), top + k) for k, w in enumerate(raw, len(words)))
             ids.append(np.frombuffer(made, np.int32))
             sizes.append(np.frombuffer(lengths, np.int64))
     return words, np.concatenate(ids), np.concatenate(sizes)
@@ -400,10 +425,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     With ``decoded`` also what ``decode`` adds, by the same task."""
     spark, ranks = docs.sparkSession, read_ranks(path)
     small_batches(spark)
+    short_plans(spark)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     merged = merger(ranks)
     known, ids, sizes = _usual(rows.select("text"), pattern, ranks, merged, sample, usual)
     # the vocabulary and at most ``usual`` words of at most LONG_WORD bytes
+    for piece, rank in ranks.items():
+        if (word := piece.decode("utf-8", "ignore")).encode("utf-8") == piece:
+            known[word] = rank
     sent, told = spark.sparkContext.broadcast((ranks, known)), spark.sparkContext.broadcast((ids, sizes, _pieces(ranks)))
     n_known = len(sizes)
 
@@ -417,8 +446,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 if now.size >= block:
                     yield from now.rows(turn)
                     if now.full(chunks):
-                        for held in (now.first, now.later, now.single):  # they refer to the table, so they would outlive it
-                            held.clear()
+                        now.clear()
                         turn, now = turn + 1, _Table(find, *sent.value, n_known)
         if now.ids:
             yield from now.rows(turn)
@@ -428,7 +456,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         made = _encoded(batches, (ids, sizes))
         return _decoded(made, pieces) if decoded else made
 
-    return (rows.mapInArrow(read, ROW_SCHEMA).withColumn("merged", F.transform("words", merged)).drop("words")
+    return (rows.mapInArrow(read, ROW_SCHEMA).withColumn("merged", merged(F.col("words"))).drop("words")
             .mapInArrow(write, "id long, ids binary, raw binary" if decoded else "id long, ids binary"))
 
 

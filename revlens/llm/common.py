@@ -48,6 +48,14 @@ def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(key, size)
 
 
+def short_plans(spark: SparkSession, size: int = 1 << 16) -> None:
+    """Descriptions of plans of at most ``size`` characters from now on, for
+    plans with large literals: the driver keeps descriptions."""
+    key = "spark.sql.maxPlanStringLength"
+    if int(spark.conf.get(key).rstrip("b")) > size:
+        spark.conf.set(key, size)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row."""
     return F.transform(F.array(value), body)[0]
