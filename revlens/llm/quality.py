@@ -2,10 +2,10 @@
 
 Two multinomials over ``buckets`` hashed word 1- and 2-grams: the raw corpus,
 counted over all documents, and the trusted target, counted over documents
-labelled good and not toxic (at most ``target_rows`` of them, those with the
-smallest hashed ids; this bound keeps the set of ids small enough to
-broadcast).  By hash of their ids, one half of them makes the model and the
-other half the threshold.  A document's score is the mean over its n-grams of
+labelled good and not toxic.  By hash of their ids, one half of them makes the
+model and the other half the threshold; all of them take part.  Their ids are
+broadcast, or, from ``BROADCAST_IDS`` on, joined once by a shuffle that the
+trusted documents are written from.  A document's score is the mean over its n-grams of
 ``ln p_target - ln p_raw``.  The raw model is add-one smoothed and the target
 is smoothed towards it, by ``buckets`` counts spread as the raw model's: an
 n-gram of which the target tells nothing adds nothing, whatever the sizes of
@@ -15,8 +15,9 @@ has not seen, so it stands where other clean documents' scores begin, and moves
 with the model.  A tie with it passes.  Base rules look at length and
 repetition.
 
-The two models are ``buckets`` numbers each, whatever the corpus: they and the
-threshold are all that leaves the executors.
+The two models are ``buckets`` numbers each, whatever the corpus: they and
+``NTH_ROWS`` scores at most, among which the threshold is, are all that is
+collected.
 
 Defined cases: a null text has no words (and fails the base rule); documents
 without n-grams score 0; labels with null or repeated ids count once; without
@@ -33,10 +34,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import WORD, let, words
+from revlens.llm.common import WORD, durable, let, words
 
 BUCKETS = 10_000
-TARGET_ROWS = 20_000
+#: Trusted ids up to which they are broadcast (a half at a time).
+BROADCAST_IDS = 6_000_000
+#: Scores up to which the threshold is looked up on the driver.
+NTH_ROWS = 100_000
 #: Share of the trusted documents (that pass the base rules) below the threshold.
 TRUSTED_SHARE = 0.002
 MIN_WORDS = 50
@@ -83,22 +87,34 @@ def _hashes(ws: Column) -> Column:
     return F.transform(ws, lambda w: F.xxhash64(w))
 
 
-def trusted(labels: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """(id, model) of the trusted documents, ``target_rows`` at most: model is 1
-    for the half that the target model counts, else null."""
+def trusted(labels: DataFrame) -> DataFrame:
+    """(id, model) of the trusted documents: model is 1 for the half that the
+    target model counts, else null."""
     return (labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null")
             .select(F.col("doc_id").alias("id")).distinct()
-            .orderBy(F.xxhash64("id"), "id").limit(target_rows)
             .withColumn("model", F.when(F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)) == 0, 1)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS,
-        id_col: str = "doc_id", text_col: str = "text") -> list[float]:
-    """ln p_target - ln p_raw of each bucket."""
-    counts = (docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-              .join(F.broadcast(trusted(labels, target_rows)), "id", "left")  # target_rows ids at most
-              .select("model", F.explode(let(_hashes(words(F.col("text"))), lambda h: _grams(h, buckets))).alias("bucket"))
-              .groupBy("bucket").agg(F.count("*").alias("raw"), F.count("model").alias("target")))
+def _split(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(raw, model, text) that the models count: raw is 1 for every document,
+    model for those of the target; and (text) of the threshold's half."""
+    texts, ids = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), trusted(labels)
+    model, rest = ids.where("model = 1"), ids.where("model is null").select("id")
+    if ids.count() <= BROADCAST_IDS:
+        counted = texts.join(F.broadcast(model), "id", "left").select(F.lit(1).alias("raw"), "model", "text")
+        return counted, texts.join(F.broadcast(rest), "id", "left_semi").select("text")
+    own = durable(texts.join(ids, "id").select("model", "text"), "trusted")
+    none = F.lit(None).cast("int")
+    counted = texts.select(F.lit(1).alias("raw"), none.alias("model"), "text").union(
+        own.where("model = 1").select(none.alias("raw"), "model", "text"))
+    return counted, own.where("model is null").select("text")
+
+
+def fit(counted: DataFrame, buckets: int = BUCKETS) -> list[float]:
+    """ln p_target - ln p_raw of each bucket, from (raw, model, text)."""
+    counts = (counted.select("raw", "model", F.explode(
+                  let(_hashes(words(F.col("text"))), lambda h: _grams(h, buckets))).alias("bucket"))
+              .groupBy("bucket").agg(F.count("raw").alias("raw"), F.count("model").alias("target")))
     found = {r["bucket"]: (r["raw"], r["target"]) for r in counts.collect()}  # `buckets` rows at most
     raw, target = (sum(x[k] for x in found.values()) for k in (0, 1))
     ratios = []
@@ -138,26 +154,50 @@ def _scored(rows: DataFrame, ratios: list[float], buckets: int) -> DataFrame:
                         | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))))
 
 
-def trusted_threshold(docs: DataFrame, labels: DataFrame, ratios: list[float], share: float = TRUSTED_SHARE,
-                      target_rows: int = TARGET_ROWS, id_col: str = "doc_id", text_col: str = "text") -> float:
-    """The ``share`` quantile of the scores of the trusted documents that are
-    not in the model and pass the base rules; without any, nothing is below it."""
-    rows = (docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-            .join(F.broadcast(trusted(labels, target_rows).where("model is null")), "id", "left_semi"))
-    # no filter on the base rules: it would be moved below the join, to all documents
-    of = "CASE WHEN NOT base_failed THEN score END"
-    found = _scored(rows, ratios, len(ratios)).agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {of})")).first()[0]
+def nth_smallest(scores: DataFrame, share: float, rows: int = NTH_ROWS) -> float | None:
+    """The least of the column ``score`` that a ``share`` of them do not exceed
+    (``percentile_disc``, in bounded memory): approximate quantiles on both
+    sides of it leave a few hundredths of the scores, until ``rows`` at most
+    are left."""
+    n = scores.count()
+    k = max(1, math.ceil(share * n))
+    while n > rows:
+        sides = [max(0.0, k / n - 0.01), min(1.0, k / n + 0.01)]
+        low, high = scores.agg(F.percentile_approx("score", sides, 1000)).first()[0]
+        to_low, below_low, below_high = scores.agg(*(F.count_if(x) for x in (
+            F.col("score") <= low, F.col("score") < low, F.col("score") < high))).first()
+        if below_low < k <= to_low:
+            return low
+        if k <= below_low:  # no approximation is that far off; whatever it gives, the search goes on
+            scores, n = scores.where(F.col("score") < low), below_low
+        elif k <= below_high:
+            scores, n, k = scores.where((F.col("score") > low) & (F.col("score") < high)), below_high - to_low, k - to_low
+        else:
+            to_high = scores.where(F.col("score") <= high).count()
+            if k <= to_high:
+                return high
+            scores, n, k = scores.where(F.col("score") > high), n - to_high, k - to_high
+    return sorted(r[0] for r in scores.collect())[k - 1] if n else None
+
+
+def trusted_threshold(texts: DataFrame, ratios: list[float], share: float = TRUSTED_SHARE) -> float:
+    """The ``share`` quantile of the scores of ``texts``, the trusted documents
+    that are not in the model, as far as they pass the base rules; without any,
+    nothing is below it."""
+    # the base rules are no filter here: it would be moved below the join, to all documents
+    of = F.when(~F.col("base_failed"), F.col("score")).alias("score")
+    found = nth_smallest(durable(_scored(texts, ratios, len(ratios)).select(of), "scores").where("score is not null"), share)
     return -math.inf if found is None else found
 
 
-def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS,
-          trusted_share: float = TRUSTED_SHARE, id_col: str = "doc_id", text_col: str = "text",
-          keep_columns: bool = False) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_share: float = TRUSTED_SHARE,
+          id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
     """One row per document: (id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, score, base_failed, kept); with ``keep_columns`` the rows
     of ``docs`` that are kept, unchanged."""
-    ratios = fit(docs, labels, buckets, target_rows, id_col, text_col)
-    threshold = trusted_threshold(docs, labels, ratios, trusted_share, target_rows, id_col, text_col)
+    counted, held_out = _split(docs, labels, id_col, text_col)
+    ratios = fit(counted, buckets)
+    threshold = trusted_threshold(held_out, ratios, trusted_share)
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row")) if keep_columns else None
     rows = rows.select("row", F.col("row")[text_col].alias("text")) if keep_columns else docs.select(
         docs[id_col].alias("id"), docs[text_col].alias("text"))

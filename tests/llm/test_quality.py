@@ -123,3 +123,44 @@ def test_good_and_bad_labels_are_told_apart(spark):
     rate = {r.quality: r.kept for r in j.where("not base_failed").join(L, j.id == L.doc_id).groupBy("quality").agg(
         F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
     assert rate[1] > 0.995 and rate[0] < 0.1
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_every_trusted_document_counts(spark, monkeypatch, broadcast):
+    """More trusted documents than 20,000: the model counts its whole half and
+    the threshold is a quantile of the whole other half."""
+    if not broadcast:
+        monkeypatch.setattr(quality, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(quality, "NTH_ROWS", 100)
+    n, b, share = 24_000, 50, 0.3
+    rng = random.Random(8)
+    kinds = [" ".join(f"w{rng.randrange(60 * (k + 1))}" for _ in range(60)) for k in range(40)]
+    of = [rng.randrange(40) for _ in range(n)]
+    rows = [(i, kinds[k]) for i, k in enumerate(of)] + [(n + k, t) for k, t in enumerate(kinds)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    counts, own = Counter(of), Counter(k for i, k in enumerate(of) if in_model(i))
+    held = [k for i, k in enumerate(of) if not in_model(i)]
+    raw, good = Counter(), Counter()
+    for k, t in enumerate(kinds):
+        for g in grams(t, b):
+            raw[g] += counts[k] + 1
+            good[g] += own[k]
+    p_raw = [(raw[x] + 1) / (raw.total() + b) for x in range(b)]
+    ratio = [math.log((good[x] + b * p_raw[x]) / (good.total() + b)) - math.log(p_raw[x]) for x in range(b)]
+    scores = [sum(ratio[x] for x in grams(t, b)) / len(grams(t, b)) for t in kinds]
+    threshold = sorted(scores[k] for k in held)[math.ceil(share * len(held)) - 1]
+    judged = quality.judge(docs(spark, rows), labels, buckets=b, trusted_share=share).where(F.col("id") >= n).collect()
+    for r in judged:
+        assert math.isclose(r.score, scores[r.id - n], abs_tol=1e-12)
+        assert r.kept == (scores[r.id - n] >= threshold - 1e-13)
+    assert 0 < sum(r.kept for r in judged) < 40
+
+
+def test_nth_smallest(spark):
+    rng = random.Random(4)
+    for values in ([rng.gauss(0, 1) for _ in range(3000)], [0.5] * 900 + [rng.random() for _ in range(900)], [1.0], [2.0] * 500):
+        scores = spark.createDataFrame([(v,) for v in values], "score double").repartition(5).cache()
+        for share in (0.002, 0.3, 0.5, 1.0):
+            want = sorted(values)[max(1, math.ceil(share * len(values))) - 1]
+            assert quality.nth_smallest(scores, share, rows=20) == want
+    assert quality.nth_smallest(scores.where("false"), 0.5) is None
