@@ -154,69 +154,78 @@ def _app(status: str = "o_orderstatus", other: str = "AppP"):
     return F.when(s == "F", "AppF").when(s == "O", "AppO").otherwise(other)
 
 
+def _historical(app, src) -> dict:
+    """The columns of a historical export row."""
+    ship = F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")
+    reply = (F.when(F.col("l_returnflag") == "R", "thanks")
+              .when(F.col("l_linestatus") == "O", "  "))
+    return {
+        "reviewId": F.col("o_orderkey").cast("string"),
+        "userName": F.concat(F.lit("cust"), F.col("o_custkey").cast("string")),
+        "userImage": F.concat(F.lit("img/"), F.col("o_custkey").cast("string")),
+        "content": F.col("text"),
+        "score": F.col("l_linenumber"),
+        "thumbsUpCount": F.col("l_quantity").cast("int"),
+        "reviewCreatedVersion": F.concat(F.lit("1."), F.col("l_linenumber").cast("string")),
+        "at": F.when(F.col("l_quantity") >= 49, "bad").otherwise(ship),
+        "replyContent": reply,
+        "repliedAt": F.when(reply.isNotNull(), ship),
+        "app": app, "data_source": src,
+    }
+
+
+def _listing():
+    return F.when(F.col("l_linestatus") == "F", "help").otherwise("new")
+
+
 def raw_historical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Historical export rows (6 files: app x {help, new})."""
     j = _raw_lines(spark, sf_dir).where(F.col("l_returnflag") != "N")
-    src = F.when(F.col("l_linestatus") == "F", "help").otherwise("new")
-    app = _app()
+    app, src = _app(), _listing()
     file_rank = F.lit(None).cast("int")
     for i, (a, s) in enumerate(HIST_MANIFEST):
         file_rank = F.when((app == a) & (src == s), i).otherwise(file_rank)
-    ship = F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")
-    reply = (F.when(F.col("l_returnflag") == "R", "thanks")
-              .when(F.col("l_linestatus") == "O", "  "))
-    return j.select(
-        F.col("o_orderkey").cast("string").alias("reviewId"),
-        F.concat(F.lit("cust"), F.col("o_custkey").cast("string")).alias("userName"),
-        F.concat(F.lit("img/"), F.col("o_custkey").cast("string")).alias("userImage"),
-        F.col("text").alias("content"),
-        F.col("l_linenumber").alias("score"),
-        F.col("l_quantity").cast("int").alias("thumbsUpCount"),
-        F.concat(F.lit("1."), F.col("l_linenumber").cast("string")).alias("reviewCreatedVersion"),
-        F.when(F.col("l_quantity") >= 49, "bad").otherwise(ship).alias("at"),
-        reply.alias("replyContent"),
-        F.when(reply.isNotNull(), ship).alias("repliedAt"),
-        app.alias("app"), src.alias("data_source"),
-        file_rank.alias("_file"), F.struct(*LINE_ORDER).alias("_pos"),
-    )
+    return j.select(*(c.alias(n) for n, c in _historical(app, src).items()),
+                    file_rank.alias("_file"), F.struct(*LINE_ORDER).alias("_pos"))
+
+
+def _scrape() -> dict:
+    """The columns of a scraped row."""
+    return {
+        "app": _app(other="AppX"),
+        "review_id": F.col("o_orderkey").cast("string"),
+        "date": F.date_format("l_shipdate", "yyyy-MM-dd"),
+        "rating": F.col("l_linenumber"),
+        "review_text": F.col("text"),
+        "thumbs_up": F.col("l_quantity").cast("int"),
+        "app_version": F.concat(F.lit("1."), F.col("l_linenumber").cast("string")),
+        "data_source": F.lit("fresh"),
+    }
 
 
 def raw_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fresh-scrape rows (one file; a fourth app outside the allow-list)."""
     j = _raw_lines(spark, sf_dir).where(F.col("l_returnflag") == "N")
-    return j.select(
-        _app(other="AppX").alias("app"),
-        F.col("o_orderkey").cast("string").alias("review_id"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"),
-        F.col("l_linenumber").alias("rating"),
-        F.col("text").alias("review_text"),
-        F.col("l_quantity").cast("int").alias("thumbs_up"),
-        F.concat(F.lit("1."), F.col("l_linenumber").cast("string")).alias("app_version"),
-        F.lit("fresh").alias("data_source"),
-        F.lit(0).alias("_file"), F.struct(*LINE_ORDER).alias("_pos"),
-    )
+    return j.select(*(c.alias(n) for n, c in _scrape().items()),
+                    F.lit(0).alias("_file"), F.struct(*LINE_ORDER).alias("_pos"))
 
 
 # The same rows as CSV files, one folder per manifest entry and one for the
 # scrape, with what goes wrong in such files: lines of a tax of 8 % are cut
 # after their seventh value, and those of a discount of 10 % say "n/a" for
 # the thumbs-up count.
+#
+# One job writes all folders.  A text is shuffled once, to its order's lines,
+# which are sorted before they meet it; rows with a text are neither sorted
+# nor shuffled.  So a folder's files hold ranges of hashed order keys, the
+# lines of an order lie in one of them in LINE_ORDER, and the files are gzipped.
 
 CUT_AFTER = 7
+SCRAPE_FOLDER = "scrape"
 
 
 def _percent(column: str):
-    return F.round(F.col(f"_pos.{column}") * 100)
-
-
-def _write_lines(rows: DataFrame, line, names: list[str], order: list[str], path: str, bom: bool = False) -> None:
-    """CSV lines in ``order`` over numbered files, a header in front of each."""
-    header = ("\ufeff" if bom else "") + ",".join(names)
-    first = F.monotonically_increasing_id().bitwiseAND(2**33 - 1) == 0  # of its task
-    (rows.repartitionByRange(*order).sortWithinPartitions(*order)
-         .select(line.alias("line"), first.alias("first"))
-         .select(F.explode(F.when(F.col("first"), F.array(F.lit(header), "line")).otherwise(F.array("line"))).alias("value"))
-         .write.text(path))
+    return F.round(F.col(column) * 100)
 
 
 def _line(columns: list):
@@ -224,25 +233,56 @@ def _line(columns: list):
                                          "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
 
 
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(folder, line) of every raw row, an order's rows in order."""
+    li = table(spark, sf_dir, "lineitem").where("l_returnflag IS NOT NULL")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # the number keeps the optimizer from dropping a sort below a join
+    lines = (li.join(o, li["l_orderkey"] == o["o_orderkey"]).sortWithinPartitions("o_orderkey", *LINE_ORDER)
+             .withColumn("place", F.monotonically_increasing_id()))
+    scraped = F.col("l_returnflag") == "N"
+    folder = F.when(scraped, SCRAPE_FOLDER).otherwise(F.concat_ws("-", _app(), _listing()))
+    row = _historical(_app(), _listing())
+    thumbs = F.when(_percent("l_discount") == 10, "n/a").otherwise(row["thumbsUpCount"].cast("string"))
+    columns = [(thumbs if n == "thumbsUpCount" else row[n]).alias(n) for n in RAW_HISTORICAL.fieldNames()]
+    line = F.when(_percent("l_tax") == 8, _line(columns[:CUT_AFTER])).otherwise(_line(columns))
+    columns = [_scrape()[n].alias(n) for n in RAW_SCRAPE.fieldNames()]
+    return (lines.join(d, F.col("o_orderkey") == d["doc_id"], "left")
+            .select(folder.alias("folder"), F.when(scraped, _line(columns)).otherwise(line).alias("value"), "place"))
+
+
+def _with_headers(headers: dict[str, str]):
+    """Puts a folder's header before its first line in a task."""
+    def of(batches):
+        import pyarrow as pa
+        seen = set()
+        for batch in batches:
+            folder, value = batch.column("folder"), batch.column("value")
+            new = sorted(set(folder.unique().to_pylist()) - seen)
+            seen.update(new)
+            if new:
+                heads = [pa.array(x, pa.string()) for x in (new, [headers[name] for name in new])]
+                yield pa.RecordBatch.from_arrays(heads, ["folder", "value"])
+            yield pa.RecordBatch.from_arrays([folder, value], ["folder", "value"])
+    return of
+
+
 def raw_csv(spark: SparkSession, sf_dir: str) -> tuple[list[tuple[str, str, str]], str]:
     """The raw landing files: (manifest, path of the scrape)."""
-    key = store.fingerprint(spark, _inputs(sf_dir, ("lineitem", "orders", "documents")), "raw-csv-v1", store.run_token(spark))
+    key = store.fingerprint(spark, _inputs(sf_dir, ("lineitem", "orders", "documents")), "raw-csv-v2", store.run_token(spark))
+    headers = {f"{app}-{source}": ",".join(RAW_HISTORICAL.fieldNames()) for app, source in HIST_MANIFEST}
+    headers[SCRAPE_FOLDER] = "\ufeff" + ",".join(RAW_SCRAPE.fieldNames())
 
     def write(path: str) -> None:
-        rows = f"{path}/rows"
-        raw_historical(spark, sf_dir).write.partitionBy("_file").parquet(rows)
-        names = RAW_HISTORICAL.fieldNames()
-        thumbs = F.when(_percent("l_discount") == 10, "n/a").otherwise(F.col("thumbsUpCount").cast("string"))
-        columns = [thumbs.alias(n) if n == "thumbsUpCount" else F.col(n) for n in names]
-        line = F.when(_percent("l_tax") == 8, _line(columns[:CUT_AFTER])).otherwise(_line(columns))
-        for i, (app, source) in enumerate(HIST_MANIFEST):
-            _write_lines(spark.read.parquet(rows).where(F.col("_file") == i), line, names, ["_pos", "reviewId"],
-                         f"{path}/{app}-{source}")
-        names = RAW_SCRAPE.fieldNames()
-        _write_lines(raw_scrape(spark, sf_dir), _line(names), names, ["_pos", "review_id"], f"{path}/scrape", bom=True)
+        lines = csv_lines(spark, sf_dir).mapInArrow(_with_headers(headers), "folder string, value string")
+        # a task has the files of all folders open, so that rows need no sorting by folder
+        with store._conf(spark, {"spark.sql.maxConcurrentOutputFileWriters": str(len(headers) + 1),
+                                 "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
+            lines.write.partitionBy("folder").option("compression", "gzip").text(path)
 
     path = store.materialize_with(spark, write, "raw_csv", key)
-    return [(f"{path}/{app}-{source}", app, source) for app, source in HIST_MANIFEST], f"{path}/scrape"
+    return [(f"{path}/folder={app}-{source}", app, source) for app, source in HIST_MANIFEST], f"{path}/folder={SCRAPE_FOLDER}"
 
 
 # --------------------------------------------------------------------------

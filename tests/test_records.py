@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from revlens.schema import RAW_HISTORICAL
-from revlens.sources import files
+from revlens.schema import RAW_HISTORICAL, RAW_SCRAPE
+from revlens.sources import files, records
+from revlens.sources import testdata as td
 from revlens.sources.records import split_records
 
 NAMES = RAW_HISTORICAL.fieldNames()
@@ -110,3 +111,48 @@ def test_reject_table(spark, tmp_path, split):
     rows = {r.reviewId: r for r in bronze.collect()}
     assert len(rows) == 6 and rows["num"].score is None and rows["cut"].content == "text" and rows["cut"].score is None
     assert bronze.where(F.size("_rejects") == 0).count() == 2
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_records_over_batches_and_splits_without_sorting_lines(spark, small_splits, tmp_path, monkeypatch, broadcast):
+    """Records that go on over batches and splits; read where they lie, lines
+    are neither shuffled nor sorted."""
+    if not broadcast:
+        monkeypatch.setattr(records, "BROADCAST_SPLITS", 0)
+    rows = _some_rows(random.Random(9), 150)
+    for k in range(2):
+        (tmp_path / f"{k}.csv").write_bytes(_csv(rows[k::2], "\n").encode())
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        split = files.read_reviews(spark, [(str(tmp_path), "A", "s")], split=True)
+        whole = files.read_reviews(spark, [(str(tmp_path), "A", "s")])
+        assert _plain(split) == _plain(whole)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    if broadcast:
+        plan = split_records(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "id#" in x and ("Sort" in x or "Exchange" in x)]
+
+
+def test_raw_csv_shuffles_a_text_once(spark):
+    """Each raw file starts with its header, holds an order's rows in order and
+    no other file of its folder has that order; all rows are there."""
+    sf = "/root/testdata/sf0.001"
+    plan = td.csv_lines(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    # in this plan an exchange stands above each scan, and none above the join with the texts
+    assert plan.count("doc_id#") and plan.count("Exchange") == 3
+    manifest, scrape = td.raw_csv(spark, sf)
+    for path, app, source in [*manifest, (scrape, None, "fresh")]:
+        text = spark.read.text(path, wholetext=True).collect()
+        assert {t[0].split("\n")[0] for t in text} == {",".join(NAMES) if app else "﻿" + ",".join(RAW_SCRAPE.fieldNames())}
+    landed = files.read_scrape(spark, scrape, "fresh", split=True).select("review_id", "_pos", "rating", "thumbs_up").collect()
+    raw = td.raw_scrape(spark, sf).select("review_id", "_pos", "rating", "thumbs_up").collect()
+    by_id = {}
+    for r in sorted(landed, key=lambda r: r["_pos"]):
+        by_id.setdefault(r["review_id"], []).append((r["_pos"]["file"], r["rating"], r["thumbs_up"]))
+    want = {}
+    for r in sorted(raw, key=lambda r: r["_pos"]):
+        want.setdefault(r["review_id"], []).append((r["rating"], r["thumbs_up"]))
+    assert {k: [x[1:] for x in v] for k, v in by_id.items()} == want
+    assert all(len({x[0] for x in v}) == 1 for v in by_id.values())
