@@ -76,16 +76,18 @@ def mark_done(spark: SparkSession, path: str) -> None:
     fs.create(p, True).close()
 
 
-def materialize_with(spark: SparkSession, writer, name: str, key: str) -> str:
+def materialize_with(spark: SparkSession, writer, name: str, key: str, inputs: tuple[str, ...] | list[str] = ()) -> str:
     """Run ``writer(path)`` once for ``<checkpoint>/revlens/<name>/<key>`` and
-    return the path; later calls with the same key reuse the output."""
+    return the path; later calls with the same key reuse the output.  Shuffles
+    of the writing have as many partitions as the size of ``inputs`` asks for."""
     root = f"{checkpoint_root(spark)}/revlens/{name}"
     final = f"{root}/{key}"
     if path_exists(spark, f"{final}/_SUCCESS"):
         return final
     tmp = f"{root}/_tmp-{key}-{uuid.uuid4().hex[:8]}"
     try:
-        writer(tmp)
+        with _conf(spark, write_conf(spark, inputs)):
+            writer(tmp)
     except BaseException:
         fs, src = _fs(spark, tmp)
         fs.delete(src, True)   # ours alone; another builder's may be in use
@@ -109,9 +111,21 @@ def run_token(spark: SparkSession) -> str:
     return spark.conf.get("revlens.run", "")
 
 
-# Durable tables are written from larger shuffle partitions than queries
-# use, so a year-partitioned write yields files of tens of MB, not a few MB.
-WRITE_CONF = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024)}
+# A task of a durable write sorts what it gets, with its text, several times
+# over (joins, clustering): its memory is some ten times that.  So it gets
+# TASK_BYTES of a shuffle at most, however large the input: there are enough
+# partitions to start with, and small ones are joined up to that.
+TASK_BYTES = 32 * 1024 * 1024
+#: Bytes of (compressed) input for each partition to start with.
+INPUT_BYTES = 8 * 1024 * 1024
+
+
+def write_conf(spark: SparkSession, inputs: tuple[str, ...] | list[str]) -> dict[str, str]:
+    """Settings for a durable write made from the files or folders ``inputs``."""
+    size = sum(s[1] for path in inputs for s in _status(spark, path) if isinstance(s, tuple))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // INPUT_BYTES))
+    return {"spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES),
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts)}
 
 
 class _conf:
@@ -134,7 +148,8 @@ class _conf:
 
 
 def materialize(spark: SparkSession, df_builder, name: str, key: str,
-                partition_by: tuple[str, ...] = (), sort_within: tuple[str, ...] = ()) -> str:
+                partition_by: tuple[str, ...] = (), sort_within: tuple[str, ...] = (),
+                inputs: tuple[str, ...] | list[str] = ()) -> str:
     """Write ``df_builder()`` once as Parquet (zstd) and return the path."""
     def write(path: str) -> None:
         df: DataFrame = df_builder()
@@ -146,9 +161,8 @@ def materialize(spark: SparkSession, df_builder, name: str, key: str,
         w = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             w = w.partitionBy(*partition_by)
-        with _conf(spark, WRITE_CONF):
-            w.parquet(path)
-    return materialize_with(spark, write, name, key)
+        w.parquet(path)
+    return materialize_with(spark, write, name, key, inputs)
 
 
 def bucketed(spark: SparkSession, df: DataFrame, name: str, key: str, column: str) -> DataFrame:

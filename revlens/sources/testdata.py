@@ -81,13 +81,13 @@ def _inputs(sf_dir: str, names) -> list[str]:
 
 
 def gold_path(spark: SparkSession, sf_dir: str) -> str:
-    key = store.fingerprint(spark, _inputs(sf_dir, ("orders", "documents", "lineitem")),
-                            _GOLD_VERSION)
+    inputs = _inputs(sf_dir, ("orders", "documents", "lineitem"))
+    key = store.fingerprint(spark, inputs, _GOLD_VERSION)
     # within a year, rows are clustered by rating: negatives (the only rows
     # whose text is read) sit in their own row groups, and the pushed
     # ``rating <= 2`` skips the text of the others
     return store.materialize(spark, lambda: reviews_view(spark, sf_dir), "gold", key,
-                             partition_by=("year",), sort_within=("year", "rating", "app"))
+                             partition_by=("year",), sort_within=("year", "rating", "app"), inputs=inputs)
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ def negatives(spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
                             params.min_complaint_chars)
     path = store.materialize(
         spark, lambda: classified_negatives(spark.read.schema(GOLD).parquet(gpath), params),
-        "negatives", key, partition_by=("year",), sort_within=("year", "app"))
+        "negatives", key, partition_by=("year",), sort_within=("year", "app"), inputs=[gpath])
     return (spark.read.parquet(path)
             .select("review_id", "app", "data_source", F.col("year").cast("int").alias("year"),
                     "year_month", "complaint_category"))
@@ -270,7 +270,8 @@ def _with_headers(headers: dict[str, str]):
 
 def raw_csv(spark: SparkSession, sf_dir: str) -> tuple[list[tuple[str, str, str]], str]:
     """The raw landing files: (manifest, path of the scrape)."""
-    key = store.fingerprint(spark, _inputs(sf_dir, ("lineitem", "orders", "documents")), "raw-csv-v2", store.run_token(spark))
+    inputs = _inputs(sf_dir, ("lineitem", "orders", "documents"))
+    key = store.fingerprint(spark, inputs, "raw-csv-v2", store.run_token(spark))
     headers = {f"{app}-{source}": ",".join(RAW_HISTORICAL.fieldNames()) for app, source in HIST_MANIFEST}
     headers[SCRAPE_FOLDER] = "\ufeff" + ",".join(RAW_SCRAPE.fieldNames())
 
@@ -281,7 +282,7 @@ def raw_csv(spark: SparkSession, sf_dir: str) -> tuple[list[tuple[str, str, str]
                                  "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
             lines.write.partitionBy("folder").option("compression", "gzip").text(path)
 
-    path = store.materialize_with(spark, write, "raw_csv", key)
+    path = store.materialize_with(spark, write, "raw_csv", key, inputs)
     return [(f"{path}/folder={app}-{source}", app, source) for app, source in HIST_MANIFEST], f"{path}/folder={SCRAPE_FOLDER}"
 
 
@@ -329,7 +330,7 @@ def gold_csv_path(spark: SparkSession, sf_dir: str) -> str:
     key = store.fingerprint(spark, [gpath], "csv-v2", store.run_token(spark))
     return store.materialize_with(
         spark, lambda p: files.write_gold_csv(files.in_table_order(spark.read.schema(GOLD).parquet(gpath)), p, bom=True),
-        "gold_csv", key)
+        "gold_csv", key, [gpath])
 
 
 def gold_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,7 +340,8 @@ def gold_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     gpath = gold_path(spark, sf_dir)
     key = store.fingerprint(spark, [gpath], "ordered-v1", store.run_token(spark))
     path = store.materialize_with(
-        spark, lambda p: files.in_table_order(spark.read.schema(GOLD).parquet(gpath)).write.parquet(p), "gold_ordered", key)
+        spark, lambda p: files.in_table_order(spark.read.schema(GOLD).parquet(gpath)).write.parquet(p), "gold_ordered", key,
+        [gpath])
     return files.read_positions(spark, path, "review_id", "app", "date", "rating")
 
 
@@ -370,14 +372,15 @@ def suite_dir(spark: SparkSession, sf_dir: str, params: Params, reports_builder,
     def write(path: str) -> None:
         run_suite({n: df for n, df in reports_builder().items() if n not in missing}, path)
 
-    return store.materialize_with(spark, write, "suite", key)
+    return store.materialize_with(spark, write, "suite", key, [gpath])
 
 
 def landed_csv(spark: SparkSession, sf_dir: str, name: str, landed: DataFrame, order: list, inputs, *extra) -> DataFrame:
     """A landed table written as its one CSV file (A10) and read back."""
     from revlens.sources import files
     key = store.fingerprint(spark, _inputs(sf_dir, inputs), "landed-v1", name, extra, store.run_token(spark))
-    path = store.materialize_with(spark, lambda p: files.write_landing_csv(landed, p, order), "landed", key)
+    path = store.materialize_with(spark, lambda p: files.write_landing_csv(landed, p, order), "landed", key,
+                                  _inputs(sf_dir, inputs))
     return files.read_landing_csv(spark, path, landed.schema)
 
 

@@ -5,6 +5,8 @@ final) plan's shuffle metrics: records written by the hash exchange stay
 bounded by (map tasks x distinct keys), not by the size of the hot group.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from revlens.operators.dedup import dedup_first
@@ -105,3 +107,28 @@ def test_hot_url_is_split_by_aqe_in_the_feed_semi_join(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_durable_write_tasks_stay_small_as_the_input_grows(spark, tmp_path):
+    """A durable write starts with as many shuffle partitions as its input asks
+    for and joins small ones up to a fixed size; settings are put back."""
+    from revlens.sources import store
+    (tmp_path / "in").mkdir()
+    sizes = {}
+    for gb in (0, 4):
+        with open(tmp_path / "in" / "f.parquet", "wb") as f:
+            f.truncate(gb << 30)  # no block of it is written
+        seen = {}
+
+        def write(path):
+            seen.update({k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes",
+                                                        "spark.sql.adaptive.coalescePartitions.initialPartitionNum")})
+            spark.range(3).write.parquet(path)
+        before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        store.materialize_with(spark, write, "sized", uuid.uuid4().hex, [str(tmp_path / "in")])
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before
+        assert spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) is None
+        advisory, parts = map(int, seen.values())
+        assert advisory <= 32 << 20
+        sizes[gb] = parts
+    assert sizes[0] == int(spark.conf.get("spark.sql.shuffle.partitions")) and sizes[4] >= 4 * 128
