@@ -4,8 +4,8 @@
 as lines in splits; whether a line break stands inside a quoted value is told
 by the parity of the quotes before it: per-split sums first (one row a split),
 then a running sum in the task that reads a split.  Lines of a record that lie
-in one split are joined there, as they are read; nothing of them is sorted or
-shuffled.  Only the fragments at split borders, two a split at most, meet
+in one split are joined there, as they are read, and written as records; nothing
+of them is sorted or shuffled.  Only the fragments at split borders, two a split at most, meet
 across splits.
 
 Files qualify whose quote character appears only around values and doubled
@@ -16,9 +16,13 @@ follows; such files need ``multiLine``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from revlens.sources import store
+
 SPLIT = ["file", "block"]
 #: Rows (one a split) up to which the splits' parities are broadcast.
 BROADCAST_SPLITS = 100_000
@@ -123,8 +127,11 @@ def split_records(spark: SparkSession, path: str) -> DataFrame:
     else:
         told = lines.join(parities, SPLIT).repartition(*SPLIT).sortWithinPartitions(*SPLIT, "id")
     # a line takes a byte at least, so ``at`` rises over the blocks too
-    pieces = told.select(*SPLIT, "line", F.col("quotes").cast("long").alias("quotes"), F.col("odd").cast("long").alias("odd")
-                         ).mapInArrow(_pieces, PIECE)
+    made = told.select(*SPLIT, "line", F.col("quotes").cast("long").alias("quotes"), F.col("odd").cast("long").alias("odd")
+                       ).mapInArrow(_pieces, PIECE)
+    # written once for the two readings below, which then are plain scans
+    path = store.materialize_with(spark, lambda p: made.write.option("compression", "zstd").parquet(p), "records", uuid.uuid4().hex)
+    pieces = spark.read.schema(PIECE).parquet(path)
     # number 0: lines that go on from an earlier split; odd quotes: goes on in the next
     is_open = (F.col("number") == 0) | F.col("odd")
     whole = pieces.where(~is_open).select("file", "at", F.col("text").alias("record"))
