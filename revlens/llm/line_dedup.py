@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import WORD, durable, let, shuffle_partitions
+from revlens.llm.common import WORD, durable, let, shuffle_partitions, small_batches
 from revlens.llm.components import components
 
 SHINGLE = 5
@@ -51,8 +51,11 @@ BANDS, ROWS = 18, 6
 #: Distinct shingles up to which a line gets a classic signature, and from
 #: which a one-permutation signature.
 SHORT, LONG = 80, 64
-#: Characters of lines, and band entries, that a task handles at a time.
-RUN_CHARS, RUN_ENTRIES = 1 << 21, 1 << 20
+#: Characters of lines, and band entries, that a task handles at a time, and
+#: the lines it remembers as met.
+RUN_CHARS, RUN_ENTRIES, SEEN = 1 << 18, 1 << 19, 1 << 18
+#: Parts of the key space for each shuffle partition: a part is sorted at a time.
+PARTS = 8
 BLOOM_BITS = 1 << 26
 STAR_ROUNDS = 3
 #: Lines of a bucket that meet at a time, in the last step.
@@ -199,7 +202,7 @@ def _bands(parts: int):
                 if size >= RUN_CHARS:
                     take(run)
                     run, size = {}, 0
-                    if len(seen) > 1 << 20:
+                    if len(seen) > SEEN:
                         seen.clear()
                     if sum(map(len, keys)) >= RUN_ENTRIES:
                         yield flush()
@@ -268,7 +271,7 @@ def _texts(raw: DataFrame, ids: DataFrame) -> DataFrame:
                         at = name % BLOOM_BITS
                         if int(bits[at >> 5]) >> (at & 31) & 1:
                             found[name] = line
-            if len(seen) > 1 << 20:
+            if len(seen) > SEEN:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())],
                                              ["id", "line"])
@@ -383,8 +386,9 @@ def _across(left: DataFrame, texts: DataFrame, similarity: float, block: int = B
 def line_components(raw: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component): lines linked to another, with the smallest line of
     their component.  ``raw``: one binary column of texts."""
+    small_batches(raw.sparkSession)
     n = shuffle_partitions(raw.sparkSession)
-    members = durable(raw.mapInArrow(_bands(n), "part int, block binary").repartition(n, "part")
+    members = durable(raw.mapInArrow(_bands(PARTS * n), "part int, block binary").repartition(n, "part")
                       .sortWithinPartitions("part").mapInArrow(_members, "bucket long, id long, centre long"), "members")
     texts = durable(_texts(raw, members.select("id")), "texts")
     stars = members.where("id <> centre")

@@ -1,7 +1,9 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from revlens.llm import line_dedup as ld
 
@@ -149,3 +151,15 @@ def test_clean(spark):
     assert {r.doc_id: r.text for r in got.collect()} == {1: f"{same}\nfirst", 2: "second own words\n\nmore", 4: None, 5: ""}
     assert ld.clean(docs(spark, [])).count() == 0
     assert ld.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_band_tasks_hold_little():
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)).encode() for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
+    tracemalloc.start()
+    for _ in ld._bands(8)(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # 4 MB of text; 139 MB in runs of 2,097,152 characters
