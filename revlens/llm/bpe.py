@@ -45,9 +45,11 @@ from revlens.llm.common import durable, let, short_plans, shuffle_partitions, sm
 LONG_WORD = 256
 #: Characters of text in a block, but for a longer single text; words in a row
 #: for the fold; codes replaced at a time.
-BLOCK, IN_ROW, CODES = 4_000_000, 1024, 250_000
+BLOCK, IN_ROW, CODES = 1_000_000, 1024, 50_000
 #: Chunks, and bytes of words, after which a task begins its tables anew.
-CHUNKS, HELD = 500_000, 16 << 20
+CHUNKS, HELD = 250_000, 8 << 20
+#: Bytes of an Arrow batch, of which two workers and the executor hold several.
+BATCH = 2 << 20
 #: Documents, about, in which usual words are counted, and how many at most are kept.
 SAMPLE, USUAL = 8000, 400_000
 
@@ -121,7 +123,7 @@ class _Matches(dict):
 
 
 class _Words(dict):
-    """Words -> their numbers."""
+    """Words that are not known -> their numbers."""
 
     def __init__(self, table: "_Table"):
         super().__init__()
@@ -158,8 +160,6 @@ class _Table:
             held.clear()
 
     def word(self, text: str) -> int:
-        if (k := self.known.get(text)) is not None:
-            return k
         raw = text.encode("utf-8")
         self.held += len(raw)
         if len(raw) > LONG_WORD:
@@ -171,7 +171,9 @@ class _Table:
         return self.n_words - 1
 
     def chunk(self, texts: list[str]) -> int:
-        self.words_of_chunk.extend(map(self.words.__getitem__, texts))
+        for text in texts:
+            known = self.known.get(text)  # the table holds other words only
+            self.words_of_chunk.append(self.words[text] if known is None else known)
         self.chunk_words.append(len(texts))
         self.chunks += 1
         return self.chunks - 1
@@ -424,7 +426,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """(id, ids) of every row: ids are little-endian unsigned 32-bit integers.
     With ``decoded`` also what ``decode`` adds, by the same task."""
     spark, ranks = docs.sparkSession, read_ranks(path)
-    small_batches(spark)
+    small_batches(spark, BATCH)
     short_plans(spark)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     merged = merger(ranks)

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 from revlens.llm import bpe
@@ -61,3 +63,23 @@ def test_rank_table_finds_each_pair_and_no_other():
     for a, b in pairs:
         entry, rank = int(table[starts[a] + b]), ranks.get(by_id[a] + by_id[b])
         assert (entry >> 32 if entry >= 0 and entry & bpe.ID == a else None) == rank
+
+
+def test_ids_are_written_some_codes_at_a_time():
+    n, usual = 240_000, (np.arange(8, dtype=np.int32), np.array([8]))
+    numbers = dict(doc_chunks=[100] * (n // 100), codes=[0] * n, chunk_words=[1], words_of_chunk=[0], given=[], given_sizes=[])
+    row = pa.RecordBatch.from_arrays(
+        [pa.array([0], pa.int32()), pa.array([list(range(n // 100))], pa.list_(pa.int64())),
+         *(pa.array([np.array(v, np.int32).tobytes()]) for v in numbers.values())], ["turn", "ids", *numbers])
+    tracemalloc.start()
+    rows = sum(len(b) for b in bpe._encoded(iter([row]), usual))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n // 100 and peak < 30e6
+
+
+def test_a_table_holds_no_known_words():
+    import regex
+    table = bpe._Table(regex.compile(public_tokenizers.PATTERN).findall, bpe.read_ranks(PATH), {"a": 64, " b": 65}, 100)
+    table.add(1, "a b b new")
+    assert list(table.words) == [" new"] and table.words_of_chunk == [64, 65, 100] and table.codes[0].tolist()[:2] == [0, 1]
