@@ -11,7 +11,9 @@ into fewer groups and packed again, until one group is left.
 
 Tokenising: words between ASCII white space never share a token, so each
 distinct word is encoded once per process (the cache is bounded) and a
-document is the concatenation of its words' ids.
+document is the concatenation of its words' ids.  Latin letters alone are one
+piece to the tokenizer's model, whatever is before and after: they go to the
+model itself, all other words through the whole tokenizer.
 
 Defined cases: a null text is empty and has the end id alone; null ids and
 repeated rows are packed like any other; no rows give no rows.  Extra columns
@@ -27,9 +29,11 @@ the same end: no two underfull bins with an exchange left.
 from __future__ import annotations
 
 import math
+import re
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +53,11 @@ LOOSE = 0.9
 RETURN = 512
 #: ASCII marks that never share a token with a letter or digit before them.
 MARKS = b".,!?;:$%&*#@^~+=()/\"-_"
+#: Letters of ASCII and Latin-1, in UTF-8, and marks after them.
+LETTERS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([" + re.escape(MARKS) + rb"]*)")
+#: How the tokenizer's model spells bytes: printable ones as in Latin-1, the
+#: others by the characters from 256 on.
+SPELLED = dict(zip((b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)), range(256, 512)))
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -60,6 +69,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = tuple(t.content.lower().encode() for t in added)
 
@@ -67,19 +77,34 @@ class WordIds(dict):
         ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
+    def letters(self, core: bytes) -> bytes:
+        """Ids of letters of one case, which the tokenizer lower-cases."""
+        spelled = core.decode("latin-1") if core.isascii() else core.decode("latin-1").translate(SPELLED)
+        made = array("I", [t.id for t in self.model.tokenize(spelled)])
+        if sys.byteorder == "big":
+            made.byteswap()
+        return made.tobytes()
+
     def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(MARKS)
-        tail = word[len(core):]
-        low = core.lower() if core.isascii() else core  # as the tokenizer does
-        # words alike but for case and marks share an entry
-        if any(x in word.lower() for x in self.special):  # such strings are tokens in their own case only
-            made = self.plain(word)
-        elif core and tail and core[-1:].isalnum():
-            made = self[low] + self[tail]
-        elif low != word and not tail:
-            made = self[low]
+        if found := LETTERS.fullmatch(word):  # words alike but for case and marks share an entry
+            core, tail = found.groups()
+            low = core.lower() if core.isascii() else core.decode("utf-8").lower().encode("utf-8")
+            if tail:
+                made = self[low] + self[tail]
+            else:
+                made = self[low] if low != word else self.letters(word)
         else:
-            made = self.plain(word)
+            core = word.rstrip(MARKS)
+            tail = word[len(core):]
+            low = core.lower() if core.isascii() else core  # as the tokenizer does
+            if any(x in word.lower() for x in self.special):  # such strings are tokens in their own case only
+                made = self.plain(word)
+            elif core and tail and core[-1:].isalnum():
+                made = self[low] + self[tail]
+            elif low != word and not tail:
+                made = self[low]
+            else:
+                made = self.plain(word)
         if len(self) >= CACHE_WORDS:
             self.clear()
         self[word] = made

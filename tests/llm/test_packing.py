@@ -132,3 +132,16 @@ def test_empty_and_clashing_names(spark):
     assert packing.pack_documents(docs(spark, []), PATH).count() == 0
     odd = docs(spark, [(1, "a b")]).selectExpr("*", "9 as piece", "9 as length", "9 as offset", "9 as _group")
     assert [(r.doc_id, r.piece, r.offset) for r in packing.pack_documents(odd, PATH).collect()] == [(1, 0, 0)]
+
+
+def test_letters_go_to_the_model_alone(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, rng, held = Tokenizer.from_file(path), random.Random(4), packing.WordIds(path)
+    letters = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100)) if chr(c).isalpha()]
+    words = ["".join(rng.choices(letters, k=rng.randrange(1, 9))) + rng.choice(["", ".", ",\"", ":)"]) for _ in range(2000)] + letters
+    odd = ["\u00d7", "a\u00d7b", "l'\u00c9t\u00e9", "e\u0301t\u00e9", "\u0130x", "na\u00efve's", "x<|endoftext|>", "\u65e5\u672c.", "a1.", "\u0152uvre"]
+    want = {w: tokenizer.encode(w, add_special_tokens=False).ids for w in words + odd}
+    whole, plain = [], packing.WordIds.plain
+    monkeypatch.setattr(packing.WordIds, "plain", lambda self, word: whole.append(word.decode()) or plain(self, word))
+    assert {w: np.frombuffer(held[w.encode()], "<u4").tolist() for w in words + odd} == want
+    assert not [w for w in whole if w in words and any(c.isalpha() for c in w)]
