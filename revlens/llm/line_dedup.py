@@ -60,6 +60,9 @@ BLOOM_BITS = 1 << 26
 STAR_ROUNDS = 3
 #: Lines of a bucket that meet at a time, in the last step.
 BLOCK = 512
+#: Lines in the bucket of a line, on average, up to which buckets meet whole;
+#: and entries of a table of lines by shingles.
+FEW, DENSE = 64, 1 << 21
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -88,7 +91,8 @@ def _classic(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _one_permutation(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _one_permutation(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures, and how many values of each were filled by hashes."""
     k, n = BANDS * ROWS, len(starts)
     sizes = np.diff(np.append(starts, len(hashes)))
     place = np.repeat(np.arange(n) * k, sizes) + ((hashes >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
@@ -103,24 +107,21 @@ def _one_permutation(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         has = given[row, donor]
         out[row[has], col[has]] = out[row[has], donor[has]]
         row, col = row[~has], col[~has]
-    return out
+    return out, given.sum(axis=1)
 
 
-def _first_in_line(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Marks one of each of a line's hashes (in lines of under LONG, all)."""
-    at = np.flatnonzero(np.repeat(counts >= LONG, counts))
-    line = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)[at]
-    mine = hashes[at] + line * np.uint64(0x9E3779B97F4A7C15)
-    order = np.argsort(mine)
-    mine = mine[order]
-    new = np.ones(len(hashes), bool)
-    new[at[order[1:][mine[1:] == mine[:-1]]]] = False
-    return new
+def _distinct(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many distinct hashes each line has."""
+    line = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((hashes, line))  # lines stay where they are
+    hashes = hashes[order]
+    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])])
+    return np.bincount(line[new], minlength=len(counts))
 
 
 def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The lines' distinct shingles, hashed, line after line (in lines of
-    under LONG shingles with repeats), and how many each line has."""
+    """The lines' shingles, hashed, line after line with repeats, and how many
+    each line has."""
     lengths = np.array([len(x) for x in lines])
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     counts = np.maximum(1, lengths - SHINGLE + 1)
@@ -139,29 +140,38 @@ def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     h = _mix(h)
     first = np.cumsum(counts) - counts
     inside = np.repeat(ends - padded - first, counts) + np.arange(int(counts.sum()))
-    h = h[inside]
-    if (counts >= LONG).any():
-        new = _first_in_line(h, counts)
-        h, counts = h[new], np.add.reduceat(new, first, dtype=np.int64)
-    return h, counts
+    return h[inside], counts
 
 
 def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(position in ``lines``, band key) of every band of every line."""
     h, counts = _hashes(lines)
+    short, signed = counts < LONG, []
+    if not short.all():
+        rows = np.flatnonzero(~short)
+        mine, sizes = h[np.repeat(~short, counts)], counts[rows]
+        values, filled = _one_permutation(mine, np.cumsum(sizes) - sizes)
+        # a line has as many distinct shingles as filled values, or more: only few need a count
+        if (few := filled <= SHORT).any():
+            distinct = _distinct(mine[np.repeat(few, sizes)], sizes[few])
+            short[rows[few]] = distinct <= SHORT
+            long = ~few
+            long[few] = distinct >= LONG
+            rows, values = rows[long], values[long]
+        signed.append((1, rows, values))
+    if short.any():
+        rows = np.flatnonzero(short)
+        sizes = counts[rows]
+        signed.append((0, rows, _classic(h[np.repeat(short, counts)], np.cumsum(sizes) - sizes)))
     at, keys = [], []
-    for kind, (chosen, sign) in enumerate(((counts <= SHORT, _classic), (counts >= LONG, _one_permutation))):
-        rows = np.flatnonzero(chosen)
-        if len(rows):
-            mine = h if len(rows) == len(counts) else h[np.repeat(chosen, counts)]
-            sizes = counts[rows]
-            values = sign(mine, np.cumsum(sizes) - sizes).astype(np.uint64)
-            for b in range(BANDS):
-                key = np.full(len(rows), kind * BANDS + b + 1, np.uint64)
-                for r in range(ROWS):
-                    key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, b * ROWS + r])
-                at.append(rows)
-                keys.append(key)
+    for kind, rows, values in signed:
+        values = values.T.astype(np.uint64)
+        for b in range(BANDS):
+            key = np.full(len(rows), kind * BANDS + b + 1, np.uint64)
+            for r in range(ROWS):
+                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + values[b * ROWS + r])
+            at.append(rows)
+            keys.append(key)
     return np.concatenate(at), np.concatenate(keys)
 
 
@@ -305,53 +315,90 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return durable(rows.mapInArrow(_verify(similarity), "a long, b long"), "linked")
 
 
-def _meet(rows: list[tuple], similarity: float) -> Iterator[tuple[int, int]]:
-    """Links (id, id) that join the components of one block's lines, or of
-    two blocks' (side 0 and side 1), as far as these pairs do."""
-    sides, ids, names, lines = zip(*rows)
+def _meet(groups: list[list[tuple]], similarity: float) -> Iterator[tuple[int, int]]:
+    """Links (id, id) that join the components of each group's lines, or of
+    its two sides (0 and 1), as far as these pairs do.  A group is a block of
+    lines, or two blocks."""
+    sides, ids, names, lines = zip(*(r for rows in groups for r in rows))
     lines = [x.decode("utf-8", "replace") for x in lines]
     h, counts = _hashes(lines)
-    # an index: each shingle's lines, one after the other
+    ends = np.cumsum([len(rows) for rows in groups])
+    of_group = np.repeat(np.arange(len(groups)), [len(rows) for rows in groups])
+    # an index: each shingle's lines in a group, one after the other
     owner = np.repeat(np.arange(len(lines)), counts)
-    order = np.lexsort((owner, h))
+    order = np.lexsort((h, of_group[owner]))  # keeps the lines of a shingle in order
     h, owner = h[order], owner[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
     h, owner = h[new], owner[new]
     size = np.bincount(owner, minlength=len(lines))
-    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    stops = np.append(starts[1:], len(h))
-    shared = np.flatnonzero(stops - starts > 1)  # a shingle of one line is in no pair
-    term = np.repeat(np.arange(len(shared)), (stops - starts)[shared])
-    spots = np.concatenate([owner[a:b] for a, b in zip(starts[shared], stops[shared])]) if len(shared) else owner[:0]
-    starts = np.searchsorted(term, np.arange(len(shared) + 1))
+    group = of_group[owner]
+    starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (group[1:] != group[:-1])]))
+    lengths = np.diff(np.append(starts, len(h)))
+    shared = lengths > 1  # a shingle of one line is in no pair
+    spots, lengths = owner[np.repeat(shared, lengths)], lengths[shared]
+    term = np.repeat(np.arange(len(lengths)), lengths)
+    side, label = np.array(sides), np.unique(np.array(names), return_inverse=True)[1]
+    bounds = np.searchsorted(of_group[spots], np.arange(len(groups) + 1))
+    for k, end in enumerate(ends.tolist()):
+        first, two = end - len(groups[k]), len({r[0] for r in groups[k]}) == 2
+        a, b = bounds[k], bounds[k + 1]
+        if a < b:
+            mine, at = label[first:end], side[first:end]
+            for i, j in _near(spots[a:b] - first, term[a:b] - term[a], size[first:end], mine, at if two else None, similarity):
+                if mine[j] != mine[i]:  # not joined by an earlier one
+                    x, y = shingles(lines[first + i]), shingles(lines[first + j])
+                    if len(x & y) >= similarity * len(x | y):
+                        mine[mine == mine[j]] = mine[i]
+                        yield ids[first + i], ids[first + j]
+
+
+def _near(spots: np.ndarray, term: np.ndarray, size: np.ndarray, label: np.ndarray, side: np.ndarray | None,
+          similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs (i, j) of lines with different labels, of side 0 and side 1 if
+    there are sides, that are similar by the shingles they share: ``term`` k is
+    in line ``spots`` k."""
+    n, width = len(size), int(term[-1]) + 1
+
+    def chosen(both: np.ndarray, i: np.ndarray) -> np.ndarray:
+        near = (both >= similarity * (size + size[i][:, None] - both)) & (label != label[i][:, None])
+        return near & ((side == 1) if side is not None else (np.arange(n) > i[:, None]))
+
+    rows = np.arange(n) if side is None else np.flatnonzero(side == 0)
+    if n * width <= DENSE:
+        held = np.zeros((n, width), np.float32)
+        held[spots, term] = 1
+        i, j = np.nonzero(chosen((held[rows] @ held.T).astype(np.int64), rows))
+        yield from zip(rows[i].tolist(), j.tolist())
+        return
+    starts = np.searchsorted(term, np.arange(width + 1))
     by_line = np.argsort(spots, kind="stable")
-    bounds = np.searchsorted(spots[by_line], np.arange(len(lines) + 1))
-    side, two = np.array(sides), len(set(sides)) == 2
-    label = np.unique(np.array(names), return_inverse=True)[1]
-    for i in np.flatnonzero(side == 0).tolist() if two else range(len(lines)):
-        both = np.zeros(len(lines), np.int64)
+    bounds = np.searchsorted(spots[by_line], np.arange(n + 1))
+    for i in rows.tolist():
+        both = np.zeros(n, np.int64)
         mine = term[by_line[bounds[i]:bounds[i + 1]]].tolist()
         for k in range(0, len(mine), 1024):
-            both += np.bincount(np.concatenate([spots[starts[t]:starts[t + 1]] for t in mine[k:k + 1024]]), minlength=len(lines))
-        near = (both >= similarity * (size + size[i] - both)) & (label != label[i])
-        near &= (side == 1) if two else (np.arange(len(lines)) > i)
-        for j in np.flatnonzero(near).tolist():
-            if label[j] != label[i]:  # not joined by an earlier one
-                x, y = shingles(lines[i]), shingles(lines[j])
-                if len(x & y) >= similarity * len(x | y):
-                    label[label == label[j]] = label[i]
-                    yield ids[i], ids[j]
+            both += np.bincount(np.concatenate([spots[starts[t]:starts[t + 1]] for t in mine[k:k + 1024]]), minlength=n)
+        for j in np.flatnonzero(chosen(both[None], np.array([i]))[0]).tolist():
+            yield i, j
 
 
 def _blocks(similarity: float):
     """Reads rows (bucket, low, high, side, id, component, line) sorted by
     bucket and blocks."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, held = None, []
-
-        def close() -> list[tuple[int, int]]:
-            made = list(_meet(held, similarity)) if len({r[2] for r in held}) > 1 else []
-            held.clear()
+        open_key, held, groups, size = None, [], [], 0
+
+        def close(last: bool = False) -> list[tuple[int, int]]:
+            """The group ends; groups meet when they are enough."""
+            nonlocal held, size
+            if len({r[2] for r in held}) > 1:
+                groups.append(held)
+                size += sum(len(r[3]) for r in held)
+            held, made = [], []
+            if groups and (last or size >= RUN_CHARS):
+                made = list(_meet(groups, similarity))
+                groups.clear()
+                size = 0
             return made
 
         def given(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -365,7 +412,7 @@ def _blocks(similarity: float):
                     open_key = key
                 held.append((side, name, component, line))
             yield given(out)
-        yield given(close())
+        yield given(close(last=True))
     return of
 
 
@@ -409,7 +456,7 @@ def line_components(raw: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         size, pairs = left.agg(F.count("*"), F.sum("n")).first()
         if not size:
             return found
-        if pairs <= 8 * size or turn == STAR_ROUNDS:
+        if pairs <= FEW * size or turn == STAR_ROUNDS:
             break
         order = F.xxhash64("id", F.lit(turn))
         centres = left.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), order).alias("c"))

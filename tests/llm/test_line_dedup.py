@@ -163,3 +163,56 @@ def test_band_tasks_hold_little():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60e6  # 4 MB of text; 139 MB in runs of 2,097,152 characters
+
+
+def test_buckets_of_some_dozens_meet_at_once(spark, monkeypatch):
+    """Variants of a line that share its buckets but are not similar to each
+    other need no further rounds: their buckets meet whole."""
+    rng, verified = random.Random(8), []
+    base = [f"{rng.randrange(10**8):08d}" for _ in range(60)]
+    lines = [" ".join(f"{rng.randrange(10**8):08d}" if rng.random() < 0.13 else w for w in base) for _ in range(120)]
+    linked = ld._linked
+    monkeypatch.setattr(ld, "_linked", lambda *given: verified.append(1) or linked(*given))
+    found = {r.node: r.component for r in ld.line_components(
+        spark.createDataFrame([(x.encode(),) for x in lines], "text binary")).collect()}
+    assert len(verified) == 1
+    want = groups(lines, [(a, b) for a, b in itertools.combinations(lines, 2)
+                          if len(ld.shingles(a) & ld.shingles(b)) >= 0.8 * len(ld.shingles(a) | ld.shingles(b))])
+    name = {x: ld.line_id(x.encode()) for x in lines}
+    same = {frozenset(x for x in lines if want[x] == c) for c in want.values()}
+    assert {frozenset(x for x in lines if found.get(name[x], name[x]) == c) for c in
+            {found.get(v, v) for v in name.values()}} == same
+
+
+def test_groups_that_meet_together_stay_apart():
+    rng = random.Random(9)
+    words = [f"{rng.randrange(10**6):06d}" for _ in range(30)]
+    vary = lambda: " ".join(rng.choice(words) if rng.random() < 0.02 else w for w in words).encode()
+    groups_of = []
+    for two in (False, True, False, True, False):
+        groups_of.append([(k % 2 if two else 0, rng.randrange(2**60), k, vary()) for k in range(rng.randrange(2, 12))])
+    sets = {r[1]: ld.shingles(r[3].decode()) for rows in groups_of for r in rows}
+
+    def alike(a, b):
+        return len(sets[a[1]] & sets[b[1]]) >= 0.8 * len(sets[a[1]] | sets[b[1]])
+
+    for dense in (0, ld.DENSE):
+        old, ld.DENSE = ld.DENSE, dense
+        try:
+            found = list(ld._meet(groups_of, 0.8))
+        finally:
+            ld.DENSE = old
+        for rows in groups_of:
+            ids = [r[1] for r in rows]
+            pairs = [(a[1], b[1]) for a, b in itertools.combinations(rows, 2)
+                     if alike(a, b) and (a[0] != b[0] or len({r[0] for r in rows}) == 1)]
+            assert groups(ids, [x for x in found if x[0] in ids]) == groups(ids, pairs)
+
+
+def test_kinds_go_by_distinct_shingles():
+    rng = random.Random(10)
+    lines = [("ab" * rng.randrange(1, 120))[:rng.randrange(1, 240)] + "".join(rng.choices("abcdefgh ", k=rng.randrange(0, 160)))
+             for _ in range(300)]
+    at, _ = ld.band_keys(lines)
+    kinds = [(n <= ld.SHORT) + (n >= ld.LONG) for n in (len(ld.shingles(x)) for x in lines)]
+    assert np.bincount(at, minlength=len(lines)).tolist() == [ld.BANDS * k for k in kinds]
