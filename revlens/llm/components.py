@@ -2,8 +2,8 @@
 
 Each task first contracts the edges it holds with a union-find (in bounded
 batches), then rounds of large-star and small-star steps hang every node
-under the smallest node it reaches.  Rounds are written to the shared folder;
-only an edge count and checksum reach the driver.  A node with very many
+under the smallest node it reaches, until all edges are stars.  Rounds are
+written to the shared folder; only a count of nodes reaches the driver.  A node with very many
 edges is pre-aggregated before the shuffle and split in the join.
 """
 
@@ -56,14 +56,21 @@ def _contract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield flush()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node is under one other, which is under none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("under"), F.lit(0).alias("over")).union(
+        edges.select("b", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("node").agg(F.sum("under").alias("under"), F.max("over").alias("over"))
+    return not seen.where("under > 1 or under = 1 and over = 1").agg(F.count("*")).first()[0]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that has an edge to another; the
     component is its smallest node.  Edges with a null end are ignored."""
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
+    # every edge is (node, smaller node)
     now = durable(edges.mapInArrow(_contract_batches, "a long, b long"), "edges")
-    seen = None
-    while True:
-        # every edge is (node, smaller node)
+    while not _stars(now):
         both = now.union(now.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -71,7 +78,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(
             low.select("u", "m")).distinct()
         now = durable(small, "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return now.toDF("node", "component")
-        seen = state
+    return now.toDF("node", "component")

@@ -62,7 +62,7 @@ STAR_ROUNDS = 3
 BLOCK = 512
 #: Lines in the bucket of a line, on average, up to which buckets meet whole;
 #: and entries of a table of lines by shingles.
-FEW, DENSE = 64, 1 << 21
+FEW, DENSE = 1024, 1 << 21
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -439,14 +439,13 @@ def line_components(raw: DataFrame, similarity: float = SIMILARITY) -> DataFrame
                       .sortWithinPartitions("part").mapInArrow(_members, "bucket long, id long, centre long"), "members")
     texts = durable(_texts(raw, members.select("id")), "texts")
     stars = members.where("id <> centre")
-    linked, found = None, None
+    found = None
     for turn in range(STAR_ROUNDS + 1):
         # the centre that a line shares the most buckets with
         shared = stars.groupBy("id", "centre").count()
         best = shared.groupBy("id").agg(F.max_by("centre", F.struct("count", "centre")).alias("centre"))
         new = _linked(best.toDF("a", "b"), texts, similarity)
-        linked = new if linked is None else linked.union(new)
-        found = durable(components(linked), "components")
+        found = components(new if found is None else new.union(found))
         named = members.select("bucket", "id").join(found.toDF("id", "component"), "id", "left").withColumn(
             "component", F.coalesce("component", "id"))
         named = durable(named, "named")
@@ -462,7 +461,7 @@ def line_components(raw: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         centres = left.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), order).alias("c"))
         stars = left.join(centres, "bucket").where(F.col("component") != F.col("c.component")).select(
             "id", F.col("c.id").alias("centre"))
-    return components(linked.union(_across(left.select("bucket", "id", "component", "n"), texts, similarity)))
+    return components(_across(left.select("bucket", "id", "component", "n"), texts, similarity).union(found))
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -216,3 +216,24 @@ def test_kinds_go_by_distinct_shingles():
     at, _ = ld.band_keys(lines)
     kinds = [(n <= ld.SHORT) + (n >= ld.LONG) for n in (len(ld.shingles(x)) for x in lines)]
     assert np.bincount(at, minlength=len(lines)).tolist() == [ld.BANDS * k for k in kinds]
+
+
+def test_large_groups_meet_without_further_rounds(spark, monkeypatch):
+    """Buckets of hundreds of lines, few of them similar, meet whole after one
+    round: a join of lines and buckets for each round added up."""
+    rng, verified = random.Random(18), []
+    base = [f"{rng.randrange(10**8):08d}" for _ in range(60)]
+    lines = [" ".join(f"{rng.randrange(10**8):08d}" if rng.random() < 0.1 else w for w in base) for _ in range(400)]
+    linked = ld._linked
+    monkeypatch.setattr(ld, "_linked", lambda *given: verified.append(1) or linked(*given))
+    found = {r.node: r.component for r in ld.line_components(
+        spark.createDataFrame([(x.encode(),) for x in lines], "text binary")).collect()}
+    assert len(verified) == 1
+    sets = [ld.shingles(x) for x in lines]
+    want = groups(range(len(lines)), [(i, j) for i, j in itertools.combinations(range(len(lines)), 2)
+                                      if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    names = [ld.line_id(x.encode()) for x in lines]
+    parts = {}
+    for i, name in enumerate(names):
+        parts.setdefault(want[i], set()).add(name)
+    assert {name: found.get(name, name) for name in names} == {x: min(s) for s in parts.values() for x in s}

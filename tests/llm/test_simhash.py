@@ -116,3 +116,12 @@ def test_components_of_paths_and_stars(spark):
     real = [(a, b) for a, b in edges if a is not None and a != b]
     want = groups({x for e in real for x in e}, real)
     assert {r.node: r.component for r in cc.components(df).collect()} == {k: v for k, v in want.items() if k != v}
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    wrote, durable = [], cc.durable
+    monkeypatch.setattr(cc, "durable", lambda *given: wrote.append(1) or durable(*given))
+    stars = spark.createDataFrame([(k, k % 5) for k in range(5, 400)], "a long, b long").repartition(4)
+    assert {r.node: r.component for r in cc.components(stars).collect()} == {k: k % 5 for k in range(5, 400)}
+    assert len(wrote) == 1
+    assert cc.components(stars.where("a < 0")).count() == 0
