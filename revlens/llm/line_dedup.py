@@ -63,12 +63,17 @@ BLOCK = 512
 #: Lines in the bucket of a line, on average, up to which buckets meet whole;
 #: and entries of a table of lines by shingles.
 FEW, DENSE = 1024, 1 << 21
+#: How far counts of hashed shingles may be from a similarity that is checked by the shingles themselves.
+UNSURE = 4
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    """Mixes the bits in place."""
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def line_id(line: bytes) -> int:
@@ -82,22 +87,37 @@ def lines_of(text: bytes) -> list[bytes]:
     return [b" ".join(x.split()) for x in text.split(b"\n")]
 
 
-def _classic(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _functions() -> tuple[np.ndarray, np.ndarray]:
+    """The factors and summands of the classic signatures' hash functions."""
     rng = np.random.default_rng(5)
-    out = np.empty((len(starts), BANDS * ROWS), np.uint32)
-    for k in range(BANDS * ROWS):
-        a, b = (np.uint64(x) for x in rng.integers(1, 2**63, 2))
-        out[:, k] = np.minimum.reduceat((hashes * (a | np.uint64(1)) + b) >> np.uint64(32), starts)
-    return out
+    made = np.array([rng.integers(1, 2**63, 2) for _ in range(BANDS * ROWS)]).astype(np.uint64)
+    return made[:, :1] | np.uint64(1), made[:, 1:]
+
+
+FACTORS, SUMMANDS = _functions()
+
+
+def _classic(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    out = np.empty((BANDS * ROWS, len(starts)), np.uint32)
+    for k in range(0, BANDS * ROWS, ROWS):  # some functions at a time
+        made = FACTORS[k:k + ROWS] * hashes
+        made += SUMMANDS[k:k + ROWS]
+        made >>= np.uint64(32)
+        out[k:k + ROWS] = np.minimum.reduceat(made, starts, axis=1)
+    return out.T
 
 
 def _one_permutation(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The signatures, and how many values of each were filled by hashes."""
     k, n = BANDS * ROWS, len(starts)
     sizes = np.diff(np.append(starts, len(hashes)))
-    place = np.repeat(np.arange(n) * k, sizes) + ((hashes >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
+    place = hashes >> np.uint64(32)
+    place *= np.uint64(k)
+    place >>= np.uint64(32)
+    place = place.view(np.int64)
+    place += np.repeat(np.arange(n) * k, sizes)
     out = np.full(n * k, EMPTY, np.uint32)
-    np.minimum.at(out, place, (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    np.minimum.at(out, place, hashes.astype(np.uint32))  # the low bits
     out = out.reshape(n, k)
     given = out != EMPTY
     row, col = np.nonzero(~given)
@@ -110,13 +130,17 @@ def _one_permutation(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray
     return out, given.sum(axis=1)
 
 
+def _new(values: np.ndarray) -> np.ndarray:
+    """Whether each of the sorted values differs from the one before."""
+    return np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]])
+
+
 def _distinct(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """How many distinct hashes each line has."""
-    line = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((hashes, line))  # lines stay where they are
-    hashes = hashes[order]
-    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])])
-    return np.bincount(line[new], minlength=len(counts))
+    room = np.uint64(len(counts).bit_length())
+    packed = np.sort((np.repeat(np.arange(len(counts), dtype=np.uint64), counts) << (np.uint64(64) - room)) | (hashes >> room))
+    line = (packed[_new(packed)] >> (np.uint64(64) - room)).astype(np.int64)
+    return np.bincount(line, minlength=len(counts))
 
 
 def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,14 +157,15 @@ def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         wide[np.arange(len(points)) + np.repeat(ends - padded - (np.cumsum(lengths) - lengths), lengths)] = points + np.uint64(1)
         points = wide
     else:
-        points = points + np.uint64(1)
-    h = np.zeros(max(0, len(points) - SHINGLE + 1), np.uint64)
-    for j in range(SHINGLE):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + points[j:j + len(h)]
-    h = _mix(h)
-    first = np.cumsum(counts) - counts
-    inside = np.repeat(ends - padded - first, counts) + np.arange(int(counts.sum()))
-    return h[inside], counts
+        points += np.uint64(1)
+    h = points[:max(0, len(points) - SHINGLE + 1)].copy()
+    for j in range(1, SHINGLE):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += points[j:j + len(h)]
+    inside = np.ones(len(h), bool)
+    for j in range(1, SHINGLE):  # shingles that reach into the next line
+        inside[ends[:-1] - j] = False
+    return _mix(h[inside]), counts
 
 
 def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,13 +190,14 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         signed.append((0, rows, _classic(h[np.repeat(short, counts)], np.cumsum(sizes) - sizes)))
     at, keys = [], []
     for kind, rows, values in signed:
-        values = values.T.astype(np.uint64)
-        for b in range(BANDS):
-            key = np.full(len(rows), kind * BANDS + b + 1, np.uint64)
-            for r in range(ROWS):
-                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + values[b * ROWS + r])
-            at.append(rows)
-            keys.append(key)
+        values = values.T.reshape(BANDS, ROWS, len(rows)).astype(np.uint64)
+        key = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None] + np.uint64(kind * BANDS + 1), len(rows), axis=1)
+        for r in range(ROWS):
+            key *= np.uint64(0x9E3779B97F4A7C15)
+            key += values[:, r]
+            _mix(key)
+        at.append(np.tile(rows, BANDS))
+        keys.append(key.ravel())
     return np.concatenate(at), np.concatenate(keys)
 
 
@@ -186,7 +212,7 @@ def _bands(parts: int):
             keys.clear()
             ids.clear()
             part = (k >> np.uint64(32)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
+            order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
             k, i, part = k[order].astype("<u4"), i[order].astype("<i8"), part[order]
             cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             stops = np.append(cuts[1:], len(part))
@@ -232,6 +258,13 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = [len(b) // 12 for b in held]
         keys = np.concatenate([np.frombuffer(b, "<u4", n) for b, n in zip(held, sizes)])
         ids = np.concatenate([np.frombuffer(b, "<i8", n, 4 * n) for b, n in zip(held, sizes)])
+        # most keys have one line: only the others are sorted by line
+        packed = np.sort((keys.astype(np.uint64) << np.uint64(32)) | np.arange(len(keys), dtype=np.uint64))
+        first = _new(packed >> np.uint64(32))
+        order = packed[~(first & np.append(first[1:], True))] & np.uint64(0xFFFFFFFF)
+        keys, ids = keys[order], ids[order]
+        if not len(keys):
+            return
         order = np.lexsort((ids, keys))
         keys, ids = keys[order], ids[order]
         new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
@@ -293,19 +326,41 @@ def shingles(line: str) -> set[str]:
     return {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
+def _alike(xs: list[str], ys: list[str], similarity: float) -> np.ndarray:
+    """Whether each x is similar to its y: by hashed shingles in common, and by
+    the shingles themselves where a few more or less would change the answer."""
+    n = len(xs)
+    if not n:
+        return np.zeros(0, bool)
+    h, counts = _hashes(xs + ys)
+    # pair, hash and side, sorted: a shingle of both sides has both next to each other
+    room = np.uint64(n.bit_length())
+    h >>= room
+    h &= ~np.uint64(1)
+    h |= np.repeat(np.arange(2 * n, dtype=np.uint64) % np.uint64(n), counts) << (np.uint64(64) - room)
+    h[int(counts[:n].sum()):] |= np.uint64(1)
+    h.sort()
+    h = h[_new(h)]
+    pair, common = (h >> (np.uint64(64) - room)).astype(np.int64), (h[1:] ^ h[:-1]) == 1
+    total = np.bincount(pair, minlength=n)
+    both = np.bincount(pair[1:][common], minlength=n)
+    over = both - similarity * (total - both)
+    near = over >= 0
+    for k in np.flatnonzero(np.abs(over) <= UNSURE).tolist():
+        x, y = shingles(xs[k]), shingles(ys[k])
+        near[k] = len(x & y) >= similarity * len(x | y)
+    return near
+
+
 def _verify(similarity: float):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, set()
         for batch in batches:
-            out = []
-            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if b != last:
-                    last, mine = b, shingles(y.decode("utf-8", "replace"))
-                other = shingles(x.decode("utf-8", "replace"))
-                both = len(mine & other)
-                if both >= similarity * (len(mine) + len(other) - both):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            xs, ys = ([x.decode("utf-8", "replace") for x in batch.column(k).to_pylist()] for k in (2, 3))
+            ends = np.cumsum([len(x) + len(y) for x, y in zip(xs, ys)])
+            cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(RUN_CHARS, ends[-1] if len(ends) else 0, RUN_CHARS)),
+                                   len(xs)]).tolist()
+            near = np.concatenate([np.zeros(0, bool), *(_alike(xs[a:b], ys[a:b], similarity) for a, b in zip(cuts, cuts[1:]))])
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], ["a", "b"])
     return of
 
 
@@ -319,20 +374,32 @@ def _meet(groups: list[list[tuple]], similarity: float) -> Iterator[tuple[int, i
     """Links (id, id) that join the components of each group's lines, or of
     its two sides (0 and 1), as far as these pairs do.  A group is a block of
     lines, or two blocks."""
+    pairs = [rows for rows in groups if len(rows) == 2]
+    if pairs:
+        xs, ys = ([rows[k][3].decode("utf-8", "replace") for rows in pairs] for k in (0, 1))
+        for k in np.flatnonzero(_alike(xs, ys, similarity)).tolist():
+            yield pairs[k][0][1], pairs[k][1][1]
+    groups = [rows for rows in groups if len(rows) > 2]
+    if not groups:
+        return
     sides, ids, names, lines = zip(*(r for rows in groups for r in rows))
     lines = [x.decode("utf-8", "replace") for x in lines]
     h, counts = _hashes(lines)
     ends = np.cumsum([len(rows) for rows in groups])
     of_group = np.repeat(np.arange(len(groups)), [len(rows) for rows in groups])
     # an index: each shingle's lines in a group, one after the other
-    owner = np.repeat(np.arange(len(lines)), counts)
-    order = np.lexsort((h, of_group[owner]))  # keeps the lines of a shingle in order
-    h, owner = h[order], owner[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
-    h, owner = h[new], owner[new]
+    above, below = (np.uint64(n.bit_length()) for n in (len(groups), max(map(len, groups))))
+    first = ends - np.bincount(of_group)
+    h >>= above + below
+    h <<= below
+    h |= np.repeat((of_group.astype(np.uint64) << (np.uint64(64) - above))
+                   | (np.arange(len(lines)) - first[of_group]).astype(np.uint64), counts)
+    h.sort()
+    h = h[_new(h)]
+    group = (h >> (np.uint64(64) - above)).astype(np.int64)
+    owner = first[group] + (h & ((np.uint64(1) << below) - np.uint64(1))).astype(np.int64)
     size = np.bincount(owner, minlength=len(lines))
-    group = of_group[owner]
-    starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (group[1:] != group[:-1])]))
+    starts = np.flatnonzero(_new(h >> below))
     lengths = np.diff(np.append(starts, len(h)))
     shared = lengths > 1  # a shingle of one line is in no pair
     spots, lengths = owner[np.repeat(shared, lengths)], lengths[shared]
@@ -344,31 +411,35 @@ def _meet(groups: list[list[tuple]], similarity: float) -> Iterator[tuple[int, i
         a, b = bounds[k], bounds[k + 1]
         if a < b:
             mine, at = label[first:end], side[first:end]
-            for i, j in _near(spots[a:b] - first, term[a:b] - term[a], size[first:end], mine, at if two else None, similarity):
+            for i, j, over in _near(spots[a:b] - first, term[a:b] - term[a], size[first:end], mine, at if two else None, similarity):
                 if mine[j] != mine[i]:  # not joined by an earlier one
-                    x, y = shingles(lines[first + i]), shingles(lines[first + j])
-                    if len(x & y) >= similarity * len(x | y):
-                        mine[mine == mine[j]] = mine[i]
-                        yield ids[first + i], ids[first + j]
+                    if over <= UNSURE:
+                        x, y = shingles(lines[first + i]), shingles(lines[first + j])
+                        if len(x & y) < similarity * len(x | y):
+                            continue
+                    mine[mine == mine[j]] = mine[i]
+                    yield ids[first + i], ids[first + j]
 
 
 def _near(spots: np.ndarray, term: np.ndarray, size: np.ndarray, label: np.ndarray, side: np.ndarray | None,
-          similarity: float) -> Iterator[tuple[int, int]]:
+          similarity: float) -> Iterator[tuple[int, int, float]]:
     """Pairs (i, j) of lines with different labels, of side 0 and side 1 if
-    there are sides, that are similar by the shingles they share: ``term`` k is
-    in line ``spots`` k."""
+    there are sides, that are similar by the shingles they share, and how many
+    more these are than they must be: ``term`` k is in line ``spots`` k."""
     n, width = len(size), int(term[-1]) + 1
 
-    def chosen(both: np.ndarray, i: np.ndarray) -> np.ndarray:
-        near = (both >= similarity * (size + size[i][:, None] - both)) & (label != label[i][:, None])
-        return near & ((side == 1) if side is not None else (np.arange(n) > i[:, None]))
+    def chosen(both: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        over = both - similarity * (size + size[i][:, None] - both)
+        near = (over >= 0) & (label != label[i][:, None])
+        near &= (side == 1) if side is not None else (np.arange(n) > i[:, None])
+        at, j = np.nonzero(near)
+        return i[at], j, over[at, j]
 
     rows = np.arange(n) if side is None else np.flatnonzero(side == 0)
     if n * width <= DENSE:
         held = np.zeros((n, width), np.float32)
         held[spots, term] = 1
-        i, j = np.nonzero(chosen((held[rows] @ held.T).astype(np.int64), rows))
-        yield from zip(rows[i].tolist(), j.tolist())
+        yield from zip(*(x.tolist() for x in chosen((held[rows] @ held.T).astype(np.int64), rows)))
         return
     starts = np.searchsorted(term, np.arange(width + 1))
     by_line = np.argsort(spots, kind="stable")
@@ -378,8 +449,7 @@ def _near(spots: np.ndarray, term: np.ndarray, size: np.ndarray, label: np.ndarr
         mine = term[by_line[bounds[i]:bounds[i + 1]]].tolist()
         for k in range(0, len(mine), 1024):
             both += np.bincount(np.concatenate([spots[starts[t]:starts[t + 1]] for t in mine[k:k + 1024]]), minlength=n)
-        for j in np.flatnonzero(chosen(both[None], np.array([i]))[0]).tolist():
-            yield i, j
+        yield from zip(*(x.tolist() for x in chosen(both[None], np.array([i]))))
 
 
 def _blocks(similarity: float):

@@ -237,3 +237,34 @@ def test_large_groups_meet_without_further_rounds(spark, monkeypatch):
     for i, name in enumerate(names):
         parts.setdefault(want[i], set()).add(name)
     assert {name: found.get(name, name) for name in names} == {x: min(s) for s in parts.values() for x in s}
+
+
+def test_pairs_are_verified_as_by_their_shingles():
+    rng = random.Random(20)
+    xs = ["".join(rng.choices("abcdef ", k=rng.randrange(1, 300))) for _ in range(600)]
+    ys = [x[:int(len(x) * rng.uniform(0.6, 1.1))] + "".join(rng.choices("abcdef日", k=int(len(x) * rng.uniform(0, 0.15)) + 1)) for x in xs]
+    ys[::5] = xs[::5]
+    sets = [(ld.shingles(x), ld.shingles(y)) for x, y in zip(xs, ys)]
+    want = [len(x & y) >= 0.8 * len(x | y) for x, y in sets]
+    assert 100 < sum(want) < 500
+    assert ld._alike(xs, ys, 0.8).tolist() == want
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(range(600)), *(
+        pa.array([x.encode() for x in side], pa.binary()) for side in (xs, ys))], list("abxy"))
+    got = pa.Table.from_batches(list(ld._verify(0.8)(iter([batch, batch.slice(0, 0)]))))
+    assert got["a"].to_pylist() == got["b"].to_pylist() == [k for k in range(600) if want[k]]
+
+
+def test_clear_pairs_need_no_sets(monkeypatch):
+    """Only pairs near the threshold are compared by sets of strings."""
+    rng, built = random.Random(21), []
+    line = lambda: " ".join(f"{rng.randrange(10**6):06d}" for _ in range(40))
+    lines = [line() for _ in range(20)]
+    sets = ld.shingles
+    monkeypatch.setattr(ld, "shingles", lambda x: built.append(x) or sets(x))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(range(40)), *(
+        pa.array([x.encode() for x in side], pa.binary()) for side in (lines * 2, [x + "!" for x in lines] + lines[::-1]))], list("abxy"))
+    got = pa.Table.from_batches(list(ld._verify(0.8)(iter([batch]))))
+    assert got["a"].to_pylist() == list(range(20))
+    rows = [(0, k, k, x.encode()) for k, x in enumerate(lines + [x + "!" for x in lines])]
+    assert sorted(ld._meet([rows, [rows[0], rows[20]], [rows[0], rows[1]]], 0.8)) == sorted([(0, 20), *((k, 20 + k) for k in range(20))])
+    assert not built
