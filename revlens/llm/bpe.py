@@ -100,13 +100,16 @@ class _Codes(dict):
 
     def __init__(self, table: "_Table", lead: str):
         super().__init__()
-        self.table, self.lead = table, lead
+        self.find, self.chunk, self.lead = table.find, table.chunk, lead
 
     def __missing__(self, part: str) -> int:
         """-1 where white space touches the space beside the part, so that a
         match may reach over it."""
-        blank = not part or part[0].isspace() or part[-1].isspace()
-        made = self[part] = -1 if blank else self.table.chunk(self.table.find(self.lead + part))
+        if not part or part[0].isspace() or part[-1].isspace():
+            made = -1
+        else:
+            made = self.chunk(self.find(self.lead + part))
+        self[part] = made
         return made
 
 
@@ -122,18 +125,6 @@ class _Matches(dict):
         return made
 
 
-class _Words(dict):
-    """Words that are not known -> their numbers."""
-
-    def __init__(self, table: "_Table"):
-        super().__init__()
-        self.table = table
-
-    def __missing__(self, word: str) -> int:
-        made = self[word] = self.table.word(word)
-        return made
-
-
 class _Table:
     """Words and chunks that a task has met, by number, and the block that
     waits to be sent.  Pieces and usual words have the first numbers, then new
@@ -142,7 +133,7 @@ class _Table:
     def __init__(self, find, ranks: dict[bytes, int], known: dict[str, int], n_known: int):
         self.find, self.ranks, self.known, self.n_words, self.n_long = find, ranks, known, n_known, 0
         self.first, self.later, self.single = _Codes(self, ""), _Codes(self, " "), _Matches(self)
-        self.words = _Words(self)
+        self.words: dict[str, int] = {}  # words that are not known -> their numbers
         self.chunks = self.held = 0
         self._open()
 
@@ -171,12 +162,14 @@ class _Table:
         return self.n_words - 1
 
     def chunk(self, texts: list[str]) -> int:
+        known, words, put = self.known, self.words, self.words_of_chunk.append
         for text in texts:
-            known = self.known.get(text)  # the table holds other words only
-            self.words_of_chunk.append(self.words[text] if known is None else known)
+            if (number := known.get(text)) is None and (number := words.get(text)) is None:
+                number = words[text] = self.word(text)  # the table holds other words only
+            put(number)
         self.chunk_words.append(len(texts))
-        self.chunks += 1
-        return self.chunks - 1
+        self.chunks = made = self.chunks + 1
+        return made - 1
 
     def add(self, doc, text: str) -> None:
         codes = np.zeros(0, np.int32)
@@ -259,8 +252,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], usual: tuple[np.ndarray, np.ndar
                     [ids.slice(a, b - a), pa.array([raw[x:y] for x, y in zip([0, *stops], stops)], pa.binary())], ["id", "ids"])
 
 
-#: A pair without a rank, shifted; and the mask of an id.
-NONE, ID = (2**31 - 1) << 32, 2**32 - 1
+#: A pair without a rank, shifted; the mask of an id; and the entry of a part that has been joined to another.
+NONE, ID, GONE = (2**31 - 1) << 32, 2**32 - 1, 2**63 - 1
 
 
 def rank_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -325,12 +318,12 @@ def _fold(starts: Column, table: Column, first: Column, of_byte: Column):
     def join(state: Column, made: Column, i: Column) -> Column:
         """The parts i and i + 1 (from 0) become one."""
         after = F.when(i + 2 < F.size(state), pair(made, part(state, i + 2))).otherwise(none + made)
-        before = F.when(i > 0, F.array(pair(part(state, i - 1), made), after)).otherwise(F.array(after))
-        return F.concat(F.slice(state, F.lit(1), F.greatest(i - 1, F.lit(0))), before, F.slice(state, i + 3, F.size(state)))
+        return F.array_remove(F.transform(state, lambda x, k: F.when(k == i, after).when(
+            k == i + 1, F.lit(GONE)).when(k == i - 1, pair(part(state, i - 1), made)).otherwise(x)), GONE)
 
     def step(state: Column) -> Column:
         return let(F.array_min(state), lambda least: F.when(least >= none, state).otherwise(
-            let(F.array_min(F.transform(state, lambda x, i: F.when(x == least, i))),
+            let(F.array_position(state, least).cast("int") - 1,
                 lambda i: let(F.shiftright(least, 32).cast("int"), lambda made: join(state, made, i)))))
 
     def merged(word: Column) -> Column:
@@ -462,18 +455,17 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             .mapInArrow(write, "id long, ids binary, raw binary" if decoded else "id long, ids binary"))
 
 
-def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
-    pieces = [b""] * (max(ranks.values()) + 1)
+def _pieces(ranks: dict[bytes, int]) -> np.ndarray:
+    pieces = np.full(max(ranks.values()) + 1, b"", object)
     for piece, rank in ranks.items():
         pieces[rank] = piece
     return pieces
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _decoded(batches: Iterator[pa.RecordBatch], pieces: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Batches (id, ids) with the bytes that the ids stand for."""
-    piece = pieces.__getitem__
     for batch in batches:
-        made = [b"".join(map(piece, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch.column(1)]
+        made = [b"".join(pieces[np.frombuffer(x.as_py() or b"", "<u4")].tolist()) for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["id", "ids", "raw"])
 
 

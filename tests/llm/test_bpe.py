@@ -83,3 +83,10 @@ def test_a_table_holds_no_known_words():
     table = bpe._Table(regex.compile(public_tokenizers.PATTERN).findall, bpe.read_ranks(PATH), {"a": 64, " b": 65}, 100)
     table.add(1, "a b b new")
     assert list(table.words) == [" new"] and table.words_of_chunk == [64, 65, 100] and table.codes[0].tolist()[:2] == [0, 1]
+
+
+def test_fold_takes_few_passes_over_a_word(spark):
+    """Each step found its pair by a lambda over all parts and cut the array at two places."""
+    from pyspark.sql import functions as F
+    plan = str(bpe.merger(bpe.read_ranks(PATH))(F.col("words")))
+    assert "slice(" not in plan and "array_position(" in plan
