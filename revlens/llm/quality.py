@@ -48,43 +48,40 @@ MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 
 
-def repeated_words(hashes: Column) -> Column:
-    """Words covered by 3-word windows that occur twice or more.  ``hashes``:
-    one 64-bit hash per word."""
-    windows = F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - 2, F.lit(0))),
-                          lambda x, i: F.xxhash64(x, F.get(hashes, i + 1), F.get(hashes, i + 2)))
+def _bucket(h: Column, buckets: int) -> Column:
+    return F.pmod(h, F.lit(buckets)).cast("int")
 
-    def starts(s: Column) -> Column:
-        """Places of windows that have an equal neighbour in sorted order."""
-        twice = F.filter(s, lambda x, k: F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))
-                         | F.when(k > 0, F.get(s, F.greatest(k - 1, F.lit(0)))["h"] == x["h"]).otherwise(False))
-        return F.sort_array(F.transform(twice, lambda x: x["i"]))
 
-    def covered(at: Column) -> Column:
-        reach = F.transform(at, lambda x, k: F.least(F.coalesce(F.get(at, k + 1) - x, F.lit(3)), F.lit(3)))
-        return F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x)
+def _but_one(values: Column) -> Column:
+    return F.greatest(F.size(values) - 1, F.lit(0))
 
-    def count(ws: Column) -> Column:
-        ordered = F.array_sort(F.transform(ws, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(ws)) == F.size(ws), F.lit(0).cast("long")).otherwise(
-            let(let(ordered, starts), covered))
 
-    return let(windows, count)
+def _joined(left: Column, right: Column) -> Column:
+    """A hash of each of ``left``, but the last, with the one at its place in ``right``."""
+    return F.zip_with(F.slice(left, 1, _but_one(left)), right, lambda x, y: F.xxhash64(x, y))
 
 
-def _bucket(h: Column, buckets: int) -> Column:
-    return F.pmod(h, F.lit(buckets)).cast("int")
+def _ordered() -> Column:
+    """The 3-word windows, one 64-bit hash each, with their places, in order
+    of hash; none if all differ."""
+    ordered = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct("windows")) < F.size("windows"), ordered).otherwise(
+        F.array().cast("array<struct<h:bigint,i:int>>"))
 
 
-def _grams(hashes: Column, buckets: int) -> Column:
-    """Bucket of each 1-gram, then of each 2-gram."""
-    pairs = F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))),
-                        lambda x, i: _bucket(F.xxhash64(x, F.get(hashes, i + 1)), buckets))
-    return F.concat(F.transform(hashes, lambda x: _bucket(x, buckets)), pairs)
+def _places() -> Column:
+    """Places of the windows that occur twice or more."""
+    count = _but_one(F.col("ordered"))
+    twice = F.zip_with(F.slice("ordered", 1, count), F.slice("ordered", 2, count),
+                       lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])))
+    return F.sort_array(F.array_distinct(F.flatten(F.array_compact(twice))))
 
 
-def _hashes(ws: Column) -> Column:
-    return F.transform(ws, lambda w: F.xxhash64(w))
+def _repeated_words() -> Column:
+    """Words covered by these windows: three, or those before the next window."""
+    # `least` passes over the null after the last
+    reach = F.zip_with("places", F.slice("places", 2, _but_one(F.col("places"))), lambda x, y: F.least(y - x, F.lit(3)))
+    return F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -112,9 +109,14 @@ def _split(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tu
 
 def fit(counted: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """ln p_target - ln p_raw of each bucket, from (raw, model, text)."""
-    counts = (counted.select("raw", "model", F.explode(
-                  let(_hashes(words(F.col("text"))), lambda h: _grams(h, buckets))).alias("bucket"))
-              .groupBy("bucket").agg(F.count("raw").alias("raw"), F.count("model").alias("target")))
+    # a row for each word and its next one: their hashes are made by generated code, not in a lambda
+    after = F.slice("words", 2, _but_one(F.col("words")))
+    pairs = (counted.select("raw", "model", words(F.col("text")).alias("words"))
+             .select("raw", "model", F.explode(F.arrays_zip(F.col("words").alias("word"), after.alias("next"))).alias("at")))
+    first, then = F.xxhash64("at.word"), F.when(F.col("at.next").isNotNull(), F.xxhash64("at.next"))
+    grams = pairs.select("raw", "model", F.explode(F.array(first, F.when(then.isNotNull(), F.xxhash64(first, then)))).alias("gram"))
+    counts = (grams.where("gram is not null").groupBy(_bucket(F.col("gram"), buckets).alias("bucket"))
+              .agg(F.count("raw").alias("raw"), F.count("model").alias("target")))
     found = {r["bucket"]: (r["raw"], r["target"]) for r in counts.collect()}  # `buckets` rows at most
     raw, target = (sum(x[k] for x in found.values()) for k in (0, 1))
     ratios = []
@@ -130,22 +132,30 @@ def _scored(rows: DataFrame, ratios: list[float], buckets: int) -> DataFrame:
     # one literal, folded into an array by the optimizer
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
 
-    def score(h: Column) -> Column:
-        each = F.transform(h, lambda x, i: F.get(table, _bucket(x, buckets)) + F.when(
-            i + 1 < F.size(h), F.get(table, _bucket(F.xxhash64(x, F.get(h, i + 1)), buckets))).otherwise(0.0))
-        total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
-        return F.when(F.size(h) > 0, total / F.greatest(F.size(h) * 2 - 1, F.lit(1))).otherwise(0.0)
+    def of(h: Column) -> Column:
+        return F.get(table, _bucket(h, buckets))
+
+    # the last word begins no pair
+    each = F.zip_with("hashes", "pairs", lambda x, y: of(x) + F.coalesce(of(y), F.lit(0.0)))
+    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+    score = F.when(F.size("hashes") > 0, total / F.greatest(F.size("hashes") * 2 - 1, F.lit(1))).otherwise(0.0)
 
     solid = F.concat_ws("", F.col("words"))
     plain = solid
     for c in SYMBOLS:
         plain = F.replace(plain, F.lit(c), F.lit(""))
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(WORD))
+    # a column for each step, as steps within a lambda are not compiled; the explode of one row
+    # keeps filters above it, which would else repeat the steps
     return (rows.withColumn("words", words(F.col("text")))
-            .withColumn("of_words", let(_hashes(F.col("words")), lambda h: F.struct(
-                repeated_words(h).alias("repeats"), score(h).alias("score"))))
+            .withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+            .withColumn("pairs", _joined(F.col("hashes"), F.slice("hashes", 2, _but_one(F.col("hashes")))))
+            .withColumn("windows", _joined(F.col("pairs"), F.slice("hashes", 3, _but_one(F.col("pairs")))))
+            .withColumn("ordered", _ordered()).withColumn("places", _places())
+            .withColumn("of_words", F.explode(F.array(F.struct(
+                F.size("words").cast("long").alias("n"), _repeated_words().alias("repeats"), score.alias("score")))))
             .withColumns({
-                "n_words": F.size("words").cast("long"),
+                "n_words": F.col("of_words.n"),
                 "word_chars": F.char_length(solid).cast("long"),
                 "n_symbols": (F.char_length(solid) - F.char_length(plain)).cast("long"),
                 "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),

@@ -164,3 +164,30 @@ def test_nth_smallest(spark):
             want = sorted(values)[max(1, math.ceil(share * len(values))) - 1]
             assert quality.nth_smallest(scores, share, rows=20) == want
     assert quality.nth_smallest(scores.where("false"), 0.5) is None
+
+
+def test_words_are_hashed_and_sorted_by_generated_code(spark):
+    """Windows were sorted by a comparing lambda, and the hashes of words and
+    pairs for the model made in lambdas, before they were exploded."""
+    judged = quality._scored(docs(spark, [(1, "a b")]), [0.0] * 5, 5).select("n_repeat_words")
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "lambda left" not in plan
+    L = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = quality.judge(docs(spark, [(1, "a b")]), L, buckets=5, keep_columns=True)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("sort_array(transform(") == 1  # not once more in the filter
+    seen = []
+    rows = docs(spark, [(1, "a b a b"), (2, None), (3, "a")]).selectExpr("1 as raw", "cast(null as int) as model", "text")
+    before = type(rows).groupBy
+    type(rows).groupBy = lambda self, *by: seen.append(self) or before(self, *by)
+    try:
+        assert len(quality.fit(rows, 7)) == 7
+    finally:
+        type(rows).groupBy = before
+    assert "lambda" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_repeated_windows_over_each_other(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choices("abcd", k=rng.randrange(0, 40)))) for i in range(300)]
+    got = quality._scored(docs(spark, rows), [0.0] * 5, 5).select("doc_id", "n_repeat_words").collect()
+    assert {r.doc_id: r.n_repeat_words for r in got} == {i: base(t)[4] for i, t in rows}
