@@ -51,7 +51,9 @@ CHUNKS, HELD = 250_000, 8 << 20
 #: Bytes of an Arrow batch, of which two workers and the executor hold several.
 BATCH = 2 << 20
 #: Documents, about, in which usual words are counted, and how many at most are kept.
-SAMPLE, USUAL = 8000, 400_000
+SAMPLE, USUAL = 32_000, 400_000
+#: With this in the pattern, letters alone between spaces are one match, which needs no search.
+LETTERS = r"| ?\p{L}+|"
 
 #: New words, or a block: its documents, the chunks and long words new in it,
 #: and 32-bit numbers.  ``turn`` counts the tables.
@@ -100,12 +102,15 @@ class _Codes(dict):
 
     def __init__(self, table: "_Table", lead: str):
         super().__init__()
-        self.find, self.chunk, self.lead = table.find, table.chunk, lead
+        self.find, self.chunk, self.one, self.lead = table.find, table.chunk, table.one, lead
+        self.letters = LETTERS in table.find.__self__.pattern
 
     def __missing__(self, part: str) -> int:
         """-1 where white space touches the space beside the part, so that a
         match may reach over it."""
-        if not part or part[0].isspace() or part[-1].isspace():
+        if self.letters and part.isalpha():
+            made = self.one(self.lead + part)
+        elif not part or part[0].isspace() or part[-1].isspace():
             made = -1
         else:
             made = self.chunk(self.find(self.lead + part))
@@ -121,7 +126,7 @@ class _Matches(dict):
         self.table = table
 
     def __missing__(self, word: str) -> int:
-        made = self[word] = self.table.chunk([word])
+        made = self[word] = self.table.one(word)
         return made
 
 
@@ -161,11 +166,20 @@ class _Table:
         self.n_words += 1
         return self.n_words - 1
 
+    def one(self, text: str) -> int:
+        """The number of a chunk of one word."""
+        if (number := self.known.get(text)) is None and (number := self.words.get(text)) is None:
+            number = self.words[text] = self.word(text)  # the table holds other words only
+        self.words_of_chunk.append(number)
+        self.chunk_words.append(1)
+        self.chunks = made = self.chunks + 1
+        return made - 1
+
     def chunk(self, texts: list[str]) -> int:
         known, words, put = self.known, self.words, self.words_of_chunk.append
         for text in texts:
             if (number := known.get(text)) is None and (number := words.get(text)) is None:
-                number = words[text] = self.word(text)  # the table holds other words only
+                number = words[text] = self.word(text)
             put(number)
         self.chunk_words.append(len(texts))
         self.chunks = made = self.chunks + 1
@@ -315,16 +329,19 @@ def _fold(starts: Column, table: Column, first: Column, of_byte: Column):
     def part(state: Column, i: Column) -> Column:
         return F.get(state, i).bitwiseAND(F.lit(ID)).cast("int")
 
-    def join(state: Column, made: Column, i: Column) -> Column:
-        """The parts i and i + 1 (from 0) become one."""
-        after = F.when(i + 2 < F.size(state), pair(made, part(state, i + 2))).otherwise(none + made)
-        return F.array_remove(F.transform(state, lambda x, k: F.when(k == i, after).when(
-            k == i + 1, F.lit(GONE)).when(k == i - 1, pair(part(state, i - 1), made)).otherwise(x)), GONE)
+    def join(state: Column, made: Column, at: Column, before: Column) -> Column:
+        """The part before the place ``at`` (from 0) and the one there become
+        one.  Most parts stand to the right of both, or to the left of the one
+        at ``before``: they pass with the fewest comparisons."""
+        after = F.when(at + 1 < F.size(state), pair(made, part(state, at + 1))).otherwise(none + made)
+        return F.array_remove(F.transform(state, lambda x, k: F.when(k > at, x).when(k == at, F.lit(GONE)).when(
+            k < before, x).when(k == before, pair(part(state, before), made)).otherwise(after)), GONE)
 
     def step(state: Column) -> Column:
         return let(F.array_min(state), lambda least: F.when(least >= none, state).otherwise(
-            let(F.array_position(state, least).cast("int") - 1,
-                lambda i: let(F.shiftright(least, 32).cast("int"), lambda made: join(state, made, i)))))
+            let(F.array_position(state, least).cast("int"),
+                lambda at: let(at - 2, lambda before: let(
+                    F.shiftright(least, 32).cast("int"), lambda made: join(state, made, at, before))))))
 
     def merged(word: Column) -> Column:
         start = F.transform(word, lambda x, i: F.when(
@@ -393,17 +410,19 @@ def _usual(texts: DataFrame, pattern: str, ranks, merged, sample: int, most: int
     share = min(1.0, sample / max(1, texts.count()))
     counted = durable(texts.sample(share, seed=7).mapInArrow(count, "word binary, n long")
                       .groupBy("word").agg(F.sum("n").alias("n")), "counted")
-    held, least = 0, None
+    held, chosen = 0, None
     for n, n_words in counted.groupBy("n").count().orderBy(F.desc("n")).collect():  # a row for each frequency of the sample
-        held += n_words
-        if held > most:
+        chosen = F.col("n") >= n
+        if held + n_words > most:  # of this frequency, by hash, as many as there is room for (and not the last hundredth)
+            room = int(990 * (most - held) / n_words)
+            chosen = (F.col("n") > n) | ((F.col("n") == n) & (F.pmod(F.xxhash64("word"), F.lit(1000)) < room))
             break
-        least = n
+        held += n_words
     top = max(ranks.values()) + 1
     words, ids, sizes = {}, [np.arange(top, dtype=np.int32)], [np.ones(top, np.int64)]
-    if least is not None:
+    if chosen is not None:
         # laid out first, so that the plan with the literal arrays has one stage and is described once
-        spelled = durable(counted.where(F.col("n") >= least).select("word").repartition(shuffle_partitions(spark))
+        spelled = durable(counted.where(chosen).select("word").repartition(shuffle_partitions(spark))
                           .mapInArrow(spell, "raw array<binary>, words array<array<int>>"), "spelled")
         rows = (spelled.select("raw", merged(F.col("words")).alias("merged"))
                 .mapInArrow(told, "raw array<binary>, ids binary, sizes binary"))

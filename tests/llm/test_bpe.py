@@ -1,5 +1,6 @@
 import random
 import tracemalloc
+from itertools import product
 
 import numpy as np
 import public_tokenizers
@@ -90,3 +91,38 @@ def test_fold_takes_few_passes_over_a_word(spark):
     from pyspark.sql import functions as F
     plan = str(bpe.merger(bpe.read_ranks(PATH))(F.col("words")))
     assert "slice(" not in plan and "array_position(" in plan
+
+
+def test_letters_between_spaces_need_no_search():
+    import regex
+    searched = []
+    pattern = regex.compile(public_tokenizers.PATTERN)
+
+    class Watched:
+        __self__ = pattern
+
+        def __call__(self, text):
+            searched.append(text)
+            return pattern.findall(text)
+
+    table = bpe._Table(Watched(), bpe.read_ranks(PATH), {}, 100)
+    table.add(1, "naïve new new, words")
+    assert searched == [" new,"] and list(table.words) == ["naïve", " new", ",", " words"]
+    letter = regex.compile(r"\p{L}").fullmatch
+    assert all(letter(c) for c in map(chr, range(0x110000)) if c.isalpha())
+
+
+def test_usual_words_fill_their_room(spark):
+    """Words of the first frequency without room for all of it were all left out."""
+    letters = ["".join(x) for x in product("qzxvjkwy", repeat=4)][:1000]
+    rows = docs(spark, [(i, f"{a}{b}") for i, (a, b) in enumerate(zip(letters, reversed(letters)))]).select("text")
+    ranks = bpe.read_ranks(PATH)
+    known = [len(bpe._usual(rows, public_tokenizers.PATTERN, ranks, bpe.merger(ranks), 10**6, most)[0]) for most in (0, 400, 2000)]
+    assert known[0] == 0 and 300 <= known[1] <= 400 and known[2] > 800
+
+
+def test_fold_compares_passing_parts_least():
+    """Each part was compared with three places, two of them reckoned anew."""
+    from pyspark.sql import functions as F
+    plan = str(bpe.merger(bpe.read_ranks(PATH))(F.col("words")))
+    assert plan.split("array_remove(")[1].split("CASE WHEN ")[1].startswith(">(")
